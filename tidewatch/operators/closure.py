@@ -12,7 +12,7 @@ def transitive_closure(edges: DataFrame, source: str, target: str) -> DataFrame:
     """All reachable pairs with their shortest distance: ``source, target, depth``.
 
     Each round extends only the pairs found in the round before, keeps what is
-    new, and cuts the lineage with a checkpoint. It ends when a round finds
+    new, and writes it out, which cuts the lineage. It ends when a round finds
     nothing, so cycles are fine and no depth is assumed.
     """
     step = materialise(edges.select(F.col(source).alias("_s"), F.col(target).alias("_t")).distinct())

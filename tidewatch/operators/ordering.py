@@ -15,7 +15,7 @@ def sorted_chunks(df: DataFrame, order: list[str]) -> DataFrame:
     """Range-partition by ``order``, sort inside, and fix each row's chunk and index.
 
     Adds ``_part`` (chunks are in order) and ``_index`` (position in the chunk).
-    The result is checkpointed: range bounds are sampled, so a recomputed
+    The result is written out: range bounds are sampled, so a recomputed
     partition could otherwise hold other rows.
     """
     placed = (

@@ -1 +1,266 @@
-"""Registered queries."""
+"""Alarm evaluation, bands, compaction, lag, gaps and positions; sorting and limits."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from tidewatch.operators import alarms, logs, metrics
+from tidewatch.operators.grouping import children_per_parent
+from tidewatch.operators.ordering import first_per_key, with_position
+from tidewatch.plans import alarm_flow
+from tidewatch.queries.registry import query, table
+from tidewatch.queries.sources import event_records
+from tidewatch.session import literal_rows
+from tidewatch.streaming.topics import compacted
+
+DAY = 86400
+DAY_SQL = "CAST(floor(epoch(ts) / 86400) AS BIGINT) * 86400"
+QUARTER_SQL = "CAST(floor(epoch(ts) / 900) AS BIGINT) * 900"
+SUM_SQL = "CAST(sum(CAST(value AS DECIMAL(18,2))) AS DOUBLE)"
+DAILY_ERRORS = alarms.Alarm(">=", 0.20, n=2, m=2)
+
+STATES_SQL = f"""
+  WITH c AS (
+    SELECT {DAY_SQL} AS period_start, count(*) FILTER (WHERE event_type = 'error') AS failures,
+           count(*) FILTER (WHERE event_type <> 'error') AS successes
+    FROM events GROUP BY ALL),
+  spine AS (SELECT unnest(range(min(period_start), max(period_start) + 1, {DAY})) AS period_start FROM c),
+  filled AS (SELECT period_start, coalesce(failures, 0) AS f, coalesce(successes, 0) AS s FROM spine LEFT JOIN c USING (period_start)),
+  ratios AS (SELECT *, CASE WHEN f + s >= 10 THEN f / (f + s) ELSE 0.0 END AS ratio FROM filled),
+  states AS (
+    SELECT period_start, f, s, ratio, CASE WHEN sum(CASE WHEN ratio >= 0.20 THEN 1 ELSE 0 END)
+             OVER (ORDER BY period_start ROWS BETWEEN 1 PRECEDING AND CURRENT ROW) >= 2 THEN 'ALARM' ELSE 'OK' END AS state
+    FROM ratios)
+"""
+
+
+@query("e01_m_of_n_alarm", STATES_SQL + "SELECT period_start, f AS failures, s AS successes, ratio, state FROM states")
+def m_of_n_alarm(spark, sf):
+    failed = F.col("event_type") == "error"
+    states = alarm_flow.failure_ratio_states(table(spark, sf, "events"), failed, DAY, 10, DAILY_ERRORS)
+    return states.select("period_start", "failures", "successes", "ratio", "state")
+
+
+@query(
+    "e02_state_transitions",
+    STATES_SQL
+    + """
+    , changes AS (SELECT period_start, lag(state, 1, 'OK') OVER (ORDER BY period_start) AS previous_state, state FROM states)
+    SELECT * FROM changes WHERE state <> previous_state
+    """,
+)
+def state_transitions(spark, sf):
+    failed = F.col("event_type") == "error"
+    changes = alarm_flow.failure_ratio_transitions(table(spark, sf, "events"), failed, DAY, 10, DAILY_ERRORS)
+    return changes.select("period_start", "previous_state", "state")
+
+
+@query(
+    "e01_alarm_per_series",
+    f"""
+    WITH c AS (
+      SELECT user_id, {DAY_SQL} AS period_start, count(*) FILTER (WHERE event_type = 'error') AS f,
+             count(*) FILTER (WHERE event_type <> 'error') AS s
+      FROM events GROUP BY ALL),
+    spine AS (SELECT user_id, unnest(range((SELECT min(period_start) FROM c), (SELECT max(period_start) + 1 FROM c), {DAY})) AS period_start
+              FROM (SELECT DISTINCT user_id FROM c)),
+    ratios AS (
+      SELECT user_id, period_start, CASE WHEN coalesce(f, 0) + coalesce(s, 0) >= 2 THEN f / (f + s) ELSE 0.0 END AS ratio
+      FROM spine LEFT JOIN c USING (user_id, period_start))
+    SELECT user_id, period_start, CASE WHEN sum(CASE WHEN ratio >= 0.5 THEN 1 ELSE 0 END)
+             OVER (PARTITION BY user_id ORDER BY period_start ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) >= 2
+           THEN 'ALARM' ELSE 'OK' END AS state
+    FROM ratios
+    """,
+)
+def alarm_per_series(spark, sf):
+    failed = F.col("event_type") == "error"
+    two_of_three = alarms.Alarm(">=", 0.5, n=3, m=2)
+    states = alarm_flow.failure_ratio_states(table(spark, sf, "events"), failed, DAY, 2, two_of_three, ["user_id"])
+    return states.select("user_id", "period_start", "state")
+
+
+@query(
+    "e01_alarm_definitions",
+    f"""
+    WITH p AS (SELECT event_type AS metric, {DAY_SQL} AS period_start, count(*) AS value FROM events GROUP BY ALL),
+    d AS (SELECT * FROM (VALUES ('error', '>=', 65, 3, 2), ('view', '<', 70, 2, 2), ('click', '>', 66, 1, 1))
+          AS v(metric, comparator, threshold, n, m)),
+    b AS (
+      SELECT metric, period_start, n, m,
+             CASE WHEN CASE comparator WHEN '>=' THEN value >= threshold WHEN '<' THEN value < threshold ELSE value > threshold END
+                  THEN 1 ELSE 0 END AS breach
+      FROM p JOIN d USING (metric)),
+    s AS (
+      SELECT metric, period_start, m, CASE n
+        WHEN 1 THEN breach
+        WHEN 2 THEN sum(breach) OVER (PARTITION BY metric ORDER BY period_start ROWS BETWEEN 1 PRECEDING AND CURRENT ROW)
+        ELSE sum(breach) OVER (PARTITION BY metric ORDER BY period_start ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) END AS hits
+      FROM b)
+    SELECT metric, period_start, CASE WHEN hits >= m THEN 'ALARM' ELSE 'OK' END AS state FROM s
+    """,
+)
+def alarm_definitions(spark, sf):
+    points = metrics.metric(table(spark, sf, "events"), DAY, ["event_type"], {"value": "sample_count"})
+    definitions = literal_rows(
+        spark,
+        [
+            ("error", ">=", 65.0, 3, 2, "notBreaching"),
+            ("view", "<", 70.0, 2, None, "breaching"),
+            ("click", ">", 66.0, 1, 1, "notBreaching"),
+        ],
+        "metric string, comparator string, threshold double, n int, m int, missing string",
+    )
+    named = points.withColumnRenamed("event_type", "metric")
+    return alarms.evaluate_definitions(named, definitions, []).select("metric", "period_start", "state")
+
+
+@query(
+    "e03_anomaly_band",
+    f"""
+    WITH p AS (SELECT event_type, {DAY_SQL} AS period_start, {SUM_SQL} AS total FROM events GROUP BY ALL),
+    b AS (
+      SELECT *, avg(total) OVER w AS mean, stddev_samp(total) OVER w AS spread FROM p
+      WINDOW w AS (PARTITION BY event_type ORDER BY period_start ROWS BETWEEN 14 PRECEDING AND 1 PRECEDING)),
+    f AS (SELECT *, coalesce(total > mean + 1 * spread, false) AS breach FROM b)
+    SELECT event_type, period_start, total, round(mean + 1 * spread, 4) AS upper, round(mean - 1 * spread, 4) AS lower, breach,
+           CASE WHEN sum(CASE WHEN breach THEN 1 ELSE 0 END) OVER (PARTITION BY event_type ORDER BY period_start
+             ROWS BETWEEN 1 PRECEDING AND CURRENT ROW) >= 2 THEN 'ALARM' ELSE 'OK' END AS state
+    FROM f
+    """,
+)
+def anomaly_band(spark, sf):
+    # A band of one deviation; two of the test data's deviations are never passed twice in a row.
+    daily = metrics.metric(table(spark, sf, "events"), DAY, ["event_type"], {"total": "sum"})
+    states = alarms.anomaly_states(daily, ["event_type"], "total", width=1)
+    return states.withColumn("upper", F.round("upper", 4)).withColumn("lower", F.round("lower", 4))
+
+
+@query(
+    "e04_first_per_key",
+    "SELECT p_brand, p_partkey, p_name, p_retailprice FROM part"
+    " QUALIFY row_number() OVER (PARTITION BY p_brand ORDER BY p_retailprice, p_partkey) = 1",
+)
+def keep_first(spark, sf):
+    parts = table(spark, sf, "part").select("p_brand", "p_partkey", "p_name", "p_retailprice")
+    return first_per_key(parts, ["p_brand"], ["p_retailprice", "p_partkey"])
+
+
+@query(
+    "e05_latest_per_key",
+    """
+    WITH l AS (
+      SELECT event_type, user_id, event_id, value FROM events
+      QUALIFY row_number() OVER (PARTITION BY event_type, user_id ORDER BY event_id DESC) = 1)
+    SELECT 'platform-dev.retail.web.' || event_type AS topic, CAST(user_id AS VARCHAR) AS key, event_id AS "offset"
+    FROM l WHERE value >= 5
+    """,
+)
+def latest_per_key(spark, sf):
+    # Values below 5 are sent as deletions of their key.
+    events = table(spark, sf, "events")
+    records = event_records(events)
+    small = F.from_json("value", "value double")["value"] < 5
+    sent = records.withColumn("value", F.when(~small, F.col("value")))
+    return compacted(sent).select("topic", "key", "offset")
+
+
+@query(
+    "e06_consumer_lag",
+    """
+    WITH heads AS (SELECT event_type, max(event_id) AS head, max(ts) AS head_ts FROM events GROUP BY event_type),
+    committed AS (SELECT user_id, event_type, max(event_id) AS done, max(ts) AS done_ts FROM events GROUP BY ALL)
+    SELECT 'reader-' || user_id AS consumer_group, event_type AS topic, head - done AS offset_lag,
+           CAST(floor(epoch(head_ts)) AS BIGINT) - CAST(floor(epoch(done_ts)) AS BIGINT) AS seconds_lag
+    FROM committed JOIN heads USING (event_type)
+    """,
+)
+def consumer_lag(spark, sf):
+    return lags(spark, sf).select("consumer_group", "topic", "offset_lag", "seconds_lag")
+
+
+def lags(spark, sf):
+    """Every user reads each topic up to its own last event."""
+    stamped = table(spark, sf, "events").select(
+        F.col("event_type").alias("topic"),
+        F.lit(0).alias("partition"),
+        F.col("event_id").alias("offset"),
+        F.col("ts").cast("timestamp").alias("timestamp"),
+        F.concat(F.lit("reader-"), F.col("user_id").cast("string")).alias("consumer_group"),
+    )
+    committed = stamped.groupBy("consumer_group", "topic", "partition").agg(
+        F.max("offset").alias("committed_offset"), F.max("timestamp").alias("committed_ts")
+    )
+    return metrics.lag_by_group(stamped, committed)
+
+
+@query(
+    "e07_heartbeat_gaps",
+    f"""
+    WITH s AS (SELECT DISTINCT event_type, {QUARTER_SQL} AS last_seen FROM events),
+    g AS (SELECT *, lead(last_seen) OVER (PARTITION BY event_type ORDER BY last_seen) AS next_seen FROM s)
+    SELECT event_type, last_seen, next_seen, (next_seen - last_seen) // 900 - 1 AS missed_periods FROM g
+    WHERE (next_seen - last_seen) // 900 - 1 >= 8
+    """,
+)
+def heartbeat_gaps(spark, sf):
+    return alarms.heartbeat_gaps(table(spark, sf, "events"), ["event_type"], "ts", 900, 8)
+
+
+@query("e08_row_position", "SELECT o_orderkey, row_number() OVER (ORDER BY o_totalprice, o_orderkey) AS position FROM orders")
+def row_position(spark, sf):
+    return with_position(table(spark, sf, "orders").select("o_orderkey", "o_totalprice"), ["o_totalprice", "o_orderkey"]).select(
+        "o_orderkey", "position"
+    )
+
+
+@query("f01_order_by", "SELECT c_custkey, c_name, c_nationkey FROM customer ORDER BY c_custkey")
+def order_by(spark, sf):
+    return table(spark, sf, "customer").select("c_custkey", "c_name", "c_nationkey").orderBy("c_custkey")
+
+
+@query(
+    "f02_latest_documents",
+    "SELECT event_id, CAST(json_extract(props, '$.k') AS INTEGER) AS status, epoch_us(ts) AS ts_us FROM events"
+    " WHERE event_type = 'error' ORDER BY ts DESC, event_id DESC LIMIT 20",
+)
+def latest_documents(spark, sf):
+    errors = table(spark, sf, "events").where("event_type = 'error'").select("event_id", "props", "ts")
+    body = logs.nested_fields(errors, "props", "k int", {"status": "k"}, "k")
+    newest = logs.latest(body, [F.desc("ts"), F.desc("event_id")], 20)
+    return newest.select("event_id", "status", F.unix_micros(F.col("ts").cast("timestamp")).alias("ts_us"))
+
+
+@query("f03_preview", "SELECT count(*) AS n, count(*) AS n_known FROM (SELECT * FROM orders LIMIT 10)")
+def preview(spark, sf):
+    # Which rows a preview shows is free; their number and origin are not.
+    orders = table(spark, sf, "orders")
+    shown = orders.limit(10).join(orders.select("o_orderkey", F.lit(1).alias("known")), "o_orderkey", "left")
+    return shown.agg(F.count(F.lit(1)).alias("n"), F.count("known").alias("n_known"))
+
+
+@query(
+    "f04_sorted_distinct_list",
+    "SELECT p_brand, string_agg(DISTINCT p_type, ',' ORDER BY p_type) AS types FROM part GROUP BY p_brand",
+)
+def sorted_distinct_list(spark, sf):
+    found = children_per_parent(table(spark, sf, "part"), ["p_brand"], "p_type")
+    return found.select("p_brand", F.array_join("children", ",").alias("types"))
+
+
+@query(
+    "f05_first_of_sorted_list",
+    """
+    SELECT s_nationkey, string_agg(s_name, ',' ORDER BY s_name) AS names FROM (
+      SELECT s_nationkey, s_name FROM supplier
+      QUALIFY row_number() OVER (PARTITION BY s_nationkey ORDER BY s_name) <= 2) GROUP BY s_nationkey
+    """,
+)
+def first_of_sorted_list(spark, sf):
+    # Each task keeps two names per nation, so no list is ever long.
+    names = table(spark, sf, "supplier").select("s_nationkey", "s_name")
+    smallest = names.groupBy("s_nationkey").agg(F.min("s_name").alias("first"))
+    others = names.join(smallest, "s_nationkey").where("s_name <> first")
+    second = others.groupBy("s_nationkey").agg(F.min("s_name").alias("second"))
+    both = F.array_compact(F.array("first", "second"))
+    return smallest.join(second, "s_nationkey", "left").select("s_nationkey", F.array_join(both, ",").alias("names"))

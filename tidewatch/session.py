@@ -59,12 +59,14 @@ def scratch(spark: SparkSession, label: str) -> str:
 
 
 def materialise(df: DataFrame) -> DataFrame:
-    """Cut lineage with a reliable checkpoint, which survives lost executors."""
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(shared_dir(spark))
-    return df.checkpoint(eager=True)
+    """Cut lineage with a table written to the shared folder.
+
+    It survives lost executors like a checkpoint does, and as a columnar file
+    it also gives the optimizer sizes and prunes columns when read again.
+    """
+    path = scratch(df.sparkSession, "stage")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def literal_rows(spark: SparkSession, rows: list, schema: str) -> DataFrame:
