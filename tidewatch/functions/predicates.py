@@ -74,3 +74,13 @@ def severity(value: Column, warning: float = 85, critical: float = 95) -> Column
 def include_exclude(text: Column, include: str, exclude: str | None = None) -> Column:
     kept = text.rlike(include)
     return kept & ~text.rlike(exclude) if exclude else kept
+
+
+def is_json(text: Column) -> Column:
+    """Whether the whole text is one JSON value.
+
+    The parser stops after the first value, so the text is also tried as an
+    array member and as an object member; nothing can trail it in both.
+    """
+    wrapped = (F.concat(F.lit("["), text, F.lit("]")), F.concat(F.lit('{"v":'), text, F.lit("}")))
+    return F.coalesce(reduce(lambda a, b: a & b, [F.try_parse_json(w).isNotNull() for w in wrapped]), F.lit(False))

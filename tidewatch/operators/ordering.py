@@ -57,3 +57,14 @@ def first_per_key(df: DataFrame, keys: list[str], order: list[str], descending:
     row = F.struct(*others)
     pick = F.max_by(row, rank) if descending else F.min_by(row, rank)
     return df.groupBy(*keys).agg(pick.alias("_row")).select(*keys, "_row.*").select(*df.columns)
+
+
+def smallest_per_group(df: DataFrame, group: list[str], value: str, k: int) -> DataFrame:
+    """The first ``k`` values of each group's sorted list, as an array.
+
+    The rank limit is applied in every task before the shuffle, so at most
+    ``k`` rows per group and task travel, whatever the group's size.
+    """
+    order = Window.partitionBy(*group).orderBy(value)
+    firsts = df.select(*group, value).withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= k)
+    return firsts.groupBy(*group).agg(F.sort_array(F.collect_list(value)).alias(value))

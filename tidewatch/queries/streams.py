@@ -1 +1,250 @@
-"""Registered queries."""
+"""Streaming jobs, run to the end of what is available and compared as tables."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from tidewatch.operators import alarms, metrics
+from tidewatch.operators.percentile import exact_percentiles
+from tidewatch.queries.registry import query, table
+from tidewatch.queries.sources import event_records
+from tidewatch.queries.windows import lags
+from tidewatch.session import scratch
+from tidewatch.sources.topics import decode
+from tidewatch.streaming import alarms as live
+from tidewatch.streaming import runs, topics
+from tidewatch.streaming.metrics import round_trips, unique_within, windowed
+
+DAY = 86400
+DAY_SQL = "CAST(floor(epoch(ts) / 86400) AS BIGINT) * 86400"
+QUARTER_SQL = "CAST(floor(epoch(ts) / 900) AS BIGINT) * 900"
+
+
+def event_stream(spark, sf):
+    return runs.file_stream(spark, f"{sf}/events.parquet", table(spark, sf, "events").schema)
+
+
+def record_stream(spark, sf):
+    return event_records(event_stream(spark, sf))
+
+
+@query(
+    "i01_topic_ingest",
+    "SELECT 'dev' AS environment, 'retail' AS business, 'web' AS app, event_type AS event, event_id AS \"offset\","
+    " CAST(json_extract(props, '$.k') AS INTEGER) AS k FROM events",
+)
+def topic_ingest(spark, sf):
+    parsed = topics.parsed(record_stream(spark, sf), "props string")
+    rows = parsed.select(
+        "environment", "business", "app", "event", "offset", F.from_json("body.props", "k int")["k"].alias("k")
+    )
+    return runs.append_available(rows, scratch(spark, "ingest"))
+
+
+def _windows(spark, sf, period, series, aggregates, label):
+    stream = windowed(event_stream(spark, sf), "ts", period, series, aggregates)
+    path = scratch(spark, label)
+    return runs.latest_update(runs.update_available(stream, path), [*series, "period_start"])
+
+
+@query(
+    "i02_tumbling_windows",
+    f"SELECT event_type, {DAY_SQL} AS period_start, count(*) AS n, max(value) AS largest FROM events GROUP BY ALL",
+)
+def tumbling_windows(spark, sf):
+    aggregates = [F.count(F.lit(1)).alias("n"), F.max("value").alias("largest")]
+    return _windows(spark, sf, DAY, ["event_type"], aggregates, "windows")
+
+
+SPINE_SQL = f"""
+  WITH c AS (SELECT event_type, {QUARTER_SQL} AS period_start, count(*) AS n FROM events GROUP BY ALL),
+  spine AS (SELECT event_type, unnest(range((SELECT min(period_start) FROM c), (SELECT max(period_start) + 1 FROM c), 900)) AS period_start
+            FROM (SELECT DISTINCT event_type FROM c)),
+  filled AS (SELECT event_type, period_start, n FROM spine LEFT JOIN c USING (event_type, period_start))
+"""
+
+
+@query(
+    "i03_fill_periods",
+    SPINE_SQL + "SELECT event_type, period_start, coalesce(n, 0) AS n, n IS NULL AS filled FROM filled",
+)
+def fill_periods(spark, sf):
+    counted = _windows(spark, sf, 900, ["event_type"], [F.count(F.lit(1)).alias("n")], "fill")
+    return metrics.fill_periods(counted, ["event_type"], 900, {"n": 0})
+
+
+@query(
+    "i04_missing_data_policy",
+    SPINE_SQL
+    + """
+    SELECT event_type, period_start, n IS NULL OR n < 1 AS breaching, coalesce(n >= 3, false) AS not_breaching FROM filled
+    """,
+)
+def missing_data_policy(spark, sf):
+    counted = metrics.metric(table(spark, sf, "events"), 900, ["event_type"], {"n": "sample_count"})
+    spine = metrics.fill_periods(counted, ["event_type"], 900, {})
+    heartbeat = alarms.Alarm("<", 1, missing="breaching")
+    busy = alarms.Alarm(">=", 3, missing="notBreaching")
+    return spine.select(
+        "event_type",
+        "period_start",
+        heartbeat.breached(F.col("n")).alias("breaching"),
+        busy.breached(F.col("n")).alias("not_breaching"),
+    )
+
+
+@query(
+    "i05_streaming_alarm",
+    f"""
+    WITH c AS (SELECT user_id, {DAY_SQL} AS period_start, count(*) AS n FROM events GROUP BY ALL),
+    edges AS (SELECT user_id, min(period_start) AS lo, max(period_start) AS hi FROM c GROUP BY user_id),
+    spine AS (SELECT user_id, unnest(range(lo, hi + 1, {DAY})) AS period_start FROM edges),
+    b AS (SELECT user_id, period_start, CASE WHEN n IS NULL OR n < 2 THEN 1 ELSE 0 END AS breach
+          FROM spine LEFT JOIN c USING (user_id, period_start)),
+    s AS (SELECT user_id, period_start, CASE WHEN sum(breach) OVER (PARTITION BY user_id ORDER BY period_start
+            ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) >= 2 THEN 'ALARM' ELSE 'OK' END AS state FROM b),
+    t AS (SELECT CAST(user_id AS VARCHAR) AS series, period_start,
+            lag(state, 1, 'OK') OVER (PARTITION BY user_id ORDER BY period_start) AS previous_state, state FROM s)
+    SELECT * FROM t WHERE state <> previous_state
+    """,
+)
+def streaming_alarm(spark, sf):
+    # The metric job writes one row per user and day; the alarm job reads them as its stream.
+    points = metrics.metric(table(spark, sf, "events"), DAY, ["user_id"], {"n": "sample_count"})
+    path = scratch(spark, "points")
+    points.write.parquet(path)
+    stream = runs.file_stream(spark, path, points.schema)
+    quiet = alarms.Alarm("<", 2, n=3, m=2, missing="breaching")
+    changes = live.alarm_transitions(stream, "user_id", "n", DAY, quiet)
+    return runs.update_available(changes, scratch(spark, "alarm")).drop("batch")
+
+
+@query(
+    "i06_absence",
+    f"""
+    WITH s AS (SELECT DISTINCT user_id, {QUARTER_SQL} AS last_seen FROM events),
+    g AS (SELECT *, lead(last_seen) OVER (PARTITION BY user_id ORDER BY last_seen) AS next_seen FROM s),
+    w AS (SELECT epoch_ms(max(ts)) - 900000 AS watermark FROM events)
+    SELECT CAST(user_id AS VARCHAR) AS series, last_seen, last_seen + 96 * 900 + 900 AS deadline FROM g, w
+    WHERE next_seen - last_seen >= 97 * 900 OR (next_seen IS NULL AND (last_seen + 97 * 900) * 1000 <= watermark)
+    """,
+)
+def absence(spark, sf):
+    silent = live.absences(event_stream(spark, sf), "user_id", "ts", 900, n=96)
+    return runs.append_available(silent, scratch(spark, "absence"))
+
+
+@query(
+    "i07_compaction",
+    """
+    SELECT 'platform-dev.retail.web.' || event_type AS topic, CAST(user_id AS VARCHAR) AS key, max(event_id) AS "offset",
+           arg_max(value, event_id) AS value FROM events GROUP BY event_type, user_id
+    """,
+)
+def compaction(spark, sf):
+    newest = topics.newest_per_key(record_stream(spark, sf), ["topic", "key"])
+    changed = runs.update_available(newest, scratch(spark, "compact"))
+    kept = runs.latest_update(changed, ["topic", "key"])
+    return kept.select("topic", "key", "offset", F.from_json("value", "value double")["value"].alias("value"))
+
+
+@query(
+    "i08_retention_by_age",
+    "SELECT event_id AS \"offset\" FROM events WHERE epoch_us(ts) // 1000 >= (SELECT max(epoch_us(ts) // 1000) FROM events) - 604800000",
+)
+def retention_by_age(spark, sf):
+    return topics.retained_by_age(event_records(table(spark, sf, "events")), 604_800_000).select("offset")
+
+
+SIZED_SQL = """
+  WITH sized AS (SELECT *, sum(length(props)) OVER (PARTITION BY event_type ORDER BY ts DESC, event_id DESC) AS used FROM events)
+"""
+
+
+@query("i09_retention_by_size", SIZED_SQL + "SELECT event_id AS \"offset\" FROM sized WHERE used <= 5000")
+def retention_by_size(spark, sf):
+    records = event_records(table(spark, sf, "events"), partitions=1)
+    sized = records.withColumn("value", F.from_json("value", "props string")["props"])
+    return topics.retained_by_size(sized, 5000).select("offset")
+
+
+@query(
+    "i09_compact_and_delete",
+    SIZED_SQL
+    + """
+    SELECT event_type, CAST(user_id AS VARCHAR) AS key, max(event_id) AS "offset" FROM sized WHERE used <= 9000
+    AND epoch_us(ts) // 1000 >= (SELECT max(epoch_us(ts) // 1000) FROM events) - 604800000 GROUP BY event_type, user_id
+    """,
+)
+def compact_and_delete(spark, sf):
+    records = event_records(table(spark, sf, "events"), partitions=1)
+    sized = records.withColumn("value", F.from_json("value", "props string")["props"])
+    kept = topics.cleaned(sized, "compact,delete", retention_ms=604_800_000, limit_bytes=9000)
+    return kept.select(F.split_part("topic", F.lit("."), F.lit(4)).alias("event_type"), "key", "offset")
+
+
+@query(
+    "i10_canary",
+    """
+    SELECT event_id, CASE WHEN event_type IN ('error', 'view') THEN 'fail' ELSE 'pass' END AS status FROM events
+    WHERE ts < (SELECT max(ts) FROM events) - INTERVAL 1 HOUR
+    """,
+)
+def canary(spark, sf):
+    # Errors never arrive and views arrive too late. The last hour is still open
+    # when the input ends, so it is left to the next run.
+    sent = event_stream(spark, sf)
+    delay = F.when(F.col("event_type") == "view", 36).when(F.col("event_type") == "click", 35).otherwise(5)
+    received = (
+        event_stream(spark, sf)
+        .where("event_type <> 'error'")
+        .withColumn("ts", F.col("ts").cast("timestamp") + F.make_interval(secs=delay))
+    )
+    outcome = runs.append_available(round_trips(sent, received, "event_id"), scratch(spark, "canary"))
+    newest = table(spark, sf, "events").agg(F.max(F.col("ts").cast("timestamp"))).scalar()
+    return outcome.where(F.col("sent_at") < newest - F.expr("INTERVAL 1 HOUR")).select("event_id", "status")
+
+
+@query(
+    "i11_malformed_records",
+    """
+    SELECT event_type, count(*) FILTER (WHERE event_type <> 'view') AS decoded, count(*) FILTER (WHERE event_type = 'view') AS dropped
+    FROM events GROUP BY event_type
+    """,
+)
+def malformed_records(spark, sf):
+    cut = F.when(F.col("event_type") == "view", F.expr("left(props, length(props) - 1)")).otherwise(F.col("props"))
+    records = event_stream(spark, sf).select("event_type", cut.alias("value"))
+    counted = decode(records, "k int").groupBy("event_type").agg(
+        F.count("body").alias("decoded"), F.count_if(F.col("body").isNull()).alias("dropped")
+    )
+    return runs.latest_update(runs.update_available(counted, scratch(spark, "malformed")), ["event_type"])
+
+
+@query("i12_redelivery", "SELECT event_id, user_id, value FROM events")
+def redelivery(spark, sf):
+    # Every record is delivered twice, which at-least-once production may do.
+    events = event_stream(spark, sf)
+    copies = events.withColumn("_copy", F.explode(F.array(F.lit(1), F.lit(2)))).drop("_copy")
+    once = unique_within(copies, "ts", ["event_id"], 3600).select("event_id", "user_id", "value")
+    return runs.append_available(once, scratch(spark, "redelivery"))
+
+
+@query(
+    "i13_lag_percentile",
+    """
+    WITH heads AS (SELECT event_type, max(event_id) AS head, max(ts) AS head_ts FROM events GROUP BY event_type),
+    committed AS (SELECT user_id, event_type, max(event_id) AS done, max(ts) AS done_ts FROM events GROUP BY ALL),
+    l AS (SELECT event_type AS topic, head - done AS m, CAST(floor(epoch(head_ts)) AS BIGINT) - CAST(floor(epoch(done_ts)) AS BIGINT) AS s
+          FROM committed JOIN heads USING (event_type))
+    SELECT topic, max(m) AS most_messages, round(quantile_cont(s, 0.99), 6) AS p99_seconds, quantile_cont(s, 0.99) > 300 AS warning
+    FROM l GROUP BY topic
+    """,
+)
+def lag_percentile(spark, sf):
+    lag = lags(spark, sf)
+    most = lag.groupBy("topic").agg(F.max("offset_lag").alias("most_messages"))
+    p99 = exact_percentiles(lag, ["topic"], "seconds_lag", {"p99": 0.99})
+    return most.join(p99, "topic").select(
+        "topic", "most_messages", F.round("p99", 6).alias("p99_seconds"), (F.col("p99") > 300).alias("warning")
+    )

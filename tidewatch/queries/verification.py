@@ -1 +1,283 @@
-"""Registered queries."""
+"""Reconciliation, round-trip suites and model runs."""
+
+from __future__ import annotations
+
+import os
+
+from pyspark.sql import functions as F
+
+from tidewatch.operators import governance
+from tidewatch.operators.verify import must_be_empty, symmetric_difference, validate
+from tidewatch.plans import models, suites
+from tidewatch.queries import columns as C
+from tidewatch.queries.registry import query, table
+from tidewatch.queries.sources import MODEL_SQL, _database
+from tidewatch.session import scratch
+
+
+def _orders(spark, sf):
+    return table(spark, sf, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice")
+
+
+@query(
+    "j01_validate",
+    """
+    WITH e AS (SELECT o_orderkey, o_orderstatus, o_totalprice FROM orders),
+    worst AS (SELECT * FROM e WHERE o_totalprice = (SELECT max(o_totalprice) FROM e) ORDER BY o_orderkey LIMIT 1)
+    SELECT 'same' AS variant, true AS ok, NULL AS detail FROM e HAVING count(*) > 0
+    UNION ALL
+    SELECT 'short', false, 'Row count mismatch: expected ' || count(*) || ', got ' || count(*) FILTER (WHERE o_orderstatus <> 'F') FROM e
+    UNION ALL
+    SELECT 'renamed', false, 'Column mismatch: expected [''o_orderkey'', ''o_orderstatus'', ''o_totalprice''], got [''o_orderkey'', ''o_totalprice'', ''state'']'
+    FROM e HAVING count(*) > 0
+    UNION ALL
+    SELECT 'damaged', false, 'Row ' || (SELECT count(*) FROM e WHERE e.o_orderkey < w.o_orderkey) || ' mismatch: expected {"o_orderkey":'
+           || o_orderkey || ',"o_orderstatus":"' || o_orderstatus || '"}, got {"o_orderkey":' || o_orderkey || ',"o_orderstatus":"X"}'
+    FROM worst w
+    UNION ALL
+    SELECT 'text', false, 'Failed to coerce results: ' || count(*) FILTER (WHERE o_orderstatus = 'P') || ' rows' FROM e
+    """,
+)
+def validation(spark, sf):
+    expected = _orders(spark, sf)
+    largest = expected.agg(F.max("o_totalprice")).first()[0]
+    worst = expected.where(F.col("o_totalprice") == F.lit(largest)).agg(F.min("o_orderkey")).first()[0]
+    status = F.when(F.col("o_orderkey") == F.lit(worst), "X").otherwise(F.col("o_orderstatus"))
+    text = F.when(F.col("o_orderstatus") == "P", "n/a").otherwise(F.col("o_totalprice").cast("string"))
+    pair = expected.select("o_orderkey", "o_orderstatus")
+    variants = {
+        "same": (expected, expected),
+        "short": (expected, expected.where("o_orderstatus <> 'F'")),
+        "renamed": (expected, expected.withColumnRenamed("o_orderstatus", "state")),
+        "damaged": (pair, pair.withColumn("o_orderstatus", status)),
+        "text": (expected, expected.withColumn("o_totalprice", text)),
+    }
+    out = None
+    for name, (wanted, found) in variants.items():
+        verdict = validate(wanted, found, "o_orderkey").select(F.lit(name).alias("variant"), "ok", "detail")
+        out = verdict if out is None else out.unionByName(verdict)
+    return out
+
+
+@query(
+    "j02_validate_values",
+    "SELECT count(*) > 0 AS ok, CAST(NULL AS VARCHAR) AS detail FROM orders",
+)
+def value_validation(spark, sf):
+    expected = _orders(spark, sf)
+    return validate(expected, expected.withColumn("loaded_by", F.lit("job")), "o_orderkey", check_columns=False)
+
+
+@query(
+    "j03_format_round_trip",
+    """
+    SELECT name, 'PASS' AS outcome, 'validate' AS phase FROM (SELECT unnest(['e2e_csv', 'e2e_json', 'e2e_parquet']) AS name)
+    WHERE (SELECT count(*) FROM customer) > 0
+    UNION ALL SELECT 'cleanup', 'SUCCESS', 'cleanup' FROM customer HAVING count(*) > 0
+    """,
+)
+def format_round_trip(spark, sf):
+    # Avro needs a module of its own; its row says PASS or SKIPPED and is tested apart.
+    suite = suites.format_round_trip(
+        table(spark, sf, "customer"), C.CUSTOMER, "c_custkey", scratch(spark, "round-trip"), "run-1"
+    )
+    return suite.where("name <> 'e2e_avro'").select("name", "outcome", "phase")
+
+
+@query(
+    "j04_run_table_round_trip",
+    "SELECT 'run-1' AS run_id, 'PASS' AS status, 'validate' AS phase, CAST(NULL AS VARCHAR) AS detail, 'SUCCESS' AS cleanup"
+    " FROM events HAVING count(*) > 0",
+)
+def run_table_round_trip(spark, sf):
+    events = table(spark, sf, "events").select("event_id", "user_id", "event_type", "value")
+    name = f"{_database(spark, 'suite')}.events"
+    return suites.run_table_round_trip(events, C.EVENTS_RUN, "event_id", name, "run-1")
+
+
+def part_access(spark, sf):
+    """Every supplier reads the parts of its tag expression; large accounts also write them."""
+    from tidewatch.queries.joins import part_tags, tag_expressions
+
+    matched = governance.match_tags(tag_expressions(spark, sf), part_tags(spark, sf))
+    writers = table(spark, sf, "supplier").where("s_acctbal > 5000").select(F.col("s_suppkey").alias("grant_id"))
+    reads = matched.withColumn("permission", F.lit("SELECT"))
+    writes = matched.join(writers, "grant_id", "left_semi").withColumn("permission", F.lit("INSERT"))
+    rows = reads.unionByName(writes).withColumnRenamed("grant_id", "principal")
+    return governance.effective_permissions(rows.withColumn("mechanism", F.lit("lf_tag")))
+
+
+MATCHED_SQL = (
+    "FROM supplier JOIN part ON p_brand = 'Brand#' || (s_suppkey % 25 + 1) AND p_size IN (s_nationkey + 1, s_nationkey + 20)"
+)
+ASKED_SQL = "SELECT l_suppkey AS principal, l_partkey AS resource FROM lineitem GROUP BY ALL"
+
+
+@query(
+    "j05_positive_check",
+    f"""
+    WITH asked AS ({ASKED_SQL}), held AS (SELECT s_suppkey, p_partkey {MATCHED_SQL})
+    SELECT principal, resource, CASE WHEN s_suppkey IS NULL THEN 'FAIL' ELSE 'PASS' END AS outcome
+    FROM asked LEFT JOIN held ON s_suppkey = principal AND p_partkey = resource
+    """,
+)
+def positive_check(spark, sf):
+    return governance.positive_check(part_access(spark, sf), _asked(spark, sf))
+
+
+@query(
+    "j06_negative_check",
+    f"""
+    WITH asked AS ({ASKED_SQL}), held AS (SELECT s_suppkey, p_partkey {MATCHED_SQL} WHERE s_acctbal > 5000)
+    SELECT principal, resource, CASE WHEN s_suppkey IS NULL THEN 'PASS' ELSE 'FAIL' END AS outcome,
+           CASE WHEN s_suppkey IS NULL THEN '' ELSE 'over-permissioned' END AS detail
+    FROM asked LEFT JOIN held ON s_suppkey = principal AND p_partkey = resource
+    """,
+)
+def negative_check(spark, sf):
+    return governance.negative_check(part_access(spark, sf), _asked(spark, sf))
+
+
+def _asked(spark, sf):
+    return table(spark, sf, "lineitem").select(
+        F.col("l_suppkey").alias("principal"), F.col("l_partkey").alias("resource")
+    ).distinct()
+
+
+def label_checks(spark, sf):
+    """Labels as access checks: service and mechanism from the id, the reason from the label."""
+    service = F.when(F.col("doc_id") % 3 == 0, "Redshift").otherwise("S3Tables")
+    mechanism = F.when(F.col("doc_id") % 2 == 0, "lf_tag").otherwise("resource_permission")
+    reason = F.when(F.col("toxic") == 1, F.when(F.col("quality") == 1, F.lit("timeout"))).otherwise(
+        "Access Denied by policy"
+    )
+    return table(spark, sf, "labels").select("doc_id", service.alias("service"), mechanism.alias("mechanism"), reason.alias("reason"))
+
+
+CHECKS_SQL = """
+  SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'Redshift' ELSE 'S3Tables' END AS service,
+         CASE WHEN doc_id % 2 = 0 THEN 'LfTag' ELSE 'ResourcePermission' END AS mechanism,
+         CASE WHEN toxic = 1 AND quality = 1 THEN CASE WHEN doc_id % 3 = 0 THEN 'INCONCLUSIVE' ELSE 'FAIL' END
+              WHEN toxic = 1 THEN 'FAIL' ELSE 'PASS' END AS outcome
+  FROM labels
+"""
+
+
+@query("j07_tri_state_outcome", f"SELECT doc_id, service, outcome FROM ({CHECKS_SQL})")
+def tri_state_outcome(spark, sf):
+    outcome = suites.negative_outcome(F.col("service"), F.col("reason"))
+    return label_checks(spark, sf).select("doc_id", "service", outcome.alias("outcome"))
+
+
+@query(
+    "j08_check_matrix",
+    f"""
+    WITH c AS ({CHECKS_SQL}), m AS (
+      SELECT s.service, k.mechanism FROM (SELECT unnest(['S3Tables', 'Redshift']) AS service) s,
+             (SELECT unnest(['LfTag', 'ResourcePermission']) AS mechanism) k)
+    SELECT m.service || m.mechanism || 'NegativeCheckSuccess' AS metric,
+           coalesce(min(CASE WHEN outcome IN ('PASS', 'INCONCLUSIVE') THEN 1 ELSE 0 END), 0)::INTEGER AS value
+    FROM m LEFT JOIN c USING (service, mechanism) GROUP BY m.service, m.mechanism
+    UNION ALL SELECT service || mechanism || 'PositiveCheckSuccess', 0 FROM m
+    UNION ALL SELECT service || 'CleanupSuccess', min(CASE WHEN outcome = 'FAIL' THEN 0 ELSE 1 END)::INTEGER FROM c GROUP BY service
+    """,
+)
+def check_matrix(spark, sf):
+    checks = label_checks(spark, sf).select(
+        "service",
+        "mechanism",
+        F.lit("negative").alias("polarity"),
+        suites.negative_outcome(F.col("service"), F.col("reason")).alias("outcome"),
+    )
+    cleaned = F.when(F.col("outcome") == "FAIL", "FAIL").otherwise("SUCCESS")
+    return suites.check_metrics(checks, checks.select("service", cleaned.alias("outcome")))
+
+
+@query(
+    "j09_suite_roll_up",
+    """
+    SELECT source, count(*) AS n_checks, count(*) FILTER (WHERE quality = 0) AS n_failing,
+           CASE WHEN count(*) FILTER (WHERE quality = 0) = 0 THEN 'PASS' ELSE 'FAIL' END AS status,
+           coalesce(string_agg(CAST(doc_id AS VARCHAR), ',' ORDER BY doc_id) FILTER (WHERE quality = 0), '') AS failing
+    FROM labels JOIN documents USING (doc_id) GROUP BY source
+    """,
+)
+def suite_roll_up(spark, sf):
+    documents = table(spark, sf, "documents").select("doc_id", "source")
+    checks = table(spark, sf, "labels").join(documents, "doc_id")
+    outcomes = checks.withColumn("outcome", F.when(F.col("quality") == 1, "PASS").otherwise("FAIL"))
+    return suites.roll_up(outcomes, ["source"], "doc_id").select("source", "n_checks", "n_failing", "status", "failing")
+
+
+@query(
+    "j10_run_summary",
+    """
+    WITH n AS (SELECT o_custkey, o_orderkey, o_orderstatus = 'P' AS failing FROM orders)
+    SELECT o_custkey, count(*) AS n_nodes, count(*) FILTER (WHERE failing) AS n_failing,
+           count(*) FILTER (WHERE failing) = 0 AS success,
+           coalesce(string_agg('model.' || o_orderkey, ', ' ORDER BY 'model.' || o_orderkey) FILTER (WHERE failing), '') AS failing
+    FROM n GROUP BY o_custkey
+    """,
+)
+def run_summary(spark, sf):
+    status = F.when(F.col("o_orderstatus") == "P", "error").otherwise("success")
+    nodes = table(spark, sf, "orders").select(
+        "o_custkey", F.concat(F.lit("model."), F.col("o_orderkey").cast("string")).alias("unique_id"), status.alias("status")
+    )
+    return models.run_summary(nodes, ["o_custkey"]).drop("page")
+
+
+@query(
+    "j11_assertion",
+    """
+    SELECT 'orders_have_lines' AS name, count(*) AS failures, count(*) = 0 AS passed FROM orders
+    WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)
+    UNION ALL SELECT 'lines_have_orders', count(*), count(*) = 0 FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders)
+    UNION ALL SELECT 'orders_equal_themselves', 0, true FROM orders HAVING count(*) > 0
+    """,
+)
+def assertion(spark, sf):
+    orders, lines = table(spark, sf, "orders"), table(spark, sf, "lineitem")
+    same = orders["o_orderkey"] == lines["l_orderkey"]
+    fields = ["o_orderkey", "o_orderstatus", "o_totalprice"]
+    tests = [
+        must_be_empty(orders.join(lines, same, "left_anti"), "orders_have_lines"),
+        must_be_empty(lines.join(orders, same, "left_anti"), "lines_have_orders"),
+        must_be_empty(symmetric_difference(orders.select(*fields), orders.select(*fields)), "orders_equal_themselves"),
+    ]
+    return tests[0].unionByName(tests[1]).unionByName(tests[2])
+
+
+@query(
+    "j12_seed_build_test",
+    """
+    SELECT 'model.customer_orders' AS unique_id, 'success' AS status, NULL AS message FROM orders HAVING count(*) > 0
+    UNION ALL SELECT 'model.big_customers', 'success', NULL FROM orders HAVING count(*) > 0
+    UNION ALL SELECT 'test.no_lost_customers', 'pass', NULL FROM orders HAVING count(*) > 0
+    UNION ALL SELECT 'test.nobody_is_big', 'fail', count(*) || ' rows' FROM (SELECT o_custkey FROM orders GROUP BY 1 HAVING max(o_totalprice) > 499000)
+    UNION ALL SELECT 'left_over_tables', '0', NULL FROM orders HAVING count(*) > 0
+    """,
+)
+def seed_build_test(spark, sf):
+    path = scratch(spark, "models")
+    database = f"platform_dev_{os.path.basename(path).replace('-', '_')}"
+    source = f"parquet.`{sf}/orders.parquet`"
+    nodes = models.run_models(
+        spark,
+        database,
+        [
+            ("customer_orders", MODEL_SQL.format(orders=source)),
+            ("big_customers", f"SELECT * FROM {database}.customer_orders WHERE largest > 499000"),
+        ],
+        [
+            (
+                "no_lost_customers",
+                f"SELECT o_custkey FROM {source} EXCEPT SELECT o_custkey FROM {database}.customer_orders",
+            ),
+            ("nobody_is_big", f"SELECT * FROM {database}.big_customers"),
+        ],
+        location=path,
+    )
+    left = spark.sql(f"SHOW TABLES IN {database}").agg(F.count(F.lit(1)).cast("string").alias("status"))
+    leftover = left.select(F.lit("left_over_tables").alias("unique_id"), "status", F.lit(None).cast("string").alias("message"))
+    return nodes.select("unique_id", "status", "message").unionByName(leftover)

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tidewatch.operators import alarms, logs, metrics
 from tidewatch.operators.grouping import children_per_parent
-from tidewatch.operators.ordering import first_per_key, with_position
+from tidewatch.operators.ordering import first_per_key, smallest_per_group, with_position
 from tidewatch.plans import alarm_flow
 from tidewatch.queries.registry import query, table
 from tidewatch.queries.sources import event_records
@@ -257,10 +257,6 @@ def sorted_distinct_list(spark, sf):
     """,
 )
 def first_of_sorted_list(spark, sf):
-    # Each task keeps two names per nation, so no list is ever long.
-    names = table(spark, sf, "supplier").select("s_nationkey", "s_name")
-    smallest = names.groupBy("s_nationkey").agg(F.min("s_name").alias("first"))
-    others = names.join(smallest, "s_nationkey").where("s_name <> first")
-    second = others.groupBy("s_nationkey").agg(F.min("s_name").alias("second"))
-    both = F.array_compact(F.array("first", "second"))
-    return smallest.join(second, "s_nationkey", "left").select("s_nationkey", F.array_join(both, ",").alias("names"))
+    suppliers = table(spark, sf, "supplier")
+    firsts = smallest_per_group(suppliers, ["s_nationkey"], "s_name", 2)
+    return firsts.select("s_nationkey", F.array_join("s_name", ",").alias("names"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidewatch.functions.predicates import is_json
+
 # The columns of a topic record, as the Kafka connector names them.
 RECORD = "key string, value string, topic string, partition int, offset bigint, timestamp timestamp"
 
@@ -94,5 +96,5 @@ def decode(records: DataFrame, schema: str) -> DataFrame:
     A record counts as decoded when it is a JSON object, whatever its fields.
     """
     parsed = F.from_json("value", schema, {"mode": "PERMISSIVE"})
-    is_object = F.try_parse_json("value").isNotNull() & F.trim("value").startswith("{")
+    is_object = is_json(F.col("value")) & F.ltrim("value").startswith("{")
     return records.withColumn("body", F.when(is_object, parsed))

@@ -1,111 +1,115 @@
 """Alarm state and absence detection as keyed streaming state.
 
 Both work on metric rows (one per series and period), never on raw events, so
-the state and the rows of one series stay small.
+the state and the rows of one series stay small. The processor classes are made
+inside functions, which sends them to the workers by value.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming import StatefulProcessor
 
 from tidewatch.operators.alarms import Alarm
+from tidewatch.operators.metrics import period_start
 from tidewatch.streaming.runs import use_rocksdb
 
 _TRANSITION = "series string, period_start long, previous_state string, state string"
 _ABSENCE = "series string, last_seen long, deadline long"
 
 
-class _AlarmState(StatefulProcessor):
-    """Keeps the last breaches of a series and reports changes of its state."""
-
-    def __init__(self, n: int, m: int, period: int, missing_breaches: bool):
-        self.n, self.m, self.period, self.missing_breaches = n, m, period, missing_breaches
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.memory = handle.getValueState("memory", "last long, recent string, state string")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
-        last, recent, state = self.memory.get() if self.memory.exists() else (None, "", "OK")
-        points = pd.concat(list(rows)).sort_values("period_start")
-        changes = []
-        for period_start, breach in zip(points["period_start"].tolist(), points["breach"].tolist()):
-            if last is not None and period_start <= last:
-                continue
-            for at, hit in [*self._absent(last, period_start), (period_start, breach)]:
-                recent = (recent + ("1" if hit else "0"))[-self.n :]
-                now = "ALARM" if recent.count("1") >= self.m else "OK"
-                if now != state:
-                    changes.append((key[0], at, state, now))
-                    state = now
-            last = period_start
-        self.memory.update((last, recent, state))
-        yield pd.DataFrame(changes, columns=["series", "period_start", "previous_state", "state"])
-
-    def _absent(self, last, period_start):
-        """Missing periods up to this one. After ``n`` of them the state no longer changes."""
-        if last is None:
-            return []
-        first = last + self.period
-        stop = min(period_start, first + self.n * self.period)
-        return [(at, self.missing_breaches) for at in range(first, stop, self.period)]
-
-    def close(self) -> None:
-        pass
+def _alarm_processor(n: int, m: int, period: int, missing_breaches: bool) -> StatefulProcessor:
+    class AlarmState(StatefulProcessor):
+        """Keeps the last breaches of a series and reports changes of its state."""
+
+        def init(self, handle):
+            self.memory = handle.getValueState("memory", "last long, recent string, state string")
+
+        def handleInputRows(self, key, rows, timerValues):
+            last, recent, state = self.memory.get() if self.memory.exists() else (None, "", "OK")
+            points = pd.concat(list(rows)).sort_values("period_start")
+            changes = []
+            for at, breach in zip(points["period_start"].tolist(), points["breach"].tolist()):
+                if last is not None and at <= last:
+                    continue
+                steps = [(at, breach)]
+                if last is not None:
+                    # After n missing periods the state no longer changes.
+                    stop = min(at, last + (n + 1) * period)
+                    steps = [(p, missing_breaches) for p in range(last + period, stop, period)] + steps
+                for step, hit in steps:
+                    recent = (recent + ("1" if hit else "0"))[-n:]
+                    now = "ALARM" if recent.count("1") >= m else "OK"
+                    if now != state:
+                        changes.append((key[0], step, state, now))
+                        state = now
+                last = at
+            self.memory.update((last, recent, state))
+            yield pd.DataFrame(changes, columns=["series", "period_start", "previous_state", "state"])
+
+        def close(self):
+            pass
+
+    return AlarmState()
 
 
 def alarm_transitions(points: DataFrame, series: str, value: str, period: int, alarm: Alarm) -> DataFrame:
-    """State changes per series of a stream of ``series, period_start, value`` rows."""
+    """State changes per series of a stream of ``series, period_start, value`` rows.
+
+    A period at or before the last one seen of its series comes too late and is
+    left out.
+    """
     use_rocksdb(points.sparkSession)
     marked = points.select(
         F.col(series).cast("string").alias("series"),
         F.col("period_start").cast("long").alias("period_start"),
         alarm.breached(F.col(value)).alias("breach"),
     )
-    processor = _AlarmState(alarm.n, alarm.m or alarm.n, period, alarm.missing == "breaching")
+    processor = _alarm_processor(alarm.n, alarm.m or alarm.n, period, alarm.missing == "breaching")
     return marked.groupBy("series").transformWithStateInPandas(
         statefulProcessor=processor, outputStructType=_TRANSITION, outputMode="Update", timeMode="None"
     )
 
 
-class _Absence(StatefulProcessor):
-    """Reports a series that was silent for its allowed time, once per silence."""
-
-    def __init__(self, allowed: int):
-        self.allowed = allowed
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.memory = handle.getValueState("memory", "last long, reported boolean")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
-        last, reported = self.memory.get() if self.memory.exists() else (None, False)
-        silences = []
-        for beat in sorted(set(pd.concat(list(rows))["period_start"].tolist())):
-            if last is not None and beat <= last:
-                continue
-            if last is not None and beat - last >= self.allowed and not reported:
-                silences.append((key[0], last, last + self.allowed))
-            last, reported = beat, False
-        for timer in list(self.handle.listTimers()):
-            self.handle.deleteTimer(timer)
-        if not reported:
-            self.handle.registerTimer((last + self.allowed) * 1000)
-        self.memory.update((last, reported))
-        yield pd.DataFrame(silences, columns=["series", "last_seen", "deadline"])
-
-    def handleExpiredTimer(self, key, timer_values, expired) -> Iterator[pd.DataFrame]:
-        last, reported = self.memory.get()
-        rows = [] if reported else [(key[0], last, last + self.allowed)]
-        self.memory.update((last, True))
-        yield pd.DataFrame(rows, columns=["series", "last_seen", "deadline"])
-
-    def close(self) -> None:
-        pass
+def _absence_processor(allowed: int) -> StatefulProcessor:
+    class Absence(StatefulProcessor):
+        """Reports a series that was silent for its allowed time, once per silence."""
+
+        def init(self, handle):
+            self.handle = handle
+            self.memory = handle.getValueState("memory", "last long, reported boolean")
+
+        def handleInputRows(self, key, rows, timerValues):
+            last, reported = self.memory.get() if self.memory.exists() else (None, False)
+            beats = set()
+            for batch in rows:
+                beats.update(batch["period_start"].unique().tolist())
+            silences = []
+            for beat in sorted(beats):
+                if last is not None and beat <= last:
+                    continue
+                if last is not None and beat - last >= allowed and not reported:
+                    silences.append((key[0], last, last + allowed))
+                last, reported = beat, False
+            for timer in list(self.handle.listTimers()):
+                self.handle.deleteTimer(timer)
+            if not reported:
+                self.handle.registerTimer((last + allowed) * 1000)
+            self.memory.update((last, reported))
+            yield pd.DataFrame(silences, columns=["series", "last_seen", "deadline"])
+
+        def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+            last, reported = self.memory.get()
+            rows = [] if reported else [(key[0], last, last + allowed)]
+            self.memory.update((last, True))
+            yield pd.DataFrame(rows, columns=["series", "last_seen", "deadline"])
+
+        def close(self):
+            pass
+
+    return Absence()
 
 
 def absences(beats: DataFrame, series: str, ts: str, period: int, n: int = 2, late: int | None = None) -> DataFrame:
@@ -113,17 +117,19 @@ def absences(beats: DataFrame, series: str, ts: str, period: int, n: int = 2, la
 
     An open silence is reported when the watermark passes its deadline.
     """
-    from tidewatch.operators.metrics import period_start
-
     use_rocksdb(beats.sparkSession)
+    delay = f"{period if late is None else late} seconds"
     timed = beats.select(
         F.col(series).cast("string").alias("series"),
         F.col(ts).cast("timestamp").alias("_event_time"),
         period_start(F.col(ts), period).alias("period_start"),
-    ).withWatermark("_event_time", f"{period if late is None else late} seconds")
-    return timed.groupBy("series").transformWithStateInPandas(
-        statefulProcessor=_Absence((n + 1) * period),
+    ).withWatermark("_event_time", delay)
+    # One row per series and period is enough, so a busy series is thinned out
+    # across all tasks before its state sees it.
+    thinned = timed.dropDuplicatesWithinWatermark(["series", "period_start"])
+    return thinned.groupBy("series").transformWithStateInPandas(
+        statefulProcessor=_absence_processor((n + 1) * period),
         outputStructType=_ABSENCE,
-        outputMode="Update",
+        outputMode="Append",
         timeMode="EventTime",
     )
