@@ -71,7 +71,7 @@ def is_cidr(text: Column) -> Column:
     octets = F.split(F.split_part(text, F.lit("/"), F.lit(1)), r"\.")
     in_range = F.forall(octets, lambda o: o.try_cast("int").between(0, 255))
     width = F.split_part(text, F.lit("/"), F.lit(2)).try_cast("int").between(0, 32)
-    return text.rlike(CIDR_PATTERN) & in_range & width
+    return F.when(text.rlike(CIDR_PATTERN), in_range & width).otherwise(F.lit(False))
 
 
 def fingerprint(*columns: Column) -> Column:

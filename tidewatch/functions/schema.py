@@ -98,14 +98,42 @@ def truthy(text: Column) -> Column:
     return F.lower(text).isin("true", "1")
 
 
+_INTEGRAL_BITS = {"tinyint": 8, "smallint": 16, "int": 32, "bigint": 64}
+_NUMERIC = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType, T.DecimalType)
+
+
+def safe_cast(source: Column, have: T.DataType, target: str) -> Column:
+    """Cast to a Spark type, NULL where the value does not fit or does not parse.
+
+    A failing ``try_cast`` of a number raises and catches an exception for its
+    row, so values that cannot fit are sorted out by a plain comparison first.
+    """
+    if target == have.simpleString():
+        return source
+    if isinstance(have, T.StringType):
+        if target == "boolean":
+            return truthy(source)
+        if target in _INTEGRAL_BITS:
+            return F.when(source.rlike(r"^\s*[+-]?[0-9]+\s*$"), source.try_cast(target))
+        if target in ("string", "binary"):
+            return source.try_cast(target)
+        return F.nullif(source, F.lit("")).try_cast(target)
+    if isinstance(have, _NUMERIC):
+        if target in _INTEGRAL_BITS:
+            limit = 2 ** (_INTEGRAL_BITS[target] - 1)
+            # One more on either side: a fraction is cut off, as the cast does.
+            fits = (source > F.lit(float(-limit - 1))) & (source < F.lit(float(limit)))
+            if isinstance(have, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
+                fits = source.between(-limit, limit - 1)
+            return F.when(fits, source.try_cast(target))
+        decimal = _DECIMAL.match(target)
+        if decimal:
+            return F.when(F.abs(source) < F.lit(float(10 ** (int(decimal[1]) - int(decimal[2])))), source.try_cast(target))
+    return source.try_cast(target)
+
+
 def _converted(df: DataFrame, column: dict, family: str) -> Column:
-    source, target = F.col(f"`{column['name']}`"), spark_type(column["type"], family)
-    is_text = isinstance(df.schema[column["name"]].dataType, T.StringType)
-    if target == "boolean" and is_text:
-        return truthy(source)
-    if is_text and target not in ("string", "binary"):
-        return F.expr(f"try_cast(nullif(`{column['name']}`, '') AS {target})")
-    return F.expr(f"try_cast(`{column['name']}` AS {target})")
+    return safe_cast(F.col(f"`{column['name']}`"), df.schema[column["name"]].dataType, spark_type(column["type"], family))
 
 
 def apply_schema(df: DataFrame, columns: list[dict], family: str = "landing") -> DataFrame:

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from functools import reduce
+from operator import and_
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewatch.session import materialise
@@ -11,7 +14,7 @@ from tidewatch.session import materialise
 _ROW_BITS = 33
 
 
-def sorted_chunks(df: DataFrame, order: list[str]) -> DataFrame:
+def sorted_chunks(df: DataFrame, order: list[str | Column]) -> DataFrame:
     """Range-partition by ``order``, sort inside, and fix each row's chunk and index.
 
     Adds ``_part`` (chunks are in order) and ``_index`` (position in the chunk).
@@ -19,7 +22,7 @@ def sorted_chunks(df: DataFrame, order: list[str]) -> DataFrame:
     partition could otherwise hold other rows.
     """
     placed = (
-        df.repartitionByRange(*[F.col(c) for c in order])
+        df.repartitionByRange(*[F.col(c) if isinstance(c, str) else c for c in order])
         .sortWithinPartitions(*order)
         .withColumn("_id", F.monotonically_increasing_id())
     )
@@ -46,6 +49,24 @@ def with_position(df: DataFrame, order: list[str], name: str = "position", start
     )
 
 
+def running_total(df: DataFrame, group: list[str], order: list[str | Column], value: str, name: str) -> DataFrame:
+    """Sum of ``value`` from the start of each group up to and with each row.
+
+    A group may span many chunks: their totals are added up first (at most one
+    row per chunk and group), and each chunk then continues from its start.
+    ``order`` should end in a column that is unique within the group.
+    """
+    chunks = sorted_chunks(df, [*group, *order])
+    sizes = chunks.groupBy(*group, "_part").agg(F.sum(value).alias("_size"))
+    ahead = Window.partitionBy(*group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select(*group, "_part", F.coalesce(F.sum("_size").over(ahead), F.lit(0)).alias("_start"))
+    left, right = chunks.alias("c"), starts.alias("s")
+    same = [F.col(f"c.`{g}`").eqNullSafe(F.col(f"s.`{g}`")) for g in group]
+    joined = left.join(right, reduce(and_, same, F.col("c._part") == F.col("s._part"))).select("c.*", "s._start")
+    inside = Window.partitionBy(*group, "_part").orderBy("_index").rowsBetween(Window.unboundedPreceding, 0)
+    return joined.withColumn(name, F.col("_start") + F.sum(value).over(inside)).drop("_part", "_index", "_start")
+
+
 def first_per_key(df: DataFrame, keys: list[str], order: list[str], descending: bool = False) -> DataFrame:
     """The first (or last) row of each key, as an aggregate instead of a ranking.
 

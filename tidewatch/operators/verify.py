@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidewatch.functions.schema import safe_cast
+
 DIGEST_BUCKETS = 4096
 
 
@@ -127,8 +129,6 @@ def _row_from(df: DataFrame, key: str, first, columns: list[str]) -> str | None:
 
 def _coerced(actual: DataFrame, expected: DataFrame, columns: list[str]):
     """Cast to the expected types; ``bad`` marks rows in which a value was lost."""
-    from tidewatch.functions.schema import truthy
-
     selected, bad = [], None
     for name in columns:
         want, have = expected.schema[name].dataType, actual.schema[name].dataType
@@ -136,10 +136,7 @@ def _coerced(actual: DataFrame, expected: DataFrame, columns: list[str]):
         if want == have:
             selected.append(source)
             continue
-        if want.typeName() == "boolean" and have.typeName() == "string":
-            selected.append(truthy(source).alias(name))
-            continue
-        cast = source.try_cast(want)
+        cast = safe_cast(source, have, want.simpleString())
         lost = source.isNotNull() & cast.isNull()
         bad = lost if bad is None else bad | lost
         selected.append(cast.alias(name))

@@ -69,6 +69,16 @@ def materialise(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def source_available(spark: SparkSession, name: str) -> bool:
+    """Whether a data source that ships apart from Spark is on the classpath."""
+    lookup = spark._jvm.org.apache.spark.sql.execution.datasources.DataSource
+    try:
+        lookup.lookupDataSource(name, spark._jsparkSession.sessionState().conf())
+        return True
+    except Exception:
+        return False
+
+
 def literal_rows(spark: SparkSession, rows: list, schema: str) -> DataFrame:
     """A definition table from Python literals, hinted for broadcast.
 

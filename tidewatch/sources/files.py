@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidewatch.functions.schema import apply_schema, struct_type
+from tidewatch.session import source_available
 
 FORMATS = ("csv", "json", "avro", "parquet")
 
@@ -30,15 +31,7 @@ class FormatUnavailable(RuntimeError):
 
 
 def avro_available(spark: SparkSession) -> bool:
-    try:
-        spark._jvm.java.lang.Class.forName(
-            "org.apache.spark.sql.avro.AvroFileFormat",
-            False,
-            spark._jvm.java.lang.Thread.currentThread().getContextClassLoader(),
-        )
-        return True
-    except Exception:
-        return False
+    return source_available(spark, "avro")
 
 
 def check_format(spark: SparkSession, fmt: str) -> str:

@@ -6,21 +6,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewatch.functions.predicates import is_json
+from tidewatch.session import source_available
 
 # The columns of a topic record, as the Kafka connector names them.
 RECORD = "key string, value string, topic string, partition int, offset bigint, timestamp timestamp"
 
 
 def kafka_available(spark: SparkSession) -> bool:
-    try:
-        spark._jvm.java.lang.Class.forName(
-            "org.apache.spark.sql.kafka010.KafkaSourceProvider",
-            False,
-            spark._jvm.java.lang.Thread.currentThread().getContextClassLoader(),
-        )
-        return True
-    except Exception:
-        return False
+    return source_available(spark, "kafka")
 
 
 def producer_options(servers: str, topic: str) -> dict[str, str]:
@@ -93,8 +86,14 @@ def read_from(spark: SparkSession, path: str, topic: str, offsets: dict[int, int
 def decode(records: DataFrame, schema: str) -> DataFrame:
     """Parse the JSON value into ``body``; what does not parse has ``body`` NULL.
 
-    A record counts as decoded when it is a JSON object, whatever its fields.
+    A record counts as decoded when it is one JSON object, whatever its fields.
+    The value is parsed once, as the only member of an array, because text that
+    trails an object then breaks the array. Values that hold ``],[`` could close
+    that array themselves and are checked in full.
     """
-    parsed = F.from_json("value", schema, {"mode": "PERMISSIVE"})
-    is_object = is_json(F.col("value")) & F.ltrim("value").startswith("{")
-    return records.withColumn("body", F.when(is_object, parsed))
+    wrapped = F.concat(F.lit("["), F.col("value"), F.lit("]"))
+    members = F.from_json(wrapped, f"array<struct<{schema}>>", {"mode": "PERMISSIVE"})
+    whole = ~F.col("value").rlike(r"\]\s*,\s*\[") | is_json(F.col("value"))
+    parsed = records.withColumn("_members", members)
+    body = F.when((F.size("_members") == 1) & whole, F.col("_members")[0])
+    return parsed.withColumn("body", body).drop("_members")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewatch.operators.ordering import running_total
 from tidewatch.sources.topics import decode, topic_parts
 
 MAX_RETENTION_MS = 2_592_000_000
@@ -43,12 +44,13 @@ def retained_by_age(records: DataFrame, retention_ms: int) -> DataFrame:
     return records.where(F.unix_millis("timestamp") >= newest - F.lit(retention_ms))
 
 
-def retained_by_size(records: DataFrame, limit_bytes: int, slice_seconds: int = 3600) -> DataFrame:
+def retained_by_size(records: DataFrame, limit_bytes: int, slice_seconds: int = 60) -> DataFrame:
     """The newest records of each topic partition whose values fit ``limit_bytes``; -1 keeps all.
 
     Bytes are summed per time slice first. The running total over slices shows
     which are kept or dropped whole; only the slice in which the limit falls is
-    ordered row by row, so a hot partition is not sorted in one task.
+    ordered row by row, and that in chunks, so neither a hot partition nor a
+    burst within one slice is sorted in one task.
     """
     if limit_bytes == -1:
         return records
@@ -65,9 +67,10 @@ def retained_by_size(records: DataFrame, limit_bytes: int, slice_seconds: int =
     )
     kept = sliced.join(judged, [*place, "_slice"])
     whole = kept.where("_whole").select(*records.columns)
-    order = Window.partitionBy(*place).orderBy(F.desc("timestamp"), F.desc("offset"))
-    used = F.col("_ahead") + F.sum("_bytes").over(order.rowsBetween(Window.unboundedPreceding, 0))
-    boundary = kept.where("not _whole").withColumn("_used", used).where(F.col("_used") <= limit_bytes)
+    # One slice per partition at most is cut.
+    cut = kept.where("not _whole")
+    ranked = running_total(cut, place, [F.desc("timestamp"), F.desc("offset")], "_bytes", "_used")
+    boundary = ranked.where(F.col("_ahead") + F.col("_used") <= limit_bytes)
     return whole.unionByName(boundary.select(*records.columns))
 
 
