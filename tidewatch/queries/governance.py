@@ -108,10 +108,10 @@ def undefined_tags(spark, sf):
 
 
 def effective(spark, sf):
-    """Named grants, tag grants and the admin role on one table of rights.
+    """Named grants, tag grants and inherited roles on one table of rights.
 
     Suppliers hold their tag expression's parts, are named on the parts they
-    deliver in bulk, and those of nation 3 administer every large part.
+    deliver in bulk, and have a role on the parts of one size.
     """
     by_tag = G.match_tags(tag_expressions(spark, sf), part_tags(spark, sf)).select(
         F.col("grant_id").alias("principal"), "resource", F.lit("SELECT").alias("permission"), F.lit("lf_tag").alias("mechanism")
@@ -124,11 +124,12 @@ def effective(spark, sf):
         .select("principal", "resource", F.explode(F.array(F.lit("SELECT"), F.lit("INSERT"))).alias("permission"))
         .withColumn("mechanism", F.lit("named"))
     )
-    roles = table(spark, sf, "supplier").where("s_nationkey = 3").select(
-        F.col("s_suppkey").alias("principal"), F.lit(50).alias("p_size"), F.lit("role_admin").alias("role")
+    role = F.when(F.col("s_acctbal") > 5000, "role_admin").when(F.col("s_acctbal") > 2000, "role_editor")
+    roles = table(spark, sf, "supplier").select(
+        F.col("s_suppkey").alias("principal"), (F.col("s_nationkey") + 25).alias("p_size"), role.alias("role")
     )
-    large = table(spark, sf, "part").select(F.col("p_partkey").alias("resource"), "p_size")
-    inherited = roles.join(G.inherited_privileges(spark), "role").join(large, "p_size")
+    sized = table(spark, sf, "part").select(F.col("p_partkey").alias("resource"), "p_size")
+    inherited = roles.where("role IS NOT NULL").join(G.inherited_privileges(spark), "role").join(sized, "p_size")
     by_role = inherited.select("principal", "resource", F.col("privilege").alias("permission"), F.lit("role").alias("mechanism"))
     return G.effective_permissions(by_tag, named, by_role)
 
@@ -140,9 +141,10 @@ EFFECTIVE_SQL = """
     UNION
     SELECT l_suppkey, l_partkey, unnest(['SELECT', 'INSERT']), 'named' FROM lineitem WHERE l_quantity >= 30
     UNION
-    SELECT s_suppkey, p_partkey,
-           unnest(['USAGE', 'SELECT', 'INSERT', 'UPDATE', 'DELETE', 'TRUNCATE', 'CREATE', 'ALTER', 'DROP']), 'role'
-    FROM supplier JOIN part ON p_size = 50 WHERE s_nationkey = 3),
+    SELECT s_suppkey, p_partkey, unnest(CASE WHEN s_acctbal > 5000
+             THEN ['USAGE', 'SELECT', 'INSERT', 'UPDATE', 'DELETE', 'TRUNCATE', 'CREATE', 'ALTER', 'DROP']
+             ELSE ['USAGE', 'SELECT', 'INSERT', 'UPDATE', 'DELETE', 'TRUNCATE'] END), 'role'
+    FROM supplier JOIN part ON p_size = s_nationkey + 25 WHERE s_acctbal > 2000),
   e AS (SELECT principal, resource, permission, string_agg(mechanism, ',' ORDER BY mechanism) AS mechanisms, count(*) AS n FROM g GROUP BY ALL)
 """
 
