@@ -12,7 +12,7 @@ from tidewatch.operators.closure import transitive_closure
 from tidewatch.operators.grouping import children_per_parent
 from tidewatch.operators.logs import term_counts
 from tidewatch.operators.ordering import first_per_key, running_total, smallest_per_group, with_position
-from tidewatch.operators.percentile import exact_percentiles
+from tidewatch.operators.percentile import approximate_percentiles, exact_percentiles
 
 
 @pytest.fixture(scope="module")
@@ -50,6 +50,12 @@ def test_percentiles(skewed, small_group):
             assert row[name] == pytest.approx(interpolated(groups[row["g"]], fraction), abs=1e-6)
 
 
+def test_approximate_percentiles_are_close(spark):
+    df = spark.range(10001).selectExpr("0 AS g", "CAST(id AS DOUBLE) AS v")
+    got = approximate_percentiles(df, ["g"], "v", {"p50": 0.5, "p99": 0.99}).first()
+    assert abs(got["p50"] - 5000) <= 2 and abs(got["p99"] - 9900) <= 2
+
+
 def test_percentile_of_one_value(spark):
     df = spark.createDataFrame([(1, 4.0)] * 5, "g int, v double")
     for small_group in (10, 0):

@@ -81,6 +81,23 @@ def test_format_suite_names_a_failing_phase(spark, tmp_path):
     assert (got["e2e_orc"]["outcome"], got["e2e_orc"]["phase"]) == ("FAIL", "write")
 
 
+def test_result_document(spark, rows):
+    def results(outcome, cleanup="SUCCESS", error=None):
+        return spark.createDataFrame(
+            [("e2e_csv", "PASS", "validate", None), ("e2e_json", outcome, "query", "boom"), ("cleanup", cleanup, "cleanup", error)],
+            suites.OUTCOME,
+        )
+
+    good = suites.result_document(results("PASS"), "r1")
+    assert good.first()["status"] == "PASS" and len(good.first()["tables"]) == 2
+    assert good.first()["cleanup"]["errors"] == []
+    assert rows(suites.document_metrics(good)) == [("CleanupSuccess", 1), ("TestSuccess", 1)]
+    for outcome in ("FAIL", "SKIPPED"):
+        bad = suites.result_document(results(outcome, "FAIL", "k: gone"), "r1")
+        assert bad.first()["status"] == "FAIL" and bad.first()["cleanup"]["errors"] == ["k: gone"]
+        assert rows(suites.document_metrics(bad)) == [("CleanupSuccess", 0), ("TestSuccess", 0)]
+
+
 def test_run_table_suite(spark, tmp_path):
     df = spark.createDataFrame(GOLDEN, SCHEMA)
     database = catalog.ensure_database(spark, "suite_db", str(tmp_path))

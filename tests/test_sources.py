@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tidewatch.session import materialise, scratch, shared_dir
 from tidewatch.sources import catalog, files, topics
-from tidewatch.sources.runs import RunTable
+from tidewatch.sources.runs import RunTable, new_run_id
 
 COLUMNS = [
     {"name": "id", "type": "int"},
@@ -94,7 +94,7 @@ def test_partitions_added_later_are_discovered(spark, golden, tmp_path):
 
 
 def test_database_names():
-    assert catalog.database_name("dev", "ue-siq") == "platform_dev_ue_siq"
+    assert catalog.database_name("dev", "grid-meter") == "platform_dev_grid_meter"
     assert catalog.quoted("a.b`c") == "`a`.`b``c`"
 
 
@@ -112,6 +112,10 @@ def test_run_table(spark, golden, rows, tmp_path):
     assert not spark.catalog.tableExists(f"{database}.t")
 
 
+def test_run_ids_differ():
+    assert new_run_id() != new_run_id()
+
+
 def test_run_table_refusals(spark):
     with pytest.raises(ValueError, match="lower case"):
         RunTable(spark, "Db.T", COLUMNS)
@@ -131,14 +135,16 @@ def test_broker_needs_connector(spark):
     if not topics.kafka_available(spark):
         with pytest.raises(RuntimeError, match="connector"):
             topics.produce(records, servers="b:9092", topic="t")
+        with pytest.raises(RuntimeError, match="connector"):
+            topics.read_broker(spark, "b:9092", "t", {0: 1})
 
 
 def test_topic_names(spark):
-    name = topics.topic_name("dev", F.lit("ue"), F.lit("siq"), F.lit("meter-read"))
+    name = topics.topic_name("dev", F.lit("retail"), F.lit("web"), F.lit("page-view"))
     row = spark.range(1).select(name.alias("topic")).select(
         *[c.alias(n) for n, c in topics.topic_parts(F.col("topic")).items()]
     )
-    assert tuple(row.first()) == ("dev", "ue", "siq", "meter-read")
+    assert tuple(row.first()) == ("dev", "retail", "web", "page-view")
 
 
 @pytest.mark.parametrize(

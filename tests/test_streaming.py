@@ -85,7 +85,7 @@ def test_streaming_alarm_equals_batch(spark, rows, tmp_path, missing):
     for i, (low, high) in enumerate([(0, 900), (900, 1500), (1500, 9999)]):
         write(points.where(F.col("period_start").between(low, high - 1)), path, str(i))
     changes = live.alarm_transitions(stream(spark, path, points.schema), "s", "v", 60, alarm)
-    got = runs.update_available(changes, str(tmp_path / "out"))
+    got = runs.update_available(changes, str(tmp_path / "out"), large_state=True)
     assert got.select("batch").distinct().count() > 1
     expected = []
     for name in "abc":
@@ -105,7 +105,7 @@ def test_absence_is_reported_once(spark, rows, tmp_path):
     write(events(spark, [(4, "c", 70 + 60 * i, 0) for i in range(2)]), path, "2")
     write(events(spark, [(5, "a", 250, 0)] + [(4, "c", 190 + 60 * i, 0) for i in range(8)]), path, "3")
     silent = live.absences(stream(spark, path), "s", "ts", 60, n=2)
-    got = runs.append_available(silent, str(tmp_path / "out"))
+    got = runs.append_available(silent, str(tmp_path / "out"), large_state=True)
     assert rows(got) == [("a", 0, 180), ("a", 240, 420), ("b", 0, 180)]
 
 

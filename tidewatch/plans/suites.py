@@ -50,6 +50,35 @@ def format_round_trip(
     return spark.createDataFrame(results, OUTCOME)
 
 
+def result_document(results: DataFrame, run_id: str) -> DataFrame:
+    """The suite's one result document: ``run_id, status, tables, cleanup``.
+
+    Every table has to PASS; one that was skipped leaves the suite unproven.
+    The results are one row per format.
+    """
+    is_cleanup = F.col("phase") == "cleanup"
+    entry = F.struct("name", "outcome", "phase", "detail")
+    passed = F.coalesce(F.bool_and(F.when(~is_cleanup, F.col("outcome") == "PASS")), F.lit(True))
+    return results.agg(
+        F.lit(run_id).alias("run_id"),
+        F.when(passed, "PASS").otherwise("FAIL").alias("status"),
+        F.sort_array(F.collect_list(F.when(~is_cleanup, entry))).alias("tables"),
+        F.struct(
+            F.max(F.when(is_cleanup, F.col("outcome"))).alias("outcome"),
+            F.array_compact(F.collect_list(F.when(is_cleanup, F.col("detail")))).alias("errors"),
+        ).alias("cleanup"),
+    )
+
+
+def document_metrics(document: DataFrame) -> DataFrame:
+    """The two 0/1 metrics of a result document: ``metric, value``."""
+    pairs = F.array(
+        F.struct(F.lit("TestSuccess").alias("metric"), (F.col("status") == "PASS").cast("int").alias("value")),
+        F.struct(F.lit("CleanupSuccess").alias("metric"), (F.col("cleanup.outcome") == "SUCCESS").cast("int").alias("value")),
+    )
+    return document.select(F.inline(pairs))
+
+
 def run_table_round_trip(df: DataFrame, columns: list[dict], key: str, table: str, run_id: str) -> DataFrame:
     """Create, insert, query, validate and delete a run of an ACID table.
 

@@ -116,7 +116,7 @@ def streaming_alarm(spark, sf):
     stream = runs.file_stream(spark, path, points.schema)
     quiet = alarms.Alarm("<", 2, n=3, m=2, missing="breaching")
     changes = live.alarm_transitions(stream, "user_id", "n", DAY, quiet)
-    return runs.update_available(changes, scratch(spark, "alarm")).drop("batch")
+    return runs.update_available(changes, scratch(spark, "alarm"), large_state=True).drop("batch")
 
 
 @query(
@@ -131,7 +131,7 @@ def streaming_alarm(spark, sf):
 )
 def absence(spark, sf):
     silent = live.absences(event_stream(spark, sf), "user_id", "ts", 900, n=96)
-    return runs.append_available(silent, scratch(spark, "absence"))
+    return runs.append_available(silent, scratch(spark, "absence"), large_state=True)
 
 
 @query(

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 BROADCAST_ROW_BOUND = 100_000
 
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
 _LOCAL_DIRS: dict[str, str] = {}
 
 
@@ -28,6 +30,8 @@ def build_session(app: str = "tidewatch", master: str | None = None, **conf: str
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
+        # State of large streams lives on local disk instead of the heap.
+        "spark.sql.streaming.stateStore.providerClass": ROCKSDB,
     }
     settings.update({k.replace("__", "."): v for k, v in conf.items()})
     for key, value in settings.items():

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,6 +11,11 @@ from tidewatch.functions.schema import struct_type
 from tidewatch.sources.catalog import quoted, text_literal
 
 
+def new_run_id() -> str:
+    """A fresh run id. It is made once by the caller and passed on, never inside a query."""
+    return str(uuid.uuid4())
+
+
 class RunTable:
     """A table keyed by ``run_id``.
 

@@ -74,6 +74,18 @@ def produce(records: DataFrame, path: str | None = None, servers: str | None = N
         records.write.mode("append").parquet(path)
 
 
+def produce_stream(stream: DataFrame, servers: str, topic: str, checkpoint: str):
+    """Send a stream's records to a broker; a restart may send the last batch again."""
+    options = producer_options(servers, topic)
+    return (
+        stream.select("key", "value")
+        .writeStream.format("kafka")
+        .options(**options)
+        .option("checkpointLocation", checkpoint)
+        .start()
+    )
+
+
 def read_from(spark: SparkSession, path: str, topic: str, offsets: dict[int, int] | None = None) -> DataFrame:
     """Records of a topic at or after an offset per partition."""
     records = spark.read.schema(RECORD).parquet(path).where(F.col("topic") == topic)
@@ -83,6 +95,16 @@ def read_from(spark: SparkSession, path: str, topic: str, offsets: dict[int, int
     return records.where(F.col("offset") >= F.try_element_at(start, F.col("partition")))
 
 
+def read_broker(spark: SparkSession, servers: str, topic: str, offsets: dict[int, int]) -> DataFrame:
+    """The same from a broker, up to its newest records."""
+    if not kafka_available(spark):
+        raise RuntimeError("reading from a broker needs the Kafka connector on the classpath")
+    raw = spark.read.format("kafka").options(**consumer_options(servers, topic, offsets)).load()
+    return raw.select(
+        F.col("key").cast("string"), F.col("value").cast("string"), "topic", "partition", "offset", "timestamp"
+    )
+
+
 def decode(records: DataFrame, schema: str) -> DataFrame:
     """Parse the JSON value into ``body``; what does not parse has ``body`` NULL.
 

@@ -2,7 +2,8 @@
 
 Both work on metric rows (one per series and period), never on raw events, so
 the state and the rows of one series stay small. The processor classes are made
-inside functions, which sends them to the workers by value.
+inside functions, which sends them to the workers by value. Their runs need
+``large_state=True``.
 """
 
 from __future__ import annotations
@@ -14,7 +15,6 @@ from pyspark.sql.streaming import StatefulProcessor
 
 from tidewatch.operators.alarms import Alarm
 from tidewatch.operators.metrics import period_start
-from tidewatch.streaming.runs import use_rocksdb
 
 _TRANSITION = "series string, period_start long, previous_state string, state string"
 _ABSENCE = "series string, last_seen long, deadline long"
@@ -61,7 +61,6 @@ def alarm_transitions(points: DataFrame, series: str, value: str, period: int, a
     A period at or before the last one seen of its series comes too late and is
     left out.
     """
-    use_rocksdb(points.sparkSession)
     marked = points.select(
         F.col(series).cast("string").alias("series"),
         F.col("period_start").cast("long").alias("period_start"),
@@ -117,7 +116,6 @@ def absences(beats: DataFrame, series: str, ts: str, period: int, n: int = 2, la
 
     An open silence is reported when the watermark passes its deadline.
     """
-    use_rocksdb(beats.sparkSession)
     delay = f"{period if late is None else late} seconds"
     timed = beats.select(
         F.col(series).cast("string").alias("series"),

@@ -2,11 +2,31 @@
 
 from __future__ import annotations
 
+from contextlib import contextmanager
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+from tidewatch.session import ROCKSDB
+
+STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
+
+
+@contextmanager
+def _large_state(spark: SparkSession, wanted: bool):
+    """Start a query with state on local disk, checkpointed to the shared folder.
+
+    A query copies the session's settings when it starts, so the setting goes
+    back to what it was right after.
+    """
+    before = spark.conf.get(STATE_STORE)
+    if wanted:
+        spark.conf.set(STATE_STORE, ROCKSDB)
+    try:
+        yield
+    finally:
+        spark.conf.set(STATE_STORE, before)
 
 
 def file_stream(spark: SparkSession, path: str, schema: T.StructType | str, files_per_trigger: int | None = None):
@@ -34,20 +54,21 @@ def topic_stream(spark: SparkSession, servers: str, topic: str, starting: str =
     )
 
 
-def append_available(stream: DataFrame, path: str) -> DataFrame:
+def append_available(stream: DataFrame, path: str, large_state: bool = False) -> DataFrame:
     """Append the stream's rows to files below ``path``; a restart goes on from its checkpoint."""
-    run = (
+    writer = (
         stream.writeStream.outputMode("append")
         .format("parquet")
         .option("checkpointLocation", f"{path}-checkpoint")
         .trigger(availableNow=True)
-        .start(path)
     )
+    with _large_state(stream.sparkSession, large_state):
+        run = writer.start(path)
     run.awaitTermination()
     return stream.sparkSession.read.schema(stream.schema).parquet(path)
 
 
-def update_available(stream: DataFrame, path: str, mode: str = "update") -> DataFrame:
+def update_available(stream: DataFrame, path: str, mode: str = "update", large_state: bool = False) -> DataFrame:
     """Write each micro-batch of changed rows to its own folder, with its ``batch`` number.
 
     A batch that is retried overwrites its own folder, so the sink stays
@@ -57,13 +78,14 @@ def update_available(stream: DataFrame, path: str, mode: str = "update") -> Data
     def write(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
 
-    run = (
+    writer = (
         stream.writeStream.outputMode(mode)
         .foreachBatch(write)
         .option("checkpointLocation", f"{path}-checkpoint")
         .trigger(availableNow=True)
-        .start()
     )
+    with _large_state(stream.sparkSession, large_state):
+        run = writer.start()
     run.awaitTermination()
     spark = stream.sparkSession
     schema = T.StructType([*stream.schema.fields, T.StructField("batch", T.LongType())])
@@ -88,8 +110,3 @@ def table_available(stream: DataFrame, table: str, checkpoint: str) -> DataFrame
     )
     run.awaitTermination()
     return stream.sparkSession.table(table)
-
-
-def use_rocksdb(spark: SparkSession) -> None:
-    """Keep large operator state on local disk with checkpoints in the shared folder."""
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)

@@ -14,7 +14,7 @@ from tidewatch.queries import ORACLES, QUERIES  # noqa: E402
 from tidewatch.session import build_session  # noqa: E402
 
 sf_dir = os.environ.get("CHECK_SF_DIR", "/root/testdata/sf0.01")
-spark = build_session("check", "local[8]", spark__sql__shuffle__partitions="8", spark__driver__memory="8g", spark__ui__enabled="false")
+spark = build_session("check", "local[8]", spark__sql__shuffle__partitions=os.environ.get("CHECK_PARTITIONS", "8"), spark__driver__memory="8g", spark__ui__enabled="false")
 spark.sparkContext.setLogLevel("ERROR")
 con = connect(sf_dir)
 bad = 0
