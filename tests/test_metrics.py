@@ -59,9 +59,18 @@ def test_fill_to_given_bounds(spark):
 
 
 def test_null_member_is_not_a_total(spark, rows):
-    df = spark.createDataFrame([("x", 1), (None, 2)], "d string, v int")
-    got = metrics.with_all_members(df, ["d"], [F.sum("v").alias("v")])
-    assert rows(got) == [("All", 3), ("x", 1), (None, 2)]
+    df = spark.createDataFrame([("x", 1), (None, 2), (None, 6)], "d string, v int")
+    v = F.col("v")
+    stats = {
+        "total": ("sum", v),
+        "mean": ("average", v),
+        "n": ("sample_count", v),
+        "low": ("minimum", v),
+        "high": ("maximum", v),
+    }
+    for cube in (False, True):
+        got = metrics.with_all_members(df, ["d"], stats, cube)
+        assert rows(got) == [("All", 9.0, 3.0, 3, 1, 6), ("x", 1.0, 1.0, 1, 1, 1), (None, 8.0, 4.0, 2, 2, 6)]
 
 
 def test_components_and_series(spark, rows):

@@ -113,6 +113,16 @@ def test_children_come_whole_in_pages(skewed, page_rows):
     assert (len(pages) > len(got)) == (page_rows == 50)
 
 
+def test_null_parents_are_paged_too(spark):
+    df = spark.range(900).selectExpr("IF(id % 3 = 0, NULL, id % 3) AS p", "id AS c", "CAST(NULL AS INT) AS q")
+    pages = children_per_parent(df, ["p", "q"], "c", page_rows=100, having=2).collect()
+    sizes = defaultdict(int)
+    for page in pages:
+        assert page["q"] is None and page["n_rows"] == len(page["children"])
+        sizes[page["p"]] += page["n_rows"]
+    assert sizes == {None: 300, 1: 300, 2: 300} and len(pages) > 6
+
+
 def test_children_count_copies(spark, rows):
     df = spark.createDataFrame([(1, "a"), (1, "a"), (1, "b"), (2, "c")], "p int, c string")
     got = children_per_parent(df, ["p"], "c", having=2).collect()

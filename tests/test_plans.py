@@ -185,7 +185,7 @@ def test_top_k_is_not_a_sort(spark):
     assert "TakeOrderedAndProject" in plan(QUERIES["f02_latest_documents"](spark, SF_DIR))
 
 
-def test_pages_do_not_broadcast_by_hint(spark):
+def test_only_the_bounded_table_of_long_parents_is_broadcast(spark):
     df = spark.range(10).selectExpr("id % 2 AS p", "id AS c")
-    logical = children_per_parent(df, ["p"], "c")._jdf.queryExecution().analyzed().toString()
-    assert "ResolvedHint" not in logical
+    text = plan(children_per_parent(df, ["p"], "c"))
+    assert text.count("BroadcastHashJoin") == 1 and "BuildRight" in text and "SortMergeJoin" not in text

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewatch.functions.names import stable_part
+from tidewatch.session import BROADCAST_ROW_BOUND
 
 PAGE_ROWS = 100_000
 
@@ -22,22 +23,31 @@ def children_per_parent(
     a hash of the member, so a hot parent is shared out and nothing is left
     out. ``having`` keeps parents of at least that many rows. Copies of one
     member are counted before the shuffle.
+
+    On very large tables the page size grows to a ``BROADCAST_ROW_BOUND``-th of
+    all members. Fewer than that many parents can be longer, which bounds the
+    table of long parents, so it is broadcast and the lists are shuffled once.
     """
     pairs = df.groupBy(*parents, F.col(child).alias("_child")).agg(F.count(F.lit(1)).alias("_rows"))
-    sizes = pairs.groupBy(*parents).agg(
-        F.count(F.lit(1)).alias("_members"), F.sum("_rows").alias("_total")
-    )
-    kept = sizes.where((F.col("_total") >= having) & ((F.col("_members") > page_rows) | (F.lit(having) > 1)))
-    kept = kept.select(*parents, F.ceil(F.col("_members") / page_rows).alias("_pages"))
-    left, right = pairs.alias("p"), kept.alias("k")
-    same = reduce(and_, [F.col(f"p.`{c}`").eqNullSafe(F.col(f"k.`{c}`")) for c in parents])
-    joined = left.join(right, same, "inner" if having > 1 else "left")
-    page = F.when(F.coalesce("_pages", F.lit(1)) > 1, stable_part(F.col("_child"), F.col("_pages"))).otherwise(0)
-    return (
-        joined.select(*[F.col(f"p.`{c}`") for c in parents], "_child", "_rows", page.cast("bigint").alias("page"))
-        .groupBy(*parents, "page")
-        .agg(F.sum("_rows").alias("n_rows"), F.sort_array(F.collect_list("_child")).alias("children"))
+    sizes = pairs.groupBy(*parents).agg(F.count(F.lit(1)).alias("_members"))
+    share = F.ceil(F.coalesce(sizes.agg(F.sum("_members")).scalar(), F.lit(0)) / BROADCAST_ROW_BOUND)
+    limit = F.greatest(F.lit(max(page_rows, having)).cast("bigint"), share)
+    long = sizes.withColumn("_limit", limit).where(F.col("_members") > F.col("_limit"))
+    pages = long.select(*parents, F.ceil(F.col("_members") / F.col("_limit")).alias("_pages"))
+    # NULL is one more parent.
+    same = [F.col(f"a.`{p}`").eqNullSafe(F.col(f"b.`{p}`")) for p in parents]
+    paged = pairs.alias("a").join(F.broadcast(pages).alias("b"), reduce(and_, same), "left")
+    is_long = F.col("_pages").isNotNull()
+    page = F.when(is_long, stable_part(F.col("_child"), F.col("_pages"))).otherwise(F.lit(0))
+    placed = paged.select("a.*", page.cast("bigint").alias("page"), is_long.alias("_is_long"))
+    lists = placed.groupBy(*parents, "page").agg(
+        F.sum("_rows").alias("n_rows"),
+        F.sort_array(F.collect_list("_child")).alias("children"),
+        F.max("_is_long").alias("_long"),
     )
+    # A long parent has more rows than asked for, whatever one of its pages has.
+    kept = lists.where(F.col("_long") | (F.col("n_rows") >= having)) if having > 1 else lists
+    return kept.drop("_long")
 
 
 def joined_text(children: str = "children", separator: str = ", "):

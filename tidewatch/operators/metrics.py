@@ -69,21 +69,45 @@ def sum_of_components(
     return across_series(per_series, "_v", "sum", name)
 
 
-def with_all_members(df: DataFrame, dims: list[str], aggregates: list[Column], cube: bool = False) -> DataFrame:
+def with_all_members(
+    df: DataFrame, dims: list[str], stats: dict[str, tuple[str, Column]], cube: bool = False, scale: int | None = 2
+) -> DataFrame:
     """Roll-up (or cube) whose total rows carry ``All`` as the dimension member.
 
-    Rows are aggregated at the finest level by the caller's sums, so a NULL
-    member stays NULL and only grouped-away members turn into ``All``.
+    ``stats`` maps output names to a statistic and its column. Raw rows are
+    aggregated once, per finest combination of members; only those few rows are
+    then multiplied into the levels. A NULL member stays NULL, and only
+    grouped-away members turn into ``All``.
     """
-    grouped = df.cube(*dims) if cube else df.rollup(*dims)
+    first, second = [], []
+    for name, (kind, column) in stats.items():
+        if kind not in STATISTICS:
+            raise ValueError(f"{kind!r} is none of {', '.join(STATISTICS)}")
+        total, count = F.col(f"_{name}_sum"), F.col(f"_{name}_n")
+        if kind in ("sum", "average"):
+            addend = column if scale is None else column.cast(f"decimal(18,{scale})")
+            first.append(F.sum(addend).alias(f"_{name}_sum"))
+        if kind in ("average", "sample_count"):
+            first.append(F.count(column).alias(f"_{name}_n"))
+        if kind == "sum":
+            second.append(F.sum(total).cast("double").alias(name))
+        elif kind == "average":
+            second.append((F.sum(total).cast("double") / F.sum(count)).alias(name))
+        elif kind == "sample_count":
+            second.append(F.sum(count).alias(name))
+        else:
+            pick = F.min if kind == "minimum" else F.max
+            first.append(pick(column).alias(f"_{name}_v"))
+            second.append(pick(f"_{name}_v").alias(name))
+    finest = df.groupBy(*dims).agg(*first)
+    grouped = finest.cube(*dims) if cube else finest.rollup(*dims)
     flags = [F.grouping(d).alias(f"_g{i}") for i, d in enumerate(dims)]
-    out = grouped.agg(*aggregates, *flags)
-    names = [c for c in out.columns if c not in dims and not c.startswith("_g")]
+    out = grouped.agg(*second, *flags)
     members = [
         F.when(F.col(f"_g{i}") == 1, F.lit("All")).otherwise(F.col(d).cast("string")).alias(d)
         for i, d in enumerate(dims)
     ]
-    return out.select(*members, *names)
+    return out.select(*members, *stats)
 
 
 def fill_periods(

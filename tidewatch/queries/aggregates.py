@@ -134,7 +134,7 @@ def sum_of_components(spark, sf):
     """,
 )
 def all_members(spark, sf):
-    sums = [F.count(F.lit(1)).alias("n"), metrics.exact_sum(F.col("l_quantity")).alias("quantity")]
+    sums = {"n": ("sample_count", F.lit(1)), "quantity": ("sum", F.col("l_quantity"))}
     return metrics.with_all_members(table(spark, sf, "lineitem"), ["l_returnflag", "l_linestatus"], sums, cube=True)
 
 
@@ -148,8 +148,8 @@ def all_members(spark, sf):
     """,
 )
 def rollup_members(spark, sf):
-    total = metrics.exact_sum(F.col("value")).alias("total")
-    return metrics.with_all_members(table(spark, sf, "events"), ["event_type", "user_id"], [total])
+    total = {"total": ("sum", F.col("value"))}
+    return metrics.with_all_members(table(spark, sf, "events"), ["event_type", "user_id"], total)
 
 
 @query(
