@@ -245,10 +245,12 @@ def declared_schema(spark, sf):
 @query(
     "h11_schema_violations",
     """
+    SELECT * FROM (
     SELECT 'o_custkey' AS "column", 'size' AS rule, count(*) AS n FROM orders WHERE length(CAST(o_custkey AS VARCHAR)) > 3
     UNION ALL SELECT 'o_totalprice', 'type', count(*) FROM orders WHERE o_totalprice >= 99999.995
     UNION ALL SELECT 'o_orderstatus', 'type', count(*) FROM orders
     UNION ALL SELECT 'o_orderpriority', 'size', count(*) FROM orders WHERE length(o_orderpriority) > 5
+    ) WHERE n > 0
     """,
 )
 def violations(spark, sf):
