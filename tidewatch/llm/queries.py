@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import sentencepiece_bpe, token_counts
+from . import mixing, quality_rules, sentencepiece_bpe, token_counts
 from .registry import ORACLES, QUERIES, query, table
 
 __all__ = ["QUERIES", "ORACLES"]
@@ -25,6 +25,74 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+# Per document, words that lie in a repeated three-word window, then the exact binomial
+# tail per language, rule and cut-off.
+OP4_SQL = """
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text, coalesce('+' || lang, '-') AS stratum FROM documents),
+w AS (SELECT rid, regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+') AS ws,
+             list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS ls FROM d),
+g AS (SELECT rid, i, [ws[i], ws[i + 1], ws[i + 2]] AS g FROM (SELECT rid, ws, unnest(range(1, len(ws) - 1)) AS i FROM w)),
+r AS (SELECT rid, i FROM (SELECT rid, i, count(*) OVER (PARTITION BY rid, g) AS n FROM g) WHERE n > 1),
+p AS (SELECT rid, count(DISTINCT i + o) AS n FROM r, (VALUES (0), (1), (2)) AS s(o) GROUP BY rid),
+c AS (SELECT d.rid, doc_id, stratum, len(ws)::BIGINT AS n_words, coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0)::BIGINT AS word_chars,
+             length(regexp_replace(text, '[^#*$%&|<>]+', '', 'g'))::BIGINT AS n_symbols, len(ls)::BIGINT AS n_lines,
+             (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines, coalesce(p.n, 0)::BIGINT AS n_repeat_words
+      FROM d JOIN w USING (rid) LEFT JOIN p USING (rid)),
+j AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM c),
+rules(rule, ord, above, cutoff) AS (VALUES __RULES__),
+v AS (SELECT rid, doc_id, stratum, base_failed, rule, ord, above, cutoff,
+             CASE rule WHEN 'symbols' THEN n_symbols / nullif(n_words, 0) WHEN 'dup_lines' THEN n_dup_lines / nullif(n_lines, 0)
+                       WHEN 'repeats' THEN n_repeat_words / nullif(n_words, 0) ELSE word_chars / nullif(n_words, 0) END AS x FROM j, rules),
+b AS (SELECT *, coalesce(CASE WHEN above THEN x > cutoff ELSE x < cutoff END, false) AS broken FROM v),
+l AS (SELECT doc_id, min(quality) > 0 AS good FROM labels WHERE quality IS NOT NULL GROUP BY doc_id),
+k AS (SELECT stratum, rule, ord, cutoff, count(*) FILTER (good) AS n, count(*) FILTER (good AND broken) AS k, count(*) FILTER (NOT good AND broken) AS caught
+      FROM b JOIN l USING (doc_id) WHERE NOT base_failed GROUP BY ALL),
+t AS (SELECT *, CASE WHEN k > n * 0.005 THEN 1.0 ELSE list_sum(list_transform(range(k + 1), lambda i: exp(
+             lgamma(n + 1.0) - lgamma(i + 1.0) - lgamma(n - i + 1.0) + i * ln(0.005) + (n - i) * ln(0.995)))) END AS tail FROM k),
+h AS (SELECT *, bool_and(tail <= 0.05 / (5 * (SELECT count(DISTINCT stratum) FROM k))) OVER (PARTITION BY stratum, rule ORDER BY ord) AS holds FROM t),
+u AS (SELECT stratum, rule, cutoff FROM h WHERE holds AND caught > k QUALIFY row_number() OVER (PARTITION BY stratum, rule ORDER BY caught DESC, k, ord) = 1),
+x AS (SELECT DISTINCT rid FROM b JOIN u USING (stratum, rule, cutoff) WHERE broken)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND x.rid IS NULL AS kept
+FROM j LEFT JOIN x USING (rid)
+""".replace(
+    "__RULES__",
+    ", ".join(f"('{r.name}', {i}, {str(r.above).lower()}, {c}::DOUBLE)" for r in quality_rules.RULES for i, c in enumerate(r.cutoffs)),
+)
+
+
+@query("op4_quality_rules", OP4_SQL)
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = quality_rules.apply_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return judged.select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
+    )
+
+
+OP6_SQL = """
+WITH d AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::BIGINT AS size,
+                  md5('mix:' || coalesce(doc_id::VARCHAR, '')) AS hash, coalesce('0' || source, '1') AS queue FROM documents),
+s AS (SELECT queue, sum(size)::BIGINT AS source_size, [5, 2, 1][(row_number() OVER (ORDER BY queue) - 1) % 3 + 1] AS weight FROM d GROUP BY queue),
+a AS (SELECT *, 2 * source_size AS cap, 2 * source_size / weight AS ratio, 1.5::DOUBLE * sum(source_size) OVER () AS budget, sum(weight) OVER () AS weights,
+             sum(2 * source_size) OVER (ORDER BY 2 * source_size / weight, queue) - 2 * source_size AS caps_before,
+             sum(weight) OVER (ORDER BY 2 * source_size / weight, queue) - weight AS weights_before FROM s),
+v AS (SELECT *, (budget - caps_before::DOUBLE) / (weights - weights_before)::DOUBLE AS level FROM a),
+f AS (SELECT min_by(level, struct_pack(r := ratio, q := queue)) AS level FROM v WHERE level * weight <= cap),
+t AS (SELECT queue, source_size, budget, least(cap::DOUBLE, f.level * weight) AS target FROM v, f),
+q AS (SELECT d.*, source_size, target, budget, sum(size) OVER (PARTITION BY queue ORDER BY hash, doc_id, size ROWS UNBOUNDED PRECEDING) AS upto FROM d JOIN t USING (queue)),
+e AS (SELECT q.*, r, (upto + r * source_size)::DOUBLE / target AS finish FROM q, (VALUES (0), (1)) AS x(r) WHERE size > 0 AND target > 0),
+m AS (SELECT *, sum(size) OVER (ORDER BY finish, queue, hash, doc_id, size, r ROWS UNBOUNDED PRECEDING) <= budget AS taken FROM e),
+n AS (SELECT doc_id, queue, size, hash, upto, count(*) AS n FROM m WHERE taken GROUP BY ALL)
+SELECT doc_id, q.size, source_size, target, (q.size * coalesce(n.n, 0))::BIGINT AS taken
+FROM q LEFT JOIN n USING (doc_id, queue, size, hash, upto)
+"""
+
+
+@query("op6_source_mix", OP6_SQL)
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(table(spark, sf_dir, "documents"))
+    return mixed.select("doc_id", "size", "source_size", "target", "taken")
+
+
 @query("op9_token_counts")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents").select("doc_id", "text")
