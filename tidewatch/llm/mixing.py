@@ -24,7 +24,7 @@ from tidewatch.session import materialise
 
 from .words import words
 
-ROWS_A_BUCKET = 20_000
+ROWS_A_BUCKET = 2_000
 # Digits of the shuffle hash that choose a bucket: 60 bits.
 _HEX = 15
 

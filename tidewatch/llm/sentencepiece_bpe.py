@@ -24,22 +24,29 @@ from pyspark.sql import DataFrame
 from .batches import add_columns, texts
 
 SPACE = "▁"
-CACHED_SEGMENTS = 400_000
+CACHED_SEGMENTS = 700_000
 CACHED_PAIRS = 400_000
 LONGEST_CACHED = 48
 
 
 class BoundedCache(dict):
-    """A memo that is emptied when full; it changes speed, never results."""
+    """A memo of bounded size; it changes speed, never results.
+
+    When half of ``limit`` is reached, the entries become the old generation
+    and the former old one goes; what is still asked for comes back from there.
+    """
 
     def __init__(self, compute, limit: int, longest: int = sys.maxsize):
         super().__init__()
-        self.compute, self.limit, self.longest = compute, limit, longest
+        self.compute, self.limit, self.longest, self.old = compute, limit, longest, {}
 
     def __missing__(self, key):
-        value = self.compute(key)
+        value = self.old.get(key)
+        if value is None:
+            value = self.compute(key)
         if len(key) <= self.longest:
-            if len(self) >= self.limit:
+            if 2 * len(self) >= self.limit:
+                self.old = dict(self)
                 self.clear()
             self[key] = value
         return value
@@ -60,6 +67,9 @@ class Encoder:
                 self.ids[piece], self.scores[piece] = i, sp.get_score(i)
         self.fallback = [bytes_[b] for b in range(256)] if len(bytes_) == 256 else None
         self.unknown, self.begin, self.end = sp.unk_id(), sp.bos_id(), sp.eos_id()
+        # The longest shorter piece that each piece starts with, as lengths; 0 if there is none.
+        self.shorter = {p: max((n for n in range(1, len(p)) if p[:n] in self.ids), default=0) for p in self.ids}
+        self.packed = {p: i.to_bytes(4, "little") for p, i in self.ids.items()}
         self.automaton = ahocorasick.Automaton()
         for piece in self.ids:
             self.automaton.add_word(piece, len(piece))
@@ -73,7 +83,7 @@ class Encoder:
         letters = {c for p in self.ids for c in p}
         alone = "".join(re.escape(chr(c)) for c in range(128) if chr(c) not in letters)
         self.cut = re.compile(f"{SPACE}*[^{SPACE}{alone}]+|{SPACE}+|[{alone}]" if alone else f"{SPACE}*[^{SPACE}]+|{SPACE}+")
-        self.frame = [np.array([i], "<u4").tobytes() if i >= 0 else b"" for i in (self.begin, self.end)]
+        self.frame = [i.to_bytes(4, "little") if i >= 0 else b"" for i in (self.begin, self.end)]
 
     def merge(self, text: str) -> list[str]:
         """Pieces by the definition: merge the pair of highest score, leftmost first."""
@@ -95,24 +105,23 @@ class Encoder:
     def pieces(self, text: str) -> list[str]:
         """The backtracking walk over one segment."""
         n = len(text)
-        lengths: list[list[int]] = [[] for _ in range(n)]
+        longest = [1] * n
         for last, length in self.automaton.iter(text):
-            lengths[last - length + 1].append(length)  # shorter ones end, and so come, first
+            longest[last - length + 1] = length  # longer ones end, and so come, later
         failed = bytearray(n // 8 + 1)
-        compatible = self.compatible
+        compatible, shorter = self.compatible, self.shorter
         found: list[str] = []
         at = 0
         while at < n:
-            for length in reversed(lengths[at] or (1,)):
+            length = longest[at]
+            while length:
                 end = at + length
-                if failed[end >> 3] >> (end & 7) & 1:
-                    continue
                 piece = text[at:end]
-                # A piece that merging never builds is caught by its pair check, or here if it stands first.
-                if compatible[found[-1], piece] if found else self._alone(piece):
+                if not failed[end >> 3] >> (end & 7) & 1 and (compatible[found[-1], piece] if found else self._alone(piece)):
                     found.append(piece)
                     at = end
                     break
+                length = shorter.get(piece, 0)
             else:
                 failed[at >> 3] |= 1 << (at & 7)
                 at -= len(found.pop())
@@ -122,16 +131,13 @@ class Encoder:
         return self.compatible["", piece] if len(piece) > 1 else True
 
     def _segment(self, segment: str) -> bytes:
-        ids: list[int] = []
-        for piece in self.pieces(segment):
-            i = self.ids.get(piece)
-            if i is not None:
-                ids.append(i)
-            elif self.fallback:
-                ids.extend(self.fallback[b] for b in piece.encode())
-            else:
-                ids.append(self.unknown)
-        return np.array(ids, "<u4").tobytes()
+        packed = self.packed
+        return b"".join([packed.get(piece) or self._unlisted(piece) for piece in self.pieces(segment)])
+
+    def _unlisted(self, letter: str) -> bytes:
+        """A letter that is no piece: its bytes, or the unknown piece."""
+        ids = [self.fallback[b] for b in letter.encode()] if self.fallback else [self.unknown]
+        return b"".join(i.to_bytes(4, "little") for i in ids)
 
     def encode(self, text: str) -> bytes:
         """Identifiers with begin and end marks, as little-endian unsigned 32-bit integers."""
