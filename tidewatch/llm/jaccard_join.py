@@ -39,6 +39,7 @@ HEAVY = 200_000  # most shingles whose frequency is kept: 2.4 MB are sent to the
 LEVELS = 8
 COMPARE = 20.0  # cost of a comparison in postings read
 SLOTS = 1 << 25  # bits of the filter of documents to compare: 4 MB at any size
+PAIRS = 30  # pairs a document in the posting lists for which the last round starts
 _FLUSH = 4_000_000
 
 
@@ -244,14 +245,15 @@ def linked_components(
         if links is not None:
             parts = components(links).select(F.col("node").alias("key"), F.col("component").alias("_c"))
             here = open_.join(parts, "key", "left").withColumn("comp", F.coalesce("_c", "key")).drop("_c")
-        several = here.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).cast("double").alias("c"))
-        several = several.where("lo <> hi").select("token", "c")
-        here = materialise(here.join(several, "token"))
-        # Postings of lists with several components, and the pairs that they would make.
-        size = here.agg(F.count(F.lit(1)), F.sum(F.col("c") - 1) / 2).first()
+        # Posting lists with several components, and the pairs across them that they would make.
+        each = here.groupBy("token", "comp").agg(F.count(F.lit(1)).cast("double").alias("c"))
+        several = each.groupBy("token").agg(F.sum("c").alias("c"), F.sum(F.col("c") * F.col("c")).alias("same"), F.count(F.lit(1)).alias("comps"))
+        several = materialise(several.where("comps > 1"))
+        size = several.agg(F.count(F.lit(1)), F.sum((F.col("c") * F.col("c") - F.col("same")) / 2)).first()
+        here = here.join(several.select("token"), "token")
         if not size[0]:
             break
-        last_turn = turn > 0 and (found == 0 or size[1] <= 4 * rows)
+        last_turn = turn > 0 and (found == 0 or size[1] <= PAIRS * rows)
         if last_turn:
             x, y = here.alias("x"), here.alias("y")
             joined = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.comp") < F.col("y.comp")))
