@@ -286,3 +286,15 @@ def linked_components(
         F.col("n").alias("n_shingles"),
         F.when(F.col("key") == 0, F.col("id")).otherwise(F.col("low")).alias("component_id"),
     )
+
+
+def without_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
+    """``docs`` with one document of each component: that of the smallest key; all columns stay.
+
+    Texts without words have no copies. Of rows that repeat a key and its text
+    one stays.
+    """
+    found = linked_components(docs, key, text, k, percent)
+    first = found.where(F.col(key).eqNullSafe(F.col("component_id"))).select(F.col(key).alias("_first")).distinct()
+    stay = docs.join(first, docs[key].eqNullSafe(F.col("_first")), "left_semi")
+    return stay.withColumn("_text", F.xxhash64(text)).dropDuplicates([key, "_text"]).select(docs.columns)

@@ -63,6 +63,7 @@ def mix(
     share: float = 1.5,
     repeats: int = 2,
     seed: str = "mix",
+    carry: tuple[str, ...] = (),
 ) -> DataFrame:
     """How much of every document the mix takes: key, source, ``size``, ``source_size``, ``target``, ``taken``.
 
@@ -75,7 +76,8 @@ def mix(
     one key and source are ordered by size, identical rows are interchangeable.
     Documents of size 0 take nothing; without any words all targets are 0. Two
     one-row results are brought to the driver (the totals and the cut); an
-    empty table stays empty. Other columns of ``docs`` are not returned.
+    empty table stays empty. Of the other columns of ``docs`` those in
+    ``carry`` are returned.
     """
     if size is None:
         size = F.size(words(F.col("text")))
@@ -86,6 +88,7 @@ def mix(
         F.when(F.col(source).isNull(), "1").otherwise(F.concat(F.lit("0"), F.col(source))).alias("_queue"),
         F.coalesce(size, F.lit(0)).cast("bigint").alias("size"),
         F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col(key).cast("string"), F.lit(""))).cast("binary")).alias("_hash"),
+        *[F.col(c).alias(f"_carry_{c}") for c in carry],
     )
     sized = materialise(sized)
     sources = sized.groupBy("_queue").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("_rows"))
@@ -146,4 +149,18 @@ def mix(
         "source_size",
         "target",
         (F.col("size") * times).alias("taken"),
+        *[F.col(f"_carry_{c}").alias(c) for c in carry],
     )
+
+
+def mixed_rows(docs: DataFrame, **options) -> DataFrame:
+    """The rows of the mix with all their columns, a document as often as it is taken.
+
+    Documents of size 0 carry no words and are left out. Rows are told apart by
+    a number given in a written copy, so repeated keys stay separate.
+    """
+    numbered = materialise(docs.withColumn("_row", F.monotonically_increasing_id()))
+    taken = mix(numbered, carry=("_row",), **options).where("taken > 0")
+    times = taken.select("_row", (F.col("taken") / F.col("size")).cast("int").alias("_times"))
+    rows = numbered.join(times, "_row").withColumn("_time", F.explode(F.sequence(F.lit(1), "_times")))
+    return rows.select(docs.columns)

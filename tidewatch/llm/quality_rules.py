@@ -29,20 +29,20 @@ COUNTS = ["n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_rep
 
 @dataclass(frozen=True)
 class Rule:
-    """A feature and its cut-offs, mild first; ``above`` tells which side is rejected."""
+    """A ratio of two counts and its cut-offs, mild first; ``above`` tells which side is rejected."""
 
     name: str
-    feature: str
+    feature: tuple[str, str]
     above: bool
     cutoffs: tuple[float, ...]
 
 
 RULES = (
-    Rule("symbols", "n_symbols / n_words", True, (2.0, 1.0, 0.8, 0.6, 0.4, 0.3, 0.2, 0.1, 0.05)),
-    Rule("dup_lines", "n_dup_lines / n_lines", True, (0.9, 0.8, 0.7, 0.6, 0.5, 0.4, 0.3)),
-    Rule("repeats", "n_repeat_words / n_words", True, (0.45, 0.4, 0.35, 0.3, 0.25, 0.2)),
-    Rule("long_words", "word_chars / n_words", True, (20.0, 15.0, 12.0, 10.0, 9.0, 8.0, 7.5, 7.0)),
-    Rule("short_words", "word_chars / n_words", False, (1.5, 2.0, 2.5, 3.0, 3.5, 4.0, 4.3)),
+    Rule("symbols", ("n_symbols", "n_words"), True, (2.0, 1.0, 0.8, 0.6, 0.4, 0.3, 0.2, 0.1, 0.05)),
+    Rule("dup_lines", ("n_dup_lines", "n_lines"), True, (0.9, 0.8, 0.7, 0.6, 0.5, 0.4, 0.3)),
+    Rule("repeats", ("n_repeat_words", "n_words"), True, (0.45, 0.4, 0.35, 0.3, 0.25, 0.2)),
+    Rule("long_words", ("word_chars", "n_words"), True, (20.0, 15.0, 12.0, 10.0, 9.0, 8.0, 7.5, 7.0)),
+    Rule("short_words", ("word_chars", "n_words"), False, (1.5, 2.0, 2.5, 3.0, 3.5, 4.0, 4.3)),
 )
 
 
@@ -100,9 +100,25 @@ def text_counts(text: Column) -> Column:
     )
 
 
-def base_failed() -> Column:
-    """Too short, or more than half of the words repeat."""
-    return (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
+def base_failed(c) -> Column:
+    """Too short, or more than half of the words repeat. ``c`` gives a count by its name."""
+    return (c("n_words") < 50) | (100 * c("n_repeat_words") > 50 * c("n_words"))
+
+
+def _breaks(rule: Rule, cutoff: Column, c) -> Column:
+    value = F.try_divide(*[c(name).cast("double") for name in rule.feature])
+    return F.coalesce(value > cutoff if rule.above else value < cutoff, F.lit(False))
+
+
+def _broken(rules: tuple[Rule, ...], cutoffs: Column, c) -> Column:
+    """Names of the rules of the stratum that a document breaks."""
+    names = F.array(*[F.when(_breaks(r, cutoffs[r.name], c), F.lit(r.name)) for r in rules])
+    return F.filter(names, lambda name: name.isNotNull())
+
+
+def _stratum(column: str) -> Column:
+    """Never null, so a join on it keeps documents without a stratum."""
+    return F.when(F.col(column).isNull(), "-").otherwise(F.concat(F.lit("+"), F.col(column).cast("string")))
 
 
 def lower_tail(k: Column, n: Column, p: float) -> Column:
@@ -130,7 +146,7 @@ def certified_cutoffs(holdout: DataFrame, rules: tuple[Rule, ...], risk: float,
     """
     tested = F.array(
         *[
-            F.struct(F.lit(r.name).alias("rule"), F.lit(i).alias("order"), F.lit(c).alias("cutoff"), _breaks(r, F.lit(c)).alias("broken"))
+            F.struct(F.lit(r.name).alias("rule"), F.lit(i).alias("order"), F.lit(c).alias("cutoff"), _breaks(r, F.lit(c), F.col).alias("broken"))
             for r in rules
             for i, c in enumerate(r.cutoffs)
         ]
@@ -154,9 +170,23 @@ def certified_cutoffs(holdout: DataFrame, rules: tuple[Rule, ...], risk: float,
     return useful.groupBy("_stratum", "rule").agg(F.max_by("cutoff", rank).alias("cutoff"))
 
 
-def _breaks(rule: Rule, cutoff: Column) -> Column:
-    value = F.expr(rule.feature)
-    return F.coalesce(value > cutoff if rule.above else value < cutoff, F.lit(False))
+def _certified(
+    counted: DataFrame, labels: DataFrame, key: str, label: str, rules: tuple[Rule, ...], risk: float, error: float
+) -> DataFrame:
+    """``(_stratum, _cutoffs)``: a map from rule to cut-off, for the strata that have any."""
+    judged = labels.where(F.col(label).isNotNull()).groupBy(F.col(key).alias("_key")).agg((F.min(label) > 0).alias("_good"))
+    holdout = counted.where(~base_failed(F.col)).join(judged, "_key")
+    # One row per stratum; as a file its size is known, and Spark decides on broadcasting by it.
+    return materialise(
+        certified_cutoffs(holdout, rules, risk, error)
+        .groupBy("_stratum")
+        .agg(F.map_from_entries(F.collect_list(F.struct("rule", "cutoff"))).alias("_cutoffs"))
+    )
+
+
+def _counted(docs: DataFrame, key: str, text: str, stratum: str) -> DataFrame:
+    counts = docs.select(F.col(key).alias("_key"), _stratum(stratum).alias("_stratum"), text_counts(F.col(text)).alias("_c"))
+    return materialise(counts.select("_key", "_stratum", *[F.col(f"_c.{c}").alias(c) for c in COUNTS]))
 
 
 def apply_rules(
@@ -181,35 +211,42 @@ def apply_rules(
     cut-off holds and the base rules alone decide; an empty table stays empty.
     Other columns of ``docs`` are not returned.
     """
-    counted = materialise(
-        docs.select(
-            F.col(key).alias("_key"),
-            # Never null, so a join on it keeps documents without a stratum.
-            F.when(F.col(stratum).isNull(), "-").otherwise(F.concat(F.lit("+"), F.col(stratum).cast("string"))).alias("_stratum"),
-            text_counts(F.col(text)).alias("_c"),
-        ).select("_key", "_stratum", *[F.col(f"_c.{c}").alias(c) for c in COUNTS])
-    )
-    judged = (
-        labels.where(F.col(label).isNotNull()).groupBy(F.col(key).alias("_key")).agg((F.min(label) > 0).alias("_good"))
-    )
-    holdout = counted.where(~base_failed()).join(judged, "_key")
-    # One row per stratum; as a file its size is known, and Spark decides on broadcasting by it.
-    cutoffs = materialise(
-        certified_cutoffs(holdout, rules, risk, error)
-        .groupBy("_stratum")
-        .agg(F.map_from_entries(F.collect_list(F.struct("rule", "cutoff"))).alias("_cutoffs"))
-    )
-    broken = F.filter(
-        F.array(*[F.when(_breaks(r, F.col("_cutoffs")[r.name]), F.lit(r.name)) for r in rules]), lambda name: name.isNotNull()
-    )
+    counted = _counted(docs, key, text, stratum)
+    cutoffs = _certified(counted, labels, key, label, rules, risk, error)
     return (
         counted.join(cutoffs, "_stratum", "left")
-        .withColumn("broken", broken)
+        .withColumn("broken", _broken(rules, F.col("_cutoffs"), F.col))
         .select(
             F.col("_key").alias(key),
             *COUNTS,
-            base_failed().alias("base_failed"),
+            base_failed(F.col).alias("base_failed"),
             "broken",
-            (~base_failed() & (F.size("broken") == 0)).alias("kept"),
+            (~base_failed(F.col) & (F.size("broken") == 0)).alias("kept"),
         )
     )
+
+
+def keep(
+    docs: DataFrame,
+    labels: DataFrame,
+    key: str = "doc_id",
+    text: str = "text",
+    stratum: str = "lang",
+    label: str = "quality",
+    rules: tuple[Rule, ...] = RULES,
+    risk: float = 0.005,
+    error: float = 0.05,
+) -> DataFrame:
+    """The rows of ``docs`` that ``apply_rules`` keeps, with all their columns.
+
+    The counts are taken twice, for the certificates and for the filter, so
+    that no text is shuffled.
+    """
+    cutoffs = _certified(_counted(docs, key, text, stratum), labels, key, label, rules, risk, error)
+
+    def kept(counts: Column) -> Column:
+        c = lambda name: counts[name]
+        return ~base_failed(c) & (F.size(_broken(rules, F.col("_cutoffs"), c)) == 0)
+
+    judged = docs.withColumn("_stratum", _stratum(stratum)).join(cutoffs, "_stratum", "left")
+    return judged.where(bind(text_counts(F.col(text)), kept)).select(docs.columns)
