@@ -35,9 +35,10 @@ from tidewatch.session import materialise
 from .components import components
 from .textscan import Scan, in_batches, shingles
 
-HEAVY = 200_000  # most shingles whose frequency is kept: 2.4 MB are sent to the executors
-LEVELS = 8
+HEAVY = 400_000  # most shingles whose frequency is kept: 4.8 MB are sent to the executors
+LEVELS = 24
 COMPARE = 20.0  # cost of a comparison in postings read
+RARE = 0.3  # partners expected of a shingle whose frequency isn't kept
 SLOTS = 1 << 25  # bits of the filter of documents to compare: 4 MB at any size
 PAIRS = 30  # pairs a document in the posting lists for which the last round starts
 _FLUSH = 4_000_000
@@ -109,16 +110,16 @@ def _prefixes(docs: DataFrame, text: str, k: int, percent: int, heavy) -> DataFr
                 n = len(s)
                 need = -(-percent * n // 100)
                 base, most = n - need, min(LEVELS, need)
-                ell, ordered = 1, s
+                ordered, weight = s, np.zeros(n)
                 if len(known):
                     at = np.minimum(np.searchsorted(known, s), len(known) - 1)
                     weight = np.where(known[at] == s, weights[at], 0)
                     if weight.any():
                         order = np.lexsort((s, weight))
                         ordered, weight = s[order], weight[order]
-                        levels = np.arange(1, most + 1)
-                        read = np.cumsum(weight + 1.0)[base + levels - 1]
-                        ell = int(np.argmin(read + COMPARE * read / levels**2)) + 1
+                levels = np.arange(1, most + 1)
+                partners = np.cumsum(np.maximum(weight, RARE))[base + levels - 1]
+                ell = int(np.argmin(base + levels + partners + COMPARE * partners / levels**2)) + 1
                 keys.append(name)
                 sizes.append(n)
                 ells.append(ell)
@@ -224,7 +225,7 @@ def linked_components(
     rows = signed.count()
     often = passed.where("token IS NOT NULL").groupBy("token").agg(F.sum("count").alias("count"))
     # Bounded: the most frequent ones, and each with a share of all documents.
-    top = often.where(F.col("count") >= max(16, rows // 2000)).orderBy(F.desc("count"), "token").limit(HEAVY).toArrow()
+    top = often.where(F.col("count") >= max(16, rows // 20_000)).orderBy(F.desc("count"), "token").limit(HEAVY).toArrow()
     tokens, counts = top.column("token").to_numpy().view(np.uint64), top.column("count").to_numpy().astype(np.int32)
     order = np.argsort(tokens)
     heavy = spark.sparkContext.broadcast((tokens[order], counts[order]))

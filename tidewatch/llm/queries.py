@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jaccard_join, mixing, quality_rules, sentencepiece_bpe, substring_dedup, suffix_dedup, token_counts
+from . import html_extract, jaccard_join, mixing, mtree, quality_rules, sentencepiece_bpe, substring_dedup, suffix_dedup, token_counts, warc
 from .registry import ORACLES, QUERIES, query, table
 
 __all__ = ["QUERIES", "ORACLES"]
@@ -25,6 +25,24 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("op2_warc")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    manifest = warc.write_archives(table(spark, sf_dir, "pages"), warc.archive_folder(spark), min_bytes=0)
+    records = warc.read_archives(spark, manifest)
+    return records.select(
+        warc.key_of("record_id").cast("bigint").alias("page_id"),
+        "payload_bytes",
+        "payload_digest",
+        "record_type",
+        warc.key_of("refers_to").cast("bigint").alias("refers_to"),
+    )
+
+
+@query("op3_mtree_search")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mtree.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 # Per document, words that lie in a repeated three-word window, then the exact binomial
 # tail per language, rule and cut-off.
 OP4_SQL = """
@@ -98,6 +116,15 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
+@query("op7_html_extract")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    # The labelled pages are those whose article is marked up; a bounded sample of them fits the weights.
+    weights = html_extract.fit_weights(pages)
+    found = html_extract.main_text(pages.select("page_id", "url", "html"), weights)
+    return found.select("page_id", "url", "text", F.length("text").cast("bigint").alias("n_chars"))
+
+
 @query("op8_suffix_dedup")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     cleared = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))

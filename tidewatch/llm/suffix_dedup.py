@@ -43,7 +43,7 @@ REPEATED_BITS = 1 << 26  # 8 MB
 FREQUENT_BITS = 1 << 24  # 2 MB
 FREQUENT = 20_000  # occurrences of a gram from which its strings are hashed instead
 ITEMS_A_RANGE = 50_000
-ITEMS_A_RUN = 100_000
+ITEMS_A_RUN = 40_000
 SAMPLE = 20_000  # suffix starts from which the range bounds are taken
 _U = np.uint64
 
