@@ -197,10 +197,20 @@ def _verified(docs: DataFrame, text: str, k: int, percent: int, pairs: DataFrame
 
 
 def _fits(percent: int, x: str, y: str) -> Column:
-    """Sizes alone allow the similarity, and the posting counts at the pair's level."""
+    """Sizes alone allow the similarity, and a shared shingle is in the prefix that this pair needs.
+
+    With the sizes of both known, the required overlap and with it the prefix
+    is exact: places below ``size - overlap + l`` for the smaller ``l``.
+    """
     n, m = F.col(f"{x}.n"), F.col(f"{y}.n")
-    level = F.least(f"{x}.ell", f"{y}.ell")
-    return (100 * F.least(n, m) >= percent * F.greatest(n, m)) & (F.greatest(f"{x}.level", f"{y}.level") <= level)
+    below = F.least(f"{x}.ell", f"{y}.ell") - _overlap(percent, n, m)
+    alike = 100 * F.least(n, m) >= percent * F.greatest(n, m)
+    return alike & (F.col(f"{x}.at") < n + below) & (F.col(f"{y}.at") < m + below)
+
+
+def _overlap(percent: int, n: Column, m: Column) -> Column:
+    """Common shingles that sets of these sizes need."""
+    return F.ceil(percent * (n + m) / (100 + percent)).cast("int")
 
 
 def linked_components(
@@ -230,14 +240,13 @@ def linked_components(
     order = np.argsort(tokens)
     heavy = spark.sparkContext.broadcast((tokens[order], counts[order]))
 
-    base = F.expr(f"n - ({percent} * n + 99) DIV 100")
     postings = (
         materialise(_prefixes(docs, text, k, percent, heavy))
-        .select("key", "n", "ell", F.posexplode("tokens").alias("at", "token"))
-        .select("token", "key", F.col("n").cast("int"), F.col("ell").cast("byte"), F.greatest(F.lit(1), F.col("at") + 1 - base).cast("byte").alias("level"))
+        .select(F.col("n").cast("int"), F.col("ell").cast("byte"), "key", F.posexplode("tokens").alias("at", "token"))
+        .select("token", "key", "n", "ell", "at")
     )
     shared = postings.groupBy("token").agg(F.min("key").alias("lo"), F.max("key").alias("hi")).where("lo <> hi").select("token")
-    open_ = materialise(postings.join(shared, "token").select("token", "key", "n", "ell", "level"))
+    open_ = materialise(postings.join(shared, "token").select("token", "key", "n", "ell", "at"))
 
     links: DataFrame | None = None
     found = 0
@@ -259,15 +268,18 @@ def linked_components(
             x, y = here.alias("x"), here.alias("y")
             joined = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.comp") < F.col("y.comp")))
         else:
-            leader = F.min_by(F.struct("key", "n", "ell", "level", "comp"), F.xxhash64("key", F.lit(turn)))
+            leader = F.min_by(F.struct("key", "n", "ell", "at", "comp"), F.xxhash64("key", F.lit(turn)))
             leaders = here.groupBy("token").agg(leader.alias("l")).select("token", "l.*")
             x, y = here.alias("x"), leaders.alias("y")
             joined = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.comp") != F.col("y.comp")))
+        sizes = [F.col("x.n").alias("n"), F.col("y.n").alias("m"), F.least("x.ell", "y.ell").alias("ell")]
         pairs = (
             joined.where(_fits(percent, "x", "y"))
-            .groupBy(F.col("x.key").alias("a"), F.col("y.key").alias("b"), F.least("x.ell", "y.ell").alias("ell"))
-            .agg(F.count(F.lit(1)).alias("c"))
+            .groupBy(F.col("x.key").alias("a"), F.col("y.key").alias("b"), *sizes)
+            .agg(F.count(F.lit(1)).alias("c"), F.max("x.at").alias("i"), F.max("y.at").alias("j"))
+            # Enough are shared, and what is left after the last shared place suffices.
             .where("c >= ell")
+            .where(F.col("c") + F.least(F.col("n") - F.col("i"), F.col("m") - F.col("j")) - 1 >= _overlap(percent, F.col("n"), F.col("m")))
         )
         if not last_turn:  # one leader each: the one that shares most
             pairs = pairs.groupBy("a").agg(F.max_by("b", F.struct("c", "b")).alias("b"))
