@@ -59,9 +59,9 @@ def _key(s: np.ndarray) -> int:
 
 
 def _classes(docs: DataFrame, key: str, text: str, k: int) -> DataFrame:
-    """One pass: ``(id, n, key)`` per document, and ``(token, count)`` of what repeats within a task."""
-    fed = docs.select(F.col(key).alias("id"), F.col(text).alias("text"))
-    schema = T.StructType([fed.schema["id"], *T.StructType.fromDDL("n bigint, key bigint, token bigint, count bigint")])
+    """One pass: ``(id, text_key, n, key)`` per document, and ``(token, count)`` of what repeats within a task."""
+    fed = docs.select(F.col(key).alias("id"), F.xxhash64(text).alias("text_key"), F.col(text).alias("text"))
+    schema = T.StructType([fed.schema["id"], *T.StructType.fromDDL("text_key bigint, n bigint, key bigint, token bigint, count bigint")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -73,19 +73,20 @@ def _classes(docs: DataFrame, key: str, text: str, k: int) -> DataFrame:
             held.clear()
             often = counts >= 3
             n = int(often.sum())
-            none = [pa.nulls(n, t) for t in (kind, pa.int64(), pa.int64())]
+            none = [pa.nulls(n, t) for t in (kind, *[pa.int64()] * 3)]
             return pa.RecordBatch.from_arrays([*none, pa.array(tokens[often].view(np.int64)), pa.array(counts[often])], names=schema.names)
 
         for batch in batches:
             kind = batch.column(0).type
             sizes, keys = np.zeros(len(batch), np.int64), np.zeros(len(batch), np.int64)
-            for i, s in _sets(batch.column(1), k):
+            for i, s in _sets(batch.column(2), k):
                 sizes[i], keys[i] = len(s), _key(s)
                 if keys[i] and keys[i] not in seen:
                     seen.add(keys[i])
                     held.append(s)
             none = pa.nulls(len(batch), pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes), pa.array(keys), none, none], names=schema.names)
+            columns = [batch.column(0), batch.column(1), pa.array(sizes), pa.array(keys), none, none]
+            yield pa.RecordBatch.from_arrays(columns, names=schema.names)
             if sum(map(len, held)) > _FLUSH:
                 yield flush()
         if held:
@@ -134,24 +135,19 @@ def _prefixes(docs: DataFrame, text: str, k: int, percent: int, heavy) -> DataFr
     return docs.select(text).mapInArrow(run, "key bigint, n bigint, ell bigint, tokens array<bigint>")
 
 
-def _texts(docs: DataFrame, text: str, k: int, wanted) -> DataFrame:
-    """``(key, packed)``: the compressed text of the classes that may be in ``wanted``, once a class."""
+def _texts(docs: DataFrame, text: str, wanted) -> DataFrame:
+    """``(text_key, packed)``: the compressed texts that may be in ``wanted``, each once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits, seen, pack = np.frombuffer(wanted.value, np.uint8), set(), zstandard.ZstdCompressor(level=1)
+        bits, pack = np.frombuffer(wanted.value, np.uint8), zstandard.ZstdCompressor(level=1)
         for batch in batches:
-            keys, packed = [], []
-            for i, s in _sets(batch.column(0), k):
-                name = _key(s)
-                slot = name & (SLOTS - 1)
-                if name and bits[slot >> 3] >> (slot & 7) & 1 and name not in seen:
-                    seen.add(name)
-                    keys.append(name)
-                    packed.append(pack.compress(batch.column(0)[i].as_py().encode()))
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(packed, pa.binary())], names=["key", "packed"])
+            slot = batch.column("key").to_numpy() & (SLOTS - 1)
+            batch = batch.filter(pa.array((bits[slot >> 3] >> (slot & 7) & 1).astype(bool)))
+            packed = [pack.compress((t or "").encode()) for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(packed, pa.binary())], names=["text_key", "packed"])
 
-    found = docs.select(text).mapInArrow(run, "key bigint, packed binary")
-    return found.groupBy("key").agg(F.first("packed").alias("packed"))
+    fed = docs.select(F.xxhash64(text).alias("key"), F.col(text).alias("text"))
+    return fed.mapInArrow(run, "text_key bigint, packed binary").groupBy("text_key").agg(F.first("packed").alias("packed"))
 
 
 def _slots(spark: SparkSession, keys: DataFrame):
@@ -164,12 +160,16 @@ def _slots(spark: SparkSession, keys: DataFrame):
     return spark.sparkContext.broadcast(filled.tobytes())
 
 
-def _verified(docs: DataFrame, text: str, k: int, percent: int, pairs: DataFrame) -> DataFrame:
-    """The pairs ``(a, b)`` whose sets are similar enough, compared on the whole texts."""
+def _verified(docs: DataFrame, text: str, k: int, percent: int, pairs: DataFrame, examples: DataFrame) -> DataFrame:
+    """The pairs ``(a, b)`` whose sets are similar enough, compared on the whole texts.
+
+    ``examples`` has one text of every class: ``(key, text_key)``.
+    """
     pairs = materialise(pairs.select("a", "b"))
-    keys = pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key")))
-    wanted = _slots(docs.sparkSession, keys)
-    packed = materialise(_texts(docs, text, k, wanted))
+    keys = pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key"))).distinct()
+    named = materialise(examples.join(keys, "key"))
+    wanted = _slots(docs.sparkSession, named.select(F.col("text_key").alias("key")))
+    packed = materialise(named.join(_texts(docs, text, wanted), "text_key").select("key", "packed"))
     left = packed.select(F.col("key").alias("a"), F.col("packed").alias("left"))
     right = packed.select(F.col("key").alias("b"), F.col("packed").alias("right"))
     both = pairs.join(left, "a").join(right, "b").select("a", "b", "left", "right")
@@ -231,7 +231,8 @@ def linked_components(
     """
     spark = docs.sparkSession
     passed = materialise(_classes(docs, key, text, k))
-    signed = passed.where("key IS NOT NULL").select("id", "n", "key")
+    signed = passed.where("key IS NOT NULL").select("id", "text_key", "n", "key")
+    examples = materialise(signed.where("key <> 0").groupBy("key").agg(F.min("text_key").alias("text_key")))
     rows = signed.count()
     often = passed.where("token IS NOT NULL").groupBy("token").agg(F.sum("count").alias("count"))
     # Bounded: the most frequent ones, and each with a share of all documents.
@@ -263,7 +264,7 @@ def linked_components(
         here = here.join(several.select("token"), "token")
         if not size[0]:
             break
-        last_turn = turn > 0 and (found == 0 or size[1] <= PAIRS * rows)
+        last_turn = turn > 0 and (size[1] <= PAIRS * rows or found <= rows // 100)
         if last_turn:
             x, y = here.alias("x"), here.alias("y")
             joined = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.comp") < F.col("y.comp")))
@@ -283,7 +284,7 @@ def linked_components(
         )
         if not last_turn:  # one leader each: the one that shares most
             pairs = pairs.groupBy("a").agg(F.max_by("b", F.struct("c", "b")).alias("b"))
-        new = _verified(docs, text, k, percent, pairs)
+        new = _verified(docs, text, k, percent, pairs, examples)
         found = new.count()
         links = new if links is None else links.unionByName(new)
         if last_turn:
