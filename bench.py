@@ -41,7 +41,6 @@ HEADLINE = [
     "g04_multiset_difference",
     "i02_tumbling_windows",
     "i03_fill_periods",
-    "i09_retention_by_size",
     "j01_validate",
     "j03_format_round_trip",
     "k06_effective_permissions",

@@ -151,3 +151,15 @@ def test_named_grants_without_one_side(spark, part):
     row = {"groups": None, "roles": None, part: [("p", ["SELECT", "ALTER"])]}
     df = spark.createDataFrame([("TABLE", "t", row["groups"], row["roles"])], f"resource_type string, resource string, groups {side}, roles {side}")
     assert {r["permission"] for r in G.expand_named(df).collect()} == {"SELECT", "ALTER"}
+
+
+def test_repeated_keys_are_merged_and_asked_pairs_agree(spark, rows):
+    e = spark.createDataFrame([("g", "k", ["a"]), ("g", "k", ["b"]), ("h", "k", ["b", "a"]), ("i", "z", ["a"])], "grant_id string, key string, values array<string>")
+    t = spark.createDataFrame([("r1", "k", "a"), ("r2", "k", "b"), ("r3", "k", "c")], "resource string, key string, value string")
+    pairs = [("g", "r1"), ("g", "r2"), ("h", "r1"), ("h", "r2")]
+    assert rows(G.match_tags(e, t)) == pairs
+    classes = G.expression_classes(e)
+    assert rows(classes, "grant_id", "expression") == [("g", "k=a|b"), ("h", "k=a|b"), ("i", "z=a")]
+    assert rows(G.match_expressions(classes, t)) == [("k=a|b", "r1"), ("k=a|b", "r2")]
+    asked = spark.createDataFrame([(g, r) for g in "ghix" for r in ("r1", "r2", "r3", "r9")], "grant_id string, resource string")
+    assert rows(G.match_asked(asked, e, t), "grant_id", "resource") == pairs

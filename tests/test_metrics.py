@@ -25,13 +25,23 @@ def test_statistics(spark, rows):
     got = metrics.metric(df, P, ["s"], stats).orderBy("period_start").collect()
     assert [r["n"] for r in got] == [59, 11]
     assert got[0]["total"] == pytest.approx(sum(range(60)) / 10 - 0.3) and got[1]["high"] == 7.0
-    assert got[0]["mean"] == got[0]["total"] / 59
+    assert got[0]["mean"] == pytest.approx(got[0]["total"] / 59)
+
+
+def test_small_and_large_values_are_not_rounded(spark):
+    df = spark.sql("SELECT 'a' AS s, timestamp_seconds(0) AS ts, v AS value FROM VALUES (0.004D), (0.004D), (0.123456D) AS t(v)")
+    got = metrics.metric(df, P, ["s"], {"total": "sum", "mean": "average"}).first()
+    assert got["total"] == pytest.approx(0.131456, abs=1e-12) and got["mean"] == pytest.approx(0.131456 / 3, abs=1e-12)
+    large = spark.sql("SELECT 'a' AS s, timestamp_seconds(0) AS ts, 2e16D AS value")
+    assert metrics.metric(large, P, ["s"], {"total": "sum"}).first()["total"] == 2e16
+    total = {"total": ("sum", F.col("value"))}
+    assert metrics.with_all_members(df, ["s"], total).where("s = 'All'").first()["total"] == pytest.approx(0.131456, abs=1e-12)
 
 
 def test_sum_does_not_depend_on_order(spark):
     df = spark.range(100000).selectExpr("id * 0.01D AS v")
-    a = df.agg(metrics.exact_sum(F.col("v"))).first()[0]
-    b = df.orderBy(F.desc("v")).repartition(13).agg(metrics.exact_sum(F.col("v"))).first()[0]
+    a = df.agg(metrics.exact_sum(F.col("v"), 2)).first()[0]
+    b = df.orderBy(F.desc("v")).repartition(13).agg(metrics.exact_sum(F.col("v"), 2)).first()[0]
     assert a == b == 49999500.0
 
 
@@ -102,16 +112,33 @@ def states(spark, values, alarm):
 def test_alarm_states(spark, values, alarm, expected):
     assert states(spark, values, alarm) == expected
     # Several definitions evaluated together agree with one on its own.
-    filled = metrics.fill_periods(series(spark, values), ["s"], P, {}, first=0, last=(len(values) - 1) * P)
-    definitions = spark.createDataFrame(
-        [
-            ("a", alarm.comparator, float(alarm.threshold), alarm.n, alarm.m, alarm.missing),
-            ("other", ">", 0.0, 7, 7, "breaching"),
-        ],
-        "metric string, comparator string, threshold double, n int, m int, missing string",
-    )
-    many = alarms.evaluate_definitions(filled.withColumnRenamed("s", "metric"), definitions, [], "v")
-    assert "".join(r["state"][0] for r in many.orderBy("period_start").collect()) == expected
+    points = [("a", i * P, float(v)) for i, v in enumerate(values) if v is not None]
+    points += [("edge", 0, 0.0), ("edge", (len(values) - 1) * P, 0.0)]
+    own = ("one", "a", "sum", P, alarm.n, alarm.m, alarm.comparator, float(alarm.threshold), alarm.missing)
+    assert evaluated(spark, points, [own, ("other", "a", "sum", P, 7, 7, ">", 0.0, "breaching")])["one"] == expected
+
+
+DEFINITION = "alarm string, metric string, statistic string, period int, n int, m int, comparator string, threshold double, missing string"
+
+
+def evaluated(spark, points, definitions):
+    df = spark.createDataFrame(points, "metric string, t long, value double").withColumn("ts", F.timestamp_seconds("t"))
+    rows = alarms.evaluate_definitions(df, spark.createDataFrame(definitions, DEFINITION), []).orderBy("alarm", "period_start").collect()
+    return {d[0]: "".join(r["state"][0] for r in rows if r["alarm"] == d[0]) for d in definitions}
+
+
+def test_two_alarms_on_one_metric(spark):
+    points = [("m", i * P, float(v)) for i, v in enumerate([90, 90, 99, 99, 10, 99])]
+    limits = [("warning", "m", "average", P, 2, 2, ">=", 85.0, "notBreaching"), ("critical", "m", "average", P, 2, 2, ">=", 95.0, "notBreaching")]
+    assert evaluated(spark, points, limits) == {"warning": "OAAAOO", "critical": "OOOAOO"}
+
+
+def test_a_stray_time_is_an_error(spark):
+    df = series(spark, [1, 2]).unionByName(series(spark, [3]).withColumn("period_start", F.lit(10**9 // P * P).cast("long")))
+    with pytest.raises(Exception, match="more than 100 periods"):
+        metrics.fill_periods(df, ["s"], P, {}, most=100).collect()
+    with pytest.raises(Exception, match="no period_start"):
+        metrics.fill_periods(df.withColumn("period_start", F.lit(None).cast("long")), ["s"], P, {}).collect()
 
 
 def test_transitions(spark):
@@ -140,9 +167,19 @@ def test_heartbeat_gaps(spark):
     got = alarms.heartbeat_gaps(df, ["s"], "ts", P, n=2).collect()
     assert [(r["last_seen"], r["next_seen"], r["missed_periods"]) for r in got] == [(180, 420, 3)]
     assert alarms.heartbeat_gaps(df, ["s"], "ts", P, n=1).count() == 2
+    end = F.timestamp_seconds(F.lit(10 * P + 30))
+    still_open = alarms.heartbeat_gaps(df, ["s"], "ts", P, n=2, until=end).where("next_seen IS NULL").collect()
+    assert still_open and all(r["missed_periods"] == 10 - r["last_seen"] // P - 1 for r in still_open)
 
 
 def test_lag(spark, rows):
     records = spark.sql("SELECT 't' AS topic, p AS partition, o AS offset, timestamp_seconds(o) AS timestamp FROM VALUES (0, 5), (0, 9), (1, 3) AS v(p, o)")
     committed = spark.sql("SELECT 'g' AS consumer_group, 't' AS topic, p AS partition, o AS committed_offset, timestamp_seconds(o) AS committed_ts FROM VALUES (0, 5), (1, 3) AS v(p, o)")
     assert rows(metrics.lag_by_group(records, committed)) == [("g", "t", 0, 4, 4), ("g", "t", 1, 0, 0)]
+
+def test_percentile_is_a_statistic(spark, rows):
+    df = spark.range(101).selectExpr("'a' AS s", "timestamp_seconds(id % 2 * 60) AS ts", "CAST(id AS DOUBLE) AS value")
+    got = metrics.metric(df, P, ["s"], {"n": "sample_count", "half": "p50", "top": "p100"})
+    assert got.columns == ["s", "period_start", "n", "half", "top"]
+    assert rows(got) == [("a", 0, 51, 50.0, 100.0), ("a", 60, 50, 50.0, 99.0)]
+    assert rows(metrics.metric(df, P, ["s"], {"half": "p50"})) == [("a", 0, 50.0), ("a", 60, 50.0)]

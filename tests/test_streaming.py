@@ -130,33 +130,6 @@ def test_retention_by_age(spark, rows):
             topics.retained_by_age(df, wrong)
 
 
-@pytest.mark.parametrize("limit", [0, 7, 100, 431, 10**6])
-@pytest.mark.parametrize("slice_seconds", [1, 60, 10**6])
-def test_retention_by_size(spark, limit, slice_seconds):
-    rng = random.Random(limit)
-    data = []
-    for i in range(300):
-        # A third of all records share one second.
-        t = 500 if i % 3 == 0 else rng.randint(0, 1000)
-        data.append((f"k{i % 7}", rng.choice([None, "", "x" * rng.randint(1, 9)]), "t", rng.randint(0, 1), i, t))
-    kept, used = set(), defaultdict(int)
-    for r in sorted(data, key=lambda r: (r[5], r[4]), reverse=True):
-        used[r[3]] += len(r[1] or "")
-        if used[r[3]] <= limit:
-            kept.add(r[4])
-    got = topics.retained_by_size(records(spark, data), limit, slice_seconds)
-    assert {r["offset"] for r in got.collect()} == kept and got.count() == len(kept)
-
-
-def test_cleanup_policies(spark, rows):
-    df = records(spark, [("a", "11", "t", 0, 1, 1), ("b", "22", "t", 0, 2, 90), ("b", "33", "t", 0, 3, 100)])
-    assert rows(topics.cleaned(df, "delete", retention_ms=20_000), "offset") == [(2,), (3,)]
-    assert rows(topics.cleaned(df, "compact"), "offset") == [(1,), (3,)]
-    assert rows(topics.cleaned(df, "compact,delete", retention_ms=20_000, limit_bytes=4), "offset") == [(3,)]
-    with pytest.raises(ValueError):
-        topics.cleaned(df, "archive")
-
-
 def test_compaction_on_a_stream(spark, rows, tmp_path):
     path, out = str(tmp_path / "in"), str(tmp_path / "out")
     schema = "key string, value string, topic string, partition int, offset bigint, timestamp timestamp"

@@ -94,6 +94,15 @@ def test_tolerance(spark, golden):
     near = golden.withColumn("value", F.col("value") + 1e-9)
     assert not verdict(golden, near)[0]
     assert verdict(golden, near, tolerance=1e-6)[0]
+    a = spark.createDataFrame([(1, 0.0499)], "id int, value double")
+    b = spark.createDataFrame([(1, 0.0501)], "id int, value double")
+    assert verdict(a, b, tolerance=0.1)[0] and not verdict(a, b, tolerance=1e-4)[0]
+    assert not verdict(golden, near.withColumn("name", F.lit("x")), tolerance=1e-6)[0]
+
+
+def test_nothing_runs_before_the_row_is_asked_for(spark, golden):
+    broken = golden.withColumn("value", F.raise_error(F.lit("ran")).cast("double"))
+    assert validate(golden, broken, "id").columns == ["ok", "detail"]
 
 
 def test_empty_tables(spark, golden):

@@ -51,11 +51,9 @@ def _literal(text: str) -> str:
 
 
 # Identifier formats, as regular expressions.
-SLUG_PATTERN = "^[a-z][a-z0-9-]*[a-z0-9]$"
-COLUMN_PATTERN = "^[a-z][a-z0-9_]*$"
+SLUG_PATTERN = "^[a-z][a-z0-9-]*$"
 ROLE_ARN_PATTERN = "^arn:aws:iam::[0-9]{12}:role/.+$"
 CIDR_PATTERN = r"^([0-9]{1,3}\.){3}[0-9]{1,3}/[0-9]{1,2}$"
-CN_PATTERN = "^CN=.+$"
 
 
 def is_slug(text: Column) -> Column:

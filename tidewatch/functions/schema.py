@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -146,6 +148,19 @@ def apply_schema(df: DataFrame, columns: list[dict], family: str = "landing") ->
     return df.select(*[_converted(df, c, family).alias(c["name"].lower()) for c in columns])
 
 
+def _lost_inside(source: Column, converted: Column, have: T.DataType) -> Column:
+    """Whether a nested value has parts that were lost by the cast."""
+    if isinstance(have, T.StructType):
+        lost = [_lost_inside(source[f.name], converted[f.name], f.dataType) for f in have.fields]
+        return reduce(or_, lost, F.lit(False))
+    if isinstance(have, T.MapType):
+        source, converted, have = F.map_values(source), F.map_values(converted), T.ArrayType(have.valueType)
+    if isinstance(have, T.ArrayType):
+        both = F.arrays_zip(source.alias("s"), converted.alias("c"))
+        return F.coalesce(F.exists(both, lambda e: _lost_inside(e["s"], e["c"], have.elementType)), F.lit(False))
+    return source.isNotNull() & converted.isNull()
+
+
 def schema_violations(df: DataFrame, columns: list[dict], family: str = "landing") -> DataFrame:
     """Counts per column and rule: ``column, rule, n`` in one pass over the table."""
     checks = []
@@ -153,6 +168,10 @@ def schema_violations(df: DataFrame, columns: list[dict], family: str = "landing
         name, source = column["name"], F.col(f"`{column['name']}`")
         converted = _converted(df, column, family)
         checks.append((name, "type", source.isNotNull() & converted.isNull()))
+        have = df.schema[name].dataType
+        if isinstance(have, (T.ArrayType, T.MapType, T.StructType)):
+            inner = _lost_inside(source, converted, have)
+            checks.append((name, "inner type", source.isNotNull() & converted.isNotNull() & inner))
         if column.get("required"):
             checks.append((name, "required", source.isNull()))
         limit = _size_limit(column["type"])

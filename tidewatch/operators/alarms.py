@@ -83,8 +83,14 @@ def anomaly_states(
     return banded.withColumn("state", F.when(hits >= n, "ALARM").otherwise("OK"))
 
 
-def heartbeat_gaps(beats: DataFrame, series: list[str], ts: str, period: int, n: int = 2) -> DataFrame:
-    """Stretches of at least ``n`` whole periods without a beat, between two beats.
+def heartbeat_gaps(
+    beats: DataFrame, series: list[str], ts: str, period: int, n: int = 2, until: Column | None = None
+) -> DataFrame:
+    """Stretches of at least ``n`` whole periods without a beat.
+
+    They lie between two beats; with an end of observation ``until`` (a time)
+    also after the last one: ``next_seen`` is then NULL, and the period of the
+    end itself is not counted.
 
     Beats shrink to one row per series and period before they are ordered, so
     a busy series costs no more than a quiet one.
@@ -94,7 +100,8 @@ def heartbeat_gaps(beats: DataFrame, series: list[str], ts: str, period: int, n:
     seen = beats.select(*series, period_start(F.col(ts), period).alias("period_start")).distinct()
     order = Window.partitionBy(*series).orderBy("period_start")
     following = F.lead("period_start").over(order)
-    missed = (F.col("next_seen") - F.col("period_start")) / period - 1
+    end = F.col("next_seen") if until is None else F.coalesce(F.col("next_seen"), period_start(until, period))
+    missed = (end - F.col("period_start")) / period - 1
     return (
         seen.withColumn("next_seen", following)
         .withColumn("missed_periods", missed.cast("bigint"))
@@ -103,30 +110,56 @@ def heartbeat_gaps(beats: DataFrame, series: list[str], ts: str, period: int, n:
     )
 
 
-def evaluate_definitions(points: DataFrame, definitions: DataFrame, series: list[str], value: str = "value") -> DataFrame:
-    """Many alarms at once: one definition row per metric, its own N, M and policy.
+def evaluate_definitions(points: DataFrame, definitions: DataFrame, series: list[str], ts: str = "ts", value: str = "value") -> DataFrame:
+    """Many alarms at once, each with its own statistic, period, N, M and policy.
+
+    ``definitions`` has ``alarm, metric, statistic, period, n, m, comparator,
+    threshold, missing``: several alarms may watch one metric; a NULL ``m``
+    means all of ``n``. ``points`` are raw values with a metric name, a time
+    and the series columns. The result has ``alarm, series, period_start,
+    value, breach, state`` for every period between the first and the last
+    point of all, absent ones included, for every series of the metric.
 
-    ``definitions`` has ``metric, comparator, threshold, n, m, missing``. Points
-    carry one row per metric, series and period. Definitions are joined once,
-    and every alarm looks back its own number of periods over one sort.
+    Points shrink to one row per metric, series and period before alarms are
+    joined. A breach counts when it enters the last N periods and is taken off
+    when it leaves them, so one running sum serves every N.
     """
-    joined = points.join(definitions, "metric")
-    v, t = F.col(value), F.col("threshold")
-    compared = (
-        F.when(F.col("comparator") == ">=", v >= t)
-        .when(F.col("comparator") == ">", v > t)
-        .when(F.col("comparator") == "<=", v <= t)
-        .when(F.col("comparator") == "<", v < t)
+    from tidewatch.operators.metrics import fill_periods, period_start
+
+    wanted = definitions.select("metric", "period").distinct()
+    v = F.col(value).cast("double")
+    shrunk = (
+        points.join(wanted, "metric")
+        .withColumn("period_start", period_start(F.col(ts), F.col("period")))
+        .groupBy("metric", "period", *series, "period_start")
+        .agg(
+            F.sum(v).alias("sum"),
+            F.avg(v).alias("average"),
+            F.min(v).alias("minimum"),
+            F.max(v).alias("maximum"),
+            F.count(v).cast("double").alias("sample_count"),
+        )
     )
-    breach = F.coalesce(compared, F.col("missing") == "breaching")
-    marked = joined.withColumn("breach", breach)
-    order = Window.partitionBy("metric", *series).orderBy("period_start")
-    running = F.sum(F.col("breach").cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0))
-    counted = marked.withColumn("_hits", running).withColumn("_row", F.row_number().over(order))
-    # Hits within the last n rows: this running count less the one n rows back.
-    longest = definitions.agg(F.max("n")).first()[0] or 1
-    back = F.lit(0)
-    for n in range(1, int(longest) + 1):
-        back = F.when(F.col("n") == n, F.coalesce(F.lag("_hits", n).over(order), F.lit(0))).otherwise(back)
-    state = F.when(F.col("_hits") - back >= F.coalesce(F.col("m"), F.col("n")), "ALARM").otherwise("OK")
-    return counted.withColumn("state", state).drop("_hits", "_row")
+    chosen = F.col("sum")
+    for kind in ("average", "minimum", "maximum", "sample_count"):
+        chosen = F.when(F.col("statistic") == kind, F.col(kind)).otherwise(chosen)
+    asked = shrunk.join(definitions, ["metric", "period"]).withColumn("value", chosen)
+    seconds = F.unix_seconds(F.col(ts).cast("timestamp"))
+    seen = points.agg(F.struct(F.min(seconds).alias("lo"), F.max(seconds).alias("hi"))).scalar()
+    keys = ["alarm", *series]
+    asked = asked.select(*keys, "period_start", "value", "period").withColumn("_seen", seen)
+    floor = lambda t: t - F.pmod(t, F.col("period"))
+    first, last = floor(F.col("_seen.lo")), floor(F.col("_seen.hi"))
+    filled = fill_periods(asked, [*keys, "period", "_seen"], F.col("period"), {}, first, last)
+    marked = filled.select(*keys, "period_start", "value").join(definitions, "alarm")
+    compared = F.lit(None).cast("boolean")
+    for sign, compare in COMPARATORS.items():
+        compared = F.when(F.col("comparator") == sign, compare(F.col("value"), F.col("threshold"))).otherwise(compared)
+    marked = marked.withColumn("breach", F.coalesce(compared, F.col("missing") == "breaching"))
+    hit = F.col("breach").cast("int")
+    enters = F.struct(F.col("period_start").alias("at"), hit.alias("d"), F.lit(True).alias("own"))
+    leaves = F.struct((F.col("period_start") + F.col("n") * F.col("period")).alias("at"), (-hit).alias("d"), F.lit(False).alias("own"))
+    steps = marked.withColumn("_s", F.explode(F.array(enters, leaves)))
+    hits = F.sum("_s.d").over(Window.partitionBy(*keys).orderBy("_s.at"))
+    state = F.when(F.col("_hits") >= F.coalesce("m", "n"), "ALARM").otherwise("OK")
+    return steps.withColumn("_hits", hits).where("_s.own").select(*keys, "period_start", "value", "breach", state.alias("state"))

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.operators.grouping import children_per_parent, joined_text
+from tidewatch.operators.grouping import children_per_parent
 
 
 def _violations(df: DataFrame, rule: str, key: Column, detail: Column, where: Column | None = None) -> DataFrame:
@@ -41,14 +41,12 @@ def in_range(df: DataFrame, key: Column, column: str, low: float, high: float) -
 
 
 def unique(df: DataFrame, keys: list[str], source: str, active: Column | None = None) -> DataFrame:
-    """Keys held by more than one active row, with where they were found: ``k (in a, b)``.
-
-    A key found in very many places gives several rows, one per page of places.
-    """
+    """Keys held by more than one active row, a row for each place they were found in: ``k (in a)``."""
     rows = df if active is None else df.where(active)
     found = children_per_parent(rows, keys, source, having=2)
     label = F.concat_ws("/", *[F.col(k).cast("string") for k in keys])
-    return _violations(found, "unique", label, F.concat(label, F.lit(" (in "), joined_text(), F.lit(")")))
+    place = F.coalesce(F.col(source).cast("string"), F.lit("NULL"))
+    return _violations(found, "unique", label, F.concat(label, F.lit(" (in "), place, F.lit(")")))
 
 
 def is_unique(df: DataFrame, keys: list[str]) -> DataFrame:
@@ -93,10 +91,10 @@ def implies(df: DataFrame, key: str, condition: Column, consequence: Column, det
 
 
 def known_kinds(df: DataFrame, kind: str, source: str, known: list[str]) -> DataFrame:
-    """Unknown kinds, each with the sources that use it."""
+    """Unknown kinds, a row for each source that uses one."""
     unknown = df.where(~F.coalesce(F.col(kind).isin(known), F.lit(False)))
     found = children_per_parent(unknown, [kind], source)
-    return _violations(found, "known_kinds", F.coalesce(kind, F.lit("NULL")), joined_text())
+    return _violations(found, "known_kinds", F.coalesce(kind, F.lit("NULL")), F.coalesce(F.col(source).cast("string"), F.lit("NULL")))
 
 
 def retired_before_removal(previous: DataFrame, current: DataFrame, key: str, flag: str) -> DataFrame:

@@ -131,47 +131,77 @@ def inherit_tags(tables: DataFrame, own: DataFrame, from_database: DataFrame) ->
     return both.groupBy("resource", "key").agg(F.min_by("value", F.struct("_rank", "value")).alias("value"))
 
 
-def match_tags(expressions: DataFrame, tags: DataFrame) -> DataFrame:
-    """Pairs ``grant_id, resource`` whose tags satisfy the whole expression.
+def expression_classes(expressions: DataFrame) -> DataFrame:
+    """``grant_id, expression, wanted``: each grant with the name and content of its expression.
+
+    ``expressions`` has ``grant_id, key, values``; values of a repeated key are
+    merged. Grants that ask for the same tags share the name, which spells the
+    keys and values in order.
+    """
+    options = expressions.select("grant_id", "key", F.explode("values").alias("value"))
+    per_key = options.groupBy("grant_id", "key").agg(F.sort_array(F.collect_set("value")).alias("values"))
+    entries = per_key.groupBy("grant_id").agg(F.sort_array(F.collect_list(F.struct("key", "values"))).alias("_e"))
+    spelt = F.transform("_e", lambda e: F.concat(e["key"], F.lit("="), F.array_join(e["values"], "|")))
+    return entries.select("grant_id", F.array_join(spelt, ";").alias("expression"), F.map_from_entries("_e").alias("wanted"))
+
+
+def _carried(tags: DataFrame) -> DataFrame:
+    """``resource, carried``: a resource's handful of tags as one map."""
+    per_key = tags.groupBy("resource", "key").agg(F.collect_set("value").alias("_values"))
+    return per_key.groupBy("resource").agg(F.map_from_entries(F.collect_list(F.struct("key", "_values"))).alias("carried"))
+
+
+def _satisfied() -> Column:
+    """Every wanted key is carried with one of the wanted values."""
+    return F.forall(
+        F.map_entries("wanted"),
+        lambda e: F.coalesce(F.arrays_overlap(F.try_element_at(F.col("carried"), e["key"]), e["value"]), F.lit(False)),
+    )
+
+
+def match_expressions(classes: DataFrame, tags: DataFrame) -> DataFrame:
+    """``expression, resource`` pairs that fit, for each distinct expression once.
 
-    ``expressions`` has ``grant_id, key, values`` (keys are ANDed, values ORed);
-    ``tags`` has ``resource, key, value``. Each grant is joined on its rarest
-    key only, and its other keys are tested on the joined row, so a tag value
-    that a third of all resources carry does not multiply into pairs unless
-    the expression consists of it alone.
+    ``classes`` comes from ``expression_classes``; ``tags`` has ``resource, key,
+    value``. An expression is joined on its rarest key only, and its other keys
+    are tested on the joined row, so a tag value that a third of all resources
+    carry does not multiply into pairs unless it is asked for alone.
     """
+    wanted = classes.groupBy("expression").agg(F.first("wanted").alias("wanted"))
     frequency = tags.groupBy("key", "value").agg(F.count(F.lit(1)).alias("_f"))
-    conditions = expressions.groupBy("grant_id").agg(
-        F.map_from_entries(F.collect_list(F.struct("key", "values"))).alias("_wanted")
+    options = wanted.select("expression", F.explode("wanted").alias("key", "values")).select(
+        "expression", "key", F.explode("values").alias("value")
     )
-    options = expressions.select("grant_id", "key", F.explode("values").alias("value"))
     cost = (
         options.join(frequency, ["key", "value"], "left")
-        .groupBy("grant_id", "key")
+        .groupBy("expression", "key")
         .agg(F.coalesce(F.sum("_f"), F.lit(0)).alias("_cost"))
     )
-    anchor = cost.groupBy("grant_id").agg(F.min_by("key", F.struct("_cost", "key")).alias("_anchor"))
-    anchored = conditions.join(anchor, "grant_id").select(
-        "grant_id",
-        "_wanted",
-        F.col("_anchor").alias("key"),
-        F.explode(F.element_at("_wanted", F.col("_anchor"))).alias("value"),
-    )
-    # A resource carries a handful of tags, so its own map is small.
-    per_key = tags.groupBy("resource", "key").agg(F.collect_set("value").alias("_values"))
-    carried = per_key.groupBy("resource").agg(
-        F.map_from_entries(F.collect_list(F.struct("key", "_values"))).alias("_carried")
-    )
-    located = carried.select("resource", "_carried", F.explode("_carried").alias("key", "_values")).select(
-        "resource", "_carried", "key", F.explode("_values").alias("value")
+    anchor = cost.groupBy("expression").agg(F.min_by("key", F.struct("_cost", "key")).alias("key"))
+    anchored = wanted.join(anchor, "expression").select(
+        "expression", "wanted", "key", F.explode(F.element_at("wanted", F.col("key"))).alias("value")
     )
-    satisfied = F.forall(
-        F.map_entries("_wanted"),
-        lambda e: F.coalesce(
-            F.arrays_overlap(F.try_element_at(F.col("_carried"), e["key"]), e["value"]), F.lit(False)
-        ),
+    located = _carried(tags).select("resource", "carried", F.explode("carried").alias("key", "_values")).select(
+        "resource", "carried", "key", F.explode("_values").alias("value")
     )
-    return anchored.join(located, ["key", "value"]).where(satisfied).select("grant_id", "resource").distinct()
+    return anchored.join(located, ["key", "value"]).where(_satisfied()).select("expression", "resource").distinct()
+
+
+def match_tags(expressions: DataFrame, tags: DataFrame) -> DataFrame:
+    """Pairs ``grant_id, resource`` whose tags satisfy the whole expression.
+
+    Keys are ANDed, values ORed. The result has a row for every pair; where
+    that is too much, keep ``match_expressions`` and ``expression_classes``
+    apart, or ask for single pairs with ``match_asked``.
+    """
+    classes = expression_classes(expressions)
+    return match_expressions(classes, tags).join(classes.select("grant_id", "expression"), "expression").select("grant_id", "resource")
+
+
+def match_asked(asked: DataFrame, expressions: DataFrame, tags: DataFrame) -> DataFrame:
+    """The asked ``grant_id, resource`` pairs that fit: one look-up on each side, no other pairs."""
+    classes = expression_classes(expressions).select("grant_id", "wanted")
+    return asked.join(classes, "grant_id").join(_carried(tags), "resource").where(_satisfied()).select("grant_id", "resource")
 
 
 def expand_all(grants: DataFrame) -> DataFrame:

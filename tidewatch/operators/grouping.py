@@ -1,4 +1,4 @@
-"""Lists per group, in pages of bounded size."""
+"""Members of groups, one row each: a list of any length without an array."""
 
 from __future__ import annotations
 
@@ -8,47 +8,23 @@ from operator import and_
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.functions.names import stable_part
-from tidewatch.session import BROADCAST_ROW_BOUND
 
-PAGE_ROWS = 100_000
+def children_per_parent(df: DataFrame, parents: list[str], child: str, having: int = 1) -> DataFrame:
+    """``(parents, child, n_rows)``: every distinct child of every parent.
 
-
-def children_per_parent(
-    df: DataFrame, parents: list[str], child: str, page_rows: int = PAGE_ROWS, having: int = 1
-) -> DataFrame:
-    """Sorted distinct children per parent: ``page, n_rows, children`` (an array).
-
-    A list of more than ``page_rows`` members comes in several pages, split by
-    a hash of the member, so a hot parent is shared out and nothing is left
-    out. ``having`` keeps parents of at least that many rows. Copies of one
-    member are counted before the shuffle.
-
-    On very large tables the page size grows to a ``BROADCAST_ROW_BOUND``-th of
-    all members. Fewer than that many parents can be longer, which bounds the
-    table of long parents, so it is broadcast and the lists are shuffled once.
+    The shape is the same at any size: a hot parent is many rows, spread by its
+    children. NULL is one more parent and one more child. ``having`` keeps the
+    parents of at least that many rows; their counts come from the counted
+    pairs, so the input is read once.
     """
-    pairs = df.groupBy(*parents, F.col(child).alias("_child")).agg(F.count(F.lit(1)).alias("_rows"))
-    sizes = pairs.groupBy(*parents).agg(F.count(F.lit(1)).alias("_members"))
-    share = F.ceil(F.coalesce(sizes.agg(F.sum("_members")).scalar(), F.lit(0)) / BROADCAST_ROW_BOUND)
-    limit = F.greatest(F.lit(max(page_rows, having)).cast("bigint"), share)
-    long = sizes.withColumn("_limit", limit).where(F.col("_members") > F.col("_limit"))
-    pages = long.select(*parents, F.ceil(F.col("_members") / F.col("_limit")).alias("_pages"))
-    # NULL is one more parent.
+    pairs = df.groupBy(*parents, child).agg(F.count(F.lit(1)).alias("n_rows"))
+    if having <= 1:
+        return pairs
+    large = children_counts(pairs, parents).where(F.col("n_rows") >= having)
     same = [F.col(f"a.`{p}`").eqNullSafe(F.col(f"b.`{p}`")) for p in parents]
-    paged = pairs.alias("a").join(F.broadcast(pages).alias("b"), reduce(and_, same), "left")
-    is_long = F.col("_pages").isNotNull()
-    page = F.when(is_long, stable_part(F.col("_child"), F.col("_pages"))).otherwise(F.lit(0))
-    placed = paged.select("a.*", page.cast("bigint").alias("page"), is_long.alias("_is_long"))
-    lists = placed.groupBy(*parents, "page").agg(
-        F.sum("_rows").alias("n_rows"),
-        F.sort_array(F.collect_list("_child")).alias("children"),
-        F.max("_is_long").alias("_long"),
-    )
-    # A long parent has more rows than asked for, whatever one of its pages has.
-    kept = lists.where(F.col("_long") | (F.col("n_rows") >= having)) if having > 1 else lists
-    return kept.drop("_long")
-
-
-def joined_text(children: str = "children", separator: str = ", "):
-    return F.array_join(F.transform(children, lambda c: c.cast("string")), separator)
+    return pairs.alias("a").join(large.alias("b"), reduce(and_, same), "left_semi")
+
+
+def children_counts(pairs: DataFrame, parents: list[str]) -> DataFrame:
+    """``(parents, n_rows, n_children)`` of the result of ``children_per_parent``."""
+    return pairs.groupBy(*parents).agg(F.sum("n_rows").alias("n_rows"), F.count(F.lit(1)).alias("n_children"))

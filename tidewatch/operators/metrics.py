@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+import re
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewatch.operators.percentile import exact_percentiles
+
 STATISTICS = ("sum", "average", "minimum", "maximum", "sample_count")
 
 
@@ -14,21 +20,21 @@ def period_start(ts: Column, seconds: int) -> Column:
     return (epoch - F.pmod(epoch, F.lit(seconds))).cast("bigint")
 
 
-def exact_sum(value: Column, scale: int | None = 2) -> Column:
+def exact_sum(value: Column, scale: int) -> Column:
     """A sum that does not depend on the order rows arrive in.
 
-    Values are added as decimals of ``scale`` digits; ``None`` adds doubles.
+    For columns declared with ``scale`` digits only: values are added as
+    decimals, and further digits would be lost.
     """
-    if scale is None:
-        return F.sum(value)
-    return F.sum(value.cast(f"decimal(18,{scale})")).cast("double")
+    return F.sum(value.cast(f"decimal(38,{scale})")).cast("double")
 
 
-def statistic(name: str, value: Column, scale: int | None = 2) -> Column:
+def statistic(name: str, value: Column, scale: int | None = None) -> Column:
+    """An aggregate by name. Doubles are added as they are unless ``scale`` is given."""
     if name == "sum":
-        return exact_sum(value, scale)
+        return F.sum(value.cast("double")) if scale is None else exact_sum(value, scale)
     if name == "average":
-        return exact_sum(value, scale) / F.count(value)
+        return F.avg(value.cast("double")) if scale is None else exact_sum(value, scale) / F.count(value)
     if name == "minimum":
         return F.min(value)
     if name == "maximum":
@@ -45,11 +51,25 @@ def metric(
     stats: dict[str, str],
     ts: str = "ts",
     value: str = "value",
-    scale: int | None = 2,
+    scale: int | None = None,
 ) -> DataFrame:
-    """One row per series and period; ``stats`` maps output names to statistics."""
-    columns = [statistic(kind, F.col(value), scale).alias(name) for name, kind in stats.items()]
-    return df.groupBy(*series, period_start(F.col(ts), period).alias("period_start")).agg(*columns)
+    """One row per series and period; ``stats`` maps output names to statistics.
+
+    Besides ``STATISTICS`` these are exact percentiles, named like ``p95`` or ``p99.9``.
+    """
+    keys = [*series, "period_start"]
+    placed = df.withColumn("period_start", period_start(F.col(ts), period))
+    fractions = {name: float(kind[1:]) / 100 for name, kind in stats.items() if re.fullmatch(r"p\d+(\.\d+)?", kind)}
+    columns = [statistic(kind, F.col(value), scale).alias(name) for name, kind in stats.items() if name not in fractions]
+    if not fractions:
+        return placed.groupBy(*keys).agg(*columns)
+    ranked = exact_percentiles(placed, keys, value, fractions)
+    if not columns:
+        return ranked
+    others = placed.groupBy(*keys).agg(*columns).alias("o")
+    same = [F.col(f"o.`{k}`").eqNullSafe(F.col(f"r.`{k}`")) for k in keys]
+    joined = others.join(ranked.alias("r"), reduce(and_, same), "left")
+    return joined.select(*[F.col(f"o.`{k}`") for k in keys], *[F.col(f"{'r' if n in fractions else 'o'}.`{n}`") for n in stats])
 
 
 def across_series(per_series: DataFrame, value: str, outer: str, name: str, keep: list[str] | None = None) -> DataFrame:
@@ -70,7 +90,7 @@ def sum_of_components(
 
 
 def with_all_members(
-    df: DataFrame, dims: list[str], stats: dict[str, tuple[str, Column]], cube: bool = False, scale: int | None = 2
+    df: DataFrame, dims: list[str], stats: dict[str, tuple[str, Column]], cube: bool = False, scale: int | None = None
 ) -> DataFrame:
     """Roll-up (or cube) whose total rows carry ``All`` as the dimension member.
 
@@ -85,7 +105,7 @@ def with_all_members(
             raise ValueError(f"{kind!r} is none of {', '.join(STATISTICS)}")
         total, count = F.col(f"_{name}_sum"), F.col(f"_{name}_n")
         if kind in ("sum", "average"):
-            addend = column if scale is None else column.cast(f"decimal(18,{scale})")
+            addend = column.cast("double" if scale is None else f"decimal(38,{scale})")
             first.append(F.sum(addend).alias(f"_{name}_sum"))
         if kind in ("average", "sample_count"):
             first.append(F.count(column).alias(f"_{name}_n"))
@@ -110,37 +130,49 @@ def with_all_members(
     return out.select(*members, *stats)
 
 
+MOST_PERIODS = 10_000_000
+
+
 def fill_periods(
     per_period: DataFrame,
     series: list[str],
-    period: int,
+    period: int | Column,
     fills: dict[str, object],
     first: int | Column | None = None,
     last: int | Column | None = None,
+    most: int = MOST_PERIODS,
 ) -> DataFrame:
     """Give every series a row for each period between ``first`` and ``last``.
 
     The input is aggregated (at most one row per series and period). Each row
     emits itself and the missing periods up to the next one, so nothing is
     joined and no series is combined with another. Without bounds the overall
-    first and last periods are used, as a scalar subquery. Columns not named in
-    ``fills`` are NULL in added rows; ``filled`` tells them apart.
+    first and last periods are used, from one scalar subquery. Columns not
+    named in ``fills`` are NULL in added rows; ``filled`` tells them apart. A
+    row without a time, and a gap of more than ``most`` periods (one stray
+    timestamp makes one), are errors.
     """
-    extremes = per_period.agg(F.min("period_start").alias("lo"), F.max("period_start").alias("hi"))
-    lo = extremes.select("lo").scalar() if first is None else _as_column(first)
-    hi = extremes.select("hi").scalar() if last is None else _as_column(last)
-    step = F.lit(period).cast("bigint")
+    step = _as_column(period).cast("bigint")
     order = Window.partitionBy(*series).orderBy("period_start")
-    edges = (
-        per_period.withColumn("_prev", F.lag("period_start").over(order))
-        .withColumn("_next", F.lead("period_start").over(order))
-        .withColumn("_lo", lo)
-        .withColumn("_hi", hi)
+    edges = per_period.withColumn("_prev", F.lag("period_start").over(order)).withColumn(
+        "_next", F.lead("period_start").over(order)
     )
+    if first is None or last is None:
+        extremes = per_period.agg(F.struct(F.min("period_start").alias("lo"), F.max("period_start").alias("hi")))
+        edges = edges.withColumn("_bounds", extremes.scalar())
+    lo = F.col("_bounds.lo") if first is None else _as_column(first)
+    hi = F.col("_bounds.hi") if last is None else _as_column(last)
     own = F.col("period_start")
-    start = F.when(F.col("_prev").isNull(), F.least(F.col("_lo"), own)).otherwise(own)
-    stop = F.when(F.col("_next").isNull(), F.greatest(F.col("_hi"), own)).otherwise(F.col("_next") - step)
-    spread = edges.withColumn("_p", F.explode(F.sequence(start, stop, step)))
+    start = F.when(F.col("_prev").isNull(), F.least(lo, own)).otherwise(own)
+    stop = F.when(F.col("_next").isNull(), F.greatest(hi, own)).otherwise(F.col("_next") - step)
+    wide = F.raise_error(F.format_string("a gap from %s to %s has more than %s periods", start, stop, F.lit(most)))
+    lost = F.raise_error(F.lit("a row has no period_start"))
+    periods = (
+        F.when(own.isNull(), lost.cast("array<bigint>"))
+        .when((stop - start) / step > most, wide.cast("array<bigint>"))
+        .otherwise(F.sequence(start, stop, step))
+    )
+    spread = edges.withColumn("_p", F.explode(periods))
     is_own = F.col("_p") == own
     values = []
     for name in per_period.columns:

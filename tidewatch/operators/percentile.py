@@ -5,34 +5,24 @@ from __future__ import annotations
 from functools import reduce
 from operator import and_
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewatch.operators.ordering import sorted_chunks
+# Ranges of values grow by half a percent each.
+_STEPS = 200
 
-SMALL_GROUP = 500_000
 
-
-def exact_percentiles(
-    df: DataFrame, group: list[str], value: str, fractions: dict[str, float], small_group: int = SMALL_GROUP
-) -> DataFrame:
+def exact_percentiles(df: DataFrame, group: list[str], value: str, fractions: dict[str, float]) -> DataFrame:
     """Linear-interpolated percentiles: one row per group, a column per fraction.
 
-    Equal values are counted before the shuffle. Groups of at most
-    ``small_group`` distinct values are ranked by one window each. Beyond it the
-    counted values are range-partitioned, which cuts a hot group into chunks;
-    chunk totals locate every wanted rank, and only those chunks are ranked.
+    One lazy plan at every size. Equal values are counted before the shuffle;
+    counts per group and range of values locate every wanted rank; only the
+    values of those ranges are put in order, each range by itself, so a hot
+    group is spread over its ranges.
     """
     clean = df.select(*group, F.col(value).cast("double").alias("_v")).where(F.col("_v").isNotNull())
-    counted = clean.groupBy(*group, "_v").agg(F.count(F.lit(1)).alias("_n"))
-    widest = clean.groupBy(*group).agg(F.approx_count_distinct("_v").alias("d")).agg(F.max("d")).first()[0]
-    if (widest or 0) <= small_group:
-        ranked = counted.withColumn("_total", F.sum("_n").over(Window.partitionBy(*group)))
-        upto = F.sum("_n").over(Window.partitionBy(*group).orderBy("_v"))
-        return _interpolate(ranked.withColumn("_upto", upto), group, fractions)
-
-    chunks = sorted_chunks(counted, [*group, "_v"])
-    totals = chunks.groupBy(*group, "_part").agg(F.sum("_n").alias("_size"))
+    counted = clean.groupBy(*group, "_v").agg(F.count(F.lit(1)).alias("_n")).withColumn("_part", _range(F.col("_v")))
+    totals = counted.groupBy(*group, "_part").agg(F.sum("_n").alias("_size"))
     by_group = Window.partitionBy(*group)
     ahead = by_group.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     placed = totals.withColumn("_start", F.coalesce(F.sum("_size").over(ahead), F.lit(0))).withColumn(
@@ -40,17 +30,20 @@ def exact_percentiles(
     )
     holds_rank = F.lit(False)
     for fraction in fractions.values():
-        low, high = _ranks(fraction)
-        for rank in (low, high):
+        for rank in _ranks(fraction):
             holds_rank = holds_rank | ((F.col("_start") <= rank) & (rank < F.col("_start") + F.col("_size")))
     wanted = placed.where(holds_rank).alias("w")
-    rows = chunks.alias("c")
     same = [F.col(f"c.`{g}`").eqNullSafe(F.col(f"w.`{g}`")) for g in group]
-    needed = rows.join(wanted, reduce(and_, same, F.col("c._part") == F.col("w._part"))).select(
-        "c.*", "w._start", "w._total"
-    )
+    needed = counted.alias("c").join(wanted, reduce(and_, same, F.col("c._part") == F.col("w._part")))
     inside = F.sum("_n").over(Window.partitionBy(*group, "_part").orderBy("_v"))
-    return _interpolate(needed.withColumn("_upto", F.col("_start") + inside), group, fractions)
+    ranked = needed.select("c.*", "w._start", "w._total").withColumn("_upto", F.col("_start") + inside)
+    return _interpolate(ranked, group, fractions)
+
+
+def _range(v: Column) -> Column:
+    """A whole number that never falls as the value rises."""
+    size = F.floor(F.least(F.ln(F.abs(v)), F.lit(1000.0)) * _STEPS) + 1_000_000
+    return F.when(F.isnan(v), 10_000_000).when(v > 0, size).when(v < 0, -size).otherwise(0)
 
 
 def _ranks(fraction: float):
@@ -66,7 +59,8 @@ def _interpolate(ranked: DataFrame, group: list[str], fractions: dict[str, float
         at_low = F.max(F.when((before <= low) & (low < F.col("_upto")), F.col("_v")))
         at_high = F.max(F.when((before <= high) & (high < F.col("_upto")), F.col("_v")))
         share = F.max(F.lit(fraction) * (F.col("_total") - 1) - low)
-        columns.append((at_low + (at_high - at_low) * share).alias(name))
+        # Two infinities have no difference.
+        columns.append(F.when(at_low == at_high, at_low).otherwise(at_low + (at_high - at_low) * share).alias(name))
     return ranked.groupBy(*group).agg(*columns)
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewatch.functions.schema import safe_cast
@@ -81,54 +81,101 @@ def validate(
 ) -> DataFrame:
     """One row ``ok, detail``: row count, coercibility, columns, then values.
 
-    The first failing check names the detail, and later checks do not run. The
-    tables are compared by bucket digests, one scan each without a shuffle of
-    rows; only rows of differing buckets are then compared. ``tolerance``
-    compares doubles after rounding to that step.
+    The first failing check names the detail. It is one lazy plan: nothing runs
+    before the row is asked for. Digests of both tables are taken in one
+    aggregate of at most ``DIGEST_BUCKETS`` rows; only keys of differing
+    buckets are compared further, and one more pass counts the rows before the
+    first difference and picks it on both sides. With ``tolerance`` doubles may
+    differ by that much: the rows of each key are compared in their order.
     """
     spark = expected.sparkSession
     common = [c for c in expected.columns if c in actual.columns]
-    typed, bad = _coerced(actual, expected, common)
+    typed, lost = _coerced(actual, expected, common)
     if key not in common:
         return _verdict(spark, False, f"Column mismatch: key {key} is absent")
-    wanted, found = expected.select(*common), typed
-    if tolerance:
-        wanted, found = _stepped(wanted, tolerance), _stepped(found, tolerance)
-    compared = differing_buckets(wanted, found, [key], common)
-    buckets = compared.agg(
-        F.sum("expected_rows").alias("e"),
-        F.sum("actual_rows").alias("a"),
-        F.sort_array(F.collect_list(F.when(F.col("differs"), F.col("bucket")))).alias("differing"),
-    ).first()
-    n_expected, n_actual = buckets["e"] or 0, buckets["a"] or 0
-    if n_expected != n_actual:
-        return _verdict(spark, False, f"Row count mismatch: expected {n_expected}, got {n_actual}")
-    if bad is not None:
-        failed = actual.agg(F.count_if(bad)).first()[0]
-        if failed:
-            return _verdict(spark, False, f"Failed to coerce results: {failed} rows")
-    if check_columns and sorted(expected.columns) != sorted(actual.columns):
-        return _verdict(
-            spark, False, f"Column mismatch: expected {sorted(expected.columns)}, got {sorted(actual.columns)}"
+    wanted = expected.select(*common, F.lit(1).alias("_side"), F.lit(0).alias("_lost"))
+    found = typed.select(*common, F.lit(-1).alias("_side"), "_lost" if lost else F.lit(0).alias("_lost"))
+    both = wanted.unionByName(found)
+    k = F.col(f"`{key}`")
+
+    buckets = both.groupBy(_bucket([key]).alias("bucket")).agg(*_surplus(common), F.sum("_lost").alias("lost"), *_counts())
+    differing = buckets.where(DIFFERS).select("bucket")
+    if tolerance is None:
+        # At most DIGEST_BUCKETS rows.
+        near = both.join(F.broadcast(differing), _bucket([key]) == F.col("bucket"), "left_semi")
+        keys = near.groupBy(k.alias("_key")).agg(*_surplus(common)).where(DIFFERS)
+    else:
+        keys = _beyond(both, key, common, tolerance)
+    first = keys.agg(F.min("_key")).scalar()
+    row = F.to_json(F.struct(*[F.col(f"`{c}`") for c in sorted(common)]), {"ignoreNullFields": "false"})
+    here = F.col("_at")
+
+    def pick(side: int) -> Column:
+        return F.min_by(F.when(here & (F.col("_side") == side), F.col("_row")), F.when(here & (F.col("_side") == side), F.struct(k, "_row")))
+
+    place = both.withColumns({"_at": k >= first, "_row": row}).agg(
+        F.struct(
+            F.min(F.when(here, k)).isNotNull().alias("found"),
+            F.count_if((F.col("_side") == 1) & (k < first)).alias("position"),
+            pick(1).alias("expected"),
+            pick(-1).alias("actual"),
         )
-    if not buckets["differing"]:
-        return _verdict(spark, True, None)
-    inside = _bucket([key]).isin(buckets["differing"])
-    first = key_differences(wanted.where(inside), found.where(inside), [key]).agg(F.min(key)).first()[0]
-    if first is None:
-        return _verdict(spark, True, None)
-    position = wanted.where(F.col(key) < F.lit(first)).count()
-    seen = [_row_from(side, key, first, common) for side in (wanted, found)]
-    return _verdict(spark, False, f"Row {position} mismatch: expected {seen[0]}, got {seen[1]}")
+    )
+    e, a = F.coalesce(F.sum("e"), F.lit(0)), F.coalesce(F.sum("a"), F.lit(0))
+    totals = buckets.agg(e.alias("e"), a.alias("a"), F.sum("lost").alias("lost")).withColumn("at", place.scalar())
+    columns = f"Column mismatch: expected {sorted(expected.columns)}, got {sorted(actual.columns)}"
+    mismatch = check_columns and sorted(expected.columns) != sorted(actual.columns)
+    detail = (
+        F.when(F.col("e") != F.col("a"), F.format_string("Row count mismatch: expected %d, got %d", "e", "a"))
+        .when(F.col("lost") > 0, F.format_string("Failed to coerce results: %d rows", "lost"))
+        .when(F.lit(mismatch), F.lit(columns))
+        .when(
+            F.col("at.found"),
+            F.concat(
+                F.format_string("Row %d mismatch: expected ", "at.position"),
+                F.coalesce("at.expected", F.lit("None")),
+                F.lit(", got "),
+                F.coalesce("at.actual", F.lit("None")),
+            ),
+        )
+    )
+    return totals.select(detail.isNull().alias("ok"), detail.alias("detail"))
+
 
+DIFFERS = "surplus <> 0 OR total <> 0 OR mixed <> 0"
+
+
+def _surplus(columns: list[str]) -> list[Column]:
+    """Sums that are 0 when both sides hold the same rows."""
+    return [
+        F.sum("_side").alias("surplus"),
+        F.sum(row_hash(columns, 1).cast("decimal(20,0)") * F.col("_side")).alias("total"),
+        F.bit_xor(row_hash(columns, 2)).alias("mixed"),
+    ]
 
-def _row_from(df: DataFrame, key: str, first, columns: list[str]) -> str | None:
-    row = F.to_json(F.struct(*sorted(columns)), {"ignoreNullFields": "false"})
-    return df.where(F.col(key) >= F.lit(first)).agg(F.min_by(row, F.struct(key, row))).first()[0]
+
+def _counts() -> list[Column]:
+    return [F.count_if(F.col("_side") == 1).alias("e"), F.count_if(F.col("_side") == -1).alias("a")]
+
+
+def _beyond(both: DataFrame, key: str, columns: list[str], tolerance: float) -> DataFrame:
+    """Keys with a row whose counterpart differs by more than ``tolerance`` in a double, or at all elsewhere."""
+    doubles = {f.name for f in both.schema.fields if f.dataType.typeName() in ("double", "float")}
+    exact = [c for c in columns if c not in doubles and c != key]
+    order = Window.partitionBy(f"`{key}`", "_side").orderBy(*[F.col(f"`{c}`") for c in exact], *[F.col(f"`{c}`") for c in columns if c in doubles])
+    ranked = both.withColumn("_n", F.row_number().over(order))
+    e, a = ranked.where("_side = 1").alias("e"), ranked.where("_side = -1").alias("a")
+    same = F.col("e._n").isNotNull() & F.col("a._n").isNotNull()
+    for c in columns:
+        x, y = F.col(f"e.`{c}`"), F.col(f"a.`{c}`")
+        equal = x.eqNullSafe(y)
+        same = same & ((equal | F.coalesce(F.abs(x - y) <= tolerance, F.lit(False))) if c in doubles else equal)
+    pairs = e.join(a, F.col(f"e.`{key}`").eqNullSafe(F.col(f"a.`{key}`")) & (F.col("e._n") == F.col("a._n")), "full")
+    return pairs.where(~same).select(F.coalesce(F.col(f"e.`{key}`"), F.col(f"a.`{key}`")).alias("_key"))
 
 
 def _coerced(actual: DataFrame, expected: DataFrame, columns: list[str]):
-    """Cast to the expected types; ``bad`` marks rows in which a value was lost."""
+    """Cast to the expected types; ``_lost`` marks rows in which a value was lost, if any cast may lose one."""
     selected, bad = [], None
     for name in columns:
         want, have = expected.schema[name].dataType, actual.schema[name].dataType
@@ -140,16 +187,9 @@ def _coerced(actual: DataFrame, expected: DataFrame, columns: list[str]):
         lost = source.isNotNull() & cast.isNull()
         bad = lost if bad is None else bad | lost
         selected.append(cast.alias(name))
-    return actual.select(*selected), bad
-
-
-def _stepped(df: DataFrame, step: float) -> DataFrame:
-    return df.select(
-        *[
-            F.round(F.col(f.name) / F.lit(step)).alias(f.name) if f.dataType.typeName() in ("double", "float") else f.name
-            for f in df.schema.fields
-        ]
-    )
+    if bad is None:
+        return actual.select(*selected), False
+    return actual.select(*selected, bad.cast("int").alias("_lost")), True
 
 
 def _verdict(spark, ok: bool, detail: str | None) -> DataFrame:

@@ -7,7 +7,7 @@ import time
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.operators.grouping import children_per_parent, joined_text
+from tidewatch.operators.grouping import children_per_parent
 from tidewatch.sources.catalog import ensure_database, quoted
 from tidewatch.sources.files import read_files
 
@@ -77,22 +77,12 @@ def status_counts(nodes: DataFrame) -> DataFrame:
 
 
 def run_summary(nodes: DataFrame, by: list[str] | None = None) -> DataFrame:
-    """Success of a run and its failing nodes, per group of ``by``.
+    """Success of a run, per group of ``by``; ``failing_nodes`` names what failed."""
+    failing = F.count_if(F.col("status").isin(*FAILING))
+    totals = nodes.groupBy(*(by or [])).agg(F.count(F.lit(1)).alias("n_nodes"), failing.alias("n_failing"))
+    return totals.withColumn("success", F.col("n_failing") == 0)
 
-    A run with very many failing nodes gets several rows, one per page of names.
-    """
-    by = by or []
-    scoped = nodes if by else nodes.withColumn("_run", F.lit(0))
-    keys = by or ["_run"]
-    totals = scoped.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n_nodes"), F.count_if(F.col("status").isin(*FAILING)).alias("n_failing")
-    )
-    failing = children_per_parent(scoped.where(F.col("status").isin(*FAILING)), keys, "unique_id")
-    return totals.join(failing.select(*keys, "page", joined_text().alias("failing")), keys, "left").select(
-        *by,
-        "n_nodes",
-        "n_failing",
-        (F.col("n_failing") == 0).alias("success"),
-        F.coalesce("page", F.lit(0)).alias("page"),
-        F.coalesce("failing", F.lit("")).alias("failing"),
-    )
+
+def failing_nodes(nodes: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """``(by, unique_id, n_rows)``: every failing node of every run."""
+    return children_per_parent(nodes.where(F.col("status").isin(*FAILING)), by or [], "unique_id")

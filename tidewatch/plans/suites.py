@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewatch.functions.predicates import contains_any
-from tidewatch.operators.grouping import children_per_parent, joined_text
+from tidewatch.operators.grouping import children_per_parent
 from tidewatch.operators.verify import validate
 from tidewatch.sources.files import FORMATS, FormatUnavailable, land, read_files, remove_paths
 from tidewatch.sources.runs import RunTable
@@ -157,23 +157,26 @@ def check_metrics(checks: DataFrame, cleanups: DataFrame) -> DataFrame:
     return matrix.join(found, "metric", "left").withColumn("value", F.coalesce("value", F.lit(0)))
 
 
-def roll_up(outcomes: DataFrame, suite: list[str], item: str, outcome: str = "outcome", good: tuple = ("PASS",)) -> DataFrame:
-    """Status per suite with its failing items; a suite without failures passes."""
-    bad = ~F.coalesce(F.col(outcome).isin(*good), F.lit(False))
-    totals = outcomes.groupBy(*suite).agg(
-        F.count(F.lit(1)).alias("n_checks"), F.count_if(bad).alias("n_failing")
-    )
-    failing = children_per_parent(outcomes.where(bad), suite, item)
-    return totals.join(failing.select(*suite, "page", joined_text(separator=",").alias("failing")), suite, "left").select(
-        *suite,
-        "n_checks",
-        "n_failing",
-        F.when(F.col("n_failing") == 0, "PASS").otherwise("FAIL").alias("status"),
-        F.coalesce("page", F.lit(0)).alias("page"),
-        F.coalesce("failing", F.lit("")).alias("failing"),
+def _failed(outcome: str, good: tuple) -> Column:
+    return ~F.coalesce(F.col(outcome).isin(*good), F.lit(False))
+
+
+def roll_up(outcomes: DataFrame, suite: list[str], outcome: str = "outcome", good: tuple = ("PASS",)) -> DataFrame:
+    """Status per suite; a suite without failures passes. ``failing_items`` names them."""
+    return (
+        outcomes.groupBy(*suite)
+        .agg(F.count(F.lit(1)).alias("n_checks"), F.count_if(_failed(outcome, good)).alias("n_failing"))
+        .withColumn("status", F.when(F.col("n_failing") == 0, "PASS").otherwise("FAIL"))
     )
 
 
+def failing_items(
+    outcomes: DataFrame, suite: list[str], item: str, outcome: str = "outcome", good: tuple = ("PASS",)
+) -> DataFrame:
+    """``(suite, item, n_rows)``: every failing item of every suite."""
+    return children_per_parent(outcomes.where(_failed(outcome, good)), suite, item)
+
+
 def success_metric(outcomes: DataFrame, ok: Column, by: list[str] | None = None, name: str = "success") -> DataFrame:
     """1 when every outcome is good, else 0; no outcomes at all count as good."""
     return outcomes.groupBy(*(by or [])).agg(F.coalesce(F.min(ok.cast("int")), F.lit(1)).alias(name))

@@ -108,19 +108,22 @@ def undefined_tags(spark, sf):
 
 
 def effective(spark, sf):
-    """Named grants, tag grants and inherited roles on one table of rights.
+    """Rights on the asked pairs, by tag grants, named grants and inherited roles.
 
     Suppliers hold their tag expression's parts, are named on the parts they
-    deliver in bulk, and have a role on the parts of one size.
+    deliver in bulk, and have a role on the parts of one size. Asked are the
+    parts that a supplier delivers, so the rows grow with the lines.
     """
-    by_tag = G.match_tags(tag_expressions(spark, sf), part_tags(spark, sf)).select(
+    lines = table(spark, sf, "lineitem").select(
+        F.col("l_suppkey").alias("principal"), F.col("l_partkey").alias("resource"), "l_quantity"
+    )
+    asked = lines.groupBy("principal", "resource").agg(F.max("l_quantity").alias("most"))
+    wanted = asked.select(F.col("principal").alias("grant_id"), "resource")
+    by_tag = G.match_asked(wanted, tag_expressions(spark, sf), part_tags(spark, sf)).select(
         F.col("grant_id").alias("principal"), "resource", F.lit("SELECT").alias("permission"), F.lit("lf_tag").alias("mechanism")
     )
     named = (
-        table(spark, sf, "lineitem")
-        .where("l_quantity >= 30")
-        .select(F.col("l_suppkey").alias("principal"), F.col("l_partkey").alias("resource"))
-        .distinct()
+        asked.where("most >= 30")
         .select("principal", "resource", F.explode(F.array(F.lit("SELECT"), F.lit("INSERT"))).alias("permission"))
         .withColumn("mechanism", F.lit("named"))
     )
@@ -129,22 +132,26 @@ def effective(spark, sf):
         F.col("s_suppkey").alias("principal"), (F.col("s_nationkey") + 25).alias("p_size"), role.alias("role")
     )
     sized = table(spark, sf, "part").select(F.col("p_partkey").alias("resource"), "p_size")
-    inherited = roles.where("role IS NOT NULL").join(G.inherited_privileges(spark), "role").join(sized, "p_size")
-    by_role = inherited.select("principal", "resource", F.col("privilege").alias("permission"), F.lit("role").alias("mechanism"))
+    held = asked.join(roles.where("role IS NOT NULL"), "principal").join(sized, ["resource", "p_size"])
+    by_role = held.join(G.inherited_privileges(spark), "role").select(
+        "principal", "resource", F.col("privilege").alias("permission"), F.lit("role").alias("mechanism")
+    )
     return G.effective_permissions(by_tag, named, by_role)
 
 
 EFFECTIVE_SQL = """
-  WITH g AS (
-    SELECT s_suppkey AS principal, p_partkey AS resource, 'SELECT' AS permission, 'lf_tag' AS mechanism FROM supplier JOIN part
-      ON p_brand = 'Brand#' || (s_suppkey % 25 + 1) AND p_size IN (s_nationkey + 1, s_nationkey + 20)
+  WITH a AS (SELECT l_suppkey AS principal, l_partkey AS resource, max(l_quantity) AS most FROM lineitem GROUP BY ALL),
+  f AS (SELECT * FROM a JOIN supplier ON s_suppkey = principal JOIN part ON p_partkey = resource),
+  g AS (
+    SELECT principal, resource, 'SELECT' AS permission, 'lf_tag' AS mechanism FROM f
+    WHERE p_brand = 'Brand#' || (s_suppkey % 25 + 1) AND p_size IN (s_nationkey + 1, s_nationkey + 20)
     UNION
-    SELECT l_suppkey, l_partkey, unnest(['SELECT', 'INSERT']), 'named' FROM lineitem WHERE l_quantity >= 30
+    SELECT principal, resource, unnest(['SELECT', 'INSERT']), 'named' FROM a WHERE most >= 30
     UNION
-    SELECT s_suppkey, p_partkey, unnest(CASE WHEN s_acctbal > 5000
+    SELECT principal, resource, unnest(CASE WHEN s_acctbal > 5000
              THEN ['USAGE', 'SELECT', 'INSERT', 'UPDATE', 'DELETE', 'TRUNCATE', 'CREATE', 'ALTER', 'DROP']
              ELSE ['USAGE', 'SELECT', 'INSERT', 'UPDATE', 'DELETE', 'TRUNCATE'] END), 'role'
-    FROM supplier JOIN part ON p_size = s_nationkey + 25 WHERE s_acctbal > 2000),
+    FROM f WHERE p_size = s_nationkey + 25 AND s_acctbal > 2000),
   e AS (SELECT principal, resource, permission, string_agg(mechanism, ',' ORDER BY mechanism) AS mechanisms, count(*) AS n FROM g GROUP BY ALL)
 """
 

@@ -62,13 +62,10 @@ def in_range(spark, sf):
 @query(
     "l06_unique",
     """
-    WITH d AS (
-      SELECT l_orderkey || '/' || l_linenumber AS k, string_agg(CAST(l_suppkey AS VARCHAR), ', ' ORDER BY l_suppkey) AS s
-      FROM (SELECT DISTINCT ON (l_orderkey, l_linenumber, l_suppkey) * FROM lineitem WHERE l_linestatus = 'O')
-      WHERE (l_orderkey, l_linenumber) IN (
-        SELECT (l_orderkey, l_linenumber) FROM lineitem WHERE l_linestatus = 'O' GROUP BY l_orderkey, l_linenumber HAVING count(*) > 1)
-      GROUP BY l_orderkey, l_linenumber)
-    SELECT 'unique' AS rule, k AS key, k || ' (in ' || s || ')' AS detail FROM d
+    WITH d AS (SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_linestatus = 'O' GROUP BY ALL HAVING count(*) > 1)
+    SELECT DISTINCT 'unique' AS rule, l_orderkey || '/' || l_linenumber AS key,
+           l_orderkey || '/' || l_linenumber || ' (in ' || l_suppkey || ')' AS detail
+    FROM lineitem JOIN d USING (l_orderkey, l_linenumber) WHERE l_linestatus = 'O'
     """,
 )
 def unique(spark, sf):
@@ -153,8 +150,8 @@ def implies(spark, sf):
 @query(
     "l11_known_kinds",
     """
-    SELECT 'known_kinds' AS rule, event_type AS key, string_agg(CAST(user_id AS VARCHAR), ', ' ORDER BY user_id) AS detail
-    FROM (SELECT DISTINCT event_type, user_id FROM events WHERE event_type NOT IN ('click', 'view', 'purchase')) GROUP BY event_type
+    SELECT DISTINCT 'known_kinds' AS rule, event_type AS key, CAST(user_id AS VARCHAR) AS detail
+    FROM events WHERE event_type NOT IN ('click', 'view', 'purchase')
     """,
 )
 def known_kinds(spark, sf):

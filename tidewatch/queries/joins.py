@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tidewatch.operators import governance, history, registrations
 from tidewatch.operators.closure import transitive_closure
-from tidewatch.operators.grouping import children_per_parent, joined_text
+from tidewatch.operators.grouping import children_counts, children_per_parent
 from tidewatch.operators.verify import key_differences
 from tidewatch.queries.registry import query, table
 from tidewatch.streaming.metrics import batch_round_trips
@@ -67,20 +67,38 @@ def keyed_product(spark, sf):
 @query(
     "c06_two_key_collect",
     """
-    WITH pairs AS (
-      SELECT DISTINCT l_suppkey, o_orderpriority FROM lineitem JOIN orders ON l_orderkey = o_orderkey
-      WHERE o_orderstatus = l_linestatus)
-    SELECT l_suppkey, count(*) AS n, string_agg(o_orderpriority, ', ' ORDER BY o_orderpriority) AS topics
-    FROM pairs GROUP BY l_suppkey
+    SELECT l_suppkey, o_orderpriority AS topic, count(*) AS n_rows FROM lineitem JOIN orders ON l_orderkey = o_orderkey
+    WHERE o_orderstatus = l_linestatus GROUP BY ALL
     """,
 )
 def two_key_collect(spark, sf):
+    return supplier_topics(spark, sf)
+
+
+@query(
+    "c06_two_key_counts",
+    """
+    SELECT l_suppkey, count(*) AS n_rows, count(DISTINCT o_orderpriority) AS n_children
+    FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_orderstatus = l_linestatus GROUP BY l_suppkey
+    """,
+)
+def two_key_counts(spark, sf):
+    return children_counts(supplier_topics(spark, sf), ["l_suppkey"])
+
+
+def supplier_topics(spark, sf):
     lines = table(spark, sf, "lineitem").select("l_suppkey", F.col("l_orderkey").alias("k"), F.col("l_linestatus").alias("s"))
     orders = table(spark, sf, "orders").select(
         F.col("o_orderkey").alias("k"), F.col("o_orderstatus").alias("s"), "o_orderpriority"
     )
-    found = children_per_parent(lines.join(orders, ["k", "s"]), ["l_suppkey"], "o_orderpriority")
-    return found.select("l_suppkey", F.size("children").cast("bigint").alias("n"), joined_text().alias("topics"))
+    joined = lines.join(orders, ["k", "s"]).withColumnRenamed("o_orderpriority", "topic")
+    return children_per_parent(joined, ["l_suppkey"], "topic")
+
+
+EXPRESSION_SQL = (
+    "'brand=Brand#' || (s_suppkey % 25 + 1) || ';size=' || array_to_string(list_sort(list_distinct("
+    "[CAST(s_nationkey + 1 AS VARCHAR), CAST(s_nationkey + 20 AS VARCHAR)])), '|')"
+)
 
 
 def tag_expressions(spark, sf):
@@ -104,11 +122,17 @@ def part_tags(spark, sf):
 
 @query(
     "c07_tag_expression",
-    "SELECT s_suppkey AS grant_id, p_partkey AS resource FROM supplier JOIN part"
+    f"SELECT DISTINCT {EXPRESSION_SQL} AS expression, p_partkey AS resource FROM supplier JOIN part"
     " ON p_brand = 'Brand#' || (s_suppkey % 25 + 1) AND p_size IN (s_nationkey + 1, s_nationkey + 20)",
 )
 def tag_expression(spark, sf):
-    return governance.match_tags(tag_expressions(spark, sf), part_tags(spark, sf))
+    classes = governance.expression_classes(tag_expressions(spark, sf))
+    return governance.match_expressions(classes, part_tags(spark, sf))
+
+
+@query("c07_expression_members", f"SELECT s_suppkey AS grant_id, {EXPRESSION_SQL} AS expression FROM supplier")
+def expression_members(spark, sf):
+    return governance.expression_classes(tag_expressions(spark, sf)).select("grant_id", "expression")
 
 
 @query(

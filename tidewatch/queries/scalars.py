@@ -8,6 +8,8 @@ from tidewatch.functions import names as N
 from tidewatch.functions.predicates import is_json
 from tidewatch.functions.schema import apply_schema, schema_violations
 from tidewatch.queries.registry import query, table
+from tidewatch.session import scratch
+from tidewatch.sources import files
 from tidewatch.sources.topics import topic_name
 
 
@@ -255,3 +257,69 @@ def declared_schema(spark, sf):
 )
 def violations(spark, sf):
     return schema_violations(table(spark, sf, "orders"), DECLARED)
+
+
+NESTED = [
+    {"name": "o_orderkey", "type": "bigint"},
+    {"name": "tags", "type": "array<string>"},
+    {"name": "amounts", "type": "map<string,double>"},
+    {"name": "customer", "type": "struct<key:bigint,status:string>"},
+]
+
+
+@query(
+    "h11_nested_types",
+    """
+    SELECT fmt, o_orderkey, o_orderstatus || ',' || o_orderpriority AS tags, o_totalprice AS price, o_custkey AS customer, o_orderstatus AS status
+    FROM orders, (SELECT unnest(['json', 'parquet']) AS fmt)
+    """,
+)
+def nested_types(spark, sf):
+    """Arrays, maps and structs land in both nested formats and come back with their declared types."""
+    orders = table(spark, sf, "orders")
+    nested = orders.select(
+        "o_orderkey",
+        F.array("o_orderstatus", "o_orderpriority").alias("tags"),
+        F.create_map(F.lit("total"), "o_totalprice").alias("amounts"),
+        F.struct(F.col("o_custkey").alias("key"), F.col("o_orderstatus").alias("status")).alias("customer"),
+    )
+    found = None
+    for fmt in ("json", "parquet"):
+        path = scratch(spark, f"nested-{fmt}")
+        files.write_files(nested, path, fmt)
+        rows = files.read_files(spark, path, fmt, NESTED).select(
+            F.lit(fmt).alias("fmt"),
+            "o_orderkey",
+            F.array_join("tags", ",").alias("tags"),
+            F.col("amounts")["total"].alias("price"),
+            F.col("customer.key").alias("customer"),
+            F.col("customer.status").alias("status"),
+        )
+        found = rows if found is None else found.unionByName(rows)
+    return found
+
+
+@query(
+    "h11_nested_violations",
+    """
+    SELECT 'codes' AS "column", 'inner type' AS rule, count(*) AS n FROM orders HAVING count(*) > 0
+    UNION ALL SELECT 'limits', 'inner type', count(*) FILTER (WHERE o_orderstatus = 'P') FROM orders HAVING count(*) FILTER (WHERE o_orderstatus = 'P') > 0
+    UNION ALL SELECT 'item', 'inner type', count(*) FILTER (WHERE o_orderstatus <> 'F') FROM orders HAVING count(*) FILTER (WHERE o_orderstatus <> 'F') > 0
+    """,
+)
+def nested_violations(spark, sf):
+    """Parts of arrays, maps and structs that don't fit their declared types are counted."""
+    key, status = F.col("o_orderkey").cast("string"), F.col("o_orderstatus")
+    rows = table(spark, sf, "orders").select(
+        F.array(key, status).alias("codes"),
+        F.create_map(F.lit("low"), key, F.lit("high"), F.when(status == "P", "none").otherwise(key)).alias("limits"),
+        F.struct(F.when(status == "F", key).otherwise("x").alias("id"), status.alias("status")).alias("item"),
+        F.array(key).alias("good"),
+    )
+    declared = [
+        {"name": "codes", "type": "array<bigint>"},
+        {"name": "limits", "type": "map<string,bigint>"},
+        {"name": "item", "type": "struct<id:bigint,status:string>"},
+        {"name": "good", "type": "array<bigint>"},
+    ]
+    return schema_violations(rows, declared)

@@ -12,7 +12,7 @@ from tidewatch.operators import history
 from tidewatch.plans import models
 from tidewatch.queries import columns as C
 from tidewatch.queries.registry import query, table
-from tidewatch.session import literal_rows, scratch
+from tidewatch.session import scratch
 from tidewatch.sources import catalog, files, metric_sink, topics
 from tidewatch.sources.runs import RunTable
 from tidewatch.streaming import runs as streams
@@ -64,24 +64,33 @@ def parquet_scan(spark, sf):
 
 @query(
     "a05_csv_write",
-    "SELECT c_custkey || ',' || c_name || ',' || c_nationkey || ',' || c_mktsegment AS line FROM customer",
+    "SELECT CAST(c_custkey AS VARCHAR) AS c_custkey, c_name, CAST(c_nationkey AS VARCHAR) AS c_nationkey, c_acctbal, c_mktsegment"
+    " FROM customer",
 )
 def csv_write(spark, sf):
+    # The lines are taken apart as text; a number may be spelt in several ways, so it is compared as a number.
     path = scratch(spark, "csv-lines")
-    files.write_files(table(spark, sf, "customer").drop("c_acctbal"), path, "csv")
-    return spark.read.text(path).where(~F.col("value").startswith("c_custkey,")).select(F.col("value").alias("line"))
+    customers = table(spark, sf, "customer")
+    files.write_files(customers, path, "csv")
+    lines = spark.read.text(path).where(~F.col("value").startswith("c_custkey,"))
+    parts = {name: F.split("value", ",")[i] for i, name in enumerate(customers.columns)}
+    return lines.select(*[(c.cast("double") if n == "c_acctbal" else c).alias(n) for n, c in parts.items()])
 
 
 @query(
     "a06_json_write",
-    "SELECT event_id, event_type, value, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events",
+    "SELECT event_id, epoch_us(ts) AS ts_us, event_type, value, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events",
 )
 def json_write(spark, sf):
     path = scratch(spark, "json-lines")
-    files.write_files(table(spark, sf, "events").drop("ts"), path, "json")
-    line = F.from_json("value", "event_id bigint, event_type string, value double, props string").alias("d")
+    files.write_files(table(spark, sf, "events"), path, "json")
+    line = F.from_json("value", "event_id bigint, ts string, event_type string, value double, props string").alias("d")
     return spark.read.text(path).select(line).select(
-        "d.event_id", "d.event_type", "d.value", F.get_json_object("d.props", "$.k").cast("bigint").alias("k")
+        "d.event_id",
+        F.unix_micros(F.col("d.ts").cast("timestamp")).alias("ts_us"),
+        "d.event_type",
+        "d.value",
+        F.get_json_object("d.props", "$.k").cast("bigint").alias("k"),
     )
 
 
@@ -391,16 +400,14 @@ def topic_to_table(spark, sf):
 
 @query(
     "a27_result_sink",
-    "SELECT l_returnflag, count(*) AS n, CAST(sum(CAST(l_quantity AS DECIMAL(18,2))) AS DOUBLE) AS quantity"
-    " FROM lineitem GROUP BY l_returnflag",
+    "SELECT l_returnflag, count(*) AS n, round(sum(l_quantity), 6) AS quantity FROM lineitem GROUP BY l_returnflag",
 )
 def result_sink(spark, sf):
-    from tidewatch.operators.metrics import exact_sum
-
     result = table(spark, sf, "lineitem").groupBy("l_returnflag").agg(
-        F.count(F.lit(1)).alias("n"), exact_sum(F.col("l_quantity")).alias("quantity")
+        F.count(F.lit(1)).alias("n"), F.sum("l_quantity").alias("quantity")
     )
-    return spark.read.parquet(files.write_result(result, scratch(spark, "results"), "sales", "by_flag"))
+    written = spark.read.parquet(files.write_result(result, scratch(spark, "results"), "sales", "by_flag"))
+    return written.withColumn("quantity", F.round("quantity", 6))
 
 
 @query(
@@ -445,9 +452,3 @@ def result_documents(spark, sf):
     return spark.read.schema(schema).json(path).select(
         "run_id", "status", F.col("tables")[0]["name"].alias("table_name"), F.col("cleanup.outcome").alias("cleanup")
     )
-
-
-def meanings(spark):
-    return literal_rows(
-        spark, [("F", "finished"), ("O", "open"), ("P", "pending")], "code string, meaning string"
-    )

@@ -16,7 +16,7 @@ from tidewatch.streaming.topics import compacted
 DAY = 86400
 DAY_SQL = "CAST(floor(epoch(ts) / 86400) AS BIGINT) * 86400"
 QUARTER_SQL = "CAST(floor(epoch(ts) / 900) AS BIGINT) * 900"
-SUM_SQL = "CAST(sum(CAST(value AS DECIMAL(18,2))) AS DOUBLE)"
+SUM_SQL = "sum(value)"
 DAILY_ERRORS = alarms.Alarm(">=", 0.20, n=2, m=2)
 
 STATES_SQL = f"""
@@ -83,36 +83,36 @@ def alarm_per_series(spark, sf):
 @query(
     "e01_alarm_definitions",
     f"""
-    WITH p AS (SELECT event_type AS metric, {DAY_SQL} AS period_start, count(*) AS value FROM events GROUP BY ALL),
-    d AS (SELECT * FROM (VALUES ('error', '>=', 65, 3, 2), ('view', '<', 70, 2, 2), ('click', '>', 66, 1, 1))
-          AS v(metric, comparator, threshold, n, m)),
-    b AS (
-      SELECT metric, period_start, n, m,
-             CASE WHEN CASE comparator WHEN '>=' THEN value >= threshold WHEN '<' THEN value < threshold ELSE value > threshold END
-                  THEN 1 ELSE 0 END AS breach
-      FROM p JOIN d USING (metric)),
-    s AS (
-      SELECT metric, period_start, m, CASE n
-        WHEN 1 THEN breach
-        WHEN 2 THEN sum(breach) OVER (PARTITION BY metric ORDER BY period_start ROWS BETWEEN 1 PRECEDING AND CURRENT ROW)
-        ELSE sum(breach) OVER (PARTITION BY metric ORDER BY period_start ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) END AS hits
-      FROM b)
-    SELECT metric, period_start, CASE WHEN hits >= m THEN 'ALARM' ELSE 'OK' END AS state FROM s
+    WITH d(alarm, metric, statistic, period, n, m, comparator, threshold, missing) AS (VALUES
+      ('error-warning', 'error', 'sample_count', 86400, 3, 2, '>=', 65, false), ('error-critical', 'error', 'sample_count', 86400, 2, 2, '>=', 75, false),
+      ('view-quiet', 'view', 'sample_count', 900, 96, 50, '<', 1, true), ('click-mean', 'click', 'average', 86400, 1, 1, '>', 50, false)),
+    x AS (SELECT event_type, CAST(floor(epoch(ts)) AS BIGINT) AS t, value FROM events),
+    c AS (SELECT alarm, t - t % period AS period_start, CASE statistic WHEN 'average' THEN avg(value) ELSE count(value) END AS v
+          FROM x JOIN d ON event_type = metric GROUP BY alarm, period, statistic, t - t % period),
+    r AS (SELECT min(t) AS lo, max(t) AS hi FROM x),
+    spine AS (SELECT d.*, unnest(range(lo - lo % period, hi - hi % period + 1, period)) AS period_start FROM d, r),
+    b AS (SELECT spine.*, v, coalesce(CASE comparator WHEN '>=' THEN v >= threshold WHEN '<' THEN v < threshold ELSE v > threshold END, missing) AS breach
+          FROM spine LEFT JOIN c USING (alarm, period_start)),
+    h AS (SELECT *, sum(breach::INT) OVER w - coalesce(sum(breach::INT) OVER (PARTITION BY alarm ORDER BY period_start RANGE BETWEEN UNBOUNDED PRECEDING AND n * period PRECEDING), 0) AS hits
+          FROM b WINDOW w AS (PARTITION BY alarm ORDER BY period_start))
+    SELECT alarm, period_start, round(v, 9) AS value, breach, CASE WHEN hits >= m THEN 'ALARM' ELSE 'OK' END AS state FROM h
     """,
 )
 def alarm_definitions(spark, sf):
-    points = metrics.metric(table(spark, sf, "events"), DAY, ["event_type"], {"value": "sample_count"})
+    # A warning and a critical alarm on one metric, a day-long silence alarm on quarters of an hour, and a mean.
     definitions = literal_rows(
         spark,
         [
-            ("error", ">=", 65.0, 3, 2, "notBreaching"),
-            ("view", "<", 70.0, 2, None, "breaching"),
-            ("click", ">", 66.0, 1, 1, "notBreaching"),
+            ("error-warning", "error", "sample_count", 86400, 3, 2, ">=", 65.0, "notBreaching"),
+            ("error-critical", "error", "sample_count", 86400, 2, None, ">=", 75.0, "notBreaching"),
+            ("view-quiet", "view", "sample_count", 900, 96, 50, "<", 1.0, "breaching"),
+            ("click-mean", "click", "average", 86400, 1, 1, ">", 50.0, "notBreaching"),
         ],
-        "metric string, comparator string, threshold double, n int, m int, missing string",
+        "alarm string, metric string, statistic string, period int, n int, m int, comparator string, threshold double, missing string",
     )
-    named = points.withColumnRenamed("event_type", "metric")
-    return alarms.evaluate_definitions(named, definitions, []).select("metric", "period_start", "state")
+    points = table(spark, sf, "events").withColumnRenamed("event_type", "metric")
+    states = alarms.evaluate_definitions(points, definitions, [])
+    return states.withColumn("value", F.round("value", 9))
 
 
 @query(
@@ -123,7 +123,7 @@ def alarm_definitions(spark, sf):
       SELECT *, avg(total) OVER w AS mean, stddev_samp(total) OVER w AS spread FROM p
       WINDOW w AS (PARTITION BY event_type ORDER BY period_start ROWS BETWEEN 14 PRECEDING AND 1 PRECEDING)),
     f AS (SELECT *, coalesce(total > mean + 1 * spread, false) AS breach FROM b)
-    SELECT event_type, period_start, total, round(mean + 1 * spread, 4) AS upper, round(mean - 1 * spread, 4) AS lower, breach,
+    SELECT event_type, period_start, round(total, 6) AS total, round(mean + 1 * spread, 4) AS upper, round(mean - 1 * spread, 4) AS lower, breach,
            CASE WHEN sum(CASE WHEN breach THEN 1 ELSE 0 END) OVER (PARTITION BY event_type ORDER BY period_start
              ROWS BETWEEN 1 PRECEDING AND CURRENT ROW) >= 2 THEN 'ALARM' ELSE 'OK' END AS state
     FROM f
@@ -133,7 +133,7 @@ def anomaly_band(spark, sf):
     # A band of one deviation; two of the test data's deviations are never passed twice in a row.
     daily = metrics.metric(table(spark, sf, "events"), DAY, ["event_type"], {"total": "sum"})
     states = alarms.anomaly_states(daily, ["event_type"], "total", width=1)
-    return states.withColumn("upper", F.round("upper", 4)).withColumn("lower", F.round("lower", 4))
+    return states.withColumns({"total": F.round("total", 6), "upper": F.round("upper", 4), "lower": F.round("lower", 4)})
 
 
 @query(
@@ -207,6 +207,22 @@ def heartbeat_gaps(spark, sf):
     return alarms.heartbeat_gaps(table(spark, sf, "events"), ["event_type"], "ts", 900, 8)
 
 
+@query(
+    "e07_open_silences",
+    f"""
+    WITH s AS (SELECT DISTINCT user_id, {QUARTER_SQL} AS last_seen FROM events),
+    g AS (SELECT *, lead(last_seen) OVER (PARTITION BY user_id ORDER BY last_seen) AS next_seen FROM s),
+    e AS (SELECT max({QUARTER_SQL}) AS last FROM events)
+    SELECT user_id, last_seen, next_seen, (coalesce(next_seen, last) - last_seen) // 900 - 1 AS missed_periods FROM g, e
+    WHERE (coalesce(next_seen, last) - last_seen) // 900 - 1 >= 96
+    """,
+)
+def open_silences(spark, sf):
+    events = table(spark, sf, "events")
+    end = events.agg(F.max(F.col("ts").cast("timestamp"))).scalar()
+    return alarms.heartbeat_gaps(events, ["user_id"], "ts", 900, 96, until=end)
+
+
 @query("e08_row_position", "SELECT o_orderkey, row_number() OVER (ORDER BY o_totalprice, o_orderkey) AS position FROM orders")
 def row_position(spark, sf):
     return with_position(table(spark, sf, "orders").select("o_orderkey", "o_totalprice"), ["o_totalprice", "o_orderkey"]).select(
@@ -241,11 +257,10 @@ def preview(spark, sf):
 
 @query(
     "f04_sorted_distinct_list",
-    "SELECT p_brand, string_agg(DISTINCT p_type, ',' ORDER BY p_type) AS types FROM part GROUP BY p_brand",
+    "SELECT p_brand, p_type, count(*) AS n_rows FROM part GROUP BY ALL",
 )
 def sorted_distinct_list(spark, sf):
-    found = children_per_parent(table(spark, sf, "part"), ["p_brand"], "p_type")
-    return found.select("p_brand", F.array_join("children", ",").alias("types"))
+    return children_per_parent(table(spark, sf, "part"), ["p_brand"], "p_type").orderBy("p_brand", "p_type")
 
 
 @query(

@@ -7,13 +7,11 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-BROADCAST_ROW_BOUND = 100_000
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 _LOCAL_DIRS: dict[str, str] = {}
+_STAGES: dict[str, list[str]] = {}
 
 
 def build_session(app: str = "tidewatch", master: str | None = None, **conf: str) -> SparkSession:
@@ -54,6 +52,7 @@ def shared_dir(spark: SparkSession) -> str:
     application = spark.sparkContext.applicationId
     if application not in _LOCAL_DIRS:
         _LOCAL_DIRS[application] = tempfile.mkdtemp(prefix="tidewatch-")
+        _delete_at_exit(spark, _LOCAL_DIRS[application])
     return _LOCAL_DIRS[application]
 
 
@@ -66,11 +65,37 @@ def materialise(df: DataFrame) -> DataFrame:
     """Cut lineage with a table written to the shared folder.
 
     It survives lost executors like a checkpoint does, and as a columnar file
-    it also gives the optimizer sizes and prunes columns when read again.
+    it also gives the optimizer sizes and prunes columns when read again. The
+    table is deleted when the application ends, or before by ``release``.
     """
-    path = scratch(df.sparkSession, "stage")
+    spark = df.sparkSession
+    path = scratch(spark, "stage")
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    _delete_at_exit(spark, path)
+    _STAGES.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def release(spark: SparkSession) -> int:
+    """Delete the tables that ``materialise`` wrote so far and return their number.
+
+    For long sessions, once the results that read them have been written.
+    """
+    paths = _STAGES.pop(spark.sparkContext.applicationId, [])
+    for path in paths:
+        target, files = _file_system(spark, path)
+        files.delete(target, True)
+    return len(paths)
+
+
+def _file_system(spark: SparkSession, path: str):
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target, target.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def _delete_at_exit(spark: SparkSession, path: str) -> None:
+    target, files = _file_system(spark, path)
+    files.deleteOnExit(target)
 
 
 def source_available(spark: SparkSession, name: str) -> bool:
@@ -84,10 +109,5 @@ def source_available(spark: SparkSession, name: str) -> bool:
 
 
 def literal_rows(spark: SparkSession, rows: list, schema: str) -> DataFrame:
-    """A definition table from Python literals, hinted for broadcast.
-
-    The rows live in the caller's program, so the size is known here; a list
-    above the bound is joined without the hint and Spark picks the strategy.
-    """
-    df = spark.createDataFrame(rows, schema)
-    return F.broadcast(df) if len(rows) <= BROADCAST_ROW_BOUND else df
+    """A definition table from Python literals; Spark knows its size and picks the join."""
+    return spark.createDataFrame(rows, schema)

@@ -54,7 +54,7 @@ def topic_stream(spark: SparkSession, servers: str, topic: str, starting: str =
     )
 
 
-def append_available(stream: DataFrame, path: str, large_state: bool = False) -> DataFrame:
+def append_available(stream: DataFrame, path: str, large_state: bool = True) -> DataFrame:
     """Append the stream's rows to files below ``path``; a restart goes on from its checkpoint."""
     writer = (
         stream.writeStream.outputMode("append")
@@ -68,7 +68,7 @@ def append_available(stream: DataFrame, path: str, large_state: bool = False) ->
     return stream.sparkSession.read.schema(stream.schema).parquet(path)
 
 
-def update_available(stream: DataFrame, path: str, mode: str = "update", large_state: bool = False) -> DataFrame:
+def update_available(stream: DataFrame, path: str, mode: str = "update", large_state: bool = True) -> DataFrame:
     """Write each micro-batch of changed rows to its own folder, with its ``batch`` number.
 
     A batch that is retried overwrites its own folder, so the sink stays

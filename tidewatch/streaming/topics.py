@@ -1,11 +1,10 @@
-"""Topic semantics: ingestion, compaction, retention by age and by size."""
+"""Topic semantics: ingestion, compaction and retention by age."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.operators.ordering import running_total
 from tidewatch.sources.topics import decode, topic_parts
 
 MAX_RETENTION_MS = 2_592_000_000
@@ -29,11 +28,20 @@ def compacted(records: DataFrame, keys: list[str] | None = None) -> DataFrame:
 
 
 def newest_per_key(stream: DataFrame, keys: list[str]) -> DataFrame:
-    """Compaction on a stream: changed keys with their newest value and offset."""
+    """Compaction on a stream: changed keys with their newest value and offset.
+
+    A key whose newest value is NULL is deleted; it must be put out, so that an
+    older value goes. ``without_deleted`` drops it from the latest states.
+    """
     newest = F.max_by(F.struct("value", "offset"), F.col("offset")).alias("_row")
     return stream.groupBy(*keys).agg(newest).select(*keys, "_row.value", "_row.offset")
 
 
+def without_deleted(latest: DataFrame, value: str = "value") -> DataFrame:
+    """The latest state of every key that was not deleted."""
+    return latest.where(F.col(value).isNotNull())
+
+
 def retained_by_age(records: DataFrame, retention_ms: int) -> DataFrame:
     """Records at most ``retention_ms`` older than the newest; -1 keeps all."""
     if retention_ms == -1:
@@ -42,44 +50,3 @@ def retained_by_age(records: DataFrame, retention_ms: int) -> DataFrame:
         raise ValueError(f"retention is -1 or 0 to {MAX_RETENTION_MS} ms")
     newest = records.agg(F.max(F.unix_millis("timestamp"))).scalar()
     return records.where(F.unix_millis("timestamp") >= newest - F.lit(retention_ms))
-
-
-def retained_by_size(records: DataFrame, limit_bytes: int, slice_seconds: int = 60) -> DataFrame:
-    """The newest records of each topic partition whose values fit ``limit_bytes``; -1 keeps all.
-
-    Bytes are summed per time slice first. The running total over slices shows
-    which are kept or dropped whole; only the slice in which the limit falls is
-    ordered row by row, and that in chunks, so neither a hot partition nor a
-    burst within one slice is sorted in one task.
-    """
-    if limit_bytes == -1:
-        return records
-    place = ["topic", "partition"]
-    width = F.coalesce(F.octet_length("value"), F.lit(0))
-    epoch = F.unix_seconds("timestamp")
-    sliced = records.withColumn("_slice", epoch - F.pmod(epoch, F.lit(slice_seconds))).withColumn("_bytes", width)
-    totals = sliced.groupBy(*place, "_slice").agg(F.sum("_bytes").alias("_size"))
-    newer = Window.partitionBy(*place).orderBy(F.desc("_slice")).rowsBetween(Window.unboundedPreceding, -1)
-    judged = (
-        totals.withColumn("_ahead", F.coalesce(F.sum("_size").over(newer), F.lit(0)))
-        .where(F.col("_ahead") <= limit_bytes)
-        .withColumn("_whole", F.col("_ahead") + F.col("_size") <= limit_bytes)
-    )
-    kept = sliced.join(judged, [*place, "_slice"])
-    whole = kept.where("_whole").select(*records.columns)
-    # One slice per partition at most is cut.
-    cut = kept.where("not _whole")
-    ranked = running_total(cut, place, [F.desc("timestamp"), F.desc("offset")], "_bytes", "_used")
-    boundary = ranked.where(F.col("_ahead") + F.col("_used") <= limit_bytes)
-    return whole.unionByName(boundary.select(*records.columns))
-
-
-def cleaned(records: DataFrame, policy: str, retention_ms: int = -1, limit_bytes: int = -1) -> DataFrame:
-    """Apply a cleanup policy: ``delete``, ``compact`` or ``compact,delete``."""
-    steps = [p.strip() for p in policy.split(",")]
-    if not steps or not set(steps) <= {"compact", "delete"}:
-        raise ValueError(f"unknown cleanup policy {policy!r}")
-    out = records
-    if "delete" in steps:
-        out = retained_by_size(retained_by_age(out, retention_ms), limit_bytes)
-    return compacted(out) if "compact" in steps else out
