@@ -71,9 +71,9 @@ def near_copies(seed: int) -> dict:
     return out
 
 
-@pytest.mark.parametrize("pairs", [0, 30])
-def test_clouds_and_chains(spark, monkeypatch, pairs):
-    monkeypatch.setattr(jaccard_join, "PAIRS", pairs)
+@pytest.mark.parametrize("turns", [1, 8])
+def test_clouds_and_chains(spark, monkeypatch, turns):
+    monkeypatch.setattr(jaccard_join, "TURNS", turns)
     texts = near_copies(3)
     df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.linked_components(df, k=5, percent=80).collect()}

@@ -12,7 +12,9 @@ Documents with equal sets are one class. As the result is the components of
 the links, pairs inside a component need no comparison: rounds in which every
 document is compared with the leader of a posting list come first, and a last
 round compares whatever candidates still lie in different components. Groups
-of near copies so take a number of comparisons near their size.
+of near copies so take a number of comparisons near their size. Leaders are
+the documents with the fewest rare shingles, such as the text that many others
+are edits of.
 
 Any order gives the same result, so the order uses an estimate of frequencies
 (counts of the shingles that occur several times within one task's texts).
@@ -40,7 +42,7 @@ LEVELS = 24
 COMPARE = 20.0  # cost of a comparison in postings read
 RARE = 0.3  # partners expected of a shingle whose frequency isn't kept
 SLOTS = 1 << 25  # bits of the filter of documents to compare: 4 MB at any size
-PAIRS = 30  # pairs a document in the posting lists for which the last round starts
+TURNS = 8  # most rounds; the last one compares all that is left
 _FLUSH = 4_000_000
 
 
@@ -96,13 +98,17 @@ def _classes(docs: DataFrame, key: str, text: str, k: int) -> DataFrame:
 
 
 def _prefixes(docs: DataFrame, text: str, k: int, percent: int, heavy) -> DataFrame:
-    """The prefix of every class as ``(key, n, ell, tokens)``, at least once a class."""
+    """The prefix of every class as ``(key, n, ell, rare, tokens)``, at least once a class.
+
+    ``rare`` counts the shingles that aren't known to be frequent: the least
+    edited of many copies has the fewest.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, weights = heavy.value
         seen: set[int] = set()
         for batch in batches:
-            keys, sizes, ells, prefixes = [], [], [], []
+            keys, sizes, ells, rares, prefixes = [], [], [], [], []
             for _, s in _sets(batch.column(0), k):
                 name = _key(s)
                 if not name or name in seen:
@@ -124,15 +130,16 @@ def _prefixes(docs: DataFrame, text: str, k: int, percent: int, heavy) -> DataFr
                 keys.append(name)
                 sizes.append(n)
                 ells.append(ell)
+                rares.append(n - int(np.count_nonzero(weight)))
                 prefixes.append(ordered[: base + ell])
             offsets = np.concatenate([[0], np.cumsum([len(p) for p in prefixes])]).astype(np.int32)
             tokens = np.concatenate([np.zeros(0, np.uint64), *prefixes]).view(np.int64)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(keys, pa.int64()), pa.array(sizes, pa.int64()), pa.array(ells, pa.int64()), pa.ListArray.from_arrays(offsets, pa.array(tokens))],
-                names=["key", "n", "ell", "tokens"],
+                [*(pa.array(x, pa.int64()) for x in (keys, sizes, ells, rares)), pa.ListArray.from_arrays(offsets, pa.array(tokens))],
+                names=["key", "n", "ell", "rare", "tokens"],
             )
 
-    return docs.select(text).mapInArrow(run, "key bigint, n bigint, ell bigint, tokens array<bigint>")
+    return docs.select(text).mapInArrow(run, "key bigint, n bigint, ell bigint, rare bigint, tokens array<bigint>")
 
 
 def _texts(docs: DataFrame, text: str, wanted) -> DataFrame:
@@ -243,33 +250,31 @@ def linked_components(
 
     postings = (
         materialise(_prefixes(docs, text, k, percent, heavy))
-        .select(F.col("n").cast("int"), F.col("ell").cast("byte"), "key", F.posexplode("tokens").alias("at", "token"))
-        .select("token", "key", "n", "ell", "at")
+        .select(F.col("n").cast("int"), F.col("ell").cast("byte"), F.col("rare").cast("int"), "key", F.posexplode("tokens").alias("at", "token"))
+        .select("token", "key", "n", "ell", "rare", "at")
     )
     shared = postings.groupBy("token").agg(F.min("key").alias("lo"), F.max("key").alias("hi")).where("lo <> hi").select("token")
-    open_ = materialise(postings.join(shared, "token").select("token", "key", "n", "ell", "at"))
+    open_ = materialise(postings.join(shared, "token").select("token", "key", "n", "ell", "rare", "at"))
 
     links: DataFrame | None = None
-    found = 0
-    for turn in range(12):
+    found = rows
+    for turn in range(TURNS):
         here = open_.withColumn("comp", F.col("key"))
         if links is not None:
             parts = components(links).select(F.col("node").alias("key"), F.col("component").alias("_c"))
             here = open_.join(parts, "key", "left").withColumn("comp", F.coalesce("_c", "key")).drop("_c")
-        # Posting lists with several components, and the pairs across them that they would make.
-        each = here.groupBy("token", "comp").agg(F.count(F.lit(1)).cast("double").alias("c"))
-        several = each.groupBy("token").agg(F.sum("c").alias("c"), F.sum(F.col("c") * F.col("c")).alias("same"), F.count(F.lit(1)).alias("comps"))
-        several = materialise(several.where("comps > 1"))
-        size = several.agg(F.count(F.lit(1)), F.sum((F.col("c") * F.col("c") - F.col("same")) / 2)).first()
-        here = here.join(several.select("token"), "token")
-        if not size[0]:
-            break
-        last_turn = turn > 0 and (size[1] <= PAIRS * rows or found <= rows // 100)
+            # Posting lists with several components; the others stay out for good.
+            several = here.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("token")
+            here = materialise(here.join(several, "token"))
+            open_ = here.drop("comp")
+        last_turn = turn == TURNS - 1 or (turn > 1 and found <= rows // 100)
         if last_turn:
             x, y = here.alias("x"), here.alias("y")
             joined = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.comp") < F.col("y.comp")))
         else:
-            leader = F.min_by(F.struct("key", "n", "ell", "at", "comp"), F.xxhash64("key", F.lit(turn)))
+            # By turns the least edited document of a list and any one.
+            rank = F.struct(F.when(F.lit(turn % 2 == 0), F.col("rare")), F.xxhash64("key", F.lit(turn)))
+            leader = F.min_by(F.struct("key", "n", "ell", "at", "comp"), rank)
             leaders = here.groupBy("token").agg(leader.alias("l")).select("token", "l.*")
             x, y = here.alias("x"), leaders.alias("y")
             joined = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.comp") != F.col("y.comp")))
