@@ -236,6 +236,10 @@ def linked_components(
     table gives an empty result; other columns of ``docs`` are not returned.
     Nothing is capped: the bounds above change speed only.
     """
+    return _linked(docs, key, text, k, percent).drop("text_key")
+
+
+def _linked(docs: DataFrame, key: str, text: str, k: int, percent: int) -> DataFrame:
     spark = docs.sparkSession
     passed = materialise(_classes(docs, key, text, k))
     signed = passed.where("key IS NOT NULL").select("id", "text_key", "n", "key")
@@ -304,6 +308,7 @@ def linked_components(
         F.col("id").alias(key),
         F.col("n").alias("n_shingles"),
         F.when(F.col("key") == 0, F.col("id")).otherwise(F.col("low")).alias("component_id"),
+        "text_key",
     )
 
 
@@ -313,7 +318,8 @@ def without_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", k:
     Texts without words have no copies. Of rows that repeat a key and its text
     one stays.
     """
-    found = linked_components(docs, key, text, k, percent)
-    first = found.where(F.col(key).eqNullSafe(F.col("component_id"))).select(F.col(key).alias("_first")).distinct()
-    stay = docs.join(first, docs[key].eqNullSafe(F.col("_first")), "left_semi")
-    return stay.withColumn("_text", F.xxhash64(text)).dropDuplicates([key, "_text"]).select(docs.columns)
+    found = _linked(docs, key, text, k, percent)
+    first = found.where(F.col(key).eqNullSafe(F.col("component_id"))).select(F.col(key).alias("_first"), F.col("text_key").alias("_text")).distinct()
+    keyed = docs.withColumn("_text_key", F.xxhash64(text))
+    stay = keyed.join(first, keyed[key].eqNullSafe(F.col("_first")) & (F.col("_text_key") == F.col("_text")), "left_semi")
+    return stay.dropDuplicates([key, "_text_key"]).select(docs.columns)
