@@ -39,7 +39,7 @@ def test_cutoffs_need_evidence(spark):
     labels = docs.select("doc_id", F.when(F.col("doc_id").between(10_000, 19_999) | (F.col("doc_id") == 30_000), 0).otherwise(1).alias("quality"))
     got = {r.doc_id: r for r in quality_rules.apply_rules(docs, labels, risk=0.01).collect()}
     assert all(got[i].kept for i in range(900)) and not any(got[10_000 + i].kept for i in range(40))
-    assert got[10_000].broken == ["symbols"]
+    assert "symbols" in got[10_000].broken
     # 50 good documents can't show a rate below one in a hundred.
     assert got[30_000].kept
     kept = quality_rules.keep(docs, labels, risk=0.01)

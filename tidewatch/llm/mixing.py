@@ -114,7 +114,7 @@ def mix(
 
     # One place in the order of finish time per document and round.
     def place(r: int) -> Column:
-        finish = (F.col("_end") + r * F.col("source_size")) / F.col("target")
+        finish = F.try_divide((F.col("_end") + r * F.col("source_size")).cast("double"), F.col("target"))
         return F.struct(finish.alias("finish"), "_queue", "_hash", "_key", "size", F.lit(r).alias("round"))
 
     ranges = math.isqrt(rows) + 1
