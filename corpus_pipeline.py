@@ -7,15 +7,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewatch.llm import jaccard_join, mixing, quality_rules, sentencepiece_bpe, substring_dedup
+from tidewatch.llm.registry import prepare
 from tidewatch.session import materialise
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
-def _bounded_batches(spark: SparkSession) -> None:
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "512")
-
-
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the documents that the quality rules keep; the rules are certified on the labels."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
@@ -24,13 +21,13 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep of each group of near duplicates (five words, similarity 0.8) the document of the smallest id."""
-    _bounded_batches(spark)
+    prepare(spark)
     return jaccard_join.without_copies(docs)
 
 
 def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cut passages of 50 words and more that an earlier document has too."""
-    _bounded_batches(spark)
+    prepare(spark)
     found = materialise(substring_dedup.repeated_passages(docs))
     cut = substring_dedup.without_passages(docs, found)
     return cut.withColumn("n_chars", F.length("text").cast("bigint")).select(COLUMNS)
@@ -43,7 +40,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Encode every document and decode it again: identifiers, their number, and whether the text comes back."""
-    _bounded_batches(spark)
+    prepare(spark)
     model = public_tokenizers.path("piece_bpe_32k.model")
     coded = sentencepiece_bpe.decode(sentencepiece_bpe.encode(docs.select("doc_id", "source", "lang", "text"), model), model)
     # The normaliser leaves texts alone but for its space mark, which decodes to a space.

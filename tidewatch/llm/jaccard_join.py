@@ -204,15 +204,31 @@ def _verified(docs: DataFrame, text: str, k: int, percent: int, pairs: DataFrame
 
 
 def _fits(percent: int, x: str, y: str) -> Column:
-    """Sizes alone allow the similarity, and a shared shingle is in the prefix that this pair needs.
+    """Sizes alone allow the similarity, and a shared shingle is in the shortest prefix that this pair needs.
 
     With the sizes of both known, the required overlap and with it the prefix
-    is exact: places below ``size - overlap + l`` for the smaller ``l``.
+    is exact: the first ``size - overlap + 1`` places hold a common shingle.
     """
     n, m = F.col(f"{x}.n"), F.col(f"{y}.n")
-    below = F.least(f"{x}.ell", f"{y}.ell") - _overlap(percent, n, m)
+    above = 1 - _overlap(percent, n, m)
     alike = 100 * F.least(n, m) >= percent * F.greatest(n, m)
-    return alike & (F.col(f"{x}.at") < n + below) & (F.col(f"{y}.at") < m + below)
+    return alike & (F.col(f"{x}.at") < n + above) & (F.col(f"{y}.at") < m + above)
+
+
+def _matched(pairs: DataFrame, prefixes: DataFrame, percent: int) -> DataFrame:
+    """Pairs that share as many shingles as their longer prefixes ask for.
+
+    For the smaller ``ell`` of the two, the first ``size - overlap + ell``
+    places of both must hold ``ell`` common shingles.
+    """
+    columns = ["n", "ell", "tokens"]
+    x = prefixes.select(F.col("key").alias("a"), *[F.col(c).alias(f"x_{c}") for c in columns])
+    y = prefixes.select(F.col("key").alias("b"), *[F.col(c).alias(f"y_{c}") for c in columns])
+    both = pairs.join(x, "a").join(y, "b")
+    ell = F.least("x_ell", "y_ell")
+    below = ell - _overlap(percent, F.col("x_n"), F.col("y_n"))
+    head = lambda s: F.slice(f"{s}_tokens", F.lit(1), (F.col(f"{s}_n") + below).cast("int"))
+    return both.where(F.size(F.array_intersect(head("x"), head("y"))) >= ell).drop("x_n", "y_n", "x_ell", "y_ell", "x_tokens", "y_tokens")
 
 
 def _overlap(percent: int, n: Column, m: Column) -> Column:
@@ -252,13 +268,13 @@ def _linked(docs: DataFrame, key: str, text: str, k: int, percent: int) -> DataF
     order = np.argsort(tokens)
     heavy = spark.sparkContext.broadcast((tokens[order], counts[order]))
 
-    postings = (
-        materialise(_prefixes(docs, text, k, percent, heavy))
-        .select(F.col("n").cast("int"), F.col("ell").cast("byte"), F.col("rare").cast("int"), "key", F.posexplode("tokens").alias("at", "token"))
-        .select("token", "key", "n", "ell", "rare", "at")
-    )
+    written = materialise(_prefixes(docs, text, k, percent, heavy))
+    places = F.posexplode(F.slice("tokens", 1, F.expr(f"n - ({percent} * n + 99) DIV 100 + 1").cast("int"))).alias("at", "token")
+    postings = written.select(F.col("n").cast("int"), F.col("rare").cast("int"), "key", places).select("token", "key", "n", "rare", "at")
     shared = postings.groupBy("token").agg(F.min("key").alias("lo"), F.max("key").alias("hi")).where("lo <> hi").select("token")
-    open_ = materialise(postings.join(shared, "token").select("token", "key", "n", "ell", "rare", "at"))
+    # A class may have been written by several tasks; each is the same.
+    prefixes = written.groupBy("key").agg(*[F.first(c).alias(c) for c in ("n", "ell", "tokens")])
+    open_ = materialise(postings.join(shared, "token").select("token", "key", "n", "rare", "at"))
 
     links: DataFrame | None = None
     found = rows
@@ -278,19 +294,20 @@ def _linked(docs: DataFrame, key: str, text: str, k: int, percent: int) -> DataF
         else:
             # By turns the least edited document of a list and any one.
             rank = F.struct(F.when(F.lit(turn % 2 == 0), F.col("rare")), F.xxhash64("key", F.lit(turn)))
-            leader = F.min_by(F.struct("key", "n", "ell", "at", "comp"), rank)
+            leader = F.min_by(F.struct("key", "n", "at", "comp"), rank)
             leaders = here.groupBy("token").agg(leader.alias("l")).select("token", "l.*")
             x, y = here.alias("x"), leaders.alias("y")
             joined = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.comp") != F.col("y.comp")))
-        sizes = [F.col("x.n").alias("n"), F.col("y.n").alias("m"), F.least("x.ell", "y.ell").alias("ell")]
         pairs = (
             joined.where(_fits(percent, "x", "y"))
-            .groupBy(F.col("x.key").alias("a"), F.col("y.key").alias("b"), *sizes)
+            .groupBy(F.col("x.key").alias("a"), F.col("y.key").alias("b"), F.col("x.n").alias("n"), F.col("y.n").alias("m"))
             .agg(F.count(F.lit(1)).alias("c"), F.max("x.at").alias("i"), F.max("y.at").alias("j"))
-            # Enough are shared, and what is left after the last shared place suffices.
-            .where("c >= ell")
+            # What is left after the last shared place suffices.
             .where(F.col("c") + F.least(F.col("n") - F.col("i"), F.col("m") - F.col("j")) - 1 >= _overlap(percent, F.col("n"), F.col("m")))
+            .select("a", "b", "c")
         )
+        if last_turn:
+            pairs = _matched(pairs, prefixes, percent)
         if not last_turn:  # one leader each: the one that shares most
             pairs = pairs.groupBy("a").agg(F.max_by("b", F.struct("c", "b")).alias("b"))
         new = _verified(docs, text, k, percent, pairs, examples)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,6 +12,17 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
+def prepare(spark: SparkSession) -> None:
+    """Settings that the operators here ask for; every query and pipeline stage sets them."""
+    # Texts differ in size by orders of magnitude: short batches bound a worker's memory.
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "512")
+    # Workers that share the driver's disk find this package wherever the driver was started.
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    paths = spark.sparkContext.environment.get("PYTHONPATH", "")
+    if root not in paths.split(os.pathsep):
+        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(filter(None, [root, paths]))
+
+
 def query(name: str, sql: str | None = None):
     """Register ``fn(spark, sf_dir)`` under ``name``; ``sql`` gives the same rows."""
 
@@ -20,8 +32,7 @@ def query(name: str, sql: str | None = None):
 
         @functools.wraps(fn)
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            # Texts differ in size by orders of magnitude: short batches bound a worker's memory.
-            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "512")
+            prepare(spark)
             return fn(spark, sf_dir)
 
         QUERIES[name] = run
