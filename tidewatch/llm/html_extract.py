@@ -18,7 +18,7 @@ from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .batches import add_columns, texts
@@ -155,14 +155,19 @@ def weights_of(rows: list) -> dict[str, float]:
     return out
 
 
-def fit_weights(pages: DataFrame, html: str = "html", order: Column | None = None, most: int = LABELLED_PAGES) -> dict[str, float]:
+def fit_weights(pages: DataFrame, html: str = "html", most: int = LABELLED_PAGES) -> dict[str, float]:
     """Weights from pages whose article is marked up by exactly one ``article`` element.
 
-    At most ``most`` such pages are used, those of the smallest ``order``
-    (default: a hash of the page); the result has at most ``FEATURES`` entries.
+    At most ``most`` such pages are used, different ones of the smallest
+    hashes, so copies of a page count once; the result has at most
+    ``FEATURES`` entries.
     """
-    marked = pages.where(F.regexp_count(html, F.lit("(?i)<article[\\s>]")) == 1)
-    some = marked.orderBy(order if order is not None else F.xxhash64(html)).limit(most)
+    marked = pages.select(F.col(html).alias("html"), F.xxhash64(html).alias("h")).where(
+        F.regexp_count("html", F.lit("(?i)<article[\\s>]")) == 1
+    )
+    # Only hashes are put in order; pages beyond the last one stay where they are.
+    last = marked.select("h").distinct().orderBy("h").limit(most).agg(F.max("h")).first()[0]
+    some = marked.where(F.col("h") <= F.lit(last)).groupBy("h").agg(F.first("html").alias("html")).select("html")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -175,7 +180,7 @@ def fit_weights(pages: DataFrame, html: str = "html", order: Column | None = Non
                 names=["feature", "good", "bad"],
             )
 
-    counted = some.select(html).mapInArrow(run, "feature string, good bigint, bad bigint")
+    counted = some.mapInArrow(run, "feature string, good bigint, bad bigint")
     summed = counted.groupBy("feature").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad"))
     return weights_of(summed.orderBy(F.desc(F.col("good") + F.col("bad")), "feature").limit(FEATURES).collect())
 
