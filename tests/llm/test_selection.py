@@ -77,7 +77,7 @@ def test_mix_edges(spark):
     assert mixing.mix(df.where("text IS NULL")).where("target <> 0 OR taken <> 0").count() == 0
     rows = mixing.mixed_rows(df)
     assert rows.columns == df.columns
-    assert rows.where("text IS NULL").count() == 0
+    assert rows.where("text IS NULL").count() == 0 and rows.where("NOT _row <=> size").count() == 0
 
 
 def test_mix_reaches_targets_in_small_buckets(spark, monkeypatch):

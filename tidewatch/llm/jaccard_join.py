@@ -337,6 +337,7 @@ def without_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", k:
     """
     found = _linked(docs, key, text, k, percent)
     first = found.where(F.col(key).eqNullSafe(F.col("component_id"))).select(F.col(key).alias("_first"), F.col("text_key").alias("_text")).distinct()
-    keyed = docs.withColumn("_text_key", F.xxhash64(text))
-    stay = keyed.join(first, keyed[key].eqNullSafe(F.col("_first")) & (F.col("_text_key") == F.col("_text")), "left_semi")
-    return stay.dropDuplicates([key, "_text_key"]).select(docs.columns)
+    # The row travels as one column, so that no name of it can clash.
+    keyed = docs.select(F.struct(*docs.columns).alias("_row"), F.col(key).alias("_key"), F.xxhash64(text).alias("_text_key"))
+    stay = keyed.join(first, F.col("_key").eqNullSafe(F.col("_first")) & (F.col("_text_key") == F.col("_text")), "left_semi")
+    return stay.dropDuplicates(["_key", "_text_key"]).select("_row.*")

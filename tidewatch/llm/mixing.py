@@ -159,8 +159,10 @@ def mixed_rows(docs: DataFrame, **options) -> DataFrame:
     Documents of size 0 carry no words and are left out. Rows are told apart by
     a number given in a written copy, so repeated keys stay separate.
     """
-    numbered = materialise(docs.withColumn("_row", F.monotonically_increasing_id()))
-    taken = mix(numbered, carry=("_row",), **options).where("taken > 0")
-    times = taken.select("_row", (F.col("taken") / F.col("size")).cast("int").alias("_times"))
-    rows = numbered.join(times, "_row").withColumn("_time", F.explode(F.sequence(F.lit(1), "_times")))
-    return rows.select(docs.columns)
+    # The row travels as one column, so that no name of it can clash.
+    numbered = materialise(docs.select(F.struct(*docs.columns).alias("_row"), F.monotonically_increasing_id().alias("_number")))
+    known = [F.col(f"_row.`{c}`") for c in docs.columns if c != "_number"]
+    taken = mix(numbered.select(*known, "_number"), carry=("_number",), **options).where("taken > 0")
+    times = taken.select("_number", F.try_divide("taken", "size").cast("int").alias("_times"))
+    rows = numbered.join(times, "_number").withColumn("_time", F.explode(F.sequence(F.lit(1), "_times")))
+    return rows.select("_row.*")

@@ -248,5 +248,7 @@ def keep(
         c = lambda name: counts[name]
         return ~base_failed(c) & (F.size(_broken(rules, F.col("_cutoffs"), c)) == 0)
 
-    judged = docs.withColumn("_stratum", _stratum(stratum)).join(cutoffs, "_stratum", "left")
-    return judged.where(bind(text_counts(F.col(text)), kept)).select(docs.columns)
+    # The row travels as one column, so that no name of it can clash.
+    rows = docs.select(F.struct(*docs.columns).alias("_row"), _stratum(stratum).alias("_stratum"))
+    judged = rows.join(cutoffs, "_stratum", "left")
+    return judged.where(bind(text_counts(F.col(f"_row.`{text}`")), kept)).select("_row.*")

@@ -407,8 +407,9 @@ def remove_repeats(docs: DataFrame, text: str = "text", length: int = 200) -> Da
     added = ["n_bytes", "n_removed", "n_spans", "kept"]
     names = [c for c in docs.columns if c not in added]
     found = repeated_spans(docs, text, length).withColumnsRenamed({"key": "_key", "spans": "_spans", "copies": "_copies"})
-    keyed = docs.select(*names, F.xxhash64(text).alias("_key"))
-    joined = keyed.join(found, "_key", "left").select(*names, "_spans", "_copies")
+    # The row travels as one column, so that no name of it can clash.
+    keyed = docs.select(F.struct(*names).alias("_row"), F.xxhash64(text).alias("_key"))
+    joined = keyed.join(found, "_key", "left").select("_row.*", F.col("_spans").alias("_1"), F.col("_copies").alias("_2"))
     at = names.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
