@@ -24,8 +24,8 @@ from pyspark.sql import DataFrame
 from .batches import add_columns, texts
 
 SPACE = "▁"
-CACHED_SEGMENTS = 700_000
-CACHED_PAIRS = 400_000
+CACHED_SEGMENTS = 300_000
+CACHED_PAIRS = 150_000
 LONGEST_CACHED = 48
 
 

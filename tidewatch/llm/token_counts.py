@@ -15,7 +15,7 @@ from .sentencepiece_bpe import BoundedCache
 
 # Fixed value: the pattern that splits a text before merging.
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-CACHED_WORDS = 600_000
+CACHED_WORDS = 400_000
 LONGEST_CACHED = 48
 
 
