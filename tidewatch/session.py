@@ -76,12 +76,19 @@ def materialise(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession) -> int:
-    """Delete the tables that ``materialise`` wrote so far and return their number.
+def written(spark: SparkSession) -> list[str]:
+    """Paths of the tables that ``materialise`` wrote and that are still there."""
+    return list(_STAGES.get(spark.sparkContext.applicationId, []))
+
+
+def release(spark: SparkSession, paths: list[str] | None = None) -> int:
+    """Delete tables that ``materialise`` wrote (default: all so far) and return their number.
 
     For long sessions, once the results that read them have been written.
     """
-    paths = _STAGES.pop(spark.sparkContext.applicationId, [])
+    held = _STAGES.get(spark.sparkContext.applicationId, [])
+    paths = [p for p in held if paths is None or p in paths]
+    _STAGES[spark.sparkContext.applicationId] = [p for p in held if p not in paths]
     for path in paths:
         target, files = _file_system(spark, path)
         files.delete(target, True)
