@@ -170,6 +170,25 @@ def test_passage_edges(spark):
     assert substring_dedup.repeated_passages(df.limit(0)).count() == 0
 
 
+def test_passages_with_a_line_that_comes_earlier_too():
+    """An exact run counts wherever its shingles also come, at its ends or beside it."""
+    fresh = lambda n, draw=np.random.default_rng(5): draw.integers(0, 2**62, n).astype(np.uint64)
+    run = fresh(46)
+    for line in (run[:12], run[-12:], run[:30], run[-30:]):
+        x, y = np.concatenate([fresh(9), run, fresh(20)]), np.concatenate([line, fresh(88), run, fresh(5), line])
+        assert [r[:2] for r in substring_dedup.passages(x, y, 46, 80)] == [(9, 55)]
+    beside = fresh(30)
+    x, y = np.concatenate([fresh(9), run, beside, fresh(9)]), np.concatenate([beside, fresh(88), run, fresh(5)])
+    assert substring_dedup.passages(x, y, 46, 80) == [(9, 55, 118, 164, 46, 46)]
+    draw = np.random.default_rng(6)
+    for _ in range(200):  # few different shingles, so that most come often
+        pool = [fresh(int(n)) for n in draw.integers(3, 30, 6)]
+        x, y = (np.concatenate([pool[i] for i in draw.integers(0, 6, 14)]) for _ in "xy")
+        want = {tuple(y[i : i + 46]) for i in range(len(y) - 45)}
+        covered = {i for b, e, *_ in substring_dedup.passages(x, y, 46, 80) for i in range(b, e)}
+        assert all(set(range(i, i + 46)) <= covered for i in range(len(x) - 45) if tuple(x[i : i + 46]) in want)
+
+
 def test_loser_tree():
     draw = random.Random(4)
     for trial in range(60):
