@@ -189,6 +189,19 @@ def test_passages_with_a_line_that_comes_earlier_too():
         assert all(set(range(i, i + 46)) <= covered for i in range(len(x) - 45) if tuple(x[i : i + 46]) in want)
 
 
+def test_exact_passages_whose_lines_earlier_documents_hold_alone(spark):
+    """The first document of every signature has one line only; the passage is in later ones."""
+    rows = []
+    for n in range(30):
+        lines = [prose(26, 7000 + 10 * n + i) for i in range(2)]
+        for i in range(12):
+            rows.append((100 * n + i, prose(40, 9000 + 100 * n + i) + " " + lines[i % 2] + " " + prose(40, 9050 + 100 * n + i)))
+        for i in (50, 51):
+            rows.append((100 * n + i, prose(30, 8000 + 100 * n + i) + " " + " ".join(lines) + " " + prose(30, 8060 + 100 * n + i)))
+    found = substring_dedup.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {(r.doc_id, r.other_id, r.first_word, r.n_words, r.other_first_word) for r in found} == {(100 * n + 51, 100 * n + 50, 30, 52, 30) for n in range(30)}
+
+
 def test_loser_tree():
     draw = random.Random(4)
     for trial in range(60):
