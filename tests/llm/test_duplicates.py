@@ -202,6 +202,36 @@ def test_exact_passages_whose_lines_earlier_documents_hold_alone(spark):
     assert {(r.doc_id, r.other_id, r.first_word, r.n_words, r.other_first_word) for r in found} == {(100 * n + 51, 100 * n + 50, 30, 52, 30) for n in range(30)}
 
 
+def brute_similar(one: list, two: list) -> float:
+    a, b = ({tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (one, two))
+    return len(a & b) / len(a | b)
+
+
+@pytest.mark.parametrize("edits", [1, 2])
+def test_recall_of_edited_passages_of_fifty_words(spark, edits):
+    """Of passages of 50 words that brute force finds similar enough, 97 % and more are found."""
+    draw = random.Random(20 + edits)
+    rows, want = [], {}
+    while len(want) < 300:
+        n = len(want)
+        passage = prose(50, 20_000 + n).split()
+        edited = list(passage)
+        for at in draw.sample(range(1, 49), edits):
+            edited[at] = f"edit{n}"
+        if brute_similar(passage, edited) >= 0.8:
+            want[2 * n + 1] = 2 * n
+            for i, words in enumerate((passage, edited)):
+                rows.append((2 * n + i, " ".join([prose(30 + 20 * i, 40_000 + 2 * n + i), *words, prose(40, 60_000 + 2 * n + i)])))
+    got = substring_dedup.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    texts = {d: t.split() for d, t in rows}
+    for r in got:
+        one, two = texts[r.doc_id][r.first_word :][: r.n_words], texts[r.other_id][r.other_first_word :][: r.other_n_words]
+        assert abs(brute_similar(one, two) - r.similarity) < 1e-9 and r.similarity >= 0.8
+    found = len({r.doc_id for r in got if want.get(r.doc_id) == r.other_id})
+    print(f"recall with {edits} edits: {found}/{len(want)}")
+    assert found >= 0.97 * len(want)
+
+
 def test_loser_tree():
     draw = random.Random(4)
     for trial in range(60):
