@@ -108,6 +108,24 @@ def test_odd_pages(page, text):
     assert html_extract.extract(page, WEIGHTS) == text
 
 
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ("<body class='has-sidebar'><p>Text of page</p></body>", "Text of page"),
+        ("<body class='sidebar nav'><p>Text of page</p></body>", "Text of page"),
+        ("<div class='layout with-sidebar nav-open'><p>Text of page</p></div>", "Text of page"),
+        ("<div id=main class=no-comments><p>Text of page</p></div>", "Text of page"),
+        ("<article class='post social share'><p>Text of page</p></article>", "Text of page"),
+        ("<div class='widget'><article><p>Text of page</p></article></div>", "Text of page"),
+        ("<form><div class='menu'><main><p>Text of page</p></main></div></form>", "Text of page"),
+        ("<article><p>Text of page</p></article><div class=related><article><p>Other page</p></article></div>", "Text of page"),
+        ("<p>Text of page</p><div class='left-sidebar'><p>not this</p></div><div class=comment-list><p>nor this</p></div>", "Text of page"),
+    ],
+)
+def test_marks_that_only_mention_what_is_aside(page, text):
+    assert html_extract.extract(page, WEIGHTS) == text
+
+
 def test_page_edges(spark):
     df = spark.createDataFrame([(1, None, "x"), (1, None, "x"), (None, "<p>" + "word " * 50000, None)], "page_id long, html string, text string")
     got = html_extract.main_text(df, html_extract.fit_weights(df))

@@ -45,6 +45,9 @@ ASIDE_WORDS = frozenset(
     "toolbar widget".split()
 )
 HEADER_WORDS = frozenset("header masthead topbar".split())
+# In compound names: what denies or only mentions the last part, and what goes with a first part.
+WITHOUT = frozenset("has have with without no not non is hide show toggle".split())
+PARTS = frozenset("bar block box button buttons form inner item items link links list posts slot unit".split())
 ARTICLE = frozenset({"article", "main"})
 
 TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<[!?/][^>]*(?:>|\Z)|<[a-zA-Z][^>]*(?:>|\Z)""", re.S)
@@ -85,11 +88,17 @@ def pieces(page: str) -> Iterator[tuple[str, str, str, str]]:
 def marks(name: str, attributes: str) -> tuple[bool, bool, str]:
     """Whether an element is no article text, whether only outside an article, and its feature."""
     words: list[str] = []
+    named: set[str] = set()
     if attributes:
         for value in NAMES.findall(attributes):
-            words += re.findall(r"[a-z0-9]+", value.strip("\"'").lower())
-    aside = name in ASIDE or not ASIDE_WORDS.isdisjoint(words) or bool(attributes and HIDDEN.search(attributes))
-    header = name == "header" or not HEADER_WORDS.isdisjoint(words)
+            for token in value.strip("\"'").lower().split():
+                parts = re.findall(r"[a-z0-9]+", token)
+                words += parts
+                if parts and WITHOUT.isdisjoint(parts[:-1]):
+                    named.add(parts[0] if len(parts) > 1 and PARTS.issuperset(parts[1:]) else parts[-1])
+                    named.add(parts[-1])
+    aside = name in ASIDE or not ASIDE_WORDS.isdisjoint(named) or bool(attributes and HIDDEN.search(attributes))
+    header = name == "header" or not HEADER_WORDS.isdisjoint(named)
     return aside, header, f"{name}.{words[0]}" if words else name
 
 
@@ -98,43 +107,76 @@ def _marks(name: str, attributes: str) -> tuple[bool, bool, str]:
     return marks(name, attributes)
 
 
+def _spared(elements: list[tuple[str, bool, bool, str, int]]) -> set[int]:
+    """Elements whose own mark does not count, as they are or hold the article.
+
+    The body, articles and mains themselves, and what holds a main. Where every
+    article and main of the page stands in a marked element, all that hold one.
+    """
+    spared = {i for i, (name, *_) in enumerate(elements) if name in ("html", "body")}
+    chains = []
+    for i, (name, *_) in enumerate(elements):
+        if name in ARTICLE:
+            chain = [i]
+            while elements[chain[-1]][4] >= 0:
+                chain.append(elements[chain[-1]][4])
+            chains.append(chain)
+            spared.add(i)
+            if name == "main":
+                spared.update(j for j in chain if elements[j][0] not in ASIDE or elements[j][0] == "form")
+    if not any(all(j in spared or not (elements[j][1] or elements[j][2]) for j in chain) for chain in chains):
+        spared.update(j for chain in chains for j in chain)
+    return spared
+
+
 def scan(page: str) -> Iterator[tuple[str, str, bool, bool, bool, str]]:
     """``(feature, text, breaks, aside, inside, tag)`` for every tag and text of a page.
 
     ``breaks`` tells a block bound, ``aside`` that no article text is here,
     ``inside`` that an article element is open; ``tag`` is empty for a text.
     """
-    stack: list[tuple[str, bool, bool, str]] = []
+    # Name, whether aside, whether a header, feature and parent of each element; then tags and texts by their element.
+    elements: list[tuple[str, bool, bool, str, int]] = []
+    events: list[tuple[int, str, str]] = []
+    stack: list[int] = []
     for kind, name, attributes, text in pieces(page):
         if kind == "text":
-            top = stack[-1] if stack else ("", False, False, "")
-            yield top[3], text, False, top[1], top[2], ""
+            events.append((stack[-1] if stack else -1, text, ""))
             continue
         if kind == "open":
             ends = CLOSED_BY_NEXT.get(name)
             if ends:
                 for i in range(len(stack) - 1, -1, -1):
-                    if stack[i][0] in ends:
+                    if elements[stack[i]][0] in ends:
                         del stack[i:]
                         break
-                    if stack[i][0] in BLOCK:
+                    if elements[stack[i]][0] in BLOCK:
                         break
-            own_aside, header, feature = _marks(name, attributes)
-            top = stack[-1] if stack else ("", False, False, "")
-            aside = top[1] or own_aside or (header and not top[2])
-            inside = top[2] or name in ARTICLE
+            elements.append((name, *_marks(name, attributes), stack[-1] if stack else -1))
+            events.append((len(elements) - 1, "", name))
             if name not in VOID and not attributes.endswith("/"):
-                # Inline elements but links say nothing about the kind of text.
-                shown = feature if name in BLOCK or name == "a" or name in ASIDE else top[3]
-                stack.append((name, aside, inside, shown))
-            yield feature, "", name in BLOCK, aside, inside, name
+                stack.append(len(elements) - 1)
         else:
             for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == name:
+                if elements[stack[i]][0] == name:
                     del stack[i:]
                     break
-            top = stack[-1] if stack else ("", False, False, "")
-            yield name, "", name in BLOCK, top[1], top[2], "/" + name
+            events.append((stack[-1] if stack else -1, "", "/" + name))
+    spared = _spared(elements)
+    states: list[tuple[bool, bool, str]] = []
+    for i, (name, own_aside, header, feature, parent) in enumerate(elements):
+        aside, inside, shown = states[parent] if parent >= 0 else (False, False, "")
+        aside = aside or (i not in spared and (own_aside or (header and not inside)))
+        # Inline elements but links say nothing about the kind of text.
+        states.append((aside, inside or name in ARTICLE, feature if name in BLOCK or name == "a" or name in ASIDE else shown))
+    states.append((False, False, ""))  # outside of all elements: -1
+    for at, text, tag in events:
+        aside, inside, shown = states[at]
+        if not tag:
+            yield shown, text, False, aside, inside, ""
+        else:
+            name = tag.lstrip("/")
+            yield name if tag[0] == "/" else elements[at][3], "", name in BLOCK, aside, inside, tag
 
 
 def feature_counts(page: str) -> Counter:
