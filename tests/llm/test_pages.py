@@ -126,6 +126,28 @@ def test_marks_that_only_mention_what_is_aside(page, text):
     assert html_extract.extract(page, WEIGHTS) == text
 
 
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ("<article><p>Text of it, see <a href=x>Full report of all</a></p></article>", "Text of it, see Full report of all"),
+        ("<div><a href=x>Start of many words</a> and text of the page</div>", "Start of many words and text of the page"),
+        ("<p>Text of the page, see <a href=x>Full report of all</a></p><p><a href=y>more</a></p>", "Text of the page, see Full report of all"),
+        (
+            "<article><p>Begin here</p><ul><li><a href=x>one two three</a></li><li><a href=y>four five six</a></li></ul><p>and end</p></article>",
+            "Begin here one two three four five six and end",
+        ),
+        ("<nav><a href=z>menu</a></nav><article><ul><li><a href=x>one two three</a></li></ul><p>and end</p></article>", "one two three and end"),
+    ],
+)
+def test_links_of_an_article_stay(page, text):
+    assert html_extract.extract(page, WEIGHTS) == text
+
+
+def test_words_of_menus_are_no_evidence():
+    counts = html_extract.feature_counts("<nav><a href=x>one two</a></nav><article><p>three <a href=y>four</a></p></article>")
+    assert counts["word:a", True] == 1 and counts["word:a", False] == 0
+
+
 def test_page_edges(spark):
     df = spark.createDataFrame([(1, None, "x"), (1, None, "x"), (None, "<p>" + "word " * 50000, None)], "page_id long, html string, text string")
     got = html_extract.main_text(df, html_extract.fit_weights(df))

@@ -129,11 +129,13 @@ def _spared(elements: list[tuple[str, bool, bool, str, int]]) -> set[int]:
     return spared
 
 
-def scan(page: str) -> Iterator[tuple[str, str, bool, bool, bool, str]]:
-    """``(feature, text, breaks, aside, inside, tag)`` for every tag and text of a page.
+def scan(page: str) -> Iterator[tuple[str, str, bool, bool, bool, str, int]]:
+    """``(feature, text, breaks, aside, inside, tag, article)`` for every tag and text of a page.
 
     ``breaks`` tells a block bound, ``aside`` that no article text is here,
-    ``inside`` that an article element is open; ``tag`` is empty for a text.
+    ``inside`` that an article or main element is open; ``tag`` is empty for a
+    text; ``article`` is the number of the outermost open article element, -1
+    without one.
     """
     # Name, whether aside, whether a header, feature and parent of each element; then tags and texts by their element.
     elements: list[tuple[str, bool, bool, str, int]] = []
@@ -163,26 +165,32 @@ def scan(page: str) -> Iterator[tuple[str, str, bool, bool, bool, str]]:
                     break
             events.append((stack[-1] if stack else -1, "", "/" + name))
     spared = _spared(elements)
-    states: list[tuple[bool, bool, str]] = []
+    states: list[tuple[bool, bool, str, int]] = []
     for i, (name, own_aside, header, feature, parent) in enumerate(elements):
-        aside, inside, shown = states[parent] if parent >= 0 else (False, False, "")
+        aside, inside, shown, article = states[parent] if parent >= 0 else (False, False, "", -1)
+        article = i if article < 0 and name == "article" else article
         aside = aside or (i not in spared and (own_aside or (header and not inside)))
         # Inline elements but links say nothing about the kind of text.
-        states.append((aside, inside or name in ARTICLE, feature if name in BLOCK or name == "a" or name in ASIDE else shown))
-    states.append((False, False, ""))  # outside of all elements: -1
+        states.append((aside, inside or name in ARTICLE, feature if name in BLOCK or name == "a" or name in ASIDE else shown, article))
+    states.append((False, False, "", -1))  # outside of all elements: -1
     for at, text, tag in events:
-        aside, inside, shown = states[at]
+        aside, inside, shown, article = states[at]
         if not tag:
-            yield shown, text, False, aside, inside, ""
+            yield shown, text, False, aside, inside, "", article
         else:
             name = tag.lstrip("/")
-            yield name if tag[0] == "/" else elements[at][3], "", name in BLOCK, aside, inside, tag
+            yield name if tag[0] == "/" else elements[at][3], "", name in BLOCK, aside, inside, tag, article
 
 
 def feature_counts(page: str) -> Counter:
-    """How often each feature comes inside and outside the article of a labelled page."""
+    """How often each feature comes inside and outside the article of a labelled page.
+
+    Words that extraction leaves out by itself tell nothing about the others.
+    """
     out: Counter = Counter()
-    for feature, text, _, aside, inside, tag in scan(page):
+    for feature, text, _, aside, inside, tag, _ in scan(page):
+        if aside and not tag:
+            continue
         good = inside and not aside
         out[("tag:" + tag if tag else "word:" + feature, good)] += 1 if tag else len(text.split())
     return out
@@ -233,12 +241,26 @@ DEFAULT_WORD, DEFAULT_TAG = 0.2, -0.3
 ASIDE_WORD = -0.1  # left out anyway, so it may stand between two parts of an article
 
 
+def _whole(items: list[tuple], start: int, stop: int) -> tuple[int, int]:
+    """The region widened to the bounds of the blocks and articles in which it begins and ends."""
+    worded = [i for i in range(start, stop) if not items[i][5] and not items[i][3] and items[i][1].strip()]
+    if not worded:
+        return start, stop
+    first, last = worded[0], worded[-1]
+    one, other = items[first][6], items[last][6]
+    while first > 0 and (items[first - 1][6] == one if one >= 0 else not items[first - 1][2]):
+        first -= 1
+    while last + 1 < len(items) and (items[last + 1][6] == other if other >= 0 else not items[last + 1][2]):
+        last += 1
+    return min(start, first), max(stop, last + 1)
+
+
 def extract(page: str, weights: dict[str, float]) -> str:
     """The text of the best region: its blocks in order, each with single spaces."""
     items = list(scan(page))
     best, best_from, best_to = 0.0, 0, 0
     total, begin = 0.0, 0
-    for i, (feature, text, _, aside, _, tag) in enumerate(items):
+    for i, (feature, text, _, aside, _, tag, _) in enumerate(items):
         if tag:
             score = min(-0.05, weights.get("tag:" + tag, DEFAULT_TAG))
         else:
@@ -257,7 +279,9 @@ def extract(page: str, weights: dict[str, float]) -> str:
             best, best_from, best_to = total, begin, i + 1
     blocks: list[str] = []
     parts: list[str] = []
-    for _, text, breaks, aside, _, _ in items[best_from:best_to]:
+    if best > 0:
+        best_from, best_to = _whole(items, best_from, best_to)
+    for _, text, breaks, aside, _, _, _ in items[best_from:best_to]:
         if breaks and parts:
             blocks.append("".join(parts))
             parts = []
