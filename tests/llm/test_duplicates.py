@@ -280,6 +280,19 @@ def test_repeated_strings(spark, monkeypatch, frequent, a_range, batch):
     assert mine == brute_repeats(rows)
 
 
+@pytest.mark.parametrize("length", [255, 256, 300, 520])
+def test_repeated_strings_of_other_lengths(spark, length):
+    draw = random.Random(length)
+    passages = [prose(n, 70 + n) for n in (60, 80, 81, 150, 250)]
+    rows = ["x" * length, "y" * (2 * length), passages[-1], passages[-1]]
+    for i in range(30):
+        rows.append(" ".join(x for j in range(2) for x in (prose(draw.randint(0, 60), 3000 + 2 * i + j), draw.choice(passages))))
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    got = suffix_dedup.remove_repeats(df.repartition(3), length=length).collect()
+    mine = [(r.n_bytes, r.n_removed, r.n_spans, hashlib.sha256(r.kept).hexdigest()) for r in sorted(got, key=lambda r: r.doc_id)]
+    assert mine == brute_repeats(rows, length)
+
+
 def test_repeats_of_the_query(spark, documents):
     keys = sorted(documents)
     got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in QUERIES["op8_suffix_dedup"](spark, SF_DIR).collect()}

@@ -173,15 +173,21 @@ def _context(found: Pieces, some: np.ndarray, length: int) -> tuple[np.ndarray,
     return rows, back
 
 
+def _counts(length: int) -> str:
+    """The type of common prefixes and distances, which are ``length`` at most."""
+    return "<u1" if length < 1 << 8 else "<u2" if length < 1 << 16 else "<u4"
+
+
 def _pack_run(rows, back, keys, p, low, high) -> bytes:
     """Front-code sorted suffixes; the columns follow one another, then all is compressed."""
     n, length = rows.shape
-    lcp = np.zeros(n, np.uint8)
+    kind = _counts(length)
+    lcp = np.zeros(n, kind)
     if n > 1:
         differ = rows[1:] != rows[:-1]
         lcp[1:] = np.where(differ.any(1), differ.argmax(1), length)
     rest = rows[np.arange(length) >= lcp[:, None]]
-    parts = [np.array([n], "<i8"), keys.astype("<i8"), p.astype("<i8"), low.astype(np.uint8), high.astype(np.uint8), lcp, back, rest]
+    parts = [np.array([n], "<i8"), keys.astype("<i8"), p.astype("<i8"), low.astype(kind), high.astype(kind), lcp, back, rest]
     return zstandard.ZstdCompressor(level=1).compress(b"".join(x.tobytes() for x in parts))
 
 
@@ -190,7 +196,8 @@ def _unpack_run(blob: bytes, length: int):
     n = int(np.frombuffer(data, "<i8", 1)[0])
     at = 8
     out = []
-    for kind, width in (("<i8", 1), ("<i8", 1), (np.uint8, 1), (np.uint8, 1), (np.uint8, 1), (np.uint8, length - GRAM)):
+    counts = _counts(length)
+    for kind, width in (("<i8", 1), ("<i8", 1), (counts, 1), (counts, 1), (counts, 1), (np.uint8, length - GRAM)):
         out.append(np.frombuffer(data, kind, n * width, at))
         at += out[-1].nbytes
     keys, p, low, high, lcp, back = out
