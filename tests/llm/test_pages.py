@@ -68,6 +68,17 @@ def test_magic_inside_records_and_foreign_members():
         assert found == ["a", "b"]
 
 
+def test_records_after_a_damaged_one():
+    parts = [warc.record("response", name, "u", "d", name.encode() * 300) for name in "abcd"]
+    middle = len(parts[1]) // 2
+    parts[1] = parts[1][:middle] + b"\xff" * 9 + parts[1][middle + 9 :]
+    data = b"".join(parts)
+    at = lambda a, n: data[a : a + n]
+    for step in (50, len(data)):
+        found = [f["record_id"] for a in range(0, len(data), step) for _, f in warc.records_in(at, a, min(len(data), a + step))]
+        assert found == ["a", "c", "d"]
+
+
 def test_query_archives(spark):
     rows = [(r.page_id, r.html) for r in spark.read.parquet(f"{SF_DIR}/pages.parquet").collect()]
     assert sorted(map(tuple, QUERIES["op2_warc"](spark, SF_DIR).collect()), key=str) == expected_records(rows)

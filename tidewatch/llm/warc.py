@@ -168,26 +168,28 @@ def parse(data: bytes) -> dict | None:
 def records_in(read, begin: int, end: int) -> Iterator[tuple[int, dict]]:
     """Records of an archive that start in ``[begin, end)``; ``read(at, n)`` gives its bytes."""
     at = begin
-    found = None
-    while at < end and found is None:  # the first member: anything that looks like one is tried
-        data = read(at, min(CHUNK, end - at) + len(MAGIC) - 1)
-        place = data.find(MAGIC)
-        while 0 <= place < end - at and found is None:
-            member = _member(read, at + place, b"WARC/1.")
-            if member and parse(member[0]):
-                found = (at + place, *member)
-            else:
-                place = data.find(MAGIC, place + 1)
-        if len(data) < len(MAGIC):
-            return
-        at += max(1, len(data) - len(MAGIC) + 1)
-    while found is not None:
-        start, data, stop = found
-        fields = parse(data)
-        if fields:
-            yield start, fields
-        member = _member(read, stop) if stop < end else None
-        found = (stop, *member) if member else None
+    while at < end:
+        # The first member, or the next one after a damaged one: anything that looks like one is tried.
+        found = None
+        while at < end and found is None:
+            data = read(at, min(CHUNK, end - at) + len(MAGIC) - 1)
+            place = data.find(MAGIC)
+            while 0 <= place < end - at and found is None:
+                member = _member(read, at + place, b"WARC/1.")
+                if member and parse(member[0]):
+                    found = (at + place, *member)
+                else:
+                    place = data.find(MAGIC, place + 1)
+            if len(data) < len(MAGIC):
+                return
+            at += max(1, len(data) - len(MAGIC) + 1)
+        while found is not None:
+            start, data, at = found
+            fields = parse(data)
+            if fields:
+                yield start, fields
+            member = _member(read, at) if at < end else None
+            found = (at, *member) if member else None
 
 
 def read_archives(spark: SparkSession, archives: DataFrame, split: int = SPLIT) -> DataFrame:
@@ -195,7 +197,8 @@ def read_archives(spark: SparkSession, archives: DataFrame, split: int = SPLIT)
 
     ``record_id`` and ``refers_to`` come without brackets. For a response size
     and digest are taken from the payload read, for a revisit (payload null)
-    from its headers. Members that are no WARC records are skipped. An empty
+    from its headers. Members that are no WARC records, or are damaged, are
+    skipped; reading goes on after them. An empty
     listing gives an empty result; other columns of it are not used.
     """
     ranges = archives.where("size > 0").select(
