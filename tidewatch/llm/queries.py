@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html_extract, jaccard_join, mixing, mtree, quality_rules, sentencepiece_bpe, substring_dedup, suffix_dedup, token_counts, warc
+from . import html_extract, jaccard_join, mixing, mtree, quality_rules, sentencepiece_bpe, sharding, substring_dedup, suffix_dedup, token_counts, warc
 from .registry import ORACLES, QUERIES, query, table
 
 __all__ = ["QUERIES", "ORACLES"]
@@ -146,3 +146,28 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_jaccard_join")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.linked_components(table(spark, sf_dir, "documents"), k=4, percent=85)
+
+
+# The checksum goes byte by byte through its table, which the recursion makes.
+OP13_SQL = """
+WITH RECURSIVE bits(i, step, c) AS (SELECT i::UBIGINT, 0, i::UBIGINT FROM range(256) t(i) UNION ALL
+  SELECT i, step + 1, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384::UBIGINT) ELSE c >> 1 END FROM bits WHERE step < 8),
+crcs AS (SELECT list(c ORDER BY i) AS tab FROM bits WHERE step = 8),
+d AS (SELECT doc_id, coalesce('0' || source, '1') AS queue, md5('shard:' || coalesce(doc_id::VARCHAR, '')) AS hash, hex(encode(coalesce(text, ''))) AS h FROM documents),
+b AS (SELECT doc_id, queue, hash, strlen(h) // 2 + 8 AS size, tab, list_prepend(4294967295::UBIGINT, list_transform(regexp_extract_all(h, '..'),
+             lambda x: (instr('123456789ABCDEF', x[1]) * 16 + instr('123456789ABCDEF', x[2]))::UBIGINT)) AS bytes FROM d, crcs),
+s AS (SELECT doc_id, queue, hash, size, xor(list_reduce(bytes, lambda c, x: xor(c >> 8, tab[(xor(c, x) & 255)::BIGINT + 1])), 4294967295::UBIGINT)::BIGINT AS crc FROM b),
+r AS (SELECT *, row_number() OVER (PARTITION BY queue ORDER BY hash, doc_id, size, crc) AS r, count(*) OVER (PARTITION BY queue) AS n FROM s),
+p AS (SELECT *, row_number() OVER (ORDER BY (2 * r - 1)::DOUBLE / (2 * n)::DOUBLE, queue, hash, doc_id, size, crc) - 1 AS place, count(*) OVER () AS total FROM r),
+c AS (SELECT *, place * 24 // total AS shard FROM p)
+SELECT doc_id, size::BIGINT AS size, crc AS text_crc32, 'rows' AS law, shard::INTEGER AS shard,
+       (row_number() OVER (PARTITION BY shard ORDER BY place) - 1)::BIGINT AS slot, NULL::INTEGER AS grown_shard FROM c
+"""
+
+
+@query("op13_sharding", OP13_SQL)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = sharding.interleave(table(spark, sf_dir, "documents"), shards=24)
+    return placed.select(
+        "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
+    )
