@@ -6,8 +6,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html_extract, jaccard_join, mixing, mtree, quality_rules, sentencepiece_bpe, sharding, substring_dedup, suffix_dedup, token_counts, warc
+from . import collocations, html_extract, jaccard_join, mixing, mtree, periodic_runs, quality_rules, sentencepiece_bpe, sharding, substring_dedup, suffix_dedup, token_counts, warc
 from .registry import ORACLES, QUERIES, query, table
+from .words import bind, words
 
 __all__ = ["QUERIES", "ORACLES"]
 
@@ -148,6 +149,91 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.linked_components(table(spark, sf_dir, "documents"), k=4, percent=85)
 
 
+# The checksum table by recursion; then all pairs of equal words of a text give, distance by
+# distance, the stretches that repeat, less those that a smaller distance has too.
+OP11_SQL = """
+WITH RECURSIVE bits(i, step, c) AS (SELECT i::UBIGINT, 0, i::UBIGINT FROM range(256) t(i) UNION ALL
+  SELECT i, step + 1, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384::UBIGINT) ELSE c >> 1 END FROM bits WHERE step < 8),
+crcs AS (SELECT list(c ORDER BY i) AS tab FROM bits WHERE step = 8),
+b AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS ws, tab,
+             list_prepend(4294967295::UBIGINT, list_transform(string_split(doc_id::VARCHAR, ''), lambda x: ascii(x)::UBIGINT)) AS bytes FROM documents, crcs),
+h AS (SELECT rid, doc_id, ws, len(ws)::BIGINT AS n,
+             xor(list_reduce(bytes, lambda c, x: xor(c >> 8, tab[(xor(c, x) & 255)::BIGINT + 1])), 4294967295::UBIGINT)::BIGINT AS h FROM b),
+g AS (SELECT *, (h // 10) % n AS a, 1 + (n - (h // 10) % n) // (3 + (h // 10) % 8) AS p FROM h),
+d AS (SELECT rid, doc_id, n, CASE WHEN h % 10 = 0 AND n > 0 THEN list_transform(range(0, n), lambda i: ws[CASE WHEN i < a THEN i ELSE a + (i - a) % p END + 1]) ELSE ws END AS ws FROM g),
+w AS (SELECT rid, unnest(ws) AS w, unnest(range(0, n)) AS i FROM d),
+e AS (SELECT x.rid, x.i, x.i - y.i AS q FROM w x JOIN w y ON x.rid = y.rid AND x.w = y.w AND y.i < x.i),
+k AS (SELECT *, i - row_number() OVER (PARTITION BY rid, q ORDER BY i) AS k FROM e),
+s AS (SELECT rid, q, min(i) - q AS start, count(*) + q AS length FROM k GROUP BY rid, q, k HAVING count(*) + q >= greatest(6, 4 * q)),
+r AS (SELECT * FROM s WHERE NOT EXISTS (SELECT 1 FROM s t WHERE t.rid = s.rid AND t.q < s.q AND t.start <= s.start AND t.start + t.length >= s.start + s.length)),
+x AS (SELECT DISTINCT rid, i FROM (SELECT rid, unnest(range(start + q, start + length)) AS i FROM r)),
+c AS (SELECT rid, string_agg(w, ' ' ORDER BY i) AS kept FROM w ANTI JOIN x USING (rid, i) GROUP BY rid),
+l AS (SELECT rid, count(*) AS n_runs, string_agg(start || ',' || length || ',' || q || chr(10), '' ORDER BY start, q) AS list FROM r GROUP BY rid),
+m AS (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY rid ORDER BY length / q DESC, start, q) = 1)
+SELECT doc_id, coalesce(n_runs, 0)::BIGINT AS n_runs, start::BIGINT AS start, length::BIGINT AS length, q::BIGINT AS period, (1000 * length // q)::BIGINT AS exponent_milli,
+       sha256(coalesce(list, '')) AS runs_sha256, sha256(coalesce(kept, '')) AS collapsed_sha256
+FROM d LEFT JOIN l USING (rid) LEFT JOIN m USING (rid) LEFT JOIN c USING (rid)
+"""
+
+
+def _planted(doc_id: str, text: str):
+    """The text, in which one document in ten goes on with a period after some word, as the query's contract says."""
+    h = F.crc32(F.col(doc_id).cast("string").cast("binary"))
+    g = F.floor(h / 10)
+
+    def rewritten(ws):
+        n = F.size(ws).cast("long")
+        a = F.when(n > 0, g % n)
+        p = 1 + F.floor((n - a) / (3 + g % 8))
+        place = lambda i: F.when(i < a, i).otherwise(a + (i - a) % p)
+        return F.array_join(F.transform(F.sequence(F.lit(0).cast("long"), n - 1), lambda i: F.get(ws, place(i).cast("int"))), " ")
+
+    chosen = (h % 10 == 0) & F.col(text).rlike(r"[^\x20\x09-\x0D]")
+    return F.when(chosen, bind(words(F.col(text)), rewritten)).otherwise(F.col(text))
+
+
+@query("op11_periodic_runs", OP11_SQL)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents").select("doc_id", _planted("doc_id", "text").alias("text"))
+    found = periodic_runs.collapsed(documents)
+    line = lambda r: F.concat(r["start"], F.lit(","), r["length"], F.lit(","), r["period"], F.lit("\n"))
+    best = found.withColumn("best", periodic_runs.strongest(F.col("runs")))
+    return best.select(
+        F.col("_row.doc_id").alias("doc_id"),
+        F.size("runs").cast("long").alias("n_runs"),
+        "best.start",
+        "best.length",
+        "best.period",
+        F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+        F.sha2(F.array_join(F.transform("runs", line), "").cast("binary"), 256).alias("runs_sha256"),
+        F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"),
+    )
+
+
+OP12_SQL = """
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                                          '[.,;:!?\\x0A-\\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS ws FROM p),
+n AS (SELECT lang, sum(len(ws))::HUGEINT AS n FROM w GROUP BY lang),
+g AS (SELECT lang, m, array_to_string(ws[i : i + m - 1], ' ') AS phrase FROM (SELECT lang, m, ws, unnest(range(1, len(ws) - m + 2)) AS i FROM w, range(1, 6) AS t(m))),
+f AS (SELECT lang, m, phrase, count(*)::HUGEINT AS a FROM g GROUP BY ALL HAVING count(*) >= 100),
+s AS (SELECT lang, m, a, string_split(phrase, ' ') AS ws, phrase FROM f),
+c AS (SELECT s.lang, s.phrase, s.a, k, x.a AS l, y.a AS r, n, 1000 * s.a * n // (x.a * y.a) AS score
+      FROM (SELECT *, unnest(range(1, m)) AS k FROM s) s JOIN n USING (lang)
+      JOIN f x ON x.lang = s.lang AND x.phrase = array_to_string(s.ws[:k], ' ') JOIN f y ON y.lang = s.lang AND y.phrase = array_to_string(s.ws[k + 1:], ' ')),
+b AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+inside AS (SELECT DISTINCT s.lang, array_to_string(s.ws[i : i + j - 1], ' ') AS phrase, s.a FROM s, range(2, 5) AS t(j), range(1, 5) AS u(i) WHERE j < m AND i + j - 1 <= m),
+kept AS (SELECT * FROM b WHERE NOT EXISTS (SELECT 1 FROM inside i WHERE i.lang = b.lang AND i.phrase = b.phrase AND 100 * i.a >= 100 * b.a))
+SELECT lang, rank::INTEGER AS rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n::BIGINT AS n, score::BIGINT AS score
+FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept) WHERE rank <= 2000
+"""
+
+
+@query("op12_collocations", OP12_SQL)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents").select("lang", "text"))
+
+
 # The checksum goes byte by byte through its table, which the recursion makes.
 OP13_SQL = """
 WITH RECURSIVE bits(i, step, c) AS (SELECT i::UBIGINT, 0, i::UBIGINT FROM range(256) t(i) UNION ALL
