@@ -1,18 +1,18 @@
 """Phrase collocations from exact counts of all frequent n-grams.
 
-Counting runs in two passes over *blocks*: written rows of a few megabytes of
-plain text in one language. The first pass cuts the 64-bit hashes of a block's
-n-grams into hash partitions by their highest bits and sends each partition the
-distinct hashes with their counts. A partition merges what it gets into one
+Counting runs over *blocks*: written rows of a few megabytes of plain text in
+one language. The 64-bit hashes of a block's n-grams are cut into hash
+partitions by their highest bits, and each partition is sent the distinct
+hashes with their counts. A first pass merges what a partition gets into one
 Misra-Gries summary, whose capacity exceeds the partition's mass divided by the
-threshold; so no n-gram that is frequent can have been dropped. The survivors'
-hashes are then added up exactly, and every block is told by one bit per
-distinct hash which of its n-grams are frequent. The second pass counts just
-these, by their words, so that colliding hashes count nothing together.
+threshold; so no n-gram that is frequent can have been dropped. A second pass
+over the partition adds up the survivors exactly. Of the blocks that hold a
+frequent n-gram one is asked for its words.
 
 The number of partitions grows with the number of words. A block, a partition's
 hashes and a summary have bounded sizes, whatever the corpus and however common
-a phrase: a block sends each of its n-grams once.
+a phrase: a block sends each of its n-grams once, and each frequent one is
+named once.
 """
 
 from __future__ import annotations
@@ -32,7 +32,7 @@ from .textscan import Scan, mix
 LONGEST = 5
 THRESHOLD = 100
 BLOCK_BYTES = 4 << 20
-PARTITION_MASS = 4 << 20
+PARTITION_MASS = 2 << 20
 UNKNOWN = "und"
 
 _U = np.uint64
@@ -126,50 +126,53 @@ def _cut(keys: np.ndarray, bits: int) -> Iterator[tuple[int, int, int]]:
         yield int(part[at]), int(at), int(to)
 
 
-def _planes(numbers: np.ndarray) -> bytes:
-    """32-bit numbers, all first bytes before all second ones: the compression of the exchange finds the zeros."""
-    return numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
+def _planes(numbers: np.ndarray, kind: str) -> bytes:
+    """Numbers of a kind, all first bytes before all second ones: the compression of the exchange finds the zeros."""
+    wide = np.dtype(kind).itemsize
+    return numbers.astype(kind).view(np.uint8).reshape(-1, wide).T.tobytes()
 
 
-def _numbers(planes: bytes) -> np.ndarray:
-    return np.frombuffer(planes, np.uint8).reshape(4, -1).T.copy().view("<u4").ravel()
+def _numbers(planes: bytes, kind: str) -> np.ndarray:
+    wide = np.dtype(kind).itemsize
+    return np.frombuffer(planes, np.uint8).reshape(wide, -1).T.copy().view(kind).ravel()
 
 
 def misra_gries(counts: Iterable[tuple[np.ndarray, np.ndarray]], capacity: int) -> tuple[np.ndarray, np.ndarray, int]:
-    """One summary of several tables of distinct 32-bit keys with their counts: keys, counters and error.
+    """One summary of several tables of distinct keys with their counts: keys, counters and error.
 
     At most ``capacity`` counters. A key's true count lies between its counter
     (0 if it has none) and that plus the error, and the error is at most the
     mass divided by ``capacity + 1``. Summaries of parts merge the same way.
     """
-    held, error = np.zeros(0, _U), 0
-    waiting: list[np.ndarray] = []
+    keys, counters, error = np.zeros(0, _U), np.zeros(0, np.int64), 0
+    waiting: list[tuple[np.ndarray, np.ndarray]] = []
     size = 0
 
-    def merge() -> np.ndarray:
-        nonlocal error
-        # Key above, counter below: one sort brings equal keys together.
-        both = np.sort(np.concatenate([held, *waiting]))
-        keys = both >> _U(32)
-        first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
-        if not len(first):
-            return held
-        sums = np.add.reduceat(both & _U(0xFFFFFFFF), first)
-        keys = keys[first]
+    def merge() -> None:
+        nonlocal keys, counters, error, size
+        every = np.concatenate([keys, *(k for k, _ in waiting)])
+        sums = np.concatenate([counters, *(c for _, c in waiting)])
+        waiting.clear()
+        size = 0
+        if not len(every):
+            return
+        order = np.argsort(every)
+        every, sums = every[order], sums[order]
+        first = np.flatnonzero(np.concatenate([[True], every[1:] != every[:-1]]))
+        keys, counters = every[first], np.add.reduceat(sums, first)
         if len(keys) > capacity:
-            cut = int(np.partition(sums, len(sums) - capacity - 1)[len(sums) - capacity - 1])
+            cut = int(np.partition(counters, len(keys) - capacity - 1)[len(keys) - capacity - 1])
             error += cut
-            keys, sums = keys[sums > cut], sums[sums > cut] - _U(cut)
-        # Counters beyond 32 bits stay frequent at the largest one.
-        return keys << _U(32) | np.minimum(sums, _U(0xFFFFFFFF))
+            kept = counters > cut
+            keys, counters = keys[kept], counters[kept] - cut
 
-    for keys, numbers in counts:
-        waiting.append(keys.astype(_U) << _U(32) | numbers.astype(_U))
-        size += len(keys)
+    for some, numbers in counts:
+        waiting.append((some, numbers.astype(np.int64)))
+        size += len(some)
         if size >= max(4 * capacity, 1 << 16):
-            held, waiting, size = merge(), [], 0
-    held = merge()
-    return held >> _U(32), held & _U(0xFFFFFFFF), error
+            merge()
+    merge()
+    return keys, counters, error
 
 
 def _send(blocked: DataFrame, bits: int, longest: int) -> DataFrame:
@@ -181,92 +184,90 @@ def _send(blocked: DataFrame, bits: int, longest: int) -> DataFrame:
         for batch in batches:
             for block, lang, body in zip(*(batch.column(i) for i in range(3))):
                 keys, counts = _block_keys(body.as_py(), lang.as_py(), longest)
-                rows = []
-                for part, at, to in _cut(keys, bits):
-                    short = _short(keys[at:to], bits)
-                    rows.append((part, block.as_py(), _planes(np.diff(short, prepend=_U(0))), _planes(counts[at:to])))
+                rows = [
+                    (part, block.as_py(), _planes(np.diff(keys[at:to], prepend=_U(part << 64 - bits)), "<u8"), _planes(counts[at:to], "<u4"))
+                    for part, at, to in _cut(keys, bits)
+                ]
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=names)
 
     return blocked.select("block", "lang", "plain").mapInArrow(send, "part long, block long, keys binary, counts binary")
 
 
-def _short(keys: np.ndarray, bits: int) -> np.ndarray:
-    """The 32 bits that follow the partition's."""
-    return (keys << _U(bits)) >> _U(32)
-
+def _found(sent: DataFrame, bits: int, threshold: int) -> DataFrame:
+    """Rows ``block, part, places, found``: frequent n-grams that a block is to name, by their place among the hashes sent, and their counts."""
 
-def _flag(sent: DataFrame, threshold: int) -> DataFrame:
-    """Rows ``block, part, flags``: one bit per hash sent, set where it is frequent."""
-
-    def flag(table: pa.Table) -> pa.Table:
+    def find(table: pa.Table) -> pa.Table:
+        part = table.column("part")[0].as_py()
         held = [
-            (block, np.cumsum(_numbers(keys), dtype=_U), _numbers(counts))
-            for block, keys, counts in zip(*(table.column(c).to_pylist() for c in ("block", "keys", "counts")))
+            (block, np.cumsum(np.concatenate([[_U(part << 64 - bits)], _numbers(keys.as_py(), "<u8")]), dtype=_U)[1:], _numbers(counts.as_py(), "<u4"))
+            for block, keys, counts in zip(table.column("block").to_pylist(), table.column("keys"), table.column("counts"))
         ]
-        # Two hashes of one block may share their 32 bits; the summary asks for distinct ones.
         mass = sum(int(counts.sum()) for _, _, counts in held)
         keys, counters, error = misra_gries(((k, c) for _, k, c in held), mass // threshold + 1)
-        keys = keys[counters + _U(error) >= _U(threshold)]
-        total = np.zeros(len(keys) + 1, np.int64)
-        places = []
-        for _, found, counts in held:
-            at = np.searchsorted(keys, found)
-            at[at == len(keys)] = 0
-            at = np.where(keys[at] == found, at, len(keys)) if len(keys) else np.full(len(found), len(keys))
-            np.add.at(total, at, counts)
-            places.append(at)
-        frequent = np.append(total[:-1] >= threshold, False)
-        part = table.column("part")[0].as_py()
-        rows = [(block, part, np.packbits(bits).tobytes()) for (block, _, _), at in zip(held, places) if (bits := frequent[at]).any()]
-        block, parts, flags = zip(*rows) if rows else ((), (), ())
-        return pa.table({"block": pa.array(block, pa.int64()), "part": pa.array(parts, pa.int64()), "flags": pa.array(flags, pa.binary())})
-
-    return sent.groupBy("part").applyInArrow(flag, "block long, part long, flags binary")
-
-
-def _count(blocked: DataFrame, flags: DataFrame, bits: int, longest: int) -> DataFrame:
-    """Rows ``lang, phrase, n, found``: the flagged n-grams of each block, counted by their words."""
+        keys = keys[counters + error >= threshold]
+        total = np.zeros(len(keys), np.int64)
+        least = np.full(len(keys), np.iinfo(np.uint64).max)
+        hits = []
+        for block, found, counts in held:
+            where = np.flatnonzero(np.isin(found, keys, assume_unique=True))
+            at = np.searchsorted(keys, found[where])
+            total[at] += counts[where]
+            # Any holder may name it; which one is left to a hash, so that all get a share.
+            drawn = mix(found[where] ^ mix(np.array([block], np.int64).view(_U)))
+            least[at] = np.minimum(least[at], drawn)
+            hits.append((block, where, at, drawn))
+        rows = []
+        for block, where, at, drawn in hits:
+            own = (drawn == least[at]) & (total[at] >= threshold)
+            if own.any():
+                rows.append((block, part, where[own].astype("<u4").tobytes(), total[at[own]].astype("<i8").tobytes()))
+        types = [pa.int64(), pa.int64(), pa.binary(), pa.binary()]
+        columns = zip(*rows) if rows else ((),) * 4
+        return pa.table([pa.array(c, t) for c, t in zip(columns, types)], names=["block", "part", "places", "found"])
+
+    return sent.groupBy("part").applyInArrow(find, "block long, part long, places binary, found binary")
+
+
+def _named(blocked: DataFrame, found: DataFrame, bits: int, longest: int) -> DataFrame:
+    """Rows ``lang, phrase, n, found``: the words of the n-grams that the blocks are to name."""
     names = ["lang", "phrase", "n", "found"]
     types = [pa.string(), pa.string(), pa.int32(), pa.int64()]
 
-    def count(left: pa.Table, right: pa.Table) -> pa.Table:
+    def name(left: pa.Table, right: pa.Table) -> pa.Table:
         rows: list[list] = [[], [], [], []]
         if left.num_rows and right.num_rows:
             lang, body = left.column("lang")[0].as_py(), left.column("plain")[0].as_py()
-            wanted = _wanted(_block_keys(body, lang, longest)[0], right, bits)
+            wanted, counts = _wanted(_block_keys(body, lang, longest)[0], right, bits)
             near = np.zeros(1 << 20, bool)  # most n-grams are told apart by their first 20 bits
             near[(wanted >> _U(44)).astype(np.int64)] = True
             for n, keys, at, scan in grams(body, lang, longest):
                 maybe = np.flatnonzero(near[(keys >> _U(44)).astype(np.int64)])
-                place = np.searchsorted(wanted, keys[maybe])
+                some, first = np.unique(keys[maybe], return_index=True)
+                place = np.searchsorted(wanted, some)
                 place[place == len(wanted)] = 0
-                hit = wanted[place] == keys[maybe]
-                place, start = place[hit], at[maybe[hit]]
-                found = np.bincount(place, minlength=len(wanted))
-                first = np.zeros(len(wanted), np.int64)
-                first[place[::-1]] = start[::-1]
-                which = np.flatnonzero(found)
-                begin, end = scan.start[first[which]].tolist(), scan.stop[first[which] + n - 1].tolist()
-                rows[0] += [lang] * len(which)
+                hit = wanted[place] == some
+                start, place = at[maybe[first[hit]]], place[hit]
+                begin, end = scan.start[start].tolist(), scan.stop[start + n - 1].tolist()
+                rows[0] += [lang] * len(place)
                 rows[1] += [body[a:b].decode() for a, b in zip(begin, end)]
-                rows[2] += [n] * len(which)
-                rows[3] += found[which].tolist()
+                rows[2] += [n] * len(place)
+                rows[3] += counts[place].tolist()
         return pa.table([pa.array(c, t) for c, t in zip(rows, types)], names=names)
 
-    pairs = blocked.select("block", "lang", "plain").groupBy("block").cogroup(flags.groupBy("block"))
-    return pairs.applyInArrow(count, "lang string, phrase string, n int, found long")
+    pairs = blocked.select("block", "lang", "plain").groupBy("block").cogroup(found.groupBy("block"))
+    return pairs.applyInArrow(name, "lang string, phrase string, n int, found long")
 
 
-def _wanted(keys: np.ndarray, flags: pa.Table, bits: int) -> np.ndarray:
-    """The hashes of a block whose flags are set."""
-    of = dict(zip(flags.column("part").to_pylist(), flags.column("flags").to_pylist()))
-    chosen = [
-        keys[at:to][np.unpackbits(np.frombuffer(of[part], np.uint8), count=to - at).astype(bool)]
-        for part, at, to in _cut(keys, bits)
-        if part in of
-    ]
-    return np.concatenate(chosen) if chosen else np.zeros(0, _U)
+def _wanted(keys: np.ndarray, found: pa.Table, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes of a block that it is to name, in order, and their counts."""
+    of = {part: (p, c) for part, p, c in zip(*(found.column(c).to_pylist() for c in ("part", "places", "found")))}
+    chosen, counts = [np.zeros(0, _U)], [np.zeros(0, np.int64)]
+    for part, at, _ in _cut(keys, bits):
+        if part in of:
+            chosen.append(keys[at + np.frombuffer(of[part][0], "<u4").astype(np.int64)])
+            counts.append(np.frombuffer(of[part][1], "<i8"))
+    return np.concatenate(chosen), np.concatenate(counts)
 
 
 def frequent_phrases(
@@ -286,7 +287,8 @@ def frequent_phrases(
     Letters A-Z are lower-cased; pieces end at ``. , ; : ! ?`` and line breaks;
     words are runs of anything but space and tab. A missing language is
     ``UNKNOWN``; a missing, empty or blank text adds nothing. A very long text
-    is a block of its own. One number is brought to the driver (all words).
+    is a block of its own. N-grams of a language are told apart by 64-bit
+    hashes. One number is brought to the driver (all words).
     """
     if not 1 <= longest <= LONGEST:
         raise ValueError(f"phrases have 1 to {LONGEST} words")
@@ -297,9 +299,8 @@ def frequent_phrases(
     mass = longest * (blocked.agg(F.sum("words")).first()[0] or 0)
     bits = min(32, max(0, (mass // partition_mass)).bit_length())
     with short_batches(docs.sparkSession, 4):
-        flags = materialise(_flag(_send(blocked, bits, longest), threshold))
-        found = _count(blocked, flags, bits, longest).groupBy("lang", "phrase", "n").agg(F.sum("found").alias("found"))
-        kept = materialise(found.where(F.col("found") >= threshold))
+        found = materialise(_found(_send(blocked, bits, longest), bits, threshold))
+        kept = materialise(_named(blocked, found, bits, longest))
     return kept, words
 
 
