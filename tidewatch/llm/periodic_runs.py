@@ -38,6 +38,7 @@ SHORTEST = 6
 TILE_WORDS = 4096
 TILE_BOUNDARIES = 8  # of a tile, at least
 TILES_A_BATCH = 64
+TILES_A_TASK = 4096
 
 _U = np.uint64
 _FAR = np.iinfo(np.int64).max
@@ -226,7 +227,8 @@ def _solved(tiled: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names=names)
 
     own = tiled.where("_octave IS NOT NULL").select("_number", "_octave", *(part.split()[0] for part in _TILE.split(", ")))
-    dealt = own.repartition("_number", "_octave", "_at")
+    # Tiles are small and take time: tasks are counted out by tiles, not by bytes.
+    dealt = own.repartition(own.count() // TILES_A_TASK + 1, "_number", "_octave", "_at")
     return dealt.mapInArrow(run, "_number long, period long, begin long, end long")
 
 
