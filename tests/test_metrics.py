@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from tidewatch.operators import alarms, metrics
+from tidewatch.operators import alarms, metrics, sketches
 from tidewatch.operators.alarms import Alarm
 
 P = 60
@@ -183,3 +183,84 @@ def test_percentile_is_a_statistic(spark, rows):
     assert got.columns == ["s", "period_start", "n", "half", "top"]
     assert rows(got) == [("a", 0, 51, 50.0, 100.0), ("a", 60, 50, 50.0, 99.0)]
     assert rows(metrics.metric(df, P, ["s"], {"half": "p50"})) == [("a", 0, 50.0), ("a", 60, 50.0)]
+
+
+def test_sketches_merge_and_roll_up(spark):
+    values = spark.range(60_000).selectExpr(
+        "timestamp_seconds(id) AS ts", "'s' || id % 3 AS s", "'k' || id % 2 AS k", "IF(id % 50 = 0, NULL, CAST(pow(id % 1009, 2) AS DOUBLE)) AS value"
+    )
+    made = sketches.sketched(values, 3600, ["s", "k"])
+    assert made.count() == 17 * 6
+    all_of = sketches.rolled_up(made, ["s", "k"], ["s", "k"])
+    months = sketches.merged(all_of, ["s", "k"])
+    fractions = {"p1": 0.01, "p50": 0.5, "p95": 0.95, "p100": 1.0}
+    found = sketches.percentiles(months, fractions)
+    sizes = {(r.s, r.k): r.n for r in found.collect()}
+    assert len(sizes) == 6 + 3 + 1 and sizes["All", "All"] == 58_800 and sizes["s0", "All"] == values.where("s = 's0' AND value IS NOT NULL").count()
+    every = values.unionByName(values.withColumn("k", F.lit("All"))).unionByName(values.withColumns({"s": F.lit("All"), "k": F.lit("All")}))
+    for r in sketches.rank_errors(found, every, ["s", "k"], "value", fractions).collect():
+        assert all(r[p] <= sketches.RANK_ERROR for p in fractions), r
+    # Bounded, however much a sketch has seen.
+    assert months.select(F.max(F.length("sketch"))).first()[0] < 20_000
+
+
+def test_rank_errors_are_distances(spark):
+    values = spark.createDataFrame([("a", float(v)) for v in (1, 2, 2, 2, 3, 4, 5, 6, 7, 8)], "s string, v double")
+    found = spark.createDataFrame([("a", 2.0, 9.0)], "s string, p20 double, p50 double")
+    error = sketches.rank_errors(found, values, ["s"], "v", {"p20": 0.2, "p50": 0.5}).first()
+    assert error["p20"] == 0.0 and error["p50"] == 0.5
+
+
+def weekly(spark, weeks, extra):
+    """Hours of a week with busy working days; ``extra`` adds to single hours."""
+    rows = []
+    for h in range(weeks * 168):
+        busy = h % 24 in range(8, 18) and h // 24 % 7 < 5
+        rows.append(("a", h * 3600, (100.0 if busy else 10.0) + (h * 7 % 5) + extra.get(h, 0.0)))
+    return spark.createDataFrame(rows, "s string, period_start bigint, v double")
+
+
+def test_a_seasonal_band_follows_the_week(spark):
+    from tidewatch.operators.alarms import anomaly_band
+    from tidewatch.operators.seasonal import Season, seasonal_band, seasonal_states
+
+    # Night hours of the last week with as much as a working hour has.
+    odd = {6 * 168 + 2: 80.0, 6 * 168 + 3: 80.0, 6 * 168 + 30: 80.0}
+    points = weekly(spark, 7, odd)
+    season = Season(168, level=0.05, season=0.4, deviation=0.05, width=4.0)
+    found = {r.period_start // 3600: r for r in seasonal_band(points, ["s"], "v", 3600, season).collect()}
+    assert len(found) == 7 * 168 and all(found[h].upper is None for h in range(2 * 168)) and found[2 * 168].upper is not None
+    assert {h for h, r in found.items() if r.breach and h >= 4 * 168} == set(odd)
+    # The trailing mean takes every morning for an anomaly, and the night hours for none of a week's peaks.
+    trailing = {r.period_start // 3600 for r in anomaly_band(points, ["s"], "v").where("breach").collect()}
+    assert len([h for h in trailing if h >= 4 * 168 and h not in odd]) > 10
+    alarms_found = seasonal_states(points, ["s"], "v", 3600, season).where("state = 'ALARM' AND period_start >= 4 * 168 * 3600")
+    assert [r.period_start // 3600 for r in alarms_found.collect()] == [6 * 168 + 3]
+    # What breaches is not learnt: the same hour a day later has the band it would have had.
+    plain = {r.period_start // 3600: r for r in seasonal_band(weekly(spark, 7, {}), ["s"], "v", 3600, season).collect()}
+    assert abs(found[6 * 168 + 26].upper - plain[6 * 168 + 26].upper) < 5
+
+
+def test_a_seasonal_band_by_hand(spark):
+    import math
+
+    from tidewatch.operators.seasonal import Season, seasonal_band
+
+    data = {"a": [4.0, 8.0, None, 9.0, 5.0, 8.0, 40.0, 9.0, None, 8.5], "b": [1.0] * 10, None: [2.0, None, 3.0]}
+    rows = [(s, 100 * i, v) for s, vs in data.items() for i, v in enumerate(vs)]
+    df = spark.createDataFrame(rows, "s string, period_start bigint, v double").repartition(3)
+    got = {(r.s, r.period_start): (r.lower, r.upper, r.breach) for r in seasonal_band(df, ["s"], "v", 100, Season(2, 0.5, 0.25, 0.5, 2.0, 1)).collect()}
+    for s, vs in data.items():
+        level, seasons, spread = vs[0], [0.0, 0.0], 0.0
+        assert got[s, 0] == (None, None, False)
+        for i, v in list(enumerate(vs))[1:]:
+            expected = level + seasons[i % 2]
+            upper = expected + 2 * math.sqrt(spread) if i >= 2 else None
+            breach = upper is not None and v is not None and v > upper
+            low, high, flag = got[s, 100 * i]
+            assert flag == breach and (upper is None) == (high is None) and (upper is None or abs(high - upper) < 1e-9 and abs(low + high - 2 * expected) < 1e-9)
+            if v is not None and not breach:
+                error = v - expected
+                level, seasons[i % 2], spread = level + 0.5 * error, seasons[i % 2] + 0.25 * error, 0.5 * spread + 0.5 * error**2
+    with pytest.raises(ValueError):
+        Season(0)

@@ -181,3 +181,59 @@ def test_materialise(spark, rows):
     assert rows(kept) == rows(df)
     assert "Range" not in kept._jdf.queryExecution().executedPlan().toString()
     assert materialise(df.where("id < 0")).count() == 0
+
+
+def test_rows_are_deleted_inside_shared_files(spark, rows, tmp_path):
+    from tidewatch.sources import rewrite
+
+    path = str(tmp_path / "shared files")
+    df = spark.range(40).selectExpr("id", "IF(id % 10 = 9, NULL, 'r' || id % 4) AS run")
+    for low in (0, 20):
+        df.where(F.col("id").between(low, low + 19)).coalesce(1).write.mode("append").parquet(path)
+    df.where("id = 0").selectExpr("id + 100 AS id", "'r9' AS run").coalesce(1).write.mode("append").parquet(path)
+    before = {r[0] for r in spark.read.parquet(path).select("_metadata.file_path").where("run = 'r9'").collect()}
+    gone = F.col("run") == "r2"
+    want = [r for r in rows(spark.read.parquet(path)) if r[1] != "r2"]
+    assert rewrite.delete_rows(spark, path, gone) == 2
+    assert rows(spark.read.parquet(path)) == want and len(want) == 31
+    assert rewrite.delete_rows(spark, path, gone) == 0
+    # A file without such rows is the same file as before.
+    after = {r[0] for r in spark.read.parquet(path).select("_metadata.file_path").where("run = 'r9'").collect()}
+    assert after == before
+
+
+@pytest.mark.parametrize("stop_after", ["staged", "decided", "renamed"])
+def test_an_interrupted_delete_is_finished_or_taken_back(spark, rows, tmp_path, monkeypatch, stop_after):
+    from tidewatch.sources import rewrite
+
+    path = str(tmp_path / "t")
+    spark.range(20).coalesce(2).write.parquet(path)
+    real = {"literal_rows": rewrite.literal_rows, "_swap": rewrite._swap, "delete_path": rewrite.delete_path}
+
+    def stop(*args):
+        raise InterruptedError
+
+    monkeypatch.setattr(rewrite, {"staged": "literal_rows", "decided": "_swap", "renamed": "delete_path"}[stop_after], stop)
+    with pytest.raises(InterruptedError):
+        rewrite.delete_rows(spark, path, F.col("id") < 5)
+    for name, function in real.items():
+        monkeypatch.setattr(rewrite, name, function)
+    assert rewrite.recover(spark, path) == (0 if stop_after == "staged" else 1)
+    left = [r[0] for r in rows(spark.read.parquet(path))]
+    assert sorted(left) == list(range(0 if stop_after == "staged" else 5, 20))
+    assert rewrite.recover(spark, path) == 0
+
+
+def test_runs_in_shared_files(spark, rows, tmp_path):
+    from tidewatch.sources.catalog import ensure_database
+    from tidewatch.sources.runs import RunTable
+
+    ensure_database(spark, "shared_runs", str(tmp_path / "db"))
+    table = RunTable(spark, "shared_runs.t", [{"name": "id", "type": "long"}], shared_files=True).create_if_missing()
+    table.append_runs(spark.range(9).coalesce(1), F.concat(F.lit("r"), F.col("id") % 3))
+    table.append(spark.range(100, 102), "r1")
+    table.delete("r1")
+    table.delete("none")
+    assert rows(table.rows(), "id") == [(0,), (2,), (3,), (5,), (6,), (8,)]
+    table.append(spark.range(50, 51), "r1")
+    assert rows(table.rows("r1"), "id") == [(50,)]

@@ -7,6 +7,7 @@ from tidewatch.operators.verify import (
     key_differences,
     multiset_difference,
     must_be_empty,
+    suspects,
     symmetric_difference,
     validate,
 )
@@ -169,3 +170,41 @@ def test_history(spark, rows):
         (3, "x", "d2", "d3"),
         (3, None, "d3", None),
     ]
+
+
+@pytest.mark.parametrize("tolerance", [None, 0.01])
+def test_rows_without_a_key_count(spark, tolerance):
+    schema = "id int, name string, value double"
+    base = [(None, "a", 1.0), (None, "b", 2.0), (1, "b", 3.0)]
+    expected = spark.createDataFrame(base, schema)
+
+    def against(changed):
+        return verdict(expected, spark.createDataFrame(changed, schema), tolerance=tolerance)
+
+    assert against(base[::-1]) == (True, None)
+    ok, detail = against([(None, "x", 1.0), *base[1:]])
+    assert not ok and detail.startswith('Row 0 mismatch: expected {"id":null,"name":"a"') and '"name":"b"' in detail.split("got")[1]
+    ok, detail = against([*base[:2], (1, "c", 3.0)])
+    assert not ok and detail.startswith('Row 2 mismatch: expected {"id":1,"name":"b"')
+    # A key on one side only.
+    assert not against([(2, "a", 1.0), *base[1:]])[0]
+    assert not verdict(spark.createDataFrame([(2, "a", 1.0), *base[1:]], schema), expected, tolerance=tolerance)[0]
+    nothing = spark.createDataFrame([(None, None, None)] * 2, schema)
+    assert verdict(nothing, nothing, tolerance=tolerance) == (True, None)
+    assert verdict(nothing, spark.createDataFrame([(None, None, None), (None, None, 0.0)], schema), tolerance=tolerance)[0] is False
+
+
+def test_only_differing_leaves_are_compared(spark):
+    rows = spark.range(200_000).selectExpr("CAST(id AS INT) AS id", "CAST(id % 7 AS STRING) AS name")
+    wrong = F.col("id") % 100 == 0
+    changed = rows.withColumn("name", F.when(wrong, "x").otherwise(F.col("name")))
+    both = rows.withColumn("_side", F.lit(1)).unionByName(changed.withColumn("_side", F.lit(-1)))
+    # Nearly every bucket holds one of the 2,000 differing keys, and hardly any other key comes with them.
+    assert digests(changed, ["id"], ["id", "name"]).count() == 4096
+    found = suspects(both, "id", ["id", "name"])
+    keys = {r["id"] for r in found.select("id").distinct().collect()}
+    assert {i for i in range(0, 200_000, 100)} <= keys and len(keys) < 2_100
+    assert found.columns == both.columns
+    ok, detail = verdict(rows, changed)
+    assert not ok and detail.startswith("Row 0 mismatch")
+    assert suspects(rows.withColumn("_side", F.lit(1)).unionByName(rows.withColumn("_side", F.lit(-1))), "id", ["id", "name"]).count() == 0

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidewatch.functions.schema import safe_cast
 
 DIGEST_BUCKETS = 4096
+LEAVES = 4096  # of a bucket that differs
 
 
 def row_hash(columns: list[str], salt: int = 0) -> Column:
@@ -20,6 +21,27 @@ def _bucket(keys: list[str]) -> Column:
     return F.pmod(row_hash(keys, salt=7), F.lit(DIGEST_BUCKETS)).cast("int")
 
 
+def _leaf(keys: list[str]) -> Column:
+    """The place of a key inside its bucket, by a hash of its own."""
+    return F.pmod(row_hash(keys, salt=11), F.lit(LEAVES)).cast("int")
+
+
+def suspects(both: DataFrame, key: str, columns: list[str]) -> DataFrame:
+    """Rows of both sides whose keys share a leaf with a difference, found level by level.
+
+    Buckets are compared first, then the leaves of differing buckets only, each
+    by one aggregate that combines before its shuffle. What is left are the rows
+    of differing leaves: one in ``DIGEST_BUCKETS * LEAVES`` of all keys for each
+    key that differs. ``both`` has ``_side`` (1 or -1) besides ``columns``.
+    """
+    placed = both.withColumns({"_bucket": _bucket([key]), "_leaf": _leaf([key])})
+    buckets = placed.groupBy("_bucket").agg(*_surplus(columns)).where(DIFFERS).select("_bucket")
+    # At most DIGEST_BUCKETS rows.
+    near = placed.join(F.broadcast(buckets), "_bucket", "left_semi")
+    leaves = near.groupBy("_bucket", "_leaf").agg(*_surplus(columns)).where(DIFFERS).select("_bucket", "_leaf")
+    return near.join(leaves, ["_bucket", "_leaf"], "left_semi").select(both.columns)
+
+
 def digests(df: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
     """Count and two order-free hash totals per key bucket: at most ``DIGEST_BUCKETS`` rows."""
     return df.groupBy(_bucket(keys).alias("bucket")).agg(
@@ -84,9 +106,11 @@ def validate(
     The first failing check names the detail. It is one lazy plan: nothing runs
     before the row is asked for. Digests of both tables are taken in one
     aggregate of at most ``DIGEST_BUCKETS`` rows; only keys of differing
-    buckets are compared further, and one more pass counts the rows before the
-    first difference and picks it on both sides. With ``tolerance`` doubles may
-    differ by that much: the rows of each key are compared in their order.
+    leaves of differing buckets are compared further (``suspects``), and one
+    more pass counts the rows before the first difference and picks it on both
+    sides. Rows without a key are compared like those of any other key and come
+    first. With ``tolerance`` doubles may differ by that much: the rows of each
+    key are compared in their order.
     """
     spark = expected.sparkSession
     common = [c for c in expected.columns if c in actual.columns]
@@ -99,24 +123,26 @@ def validate(
     k = F.col(f"`{key}`")
 
     buckets = both.groupBy(_bucket([key]).alias("bucket")).agg(*_surplus(common), F.sum("_lost").alias("lost"), *_counts())
-    differing = buckets.where(DIFFERS).select("bucket")
     if tolerance is None:
-        # At most DIGEST_BUCKETS rows.
-        near = both.join(F.broadcast(differing), _bucket([key]) == F.col("bucket"), "left_semi")
-        keys = near.groupBy(k.alias("_key")).agg(*_surplus(common)).where(DIFFERS)
+        keys = suspects(both, key, common).groupBy(k.alias("_key")).agg(*_surplus(common)).where(DIFFERS)
     else:
         keys = _beyond(both, key, common, tolerance)
-    first = keys.agg(F.min("_key")).scalar()
+
+    def rank(column: Column) -> Column:
+        """Orders keys, missing ones first; never null itself."""
+        return F.struct(column.isNotNull(), column)
+
+    first = keys.agg(F.min(rank(F.col("_key")))).scalar()
     row = F.to_json(F.struct(*[F.col(f"`{c}`") for c in sorted(common)]), {"ignoreNullFields": "false"})
     here = F.col("_at")
 
     def pick(side: int) -> Column:
-        return F.min_by(F.when(here & (F.col("_side") == side), F.col("_row")), F.when(here & (F.col("_side") == side), F.struct(k, "_row")))
+        return F.min_by(F.when(here & (F.col("_side") == side), F.col("_row")), F.when(here & (F.col("_side") == side), F.struct(rank(k), "_row")))
 
-    place = both.withColumns({"_at": k >= first, "_row": row}).agg(
+    place = both.withColumns({"_at": rank(k) >= first, "_row": row}).agg(
         F.struct(
-            F.min(F.when(here, k)).isNotNull().alias("found"),
-            F.count_if((F.col("_side") == 1) & (k < first)).alias("position"),
+            F.max(first.isNotNull()).alias("found"),
+            F.count_if((F.col("_side") == 1) & (rank(k) < first)).alias("position"),
             pick(1).alias("expected"),
             pick(-1).alias("actual"),
         )

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,12 +22,19 @@ TOLERANT_SERVICES = ("Redshift",)
 
 
 def format_round_trip(
-    df: DataFrame, columns: list[dict], key: str, base: str, run_id: str, formats: tuple[str, ...] = FORMATS
+    df: DataFrame,
+    columns: list[dict],
+    key: str,
+    base: str,
+    run_id: str,
+    formats: tuple[str, ...] = FORMATS,
+    through: Callable[[DataFrame], DataFrame] = lambda rows: rows,
 ) -> DataFrame:
     """Write, read back and compare a table in every format, then remove the run.
 
     One row per format, ``name, outcome, phase, detail``, plus one for the
-    cleanup. A format whose data source is missing is reported as SKIPPED.
+    cleanup. A format whose data source is missing is reported as SKIPPED. What
+    is read goes ``through`` a function before it is compared.
     """
     spark = df.sparkSession
     results, written = [], {}
@@ -41,7 +49,7 @@ def format_round_trip(
     for fmt, path in written.items():
         name = f"e2e_{fmt}"
         try:
-            verdict = validate(df, read_files(spark, path, fmt, columns), key).first()
+            verdict = validate(df, through(read_files(spark, path, fmt, columns)), key).first()
             results.append((name, "PASS" if verdict["ok"] else "FAIL", "validate", verdict["detail"]))
         except Exception as error:
             results.append((name, "FAIL", "query", _first_line(error)))
@@ -79,10 +87,13 @@ def document_metrics(document: DataFrame) -> DataFrame:
     return document.select(F.inline(pairs))
 
 
-def run_table_round_trip(df: DataFrame, columns: list[dict], key: str, table: str, run_id: str) -> DataFrame:
+def run_table_round_trip(
+    df: DataFrame, columns: list[dict], key: str, table: str, run_id: str, through: Callable[[DataFrame], DataFrame] = lambda rows: rows
+) -> DataFrame:
     """Create, insert, query, validate and delete a run of an ACID table.
 
-    Cleanup is SKIPPED when nothing was written.
+    Cleanup is SKIPPED when nothing was written. What is read goes ``through`` a
+    function before it is compared.
     """
     spark = df.sparkSession
     phase, status, detail, cleanup = "create_table", "FAIL", None, "SKIPPED"
@@ -92,7 +103,7 @@ def run_table_round_trip(df: DataFrame, columns: list[dict], key: str, table: st
         runs.append(df, run_id)
         cleanup = "FAIL"
         phase = "validate"
-        verdict = validate(df, runs.rows(run_id).drop("run_id"), key, check_columns=False).first()
+        verdict = validate(df, through(runs.rows(run_id).drop("run_id")), key, check_columns=False).first()
         status, detail = ("PASS" if verdict["ok"] else "FAIL"), verdict["detail"]
     except Exception as error:
         detail = _first_line(error)

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidewatch.operators import constraints, metrics
+from tidewatch.operators import constraints, metrics, sketches
 from tidewatch.operators.grouping import children_counts, children_per_parent
 from tidewatch.operators.percentile import exact_percentiles
 from tidewatch.plans import models, suites
 from tidewatch.queries.registry import query, table
+from tidewatch.session import scratch
 
 DAY = 86400
 DAY_SQL = "CAST(floor(epoch(ts) / 86400) AS BIGINT) * 86400"
@@ -252,3 +253,28 @@ def empty_check(spark, sf):
     joined = table(spark, sf, "customer").select("c_custkey").join(counts, "c_custkey", "left")
     n = F.coalesce(F.col("n"), F.lit(0))
     return joined.select("c_custkey", n.alias("n"), (n == 0).alias("is_empty"))
+
+
+SKETCH_FRACTIONS = {"p50": 0.5, "p95": 0.95, "p99": 0.99}
+
+
+@query(
+    "d11_merged_sketches",
+    """
+    WITH e AS (SELECT event_type, value FROM events WHERE value IS NOT NULL UNION ALL SELECT 'All', value FROM events WHERE value IS NOT NULL),
+    q AS (SELECT event_type, count(*) AS n FROM e GROUP BY event_type)
+    SELECT event_type, n, true AS p50_in_bound, true AS p95_in_bound, true AS p99_in_bound FROM q
+    """,
+)
+def merged_sketches(spark, sf):
+    # Stored sketches of days are merged to the whole time and to all types; their ranks are then held against all values.
+    events = table(spark, sf, "events")
+    path = scratch(spark, "sketches")
+    sketches.sketched(events, 86400, ["event_type"]).write.parquet(path)
+    stored = sketches.rolled_up(spark.read.parquet(path), ["event_type"], ["event_type"])
+    found = sketches.percentiles(sketches.merged(stored, ["event_type"]), SKETCH_FRACTIONS)
+    values = events.select("event_type", "value")
+    every = values.unionByName(values.withColumn("event_type", F.lit("All")))
+    off = sketches.rank_errors(found, every, ["event_type"], "value", SKETCH_FRACTIONS)
+    held = [(F.col(f"off.{p}") <= sketches.RANK_ERROR).alias(f"{p}_in_bound") for p in SKETCH_FRACTIONS]
+    return found.join(off.alias("off"), "event_type").select("event_type", "n", *held)

@@ -69,7 +69,7 @@ def identifiers(spark, sf):
 @query(
     "h03_regex_predicates",
     """
-    SELECT page_id, regexp_matches(split_part(split_part(url, '//', 2), '.', 1), '^[a-z][a-z0-9-]*[a-z0-9]$') AS host_is_slug,
+    SELECT page_id, regexp_matches(split_part(split_part(url, '//', 2), '.', 1), '^[a-z][a-z0-9-]*$') AS host_is_slug,
            page_id % 300 <= 255 AND page_id % 40 <= 32 AS is_cidr, regexp_matches(url, '^https://') AS is_secure,
            length(CAST(page_id % 7 + 100000000000 AS VARCHAR)) = 12 AND url LIKE 'https%' AS is_role
     FROM pages

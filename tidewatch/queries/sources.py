@@ -13,7 +13,7 @@ from tidewatch.plans import models
 from tidewatch.queries import columns as C
 from tidewatch.queries.registry import query, table
 from tidewatch.session import scratch
-from tidewatch.sources import catalog, files, metric_sink, topics
+from tidewatch.sources import catalog, files, metric_sink, record_log, topics
 from tidewatch.sources.runs import RunTable
 from tidewatch.streaming import runs as streams
 
@@ -281,6 +281,21 @@ def delete_run(spark, sf):
     return runs.rows()
 
 
+@query(
+    "a19_delete_in_shared_files",
+    "SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, 'run-' || o_orderkey % 3 AS run_id FROM orders"
+    " WHERE o_orderkey % 3 <> 1",
+)
+def delete_in_shared_files(spark, sf):
+    # Three runs lie in common files; a delete keeps the others' rows in them.
+    orders = table(spark, sf, "orders")
+    runs = RunTable(spark, f"{_database(spark, 'shared')}.orders", C.ORDERS_RUN, shared_files=True).create_if_missing()
+    runs.append_runs(orders, F.concat(F.lit("run-"), F.col("o_orderkey") % 3))
+    runs.delete("run-1")
+    runs.delete("run-absent")
+    return runs.rows()
+
+
 @query(
     "a20_cleanup",
     "SELECT o_orderstatus, count(*) AS n, 1 AS n_errors FROM orders WHERE o_orderstatus <> 'F' GROUP BY o_orderstatus",
@@ -379,11 +394,35 @@ def produce(spark, sf):
 def positioned_read(spark, sf):
     path, events = scratch(spark, "positions"), table(spark, sf, "events")
     topics.produce(event_records(events), path)
-    middle = events.agg(F.max("event_id")).first()[0] // 2
+    middle = F.floor(events.agg(F.max("event_id")).scalar() / 2)
     start = {partition: middle for partition in range(6)}
     return topics.read_from(spark, path, "platform-dev.retail.web.error", start).select("offset", "key")
 
 
+# Where the readers of the partitions begin: all partitions but the last one are read.
+STARTS = {0: 100, 1: 0, 2: 321, 3: 50, 4: 700}
+
+
+@query(
+    "a25_offset_source",
+    f"""
+    WITH starts(p, o) AS (VALUES {", ".join(f"({p}, {o})" for p, o in STARTS.items())})
+    SELECT CAST(user_id % 6 AS INTEGER) AS "partition", event_id AS "offset", CAST(user_id AS VARCHAR) AS key, ts IS NOT NULL AS timed
+    FROM events JOIN starts ON p = user_id % 6 AND event_id >= o WHERE event_type = 'error'
+    """,
+)
+def offset_source(spark, sf):
+    # Half of the log is there when the reader starts; it goes on from its checkpoint when the rest has come.
+    path, out, events = scratch(spark, "log"), scratch(spark, "log-read"), table(spark, sf, "events")
+    records = event_records(events).withColumn("partition", (F.col("key").cast("bigint") % 6).cast("int"))
+    middle = events.agg(F.max("event_id")).scalar() / 2
+    for half in (F.col("offset") <= middle, F.col("offset") > middle):
+        record_log.append_log(records.where(half), path)
+        stream = record_log.log_stream(spark, path, "platform-dev.retail.web.error", STARTS)
+        read = streams.append_available(stream, out)
+    return read.select("partition", "offset", "key", F.col("timestamp").isNotNull().alias("timed"))
+
+
 @query(
     "a26_topic_to_table",
     "SELECT user_id, event_type AS event, event_id AS \"offset\", value FROM events",

@@ -8,15 +8,18 @@ from pyspark.sql import functions as F
 from tidewatch.operators import alarms, metrics
 from tidewatch.operators.percentile import exact_percentiles
 from tidewatch.queries.registry import query, table
-from tidewatch.queries.sources import event_records
+from tidewatch.queries.sources import _database, event_records
 from tidewatch.queries.windows import lags
 from tidewatch.session import scratch
 from tidewatch.sources.topics import decode
 from tidewatch.streaming import alarms as live
-from tidewatch.streaming import runs, topics
+from tidewatch.streaming import late, routing, runs, topics
 from tidewatch.streaming.metrics import round_trips, unique_within, windowed
 
 DAY = 86400
+# More than the time that all events span: any order of arrival is in time.
+WHOLE = 400 * DAY
+PARTS = 4
 DAY_SQL = "CAST(floor(epoch(ts) / 86400) AS BIGINT) * 86400"
 QUARTER_SQL = "CAST(floor(epoch(ts) / 900) AS BIGINT) * 900"
 
@@ -29,6 +32,28 @@ def record_stream(spark, sf):
     return event_records(event_stream(spark, sf))
 
 
+def stream_in_order(spark, sf):
+    """Events as a stream of micro-batches, each of which holds the events after those of the one before."""
+    events = table(spark, sf, "events")
+    path = scratch(spark, "landed")
+    at = F.unix_micros(F.col("ts").cast("timestamp"))
+    span = events.agg(F.struct(F.min(at).alias("lo"), (F.max(at) + 1).alias("hi"))).scalar()
+    part = F.floor((at - span["lo"]) * PARTS / (span["hi"] - span["lo"]))
+    for i in range(PARTS):
+        events.where(part == i).repartition(2).write.mode("append").parquet(path)
+    return runs.file_stream(spark, path, events.schema, files_per_trigger=2)
+
+
+def closed_points(spark, sf, period, series, aggregates, label):
+    """A windowed stream job's finished periods as the stream of a second job: file after file, then a closing point."""
+    path = scratch(spark, label)
+    final = windowed(stream_in_order(spark, sf), "ts", period, series, aggregates)
+    points = runs.update_available(final, path, mode="append").drop("batch")
+    # After the folders of the job's own batches.
+    live.closing_point(points, series[0], WHOLE).write.parquet(f"{path}/batch={1 << 40}")
+    return runs.file_stream(spark, f"{path}/*", points.schema, files_per_trigger=1)
+
+
 @query(
     "i01_topic_ingest",
     "SELECT 'dev' AS environment, 'retail' AS business, 'web' AS app, event_type AS event, event_id AS \"offset\","
@@ -48,6 +73,50 @@ def _windows(spark, sf, period, series, aggregates, label):
     return runs.latest_update(runs.update_available(stream, path), [*series, "period_start"])
 
 
+@query(
+    "i01_routed_ingest",
+    """
+    SELECT CASE WHEN event_type IN ('view', 'click', 'purchase') THEN event_type ELSE 'unrouted ' || event_type END AS event,
+           event_id AS "offset", user_id, CAST(json_extract(props, '$.k') AS INTEGER) AS k
+    FROM events
+    """,
+)
+def routed_ingest(spark, sf):
+    # One stream, one table per declared event; the others are kept apart under their names.
+    body = topics.parsed(event_records(stream_in_order(spark, sf)), "user_id bigint, props string")
+    rows = body.select("event", "offset", "body.user_id", F.from_json("body.props", "k int")["k"].alias("k"))
+    columns = [{"name": "offset", "type": "bigint"}, {"name": "user_id", "type": "bigint"}, {"name": "k", "type": "int"}]
+    declared = ["view", "click", "purchase"]
+    router = routing.Router(spark, _database(spark, "routed"), scratch(spark, "routed"), columns, declared)
+    router.run_available(rows, F.col("event"), scratch(spark, "routed-checkpoint"))
+    names = ["event", "offset", "user_id", "k"]
+    out = router.rows(routing.UNROUTED).withColumn("event", F.concat(F.lit("unrouted "), "event")).select(names)
+    for event in declared:
+        out = out.unionByName(router.rows(event).withColumn("event", F.lit(event)).select(names))
+    return out
+
+
+@query(
+    "i02_late_rows",
+    """
+    WITH w AS (SELECT (epoch_ms(max(ts)) - 3600000) * 1000 AS mark FROM events WHERE event_id % 5 <> 0)
+    SELECT 'first and late' AS query, 'dedupeWithinWatermark' AS kind, CAST(count(*) AS BIGINT) AS dropped
+    FROM events, w WHERE event_id % 5 = 0 AND epoch_us(ts) <= mark
+    """,
+)
+def late_rows(spark, sf):
+    # The second file comes when the first one has moved the watermark past nearly all of it.
+    events, folder, out, metrics_path = table(spark, sf, "events"), scratch(spark, "two-files"), scratch(spark, "in-time"), scratch(spark, "late")
+    is_late = F.col("event_id") % 5 == 0
+    for rows in (events.where(~is_late), events.where(is_late)):
+        rows.write.mode("append").parquet(folder)
+        once = unique_within(runs.file_stream(spark, folder, events.schema), "ts", ["event_id"], 3600)
+        with late.late_rows(spark, metrics_path):
+            runs.append_available(once, out, name="first and late")
+    dropped = late.dropped_rows(spark, metrics_path)
+    return dropped.groupBy("query", "kind").agg(F.sum("dropped").alias("dropped"))
+
+
 @query(
     "i02_tumbling_windows",
     f"SELECT event_type, {DAY_SQL} AS period_start, count(*) AS n, max(value) AS largest FROM events GROUP BY ALL",
@@ -74,6 +143,42 @@ def fill_periods(spark, sf):
     return metrics.fill_periods(counted, ["event_type"], 900, {"n": 0})
 
 
+# Windows that the watermark, one period behind the newest event, has closed.
+CLOSED_SQL = f"""
+  WITH m AS (SELECT epoch_ms(max(ts)) - 900000 AS mark FROM events),
+  c AS (SELECT event_type, {QUARTER_SQL} AS period_start, count(*) AS n FROM events GROUP BY ALL),
+  k AS (SELECT c.* FROM c, m WHERE (period_start + 900) * 1000 <= mark),
+  e AS (SELECT event_type, min(period_start) AS lo FROM k GROUP BY event_type),
+  spine AS (SELECT event_type, unnest(range(lo, (SELECT max(period_start) + 1 FROM k), 900)) AS period_start FROM e),
+  filled AS (SELECT event_type, period_start, n FROM spine LEFT JOIN k USING (event_type, period_start))
+"""
+
+
+@query(
+    "i03_fill_on_stream",
+    CLOSED_SQL + "SELECT event_type AS series, period_start, CAST(coalesce(n, 0) AS DOUBLE) AS value, n IS NULL AS filled FROM filled",
+)
+def fill_on_stream(spark, sf):
+    points = closed_points(spark, sf, 900, ["event_type"], [F.count(F.lit(1)).alias("n")], "counts")
+    filled = live.filled_stream(points, "event_type", "n", 900, 0.0, late=WHOLE)
+    return runs.append_available(filled, scratch(spark, "filled"))
+
+
+@query(
+    "i04_policies_on_stream",
+    CLOSED_SQL + "SELECT event_type AS series, period_start, n IS NULL OR n < 1 AS breaching, coalesce(n >= 3, false) AS not_breaching FROM filled",
+)
+def policies_on_stream(spark, sf):
+    points = closed_points(spark, sf, 900, ["event_type"], [F.count(F.lit(1)).alias("n")], "beats")
+    filled = live.filled_stream(points, "event_type", "n", 900, None, late=WHOLE)
+    heartbeat = alarms.Alarm("<", 1, missing="breaching")
+    busy = alarms.Alarm(">=", 3, missing="notBreaching")
+    judged = filled.select(
+        "series", "period_start", heartbeat.breached(F.col("value")).alias("breaching"), busy.breached(F.col("value")).alias("not_breaching")
+    )
+    return runs.append_available(judged, scratch(spark, "judged"))
+
+
 @query(
     "i04_missing_data_policy",
     SPINE_SQL
@@ -94,6 +199,9 @@ def missing_data_policy(spark, sf):
     )
 
 
+QUIET = alarms.Alarm("<", 2, n=3, m=2, missing="breaching")
+
+
 @query(
     "i05_streaming_alarm",
     f"""
@@ -113,11 +221,43 @@ def streaming_alarm(spark, sf):
     # The metric job writes one row per user and day; the alarm job reads them as its stream.
     points = metrics.metric(table(spark, sf, "events"), DAY, ["user_id"], {"n": "sample_count"})
     path = scratch(spark, "points")
-    points.write.parquet(path)
+    points.unionByName(live.closing_point(points, "user_id", WHOLE)).write.parquet(path)
     stream = runs.file_stream(spark, path, points.schema)
-    quiet = alarms.Alarm("<", 2, n=3, m=2, missing="breaching")
-    changes = live.alarm_transitions(stream, "user_id", "n", DAY, quiet)
-    return runs.update_available(changes, scratch(spark, "alarm"), large_state=True).drop("batch")
+    changes = live.alarm_transitions(stream, "user_id", "n", DAY, QUIET, late=WHOLE)
+    return runs.append_available(changes, scratch(spark, "alarm"))
+
+
+# Days that the windowed job has closed, then the state per user up to ``__END__``.
+CLOSED_DAYS_SQL = f"""
+    WITH m AS (SELECT epoch_ms(max(ts)) - {DAY}000 AS mark FROM events),
+    c AS (SELECT user_id, {DAY_SQL} AS period_start, count(*) AS n FROM events GROUP BY ALL),
+    k AS (SELECT c.* FROM c, m WHERE (period_start + {DAY}) * 1000 <= mark),
+    edges AS (SELECT user_id, min(period_start) AS lo, max(period_start) AS hi FROM k GROUP BY user_id),
+    spine AS (SELECT user_id, unnest(range(lo, __END__ + 1, {DAY})) AS period_start FROM edges, (SELECT max(period_start) AS newest FROM k)),
+    b AS (SELECT user_id, period_start, CASE WHEN n IS NULL OR n < 2 THEN 1 ELSE 0 END AS breach
+          FROM spine LEFT JOIN k USING (user_id, period_start)),
+    s AS (SELECT user_id, period_start, CASE WHEN sum(breach) OVER (PARTITION BY user_id ORDER BY period_start
+            ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) >= 2 THEN 'ALARM' ELSE 'OK' END AS state FROM b),
+    t AS (SELECT CAST(user_id AS VARCHAR) AS series, period_start,
+            lag(state, 1, 'OK') OVER (PARTITION BY user_id ORDER BY period_start) AS previous_state, state FROM s)
+    SELECT * FROM t WHERE state <> previous_state
+"""
+
+
+@query("i05_out_of_order", CLOSED_DAYS_SQL.replace("__END__", "hi"))
+def out_of_order(spark, sf):
+    # The windowed job's files come one by one, each with days of many users.
+    points = closed_points(spark, sf, DAY, ["user_id"], [F.count(F.lit(1)).alias("n")], "days")
+    changes = live.alarm_transitions(points, "user_id", "n", DAY, QUIET, late=WHOLE)
+    return runs.append_available(changes, scratch(spark, "ordered-alarm"))
+
+
+@query("i05_silent_series", CLOSED_DAYS_SQL.replace("__END__", f"least(hi + 3 * {DAY}, newest)"))
+def silent_series(spark, sf):
+    # A user who is silent after the last event breaches, too, as the days pass.
+    points = closed_points(spark, sf, DAY, ["user_id"], [F.count(F.lit(1)).alias("n")], "silence")
+    changes = live.alarm_transitions(points, "user_id", "n", DAY, QUIET, late=WHOLE, silence=True)
+    return runs.append_available(changes, scratch(spark, "silent-alarm"))
 
 
 @query(
@@ -151,6 +291,23 @@ def compaction(spark, sf):
     return kept.select("topic", "key", "offset", F.from_json("value", "value double")["value"].alias("value"))
 
 
+@query(
+    "i07_expiring_deletes",
+    """
+    SELECT 'platform-dev.retail.web.' || event_type AS topic, CAST(user_id AS VARCHAR) AS key, max(event_id) AS "offset",
+           arg_max(value, event_id) AS value FROM events GROUP BY event_type, user_id HAVING max(event_id) % 7 <> 0
+    """,
+)
+def expiring_deletes(spark, sf):
+    # Deleted keys leave the state ten days after; nothing older comes later than that.
+    deleting = F.when(F.col("offset") % 7 != 0, F.col("value"))
+    records = event_records(stream_in_order(spark, sf)).withColumn("value", deleting)
+    newest = topics.compacted_stream(records, delete_retention=10 * DAY, late=DAY)
+    changed = runs.update_available(newest, scratch(spark, "expiring"))
+    kept = topics.without_deleted(runs.latest_update(changed, ["topic", "key"]))
+    return kept.select("topic", "key", "offset", F.from_json("value", "value double")["value"].alias("value"))
+
+
 @query(
     "i08_retention_by_age",
     "SELECT event_id AS \"offset\" FROM events WHERE epoch_us(ts) // 1000 >= (SELECT max(epoch_us(ts) // 1000) FROM events) - 604800000",

@@ -40,9 +40,8 @@ def _orders(spark, sf):
 )
 def validation(spark, sf):
     expected = _orders(spark, sf)
-    largest = expected.agg(F.max("o_totalprice")).first()[0]
-    worst = expected.where(F.col("o_totalprice") == F.lit(largest)).agg(F.min("o_orderkey")).first()[0]
-    status = F.when(F.col("o_orderkey") == F.lit(worst), "X").otherwise(F.col("o_orderstatus"))
+    worst = expected.agg(F.max_by("o_orderkey", F.struct("o_totalprice", -F.col("o_orderkey")))).scalar()
+    status = F.when(F.col("o_orderkey") == worst, "X").otherwise(F.col("o_orderstatus"))
     text = F.when(F.col("o_orderstatus") == "P", "n/a").otherwise(F.col("o_totalprice").cast("string"))
     pair = expected.select("o_orderkey", "o_orderstatus")
     variants = {
@@ -59,6 +58,34 @@ def validation(spark, sf):
     return out
 
 
+@query(
+    "j01_missing_keys",
+    """
+    WITH e AS (SELECT CASE WHEN o_orderkey % 5 <> 0 THEN o_orderkey END AS k, o_orderstatus, o_totalprice FROM orders),
+    f AS (SELECT min(k) AS k FROM e)
+    SELECT 'same' AS variant, count(*) FILTER (WHERE k IS NULL) > 0 AS ok, NULL AS detail FROM e
+    UNION ALL SELECT 'changed', count(*) FILTER (WHERE k IS NULL) = 0, 'Row 0 mismatch' FROM e
+    UNION ALL SELECT 'changed, tolerant', count(*) FILTER (WHERE k IS NULL) = 0, 'Row 0 mismatch' FROM e
+    UNION ALL SELECT 'later', false, 'Row ' || count(*) || ' mismatch' FROM e WHERE k IS NULL
+    """,
+)
+def missing_keys(spark, sf):
+    # Every fifth order has lost its key; the rows without a key count as those of one key.
+    orders = _orders(spark, sf)
+    expected = orders.withColumn("o_orderkey", F.when(F.col("o_orderkey") % 5 != 0, F.col("o_orderkey")))
+    price, key = F.col("o_totalprice"), F.col("o_orderkey")
+    changed = expected.withColumn("o_totalprice", F.when(key.isNull(), price + 1).otherwise(price))
+    first = expected.agg(F.min("o_orderkey")).scalar()
+    later = expected.withColumn("o_totalprice", F.when(key == first, price + 1).otherwise(price))
+    variants = {"same": (expected, None), "changed": (changed, None), "changed, tolerant": (changed, 0.5), "later": (later, None)}
+    out = None
+    for name, (found, tolerance) in variants.items():
+        verdict = validate(expected, found, "o_orderkey", tolerance=tolerance)
+        row = verdict.select(F.lit(name).alias("variant"), "ok", F.regexp_extract("detail", "^Row [0-9]+ mismatch", 0).alias("detail"))
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
 @query(
     "j02_validate_values",
     "SELECT count(*) > 0 AS ok, CAST(NULL AS VARCHAR) AS detail FROM orders",
@@ -102,6 +129,42 @@ def format_round_trip(spark, sf):
     return suite.select("name", "outcome", "phase")
 
 
+@query(
+    "j03_damaged_formats",
+    """
+    WITH k AS (SELECT min(c_custkey) AS first, max(c_custkey) AS last, count(*) AS n FROM customer)
+    SELECT 'e2e_csv' AS name, 'FAIL' AS outcome, 'validate' AS phase, 'Row count mismatch: expected ' || n || ', got ' || (n - 1) AS detail FROM k
+    UNION ALL SELECT 'e2e_parquet', 'FAIL', 'validate', 'Row count mismatch: expected ' || n || ', got ' || (n - 1) FROM k
+    UNION ALL SELECT 'cleanup', 'SUCCESS', 'cleanup', NULL FROM k
+    """,
+)
+def damaged_formats(spark, sf):
+    # One row gets lost on the way back.
+    customer = table(spark, sf, "customer")
+    last = customer.agg(F.max("c_custkey")).scalar()
+    return suites.format_round_trip(
+        customer, C.CUSTOMER, "c_custkey", scratch(spark, "damaged"), "run-1", ("csv", "parquet"), lambda rows: rows.where(F.col("c_custkey") < last)
+    )
+
+
+@query(
+    "j04_damaged_run_table",
+    """
+    WITH k AS (SELECT max(event_id) AS last FROM events)
+    SELECT 'run-1' AS run_id, 'FAIL' AS status, 'validate' AS phase, 'Row ' || (SELECT count(*) FROM events WHERE event_id < last) || ' mismatch' AS detail,
+           'SUCCESS' AS cleanup FROM k
+    """,
+)
+def damaged_run_table(spark, sf):
+    # The user of the last event gets lost on the way back.
+    events = table(spark, sf, "events").select("event_id", "user_id", "event_type", "value")
+    last = events.agg(F.max("event_id")).scalar()
+    lose = lambda rows: rows.withColumn("user_id", F.when(F.col("event_id") < last, F.col("user_id")))
+    name = f"{_database(spark, 'damaged')}.events"
+    found = suites.run_table_round_trip(events, C.EVENTS_RUN, "event_id", name, "run-1", lose)
+    return found.withColumn("detail", F.regexp_extract("detail", "^Row [0-9]+ mismatch", 0))
+
+
 @query(
     "j04_run_table_round_trip",
     "SELECT 'run-1' AS run_id, 'PASS' AS status, 'validate' AS phase, CAST(NULL AS VARCHAR) AS detail, 'SUCCESS' AS cleanup"

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidewatch.operators import alarms, logs, metrics
+from tidewatch.operators import alarms, logs, metrics, seasonal
 from tidewatch.operators.grouping import children_per_parent
 from tidewatch.operators.ordering import first_per_key, smallest_per_group, with_position
 from tidewatch.plans import alarm_flow
@@ -136,6 +136,35 @@ def anomaly_band(spark, sf):
     return states.withColumns({"total": F.round("total", 6), "upper": F.round("upper", 4), "lower": F.round("lower", 4)})
 
 
+# Six-hour counts with a season of a day, the state of a series stepped through row by row.
+SEASONAL_SQL = """
+    WITH RECURSIVE c AS (SELECT event_type, CAST(floor(epoch(ts) / 21600) AS BIGINT) * 21600 AS period_start, count(*) AS n FROM events GROUP BY ALL),
+    spine AS (SELECT event_type, unnest(range((SELECT min(period_start) FROM c), (SELECT max(period_start) + 1 FROM c), 21600)) AS period_start
+              FROM (SELECT DISTINCT event_type FROM c)),
+    o AS (SELECT event_type, period_start, coalesce(n, 0)::DOUBLE AS x, period_start // 21600 % 4 + 1 AS place,
+                 row_number() OVER (PARTITION BY event_type ORDER BY period_start) AS k FROM spine LEFT JOIN c USING (event_type, period_start)),
+    f AS (SELECT event_type, k, period_start, x, x AS level, [0.0, 0.0, 0.0, 0.0]::DOUBLE[] AS seasons, 0.0::DOUBLE AS spread, NULL::DOUBLE AS upper, false AS breach
+          FROM o WHERE k = 1
+          UNION ALL
+          SELECT event_type, k, period_start, x, CASE WHEN breach THEN level ELSE level + 0.2 * err END,
+                 CASE WHEN breach THEN seasons ELSE list_transform(seasons, lambda v, i: CASE WHEN i = place THEN v + 0.3 * err ELSE v END) END,
+                 CASE WHEN breach THEN spread ELSE (1.0 - 0.2) * spread + 0.2 * err * err END, upper, breach
+          FROM (SELECT *, coalesce(x > upper, false) AS breach
+                FROM (SELECT o.event_type, o.k, o.period_start, o.x, o.place, f.level, f.seasons, f.spread, o.x - (f.level + f.seasons[o.place]) AS err,
+                             CASE WHEN o.k > 2 * 4 THEN f.level + f.seasons[o.place] + 2.0 * sqrt(f.spread) END AS upper
+                      FROM f JOIN o ON o.event_type = f.event_type AND o.k = f.k + 1)))
+    SELECT event_type, period_start, CAST(x AS BIGINT) AS n, round(upper, 6) AS upper, breach FROM f
+"""
+
+
+@query("e03_seasonal_band", SEASONAL_SQL)
+def seasonal_counts(spark, sf):
+    counted = metrics.metric(table(spark, sf, "events"), 21600, ["event_type"], {"n": "sample_count"})
+    filled = metrics.fill_periods(counted, ["event_type"], 21600, {"n": 0})
+    band = seasonal.seasonal_band(filled, ["event_type"], "n", 21600, seasonal.Season(4))
+    return band.select("event_type", "period_start", F.col("n").cast("bigint").alias("n"), F.round("upper", 6).alias("upper"), "breach")
+
+
 @query(
     "e04_first_per_key",
     "SELECT p_brand, p_partkey, p_name, p_retailprice FROM part"

@@ -100,6 +100,30 @@ def _file_system(spark: SparkSession, path: str):
     return target, target.getFileSystem(spark._jsc.hadoopConfiguration())
 
 
+def existing(spark: SparkSession, pattern: str) -> list[str]:
+    """Paths that match a pattern, in the store that Spark reads."""
+    target, files = _file_system(spark, pattern)
+    return [str(status.getPath().toString()) for status in files.globStatus(target) or []]
+
+
+def make_folder(spark: SparkSession, path: str) -> None:
+    """Create a folder unless it is there."""
+    target, files = _file_system(spark, path)
+    files.mkdirs(target)
+
+
+def delete_path(spark: SparkSession, path: str) -> bool:
+    """Delete a file or folder; whether it was there."""
+    target, files = _file_system(spark, path)
+    return files.delete(target, True)
+
+
+def rename_path(spark: SparkSession, path: str, to: str) -> None:
+    target, files = _file_system(spark, path)
+    if not files.rename(target, spark._jvm.org.apache.hadoop.fs.Path(to)):
+        raise OSError(f"{path} can't be renamed to {to}")
+
+
 def _delete_at_exit(spark: SparkSession, path: str) -> None:
     target, files = _file_system(spark, path)
     files.deleteOnExit(target)

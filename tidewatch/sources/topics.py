@@ -86,12 +86,12 @@ def produce_stream(stream: DataFrame, servers: str, topic: str, checkpoint: str)
     )
 
 
-def read_from(spark: SparkSession, path: str, topic: str, offsets: dict[int, int] | None = None) -> DataFrame:
-    """Records of a topic at or after an offset per partition."""
+def read_from(spark: SparkSession, path: str, topic: str, offsets: dict[int, int | Column] | None = None) -> DataFrame:
+    """Records of a topic at or after an offset per partition, a number or an expression."""
     records = spark.read.schema(RECORD).parquet(path).where(F.col("topic") == topic)
     if offsets is None:
         return records
-    start = F.create_map(*[F.lit(v) for pair in sorted(offsets.items()) for v in pair])
+    start = F.create_map(*[F.lit(v) for partition in sorted(offsets) for v in (partition, offsets[partition])])
     return records.where(F.col("offset") >= F.try_element_at(start, F.col("partition")))
 
 

@@ -1,7 +1,9 @@
-"""Alarm state and absence detection as keyed streaming state.
+"""Alarm state, gap filling and absence detection as keyed streaming state.
 
-Both work on metric rows (one per series and period), never on raw events, so
-the state and the rows of one series stay small. The processor classes are made
+All work on metric rows (one per series and period), never on raw events, so
+the state and the rows of one series stay small. Periods are held back until the
+watermark says that nothing earlier can come, and then taken in their order, so
+results do not depend on the order of arrival. The processor classes are made
 inside functions, which sends them to the workers by value. Their runs need
 ``large_state=True``.
 """
@@ -9,7 +11,7 @@ inside functions, which sends them to the workers by value. Their runs need
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
 
@@ -18,35 +20,79 @@ from tidewatch.operators.metrics import period_start
 
 _TRANSITION = "series string, period_start long, previous_state string, state string"
 _ABSENCE = "series string, last_seen long, deadline long"
+_FILLED = "series string, period_start long, value double, filled boolean"
 
 
-def _alarm_processor(n: int, m: int, period: int, missing_breaches: bool) -> StatefulProcessor:
+def _timed(points: DataFrame, series: str, period: int, late: int | None, value: Column) -> DataFrame:
+    """``series, period_start, value, _event_time`` with a watermark of one period unless ``late`` seconds are given."""
+    delay = f"{period if late is None else late} seconds"
+    start = F.col("period_start").cast("long")
+    return points.select(
+        F.col(series).cast("string").alias("series"),
+        start.alias("period_start"),
+        value,
+        F.timestamp_seconds(start).alias("_event_time"),
+    ).withWatermark("_event_time", delay)
+
+
+def _alarm_processor(n: int, m: int, period: int, missing_breaches: bool, silence: bool) -> StatefulProcessor:
     class AlarmState(StatefulProcessor):
-        """Keeps the last breaches of a series and reports changes of its state."""
+        """Holds periods back until they are final, then follows the state of a series through them."""
 
         def init(self, handle):
-            self.memory = handle.getValueState("memory", "last long, recent string, state string")
+            self.handle = handle
+            self.memory = handle.getValueState("memory", "last long, missed long, recent string, state string")
+            self.open = handle.getMapState("open", "period_start long", "breach boolean")
 
         def handleInputRows(self, key, rows, timerValues):
-            last, recent, state = self.memory.get() if self.memory.exists() else (None, "", "OK")
-            points = pd.concat(list(rows)).sort_values("period_start")
-            changes = []
-            for at, breach in zip(points["period_start"].tolist(), points["breach"].tolist()):
-                if last is not None and at <= last:
+            came: dict[int, bool] = {}
+            for batch in rows:
+                if key[0] is None:
                     continue
-                steps = [(at, breach)]
+                for at, breach in zip(batch["period_start"].tolist(), batch["breach"].tolist()):
+                    came[at] = came.get(at, False) or breach
+            for at, breach in came.items():
+                if self.open.containsKey((at,)):
+                    breach = breach or self.open.getValue((at,))[0]
+                self.open.updateValue((at,), (breach,))
+                self.handle.registerTimer(at * 1000)
+            yield pd.DataFrame([], columns=["series", "period_start", "previous_state", "state"])
+
+        def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+            # Whichever timer comes first takes all that is final, in its order.
+            now = timerValues.getCurrentWatermarkInMs() // 1000
+            last, missed, recent, state = self.memory.get() if self.memory.exists() else (None, 0, "", "OK")
+            final = sorted(at for (at,) in self.open.keys() if at <= now)
+            changes = []
+
+            def step(at: int, hit: bool) -> None:
+                nonlocal recent, state
+                recent = (recent + ("1" if hit else "0"))[-n:]
+                found = "ALARM" if recent.count("1") >= m else "OK"
+                if found != state:
+                    changes.append((key[0], at, state, found))
+                    state = found
+
+            def pass_over(upto: int) -> None:
+                """Missing periods before ``upto``; after ``n`` of them the state no longer changes."""
+                nonlocal missed
+                while missed < n and last + (missed + 1) * period < upto:
+                    missed += 1
+                    step(last + missed * period, missing_breaches)
+
+            for at in final:
+                breach = self.open.getValue((at,))[0]
+                self.open.removeKey((at,))
                 if last is not None:
-                    # After n missing periods the state no longer changes.
-                    stop = min(at, last + (n + 1) * period)
-                    steps = [(p, missing_breaches) for p in range(last + period, stop, period)] + steps
-                for step, hit in steps:
-                    recent = (recent + ("1" if hit else "0"))[-n:]
-                    now = "ALARM" if recent.count("1") >= m else "OK"
-                    if now != state:
-                        changes.append((key[0], step, state, now))
-                        state = now
-                last = at
-            self.memory.update((last, recent, state))
+                    pass_over(at)
+                step(at, breach)
+                last, missed = at, 0
+            if silence and last is not None:
+                pass_over(now + 1)
+                if missed < n:
+                    self.handle.registerTimer((last + (missed + 1) * period) * 1000)
+            if last is not None:
+                self.memory.update((last, missed, recent, state))
             yield pd.DataFrame(changes, columns=["series", "period_start", "previous_state", "state"])
 
         def close(self):
@@ -55,20 +101,95 @@ def _alarm_processor(n: int, m: int, period: int, missing_breaches: bool) -> Sta
     return AlarmState()
 
 
-def alarm_transitions(points: DataFrame, series: str, value: str, period: int, alarm: Alarm) -> DataFrame:
-    """State changes per series of a stream of ``series, period_start, value`` rows.
+def alarm_transitions(
+    points: DataFrame, series: str, value: str, period: int, alarm: Alarm, late: int | None = None, silence: bool = False
+) -> DataFrame:
+    """State changes per series of a stream of ``series, period_start, value`` rows, in whatever order they come.
 
-    A period at or before the last one seen of its series comes too late and is
-    left out.
+    A period is judged when the watermark, ``late`` seconds (default one period)
+    behind the newest period of all series, has reached it; until then it waits
+    in the state. Rows that come later still are dropped and counted by the
+    stream. Missing periods follow the alarm's policy: between two points, and
+    with ``silence`` also after the last one, as the watermark passes them.
+    Several rows of a period count as one, which breaches if one of them does.
+    Rows without a series only move the watermark. Periods beyond the watermark stay open; ``closing_point`` ends a stream.
     """
-    marked = points.select(
-        F.col(series).cast("string").alias("series"),
-        F.col("period_start").cast("long").alias("period_start"),
-        alarm.breached(F.col(value)).alias("breach"),
-    )
-    processor = _alarm_processor(alarm.n, alarm.m or alarm.n, period, alarm.missing == "breaching")
+    marked = _timed(points, series, period, late, alarm.breached(F.col(value)).alias("breach"))
+    processor = _alarm_processor(alarm.n, alarm.m or alarm.n, period, alarm.missing == "breaching", silence)
     return marked.groupBy("series").transformWithStateInPandas(
-        statefulProcessor=processor, outputStructType=_TRANSITION, outputMode="Update", timeMode="None"
+        statefulProcessor=processor, outputStructType=_TRANSITION, outputMode="Append", timeMode="EventTime"
+    )
+
+
+def closing_point(points: DataFrame, series: str, late: int) -> DataFrame:
+    """One row without a series, so late that the watermark passes every period of ``points``.
+
+    Put at the end of a finite stream, it lets all periods become final.
+    """
+    after = (F.max("period_start") + F.lit(late)).alias("period_start")
+    kinds = {f.name: f.dataType for f in points.schema.fields}
+    last = points.agg(after)
+    return last.select(*[F.col(c) if c == "period_start" else F.lit(None).cast(kinds[c]).alias(c) for c in points.columns])
+
+
+def _filling_processor(period: int, fill: float | None) -> StatefulProcessor:
+    class Filling(StatefulProcessor):
+        """Puts out every period of a series once, present or not, when it is final."""
+
+        def init(self, handle):
+            self.handle = handle
+            self.memory = handle.getValueState("memory", "last long")
+            self.open = handle.getMapState("open", "period_start long", "value double")
+
+        def handleInputRows(self, key, rows, timerValues):
+            for batch in rows:
+                if key[0] is None:
+                    continue
+                for at, value in zip(batch["period_start"].tolist(), batch["value"].tolist()):
+                    self.open.updateValue((at,), (value,))
+                    self.handle.registerTimer(at * 1000)
+            yield pd.DataFrame([], columns=["series", "period_start", "value", "filled"])
+
+        def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+            now = timerValues.getCurrentWatermarkInMs() // 1000
+            final = sorted(at for (at,) in self.open.keys() if at <= now)
+            last = self.memory.get()[0] if self.memory.exists() else None
+            rows = []
+            for at in final:
+                if last is not None:
+                    rows += [(key[0], p, fill, True) for p in range(last + period, at, period)]
+                rows.append((key[0], at, self.open.getValue((at,))[0], False))
+                self.open.removeKey((at,))
+                last = at
+            if last is not None:
+                missing = range(last + period, now + 1, period)
+                rows += [(key[0], p, fill, True) for p in missing]
+                last += len(missing) * period
+                self.memory.update((last,))
+                # The next period is due even if no row comes.
+                self.handle.registerTimer((last + period) * 1000)
+            yield pd.DataFrame(rows, columns=["series", "period_start", "value", "filled"])
+
+        def close(self):
+            pass
+
+    return Filling()
+
+
+def filled_stream(
+    points: DataFrame, series: str, value: str, period: int, fill: float | None = 0.0, late: int | None = None
+) -> DataFrame:
+    """Every period of every series, from its first one on: ``series, period_start, value, filled``.
+
+    ``points`` is a stream of final metric rows, one per series and period. A
+    period without a row is put out with ``fill`` once the watermark has reached
+    it (see ``alarm_transitions``), without waiting for a later row of the
+    series; what the watermark has not reached stays open. Rows without a series
+    only move the watermark.
+    """
+    timed = _timed(points, series, period, late, F.col(value).cast("double").alias("value"))
+    return timed.groupBy("series").transformWithStateInPandas(
+        statefulProcessor=_filling_processor(period, fill), outputStructType=_FILLED, outputMode="Append", timeMode="EventTime"
     )
 
 

@@ -54,7 +54,7 @@ def topic_stream(spark: SparkSession, servers: str, topic: str, starting: str =
     )
 
 
-def append_available(stream: DataFrame, path: str, large_state: bool = True) -> DataFrame:
+def append_available(stream: DataFrame, path: str, large_state: bool = True, name: str | None = None) -> DataFrame:
     """Append the stream's rows to files below ``path``; a restart goes on from its checkpoint."""
     writer = (
         stream.writeStream.outputMode("append")
@@ -62,6 +62,8 @@ def append_available(stream: DataFrame, path: str, large_state: bool = True) ->
         .option("checkpointLocation", f"{path}-checkpoint")
         .trigger(availableNow=True)
     )
+    if name:
+        writer = writer.queryName(name)
     with _large_state(stream.sparkSession, large_state):
         run = writer.start(path)
     run.awaitTermination()

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor
 
 from tidewatch.sources.topics import decode, topic_parts
 
@@ -42,6 +44,66 @@ def without_deleted(latest: DataFrame, value: str = "value") -> DataFrame:
     return latest.where(F.col(value).isNotNull())
 
 
+def _compaction_processor(seconds: int) -> StatefulProcessor:
+    class Compaction(StatefulProcessor):
+        """The newest offset and value of a key; a deleted key is forgotten after its life span."""
+
+        def init(self, handle):
+            self.handle = handle
+            self.newest = handle.getValueState("newest", "offset long, value string, deadline long")
+
+        def handleInputRows(self, key, rows, timerValues):
+            held = self.newest.get() if self.newest.exists() else None
+            best = held
+            for batch in rows:
+                at = batch["offset"].idxmax()
+                offset, value = int(batch["offset"][at]), batch["value"][at]
+                if best is None or offset > best[0]:
+                    deadline = int(batch["seconds"][at]) + seconds if pd.isna(value) else None
+                    best = (offset, None if pd.isna(value) else value, deadline)
+            out = []
+            if best is not held:
+                if held is not None and held[2] is not None:
+                    self.handle.deleteTimer(held[2] * 1000)
+                if best[2] is not None:
+                    self.handle.registerTimer(best[2] * 1000)
+                self.newest.update(best)
+                out.append((*key, best[1], best[0]))
+            yield pd.DataFrame(out, columns=["topic", "key", "value", "offset"])
+
+        def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+            self.newest.clear()
+            yield pd.DataFrame([], columns=["topic", "key", "value", "offset"])
+
+        def close(self):
+            pass
+
+    return Compaction()
+
+
+def compacted_stream(stream: DataFrame, delete_retention: int, late: int) -> DataFrame:
+    """Compaction per topic and key with a life span for deletes: changed keys with their newest value and offset.
+
+    A NULL value deletes its key: it is put out once, so that the older value
+    goes, and held for ``delete_retention`` seconds of event time after its own
+    timestamp; then the key leaves the state. Records that come after a newer one
+    of their key change nothing. A record older than the watermark, ``late``
+    seconds behind the newest of all, is dropped, so a forgotten key comes back
+    by newer records only. State holds live keys and recent deletes.
+    """
+    if delete_retention < late:
+        raise ValueError("deletes are kept at least as long as records may be late")
+    timed = stream.select(
+        "topic", "key", "value", "offset", F.unix_seconds("timestamp").alias("seconds"), F.col("timestamp").alias("_event_time")
+    ).withWatermark("_event_time", f"{late} seconds")
+    return timed.groupBy("topic", "key").transformWithStateInPandas(
+        statefulProcessor=_compaction_processor(delete_retention),
+        outputStructType="topic string, key string, value string, offset long",
+        outputMode="Update",
+        timeMode="EventTime",
+    )
+
+
 def retained_by_age(records: DataFrame, retention_ms: int) -> DataFrame:
     """Records at most ``retention_ms`` older than the newest; -1 keeps all."""
     if retention_ms == -1:
