@@ -21,6 +21,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -31,8 +32,9 @@ from .textscan import Scan, mix
 
 LONGEST = 5
 THRESHOLD = 100
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 2 << 20
 PARTITION_MASS = 2 << 20
+KEPT_BITS = 48  # of a hash, after those that name its partition
 UNKNOWN = "und"
 
 _U = np.uint64
@@ -49,14 +51,14 @@ def plain(text: str) -> bytes:
 
 
 def blocks(docs: DataFrame, text: str, lang: str, size: int = BLOCK_BYTES) -> DataFrame:
-    """Rows ``block, lang, words, plain``: plain texts of one language put together up to ``size`` bytes; written."""
+    """Rows ``block, lang, words, plain``: plain texts of one language, put together up to ``size`` bytes and compressed; written."""
     schema = "lang string, words long, plain binary"
 
     def row(language: str, parts: list[bytes]) -> pa.RecordBatch:
         joined = b"".join(parts)
         words = joined.count(b" ") + joined.count(b"\n")
         return pa.RecordBatch.from_arrays(
-            [pa.array([language]), pa.array([words], pa.int64()), pa.array([joined], pa.binary())], names=["lang", "words", "plain"]
+            [pa.array([language]), pa.array([words], pa.int64()), pa.array([zstandard.compress(joined, 1)], pa.binary())], names=["lang", "words", "plain"]
         )
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -126,15 +128,20 @@ def _cut(keys: np.ndarray, bits: int) -> Iterator[tuple[int, int, int]]:
         yield int(part[at]), int(at), int(to)
 
 
-def _planes(numbers: np.ndarray, kind: str) -> bytes:
-    """Numbers of a kind, all first bytes before all second ones: the compression of the exchange finds the zeros."""
+def _packed(numbers: np.ndarray, kind: str) -> bytes:
+    """Numbers of a kind, all first bytes before all second ones, compressed: small numbers take few bits."""
     wide = np.dtype(kind).itemsize
-    return numbers.astype(kind).view(np.uint8).reshape(-1, wide).T.tobytes()
+    return zstandard.compress(numbers.astype(kind).view(np.uint8).reshape(-1, wide).T.tobytes(), 1)
 
 
-def _numbers(planes: bytes, kind: str) -> np.ndarray:
+def _numbers(packed: bytes, kind: str) -> np.ndarray:
     wide = np.dtype(kind).itemsize
-    return np.frombuffer(planes, np.uint8).reshape(wide, -1).T.copy().view(kind).ravel()
+    return np.frombuffer(zstandard.decompress(packed), np.uint8).reshape(wide, -1).T.copy().view(kind).ravel()
+
+
+def _short(keys: np.ndarray, bits: int) -> np.ndarray:
+    """The ``KEPT_BITS`` of sorted hashes that follow their partition's; in order, too."""
+    return (keys << _U(bits)) >> _U(64 - min(KEPT_BITS, 64 - bits))
 
 
 def misra_gries(counts: Iterable[tuple[np.ndarray, np.ndarray]], capacity: int) -> tuple[np.ndarray, np.ndarray, int]:
@@ -183,9 +190,9 @@ def _send(blocked: DataFrame, bits: int, longest: int) -> DataFrame:
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block, lang, body in zip(*(batch.column(i) for i in range(3))):
-                keys, counts = _block_keys(body.as_py(), lang.as_py(), longest)
+                keys, counts = _block_keys(zstandard.decompress(body.as_py()), lang.as_py(), longest)
                 rows = [
-                    (part, block.as_py(), _planes(np.diff(keys[at:to], prepend=_U(part << 64 - bits)), "<u8"), _planes(counts[at:to], "<u4"))
+                    (part, block.as_py(), _packed(np.diff(_short(keys[at:to], bits), prepend=_U(0)), "<u8"), _packed(counts[at:to], "<u4"))
                     for part, at, to in _cut(keys, bits)
                 ]
                 if rows:
@@ -194,36 +201,38 @@ def _send(blocked: DataFrame, bits: int, longest: int) -> DataFrame:
     return blocked.select("block", "lang", "plain").mapInArrow(send, "part long, block long, keys binary, counts binary")
 
 
-def _found(sent: DataFrame, bits: int, threshold: int) -> DataFrame:
+def _found(sent: DataFrame, threshold: int) -> DataFrame:
     """Rows ``block, part, places, found``: frequent n-grams that a block is to name, by their place among the hashes sent, and their counts."""
 
     def find(table: pa.Table) -> pa.Table:
         part = table.column("part")[0].as_py()
-        held = [
-            (block, np.cumsum(np.concatenate([[_U(part << 64 - bits)], _numbers(keys.as_py(), "<u8")]), dtype=_U)[1:], _numbers(counts.as_py(), "<u4"))
-            for block, keys, counts in zip(table.column("block").to_pylist(), table.column("keys"), table.column("counts"))
-        ]
-        mass = sum(int(counts.sum()) for _, _, counts in held)
-        keys, counters, error = misra_gries(((k, c) for _, k, c in held), mass // threshold + 1)
+        rows = list(zip(table.column("block").to_pylist(), table.column("keys"), table.column("counts")))
+
+        def sent_by_block() -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+            for block, keys, counts in rows:
+                yield block, np.cumsum(_numbers(keys.as_py(), "<u8"), dtype=_U), _numbers(counts.as_py(), "<u4")
+
+        mass = sum(int(counts.sum()) for _, _, counts in sent_by_block())
+        keys, counters, error = misra_gries(((k, c) for _, k, c in sent_by_block()), mass // threshold + 1)
         keys = keys[counters + error >= threshold]
         total = np.zeros(len(keys), np.int64)
         least = np.full(len(keys), np.iinfo(np.uint64).max)
         hits = []
-        for block, found, counts in held:
-            where = np.flatnonzero(np.isin(found, keys, assume_unique=True))
+        for block, found, counts in sent_by_block():
+            where = np.flatnonzero(np.isin(found, keys))
             at = np.searchsorted(keys, found[where])
-            total[at] += counts[where]
+            np.add.at(total, at, counts[where])  # two hashes of a block may share what is kept of them
             # Any holder may name it; which one is left to a hash, so that all get a share.
             drawn = mix(found[where] ^ mix(np.array([block], np.int64).view(_U)))
-            least[at] = np.minimum(least[at], drawn)
+            np.minimum.at(least, at, drawn)
             hits.append((block, where, at, drawn))
-        rows = []
+        out = []
         for block, where, at, drawn in hits:
             own = (drawn == least[at]) & (total[at] >= threshold)
             if own.any():
-                rows.append((block, part, where[own].astype("<u4").tobytes(), total[at[own]].astype("<i8").tobytes()))
+                out.append((block, part, where[own].astype("<u4").tobytes(), total[at[own]].astype("<i8").tobytes()))
         types = [pa.int64(), pa.int64(), pa.binary(), pa.binary()]
-        columns = zip(*rows) if rows else ((),) * 4
+        columns = zip(*out) if out else ((),) * 4
         return pa.table([pa.array(c, t) for c, t in zip(columns, types)], names=["block", "part", "places", "found"])
 
     return sent.groupBy("part").applyInArrow(find, "block long, part long, places binary, found binary")
@@ -237,7 +246,7 @@ def _named(blocked: DataFrame, found: DataFrame, bits: int, longest: int) -> Dat
     def name(left: pa.Table, right: pa.Table) -> pa.Table:
         rows: list[list] = [[], [], [], []]
         if left.num_rows and right.num_rows:
-            lang, body = left.column("lang")[0].as_py(), left.column("plain")[0].as_py()
+            lang, body = left.column("lang")[0].as_py(), zstandard.decompress(left.column("plain")[0].as_py())
             wanted, counts = _wanted(_block_keys(body, lang, longest)[0], right, bits)
             near = np.zeros(1 << 20, bool)  # most n-grams are told apart by their first 20 bits
             near[(wanted >> _U(44)).astype(np.int64)] = True
@@ -287,8 +296,8 @@ def frequent_phrases(
     Letters A-Z are lower-cased; pieces end at ``. , ; : ! ?`` and line breaks;
     words are runs of anything but space and tab. A missing language is
     ``UNKNOWN``; a missing, empty or blank text adds nothing. A very long text
-    is a block of its own. N-grams of a language are told apart by 64-bit
-    hashes. One number is brought to the driver (all words).
+    is a block of its own. N-grams are told apart by the first bits of 64-bit
+    hashes: ``KEPT_BITS`` and those that number the partitions. One number is brought to the driver (all words).
     """
     if not 1 <= longest <= LONGEST:
         raise ValueError(f"phrases have 1 to {LONGEST} words")
@@ -299,7 +308,7 @@ def frequent_phrases(
     mass = longest * (blocked.agg(F.sum("words")).first()[0] or 0)
     bits = min(32, max(0, (mass // partition_mass)).bit_length())
     with short_batches(docs.sparkSession, 4):
-        found = materialise(_found(_send(blocked, bits, longest), bits, threshold))
+        found = materialise(_found(_send(blocked, bits, longest), threshold))
         kept = materialise(_named(blocked, found, bits, longest))
     return kept, words
 
