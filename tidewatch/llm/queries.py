@@ -17,7 +17,7 @@ __all__ = ["QUERIES", "ORACLES"]
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = public_tokenizers.path("piece_bpe_32k.model")
     documents = table(spark, sf_dir, "documents").select("doc_id", "text")
-    coded = sentencepiece_bpe.decode(sentencepiece_bpe.encode(documents, model).drop("text"), model)
+    coded = sentencepiece_bpe.round_trip(documents, model)
     return coded.select(
         "doc_id",
         "n_tokens",

@@ -26,7 +26,9 @@ from .batches import add_columns, texts
 SPACE = "▁"
 CACHED_SEGMENTS = 300_000
 CACHED_PAIRS = 150_000
+CACHED_ORDERS = 40_000
 LONGEST_CACHED = 48
+_NEVER = float("-inf")
 
 
 class BoundedCache(dict):
@@ -75,6 +77,7 @@ class Encoder:
             self.automaton.add_word(piece, len(piece))
         self.automaton.make_automaton()
         self.compatible = BoundedCache(self._merge_keeps, CACHED_PAIRS)
+        self.orders = BoundedCache(self._merges, CACHED_ORDERS)
         self.segments = BoundedCache(self._segment, CACHED_SEGMENTS, LONGEST_CACHED)
         if any(SPACE in p.lstrip(SPACE) for p in self.ids):
             raise ValueError("a piece spans words: texts of this model can't be cut at spaces")
@@ -99,8 +102,55 @@ class Encoder:
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return parts
 
+    def _merges(self, piece: str) -> tuple[list[tuple[float, str, str]], bool]:
+        """The merges inside a piece in their order: score, first and last part after it; and whether one part is left."""
+        parts, scores, done = list(piece), self.scores, []
+        while len(parts) > 1:
+            best, at = _NEVER, -1
+            for i in range(len(parts) - 1):
+                score = scores.get(parts[i] + parts[i + 1], _NEVER)
+                if score > best:
+                    best, at = score, i
+            if at < 0:
+                break
+            parts[at : at + 2] = [parts[at] + parts[at + 1]]
+            done.append((best, parts[0], parts[-1]))
+        done.append((_NEVER, "", ""))
+        return done, len(parts) == 1
+
     def _merge_keeps(self, pair: tuple[str, str]) -> bool:
-        return self.merge(pair[0] + pair[1]) == [p for p in pair if p]
+        """Whether merging the joined text gives the two pieces: merges of both sides go on by score as if alone,
+
+        unless the pair across the border scores more than what is next on the
+        left, and as much as what is next on the right.
+        """
+        left, right = pair
+        on_right, whole = self.orders[right]
+        if not left or not whole:
+            return whole
+        on_left, whole = self.orders[left]
+        if not whole:
+            return False
+        scores, a, b = self.scores, left[-1], right[0]
+        across = scores.get(a + b, _NEVER)
+        i = j = 0
+        while True:
+            first, _, last = on_left[i]
+            second, start, _ = on_right[j]
+            if across > first and across >= second and across > _NEVER:
+                return False
+            if first == second == _NEVER:
+                return True
+            if first >= second:
+                i += 1
+                if last is not a:
+                    a = last
+                    across = scores.get(a + b, _NEVER)
+            else:
+                j += 1
+                if start is not b:
+                    b = start
+                    across = scores.get(a + b, _NEVER)
 
     def pieces(self, text: str) -> list[str]:
         """The backtracking walk over one segment."""
@@ -108,28 +158,27 @@ class Encoder:
         longest = [1] * n
         for last, length in self.automaton.iter(text):
             longest[last - length + 1] = length  # longer ones end, and so come, later
-        failed = bytearray(n // 8 + 1)
+        failed = 0  # one bit per place
         compatible, shorter = self.compatible, self.shorter
         found: list[str] = []
-        at = 0
+        at, left = 0, ""
         while at < n:
             length = longest[at]
-            while length:
-                end = at + length
-                piece = text[at:end]
-                if not failed[end >> 3] >> (end & 7) & 1 and (compatible[found[-1], piece] if found else self._alone(piece)):
-                    found.append(piece)
-                    at = end
+            piece = text[at : at + length]
+            while not (failed >> at + length & 1 == 0 and compatible[left, piece]):
+                length = shorter.get(piece)
+                if not length:
+                    failed |= 1 << at
+                    at -= len(found.pop())
+                    left = found[-1] if found else ""
                     break
-                length = shorter.get(piece, 0)
+                piece = piece[:length]
             else:
-                failed[at >> 3] |= 1 << (at & 7)
-                at -= len(found.pop())
+                found.append(piece)
+                at += length
+                left = piece
         return found
 
-    def _alone(self, piece: str) -> bool:
-        return self.compatible["", piece] if len(piece) > 1 else True
-
     def _segment(self, segment: str) -> bytes:
         packed = self.packed
         return b"".join([packed.get(piece) or self._unlisted(piece) for piece in self.pieces(segment)])
@@ -147,7 +196,7 @@ class Encoder:
         return b"".join([self.frame[0], *map(self.segments.__getitem__, self.cut.findall(marked)), self.frame[1]])
 
     def decode(self, packed: bytes) -> str:
-        return self.library.decode(np.frombuffer(packed, "<u4").tolist())
+        return self.library.decode(np.frombuffer(packed, "<u4").astype("=u4", copy=False).data.tolist())
 
 
 @functools.lru_cache(maxsize=2)
@@ -174,6 +223,18 @@ def encode(df: DataFrame, model: str, text: str = "text", ids: str = "ids", coun
     return add_columns(df, [text], f"`{ids}` binary, `{count}` bigint", run)
 
 
+def round_trip(df: DataFrame, model: str, text: str = "text", ids: str = "ids", count: str = "n_tokens", decoded: str = "decoded") -> DataFrame:
+    """``encode`` and ``decode`` in one pass over the texts: adds the identifiers, their number and the text they give."""
+
+    def run(column: pa.Array) -> list[pa.Array]:
+        coder = encoder(model)
+        packed = [coder.encode(t) for t in texts(column)]
+        counts = [len(p) // 4 for p in packed]
+        return [pa.array(packed, pa.binary()), pa.array(counts, pa.int64()), pa.array(map(coder.decode, packed), pa.string())]
+
+    return add_columns(df, [text], f"`{ids}` binary, `{count}` bigint, `{decoded}` string", run)
+
+
 def decode(df: DataFrame, model: str, ids: str = "ids", text: str = "decoded") -> DataFrame:
     """Add the text of packed identifiers; missing identifiers give an empty text."""
 
