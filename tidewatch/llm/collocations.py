@@ -35,6 +35,8 @@ THRESHOLD = 100
 BLOCK_BYTES = 2 << 20
 PARTITION_MASS = 2 << 20
 KEPT_BITS = 48  # of a hash, after those that name its partition
+RANK_PARTS = 64
+PARTS_A_TASK = 4
 UNKNOWN = "und"
 
 _U = np.uint64
@@ -201,7 +203,7 @@ def _send(blocked: DataFrame, bits: int, longest: int) -> DataFrame:
     return blocked.select("block", "lang", "plain").mapInArrow(send, "part long, block long, keys binary, counts binary")
 
 
-def _found(sent: DataFrame, threshold: int) -> DataFrame:
+def _found(sent: DataFrame, bits: int, threshold: int) -> DataFrame:
     """Rows ``block, part, places, found``: frequent n-grams that a block is to name, by their place among the hashes sent, and their counts."""
 
     def find(table: pa.Table) -> pa.Table:
@@ -235,7 +237,9 @@ def _found(sent: DataFrame, threshold: int) -> DataFrame:
         columns = zip(*out) if out else ((),) * 4
         return pa.table([pa.array(c, t) for c, t in zip(columns, types)], names=["block", "part", "places", "found"])
 
-    return sent.groupBy("part").applyInArrow(find, "block long, part long, places binary, found binary")
+    # As many tasks as the partitions ask for, whatever their bytes.
+    dealt = sent.repartition((1 << bits) // PARTS_A_TASK + 1, "part")
+    return dealt.groupBy("part").applyInArrow(find, "block long, part long, places binary, found binary")
 
 
 def _named(blocked: DataFrame, found: DataFrame, bits: int, longest: int) -> DataFrame:
@@ -308,7 +312,7 @@ def frequent_phrases(
     mass = longest * (blocked.agg(F.sum("words")).first()[0] or 0)
     bits = min(32, max(0, (mass // partition_mass)).bit_length())
     with short_batches(docs.sparkSession, 4):
-        found = materialise(_found(_send(blocked, bits, longest), threshold))
+        found = materialise(_found(_send(blocked, bits, longest), bits, threshold))
         kept = materialise(_named(blocked, found, bits, longest))
     return kept, words
 
@@ -344,6 +348,10 @@ def collocations(docs: DataFrame, top: int = 2_000, threshold: int = THRESHOLD,
     score = F.expr(f"(1000BD * {whole('a')} * {whole('words')}) div ({whole('l')} * {whole('r')})")
     scored = both.withColumn("score", score)
     lowest = scored.groupBy("lang", "phrase").agg(F.min_by(F.struct("a", "l", "r", F.col("words").alias("n"), "score"), F.struct("score", "_k")).alias("_s"))
-    order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
-    ranked = lowest.select("lang", "phrase", "_s.*").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
+    best = [F.desc("score"), F.desc("a"), F.asc("phrase")]
+    # The best of each part of a language come first, so that one task ranks a bounded number.
+    parts = Window.partitionBy("lang", "_part").orderBy(*best)
+    ranked = lowest.select("lang", "phrase", "_s.*", F.pmod(F.xxhash64("phrase"), F.lit(RANK_PARTS)).alias("_part"))
+    ranked = ranked.withColumn("rank", F.row_number().over(parts)).where(F.col("rank") <= top)
+    ranked = ranked.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*best))).where(F.col("rank") <= top)
     return ranked.select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
