@@ -65,7 +65,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Encode every document and decode it again: identifiers, their number, and whether the text comes back."""
     model = public_tokenizers.path("piece_bpe_32k.model")
-    coded = sentencepiece_bpe.decode(sentencepiece_bpe.encode(docs.select("doc_id", "source", "lang", "text"), model), model)
+    coded = sentencepiece_bpe.round_trip(docs.select("doc_id", "source", "lang", "text"), model)
     # The normaliser leaves texts alone but for its space mark, which decodes to a space.
     same = F.col("decoded") == F.replace(F.coalesce("text", F.lit("")), F.lit("▁"), F.lit(" "))
     return coded.select("doc_id", "source", "lang", "ids", "n_tokens", same.alias("round_trip"))
