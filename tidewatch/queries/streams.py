@@ -44,14 +44,14 @@ def stream_in_order(spark, sf):
     return runs.file_stream(spark, path, events.schema, files_per_trigger=2)
 
 
-def closed_points(spark, sf, period, series, aggregates, label):
-    """A windowed stream job's finished periods as the stream of a second job: file after file, then a closing point."""
+def closed_points(spark, sf, period, series, aggregates, label, files=8):
+    """A windowed stream job's finished periods as the stream of a second job: some files after the other, then a closing point."""
     path = scratch(spark, label)
     final = windowed(stream_in_order(spark, sf), "ts", period, series, aggregates)
     points = runs.update_available(final, path, mode="append").drop("batch")
     # After the folders of the job's own batches.
     live.closing_point(points, series[0], WHOLE).write.parquet(f"{path}/batch={1 << 40}")
-    return runs.file_stream(spark, f"{path}/*", points.schema, files_per_trigger=1)
+    return runs.file_stream(spark, f"{path}/*", points.schema, files_per_trigger=files)
 
 
 @query(
@@ -246,8 +246,8 @@ CLOSED_DAYS_SQL = f"""
 
 @query("i05_out_of_order", CLOSED_DAYS_SQL.replace("__END__", "hi"))
 def out_of_order(spark, sf):
-    # The windowed job's files come one by one, each with days of many users.
-    points = closed_points(spark, sf, DAY, ["user_id"], [F.count(F.lit(1)).alias("n")], "days")
+    # The windowed job's files come a few at a time, each with the days of some users.
+    points = closed_points(spark, sf, DAY, ["user_id"], [F.count(F.lit(1)).alias("n")], "days", files=3)
     changes = live.alarm_transitions(points, "user_id", "n", DAY, QUIET, late=WHOLE)
     return runs.append_available(changes, scratch(spark, "ordered-alarm"))
 
