@@ -35,13 +35,15 @@ from pyspark.sql import types as T
 from tidewatch.session import materialise
 
 from .components import components
-from .textscan import Scan, in_batches, shingles
+from .textscan import Scan, in_batches, mix, shingles
 
+_U = np.uint64
 HEAVY = 400_000  # most shingles whose frequency is kept: 4.8 MB are sent to the executors
 LEVELS = 24
 COMPARE = 20.0  # cost of a comparison in postings read
 RARE = 0.3  # partners expected of a shingle whose frequency isn't kept
 SLOTS = 1 << 25  # bits of the filter of documents to compare: 4 MB at any size
+PARITIES = 4  # numbers of 64 bits
 TURNS = 8  # most rounds; the last one compares all that is left
 _FLUSH = 4_000_000
 
@@ -98,17 +100,18 @@ def _classes(docs: DataFrame, key: str, text: str, k: int) -> DataFrame:
 
 
 def _prefixes(docs: DataFrame, text: str, k: int, percent: int, heavy) -> DataFrame:
-    """The prefix of every class as ``(key, n, ell, rare, tokens)``, at least once a class.
+    """The prefix of every class as ``(key, n, ell, rare, odd, tokens)``, at least once a class.
 
     ``rare`` counts the shingles that aren't known to be frequent: the least
-    edited of many copies has the fewest.
+    edited of many copies has the fewest. ``odd`` tells for ``64 * PARITIES``
+    parts of all shingles whether the set has an odd number of them.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, weights = heavy.value
         seen: set[int] = set()
         for batch in batches:
-            keys, sizes, ells, rares, prefixes = [], [], [], [], []
+            keys, sizes, ells, rares, odds, prefixes = [], [], [], [], [], []
             for _, s in _sets(batch.column(0), k):
                 name = _key(s)
                 if not name or name in seen:
@@ -131,15 +134,38 @@ def _prefixes(docs: DataFrame, text: str, k: int, percent: int, heavy) -> DataFr
                 sizes.append(n)
                 ells.append(ell)
                 rares.append(n - int(np.count_nonzero(weight)))
+                odds.append(_odd(s))
                 prefixes.append(ordered[: base + ell])
             offsets = np.concatenate([[0], np.cumsum([len(p) for p in prefixes])]).astype(np.int32)
             tokens = np.concatenate([np.zeros(0, np.uint64), *prefixes]).view(np.int64)
             yield pa.RecordBatch.from_arrays(
-                [*(pa.array(x, pa.int64()) for x in (keys, sizes, ells, rares)), pa.ListArray.from_arrays(offsets, pa.array(tokens))],
-                names=["key", "n", "ell", "rare", "tokens"],
+                [
+                    *(pa.array(x, pa.int64()) for x in (keys, sizes, ells, rares)),
+                    pa.array(odds, pa.list_(pa.int64())),
+                    pa.ListArray.from_arrays(offsets, pa.array(tokens)),
+                ],
+                names=["key", "n", "ell", "rare", "odd", "tokens"],
             )
 
-    return docs.select(text).mapInArrow(run, "key bigint, n bigint, ell bigint, rare bigint, tokens array<bigint>")
+    return docs.select(text).mapInArrow(run, "key bigint, n bigint, ell bigint, rare bigint, odd array<bigint>, tokens array<bigint>")
+
+
+def _odd(s: np.ndarray) -> list[int]:
+    """The parities of a set's shingles per part, as numbers of 64 bits."""
+    counts = np.bincount((mix(s) & _U(64 * PARITIES - 1)).astype(np.int64), minlength=64 * PARITIES)
+    return np.packbits((counts & 1).astype(np.uint8)).view("<i8").tolist()
+
+
+def _near(percent: int, x: str, y: str) -> Column:
+    """The parities of both sets allow the similarity.
+
+    Every part whose parity differs holds a shingle that only one set has, and
+    sets that link differ by ``n + m - 2 * overlap`` shingles at most; so no
+    link is lost.
+    """
+    n, m = F.col(f"{x}.n"), F.col(f"{y}.n")
+    differ = [F.bit_count(F.col(f"{x}.odd")[i].bitwiseXOR(F.col(f"{y}.odd")[i])) for i in range(PARITIES)]
+    return sum(differ[1:], differ[0]) <= n + m - 2 * _overlap(percent, n, m)
 
 
 def _texts(docs: DataFrame, text: str, wanted) -> DataFrame:
@@ -274,6 +300,7 @@ def _linked(docs: DataFrame, key: str, text: str, k: int, percent: int) -> DataF
     shared = postings.groupBy("token").agg(F.min("key").alias("lo"), F.max("key").alias("hi")).where("lo <> hi").select("token")
     # A class may have been written by several tasks; each is the same.
     prefixes = written.groupBy("key").agg(*[F.first(c).alias(c) for c in ("n", "ell", "tokens")])
+    parities = written.groupBy("key").agg(F.first("odd").alias("odd"))
     open_ = materialise(postings.join(shared, "token").select("token", "key", "n", "rare", "at"))
 
     links: DataFrame | None = None
@@ -289,8 +316,11 @@ def _linked(docs: DataFrame, key: str, text: str, k: int, percent: int) -> DataF
             open_ = here.drop("comp")
         last_turn = turn == TURNS - 1 or (turn > 1 and found <= rows // 100)
         if last_turn:
+            # All pairs of what is left: here the parities go with the postings, too.
+            here = materialise(here.join(parities, "key"))
             x, y = here.alias("x"), here.alias("y")
-            joined = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.comp") < F.col("y.comp")))
+            alike = (F.col("x.comp") < F.col("y.comp")) & _near(percent, "x", "y")
+            joined = x.join(y, (F.col("x.token") == F.col("y.token")) & alike)
         else:
             # By turns the least edited document of a list and any one.
             rank = F.struct(F.when(F.lit(turn % 2 == 0), F.col("rare")), F.xxhash64("key", F.lit(turn)))
