@@ -278,3 +278,17 @@ def test_text_helpers(spark):
 def test_is_json(spark, text, ok):
     df = spark.createDataFrame([(text,)], "t string")
     assert df.select(P.is_json(F.col("t"))).first()[0] is ok
+
+
+def test_percentiles_of_values_close_together(spark):
+    # All values lie in one range of half a percent, which is cut into pieces.
+    df = spark.range(20_000).selectExpr("IF(id % 3 = 0, NULL, 'g') AS g", "20.0 + pmod(id * 7919, 20000) / 400000 AS v")
+    fractions = {"p0": 0.0, "p1": 0.01, "p50": 0.5, "p999": 0.999, "p100": 1.0}
+    got = {r["g"]: r for r in exact_percentiles(df, ["g"], "v", fractions).collect()}
+    for g in (None, "g"):
+        values = sorted(r["v"] for r in df.where(F.col("g").eqNullSafe(F.lit(g))).collect())
+        for name, fraction in fractions.items():
+            rank = fraction * (len(values) - 1)
+            low = int(rank)
+            high = min(low + 1, len(values) - 1)
+            assert abs(got[g][name] - (values[low] + (values[high] - values[low]) * (rank - low))) < 1e-9
