@@ -28,6 +28,7 @@ from tidewatch.session import materialise, scratch
 MAGIC = b"\x1f\x8b\x08"
 CHUNK = 1 << 20
 SPLIT = 64 << 20
+MOST_TASKS = 100_000  # that read; beyond it a task reads several ranges
 _ID = "urn:x-record:"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 RECORD = "path string, offset bigint, record_type string, record_id string, target_uri string, refers_to string, payload_digest string, payload_bytes bigint, payload binary"
@@ -204,8 +205,8 @@ def read_archives(spark: SparkSession, archives: DataFrame, split: int = SPLIT)
     ranges = archives.where("size > 0").select(
         "path", "size", F.explode(F.sequence(F.lit(0).cast("bigint"), ((F.col("size") - 1) / split).cast("bigint"))).alias("i")
     )
-    # Paths of one archive end up in different tasks.
-    dealt = ranges.repartition(F.col("path"), F.col("i"))
+    # About a task for every range: their number is given, so that adaptive execution doesn't merge these few rows.
+    dealt = ranges.repartition(min(max(1, ranges.count()), MOST_TASKS), F.col("path"), F.col("i"))
     names = [f.split(" ")[0] for f in RECORD.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
