@@ -51,8 +51,21 @@ PARTS = frozenset("bar block box button buttons form inner item items link links
 ARTICLE = frozenset({"article", "main"})
 
 TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<[!?/][^>]*(?:>|\Z)|<[a-zA-Z][^>]*(?:>|\Z)""", re.S)
-NAMES = re.compile(r"""(?:class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
-HIDDEN = re.compile(r"""(?:^|\s)hidden(?:\s|=|$)|aria-hidden\s*=\s*["']?true|display\s*:\s*none""", re.I)
+ATTRIBUTE = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
+NAMING = ("class", "id", "role")
+
+
+def attributes_of(text: str) -> dict[str, str]:
+    """Attributes of a tag by their names in lower case, in order; of a repeated name the first counts."""
+    found: dict[str, str] = {}
+    for name, value in ATTRIBUTE.findall(text):
+        found.setdefault(name.lower(), value[1:-1] if value[:1] in ('"', "'") else value)
+    return found
+
+
+def is_hidden(attributes: dict[str, str]) -> bool:
+    style = re.sub(r"\s", "", attributes.get("style", "")).lower()
+    return "hidden" in attributes or attributes.get("aria-hidden", "").strip().lower() == "true" or "display:none" in style
 
 
 def pieces(page: str) -> Iterator[tuple[str, str, str, str]]:
@@ -89,15 +102,16 @@ def marks(name: str, attributes: str) -> tuple[bool, bool, str]:
     """Whether an element is no article text, whether only outside an article, and its feature."""
     words: list[str] = []
     named: set[str] = set()
-    if attributes:
-        for value in NAMES.findall(attributes):
-            for token in value.strip("\"'").lower().split():
+    given = attributes_of(attributes) if attributes else {}
+    for kind, value in given.items():
+        if kind in NAMING:
+            for token in value.lower().split():
                 parts = re.findall(r"[a-z0-9]+", token)
                 words += parts
                 if parts and WITHOUT.isdisjoint(parts[:-1]):
                     named.add(parts[0] if len(parts) > 1 and PARTS.issuperset(parts[1:]) else parts[-1])
                     named.add(parts[-1])
-    aside = name in ASIDE or not ASIDE_WORDS.isdisjoint(named) or bool(attributes and HIDDEN.search(attributes))
+    aside = name in ASIDE or not ASIDE_WORDS.isdisjoint(named) or is_hidden(given)
     header = name == "header" or not HEADER_WORDS.isdisjoint(named)
     return aside, header, f"{name}.{words[0]}" if words else name
 
