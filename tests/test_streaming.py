@@ -1,6 +1,7 @@
 import random
 from collections import defaultdict
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -291,3 +292,43 @@ def test_log_is_read_from_explicit_offsets(spark, rows, tmp_path):
     assert run(str(tmp_path / "far"), {0: 13}) == [(0, 13, "n"), (0, 14, "n")]
     times = spark.read.parquet(str(tmp_path / "all")).where("partition = 0 AND offset = 11").select(F.unix_seconds("timestamp")).first()[0]
     assert times == 11
+
+
+class OneState:
+    """Stands for the state of one series and counts what is asked of it."""
+
+    def __init__(self, watermark):
+        self.exists, self.get, self.watermark, self.writes, self.timeout = False, None, watermark, 0, None
+
+    def getCurrentWatermarkMs(self):
+        return self.watermark
+
+    def update(self, value):
+        self.exists, self.get, self.writes = True, value, self.writes + 1
+
+    def setTimeoutTimestamp(self, at):
+        self.timeout = at
+
+
+def test_open_periods_take_one_write_and_one_timeout():
+    # Every period used to cost several calls to the state store and a timer of its own.
+    batch = pd.DataFrame({"period_start": range(60, 60_060, 60), "value": [1.0] * 1000, "breach": [False] * 1000})
+    for make in (lambda: live._filling_function(60, 0.0), lambda: live._alarm_function(3, 2, 60, True, False)):
+        state = OneState(0)
+        assert list(make()(("a",), iter([batch]), state)) == []
+        assert (state.writes, state.timeout) == (1, 59_999)
+        state.watermark = 600_000
+        found = list(make()(("a",), iter([]), state))
+        assert state.writes == 2 and state.timeout == 659_999
+        assert sum(len(f) for f in found) in (0, 10)
+
+
+def test_landed_points_come_in_few_files(spark, tmp_path):
+    from glob import glob
+
+    from tidewatch.queries.streams import POINT_FILES, land_points
+
+    points = spark.range(400).select(F.col("id").alias("s"), (F.col("id") * 60).alias("period_start")).repartition(40)
+    land_points(points, "s", str(tmp_path / "points"))
+    assert 1 < len(glob(str(tmp_path / "points/part=0/*.parquet"))) <= POINT_FILES
+    assert len(glob(str(tmp_path / "points/part=1/*.parquet"))) == 1

@@ -20,6 +20,7 @@ DAY = 86400
 # More than the time that all events span: any order of arrival is in time.
 WHOLE = 400 * DAY
 PARTS = 4
+POINT_FILES = 12
 DAY_SQL = "CAST(floor(epoch(ts) / 86400) AS BIGINT) * 86400"
 QUARTER_SQL = "CAST(floor(epoch(ts) / 900) AS BIGINT) * 900"
 
@@ -46,14 +47,23 @@ def stream_in_order(spark, sf):
 
 def closed_points(spark, sf, period, series, aggregates, label, files=8):
     """A windowed stream job's finished periods as the stream of a second job: some files after the other, then a closing point."""
-    path = scratch(spark, label)
     final = windowed(stream_in_order(spark, sf), "ts", period, series, aggregates)
-    points = runs.update_available(final, path, mode="append").drop("batch")
-    # After the folders of the job's own batches.
-    live.closing_point(points, series[0], WHOLE).write.parquet(f"{path}/batch={1 << 40}")
+    points = runs.update_available(final, scratch(spark, label), mode="append").drop("batch")
+    path = scratch(spark, f"{label}-landed")
+    land_points(points, series[0], path)
     return runs.file_stream(spark, f"{path}/*", points.schema, files_per_trigger=files)
 
 
+def land_points(points, series, path):
+    """Points in ``POINT_FILES`` files and their closing point in one that comes after them.
+
+    A job leaves a file per batch and shuffle partition, and a stream that takes
+    some files a batch would have as many batches as there are partitions.
+    """
+    points.repartition(POINT_FILES, series).write.parquet(f"{path}/part=0")
+    live.closing_point(points, series, WHOLE).write.parquet(f"{path}/part=1")
+
+
 @query(
     "i01_topic_ingest",
     "SELECT 'dev' AS environment, 'retail' AS business, 'web' AS app, event_type AS event, event_id AS \"offset\","

@@ -3,9 +3,11 @@
 All work on metric rows (one per series and period), never on raw events, so
 the state and the rows of one series stay small. Periods are held back until the
 watermark says that nothing earlier can come, and then taken in their order, so
-results do not depend on the order of arrival. The processor classes are made
-inside functions, which sends them to the workers by value. Their runs need
-``large_state=True``.
+results do not depend on the order of arrival. Alarms and gap filling read and
+write the state of a series once a micro-batch, with its open periods in it, and
+have one time-out each: a call to the state store for every period takes longer
+than all the rest. Functions and processor classes are made inside functions,
+which sends them to the workers by value. Absence needs ``large_state=True``.
 """
 
 from __future__ import annotations
@@ -14,6 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
+from pyspark.sql.streaming.state import GroupState
 
 from tidewatch.operators.alarms import Alarm
 from tidewatch.operators.metrics import period_start
@@ -21,6 +24,9 @@ from tidewatch.operators.metrics import period_start
 _TRANSITION = "series string, period_start long, previous_state string, state string"
 _ABSENCE = "series string, last_seen long, deadline long"
 _FILLED = "series string, period_start long, value double, filled boolean"
+# What is remembered of a series, and its periods that are not final yet.
+_ALARM_STATE = "last long, missed long, recent string, state string, places array<long>, breaches array<boolean>"
+_FILLING_STATE = "last long, places array<long>, values array<double>"
 
 
 def _timed(points: DataFrame, series: str, period: int, late: int | None, value: Column) -> DataFrame:
@@ -35,70 +41,57 @@ def _timed(points: DataFrame, series: str, period: int, late: int | None, value:
     ).withWatermark("_event_time", delay)
 
 
-def _alarm_processor(n: int, m: int, period: int, missing_breaches: bool, silence: bool) -> StatefulProcessor:
-    class AlarmState(StatefulProcessor):
-        """Holds periods back until they are final, then follows the state of a series through them."""
-
-        def init(self, handle):
-            self.handle = handle
-            self.memory = handle.getValueState("memory", "last long, missed long, recent string, state string")
-            self.open = handle.getMapState("open", "period_start long", "breach boolean")
+def _wake(state: GroupState, due: list[int]) -> None:
+    """Call the series again when the watermark reaches the earliest of these seconds, all beyond it."""
+    if due:
+        # A time-out comes when the watermark has passed it.
+        state.setTimeoutTimestamp(max(min(due) * 1000 - 1, state.getCurrentWatermarkMs()))
 
-        def handleInputRows(self, key, rows, timerValues):
-            came: dict[int, bool] = {}
-            for batch in rows:
-                if key[0] is None:
-                    continue
-                for at, breach in zip(batch["period_start"].tolist(), batch["breach"].tolist()):
-                    came[at] = came.get(at, False) or breach
-            for at, breach in came.items():
-                if self.open.containsKey((at,)):
-                    breach = breach or self.open.getValue((at,))[0]
-                self.open.updateValue((at,), (breach,))
-                self.handle.registerTimer(at * 1000)
-            yield pd.DataFrame([], columns=["series", "period_start", "previous_state", "state"])
 
-        def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-            # Whichever timer comes first takes all that is final, in its order.
-            now = timerValues.getCurrentWatermarkInMs() // 1000
-            last, missed, recent, state = self.memory.get() if self.memory.exists() else (None, 0, "", "OK")
-            final = sorted(at for (at,) in self.open.keys() if at <= now)
-            changes = []
-
-            def step(at: int, hit: bool) -> None:
-                nonlocal recent, state
-                recent = (recent + ("1" if hit else "0"))[-n:]
-                found = "ALARM" if recent.count("1") >= m else "OK"
-                if found != state:
-                    changes.append((key[0], at, state, found))
-                    state = found
-
-            def pass_over(upto: int) -> None:
-                """Missing periods before ``upto``; after ``n`` of them the state no longer changes."""
-                nonlocal missed
-                while missed < n and last + (missed + 1) * period < upto:
-                    missed += 1
-                    step(last + missed * period, missing_breaches)
-
-            for at in final:
-                breach = self.open.getValue((at,))[0]
-                self.open.removeKey((at,))
-                if last is not None:
-                    pass_over(at)
-                step(at, breach)
-                last, missed = at, 0
-            if silence and last is not None:
-                pass_over(now + 1)
-                if missed < n:
-                    self.handle.registerTimer((last + (missed + 1) * period) * 1000)
+def _alarm_function(n: int, m: int, period: int, missing_breaches: bool, silence: bool):
+    def follow(key, rows, state: GroupState):
+        """Holds periods back until they are final, then follows the state of a series through them."""
+        if key[0] is None:
+            return
+        last, missed, recent, held, places, breaches = state.get if state.exists else (None, 0, "", "OK", [], [])
+        came: dict[int, bool] = dict(zip(places, breaches))
+        for batch in rows:
+            for at, breach in zip(batch["period_start"].tolist(), batch["breach"].tolist()):
+                came[at] = came.get(at, False) or breach
+        now = state.getCurrentWatermarkMs() // 1000
+        changes = []
+
+        def step(at: int, hit: bool) -> None:
+            nonlocal recent, held
+            recent = (recent + ("1" if hit else "0"))[-n:]
+            found = "ALARM" if recent.count("1") >= m else "OK"
+            if found != held:
+                changes.append((key[0], at, held, found))
+                held = found
+
+        def pass_over(upto: int) -> None:
+            """Missing periods before ``upto``; after ``n`` of them the state no longer changes."""
+            nonlocal missed
+            while missed < n and last + (missed + 1) * period < upto:
+                missed += 1
+                step(last + missed * period, missing_breaches)
+
+        for at in sorted(at for at in came if at <= now):
             if last is not None:
-                self.memory.update((last, missed, recent, state))
+                pass_over(at)
+            step(at, came.pop(at))
+            last, missed = at, 0
+        due = [min(came)] if came else []
+        if silence and last is not None:
+            pass_over(now + 1)
+            if missed < n:
+                due.append(last + (missed + 1) * period)
+        state.update((last, missed, recent, held, list(came), list(came.values())))
+        _wake(state, due)
+        if changes:
             yield pd.DataFrame(changes, columns=["series", "period_start", "previous_state", "state"])
 
-        def close(self):
-            pass
-
-    return AlarmState()
+    return follow
 
 
 def alarm_transitions(
@@ -115,10 +108,8 @@ def alarm_transitions(
     Rows without a series only move the watermark. Periods beyond the watermark stay open; ``closing_point`` ends a stream.
     """
     marked = _timed(points, series, period, late, alarm.breached(F.col(value)).alias("breach"))
-    processor = _alarm_processor(alarm.n, alarm.m or alarm.n, period, alarm.missing == "breaching", silence)
-    return marked.groupBy("series").transformWithStateInPandas(
-        statefulProcessor=processor, outputStructType=_TRANSITION, outputMode="Append", timeMode="EventTime"
-    )
+    follow = _alarm_function(alarm.n, alarm.m or alarm.n, period, alarm.missing == "breaching", silence)
+    return marked.groupBy("series").applyInPandasWithState(follow, _TRANSITION, _ALARM_STATE, "append", "EventTimeTimeout")
 
 
 def closing_point(points: DataFrame, series: str, late: int) -> DataFrame:
@@ -132,48 +123,35 @@ def closing_point(points: DataFrame, series: str, late: int) -> DataFrame:
     return last.select(*[F.col(c) if c == "period_start" else F.lit(None).cast(kinds[c]).alias(c) for c in points.columns])
 
 
-def _filling_processor(period: int, fill: float | None) -> StatefulProcessor:
-    class Filling(StatefulProcessor):
+def _filling_function(period: int, fill: float | None):
+    def complete(key, rows, state: GroupState):
         """Puts out every period of a series once, present or not, when it is final."""
-
-        def init(self, handle):
-            self.handle = handle
-            self.memory = handle.getValueState("memory", "last long")
-            self.open = handle.getMapState("open", "period_start long", "value double")
-
-        def handleInputRows(self, key, rows, timerValues):
-            for batch in rows:
-                if key[0] is None:
-                    continue
-                for at, value in zip(batch["period_start"].tolist(), batch["value"].tolist()):
-                    self.open.updateValue((at,), (value,))
-                    self.handle.registerTimer(at * 1000)
-            yield pd.DataFrame([], columns=["series", "period_start", "value", "filled"])
-
-        def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-            now = timerValues.getCurrentWatermarkInMs() // 1000
-            final = sorted(at for (at,) in self.open.keys() if at <= now)
-            last = self.memory.get()[0] if self.memory.exists() else None
-            rows = []
-            for at in final:
-                if last is not None:
-                    rows += [(key[0], p, fill, True) for p in range(last + period, at, period)]
-                rows.append((key[0], at, self.open.getValue((at,))[0], False))
-                self.open.removeKey((at,))
-                last = at
+        if key[0] is None:
+            return
+        last, places, values = state.get if state.exists else (None, [], [])
+        came = dict(zip(places, values))
+        for batch in rows:
+            came.update(zip(batch["period_start"].tolist(), batch["value"].tolist()))
+        now = state.getCurrentWatermarkMs() // 1000
+        out = []
+        for at in sorted(at for at in came if at <= now):
             if last is not None:
-                missing = range(last + period, now + 1, period)
-                rows += [(key[0], p, fill, True) for p in missing]
-                last += len(missing) * period
-                self.memory.update((last,))
-                # The next period is due even if no row comes.
-                self.handle.registerTimer((last + period) * 1000)
-            yield pd.DataFrame(rows, columns=["series", "period_start", "value", "filled"])
-
-        def close(self):
-            pass
-
-    return Filling()
+                out += [(key[0], p, fill, True) for p in range(last + period, at, period)]
+            out.append((key[0], at, came.pop(at), False))
+            last = at
+        due = [min(came)] if came else []
+        if last is not None:
+            missing = range(last + period, now + 1, period)
+            out += [(key[0], p, fill, True) for p in missing]
+            last += len(missing) * period
+            # The next period is due even if no row comes.
+            due.append(last + period)
+        state.update((last, list(came), list(came.values())))
+        _wake(state, due)
+        if out:
+            yield pd.DataFrame(out, columns=["series", "period_start", "value", "filled"])
+
+    return complete
 
 
 def filled_stream(
@@ -188,8 +166,8 @@ def filled_stream(
     only move the watermark.
     """
     timed = _timed(points, series, period, late, F.col(value).cast("double").alias("value"))
-    return timed.groupBy("series").transformWithStateInPandas(
-        statefulProcessor=_filling_processor(period, fill), outputStructType=_FILLED, outputMode="Append", timeMode="EventTime"
+    return timed.groupBy("series").applyInPandasWithState(
+        _filling_function(period, fill), _FILLED, _FILLING_STATE, "append", "EventTimeTimeout"
     )
 
 
