@@ -163,3 +163,16 @@ def test_repeated_keys_are_merged_and_asked_pairs_agree(spark, rows):
     assert rows(G.match_expressions(classes, t)) == [("k=a|b", "r1"), ("k=a|b", "r2")]
     asked = spark.createDataFrame([(g, r) for g in "ghix" for r in ("r1", "r2", "r3", "r9")], "grant_id string, resource string")
     assert rows(G.match_asked(asked, e, t), "grant_id", "resource") == pairs
+
+
+def test_resources_are_not_broadcast(spark):
+    """A small file may hold very many resources; their tags as maps filled the driver."""
+    expressions = spark.range(20).select(F.col("id").alias("grant_id"), F.lit("k").alias("key"), F.array(F.lit("v")).alias("values"))
+    tags = spark.range(30).select(F.col("id").alias("resource"), F.lit("k").alias("key"), F.lit("v").alias("value"))
+    asked = spark.range(20).select(F.col("id").alias("grant_id"), (F.col("id") + 15).alias("resource"))
+    found = G.match_asked(asked, expressions, tags)
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+    assert found.count() == 15
+    found = G.match_expressions(G.expression_classes(expressions), tags)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin [key" in plan and found.count() == 30

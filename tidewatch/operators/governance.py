@@ -165,7 +165,9 @@ def match_expressions(classes: DataFrame, tags: DataFrame) -> DataFrame:
     ``classes`` comes from ``expression_classes``; ``tags`` has ``resource, key,
     value``. An expression is joined on its rarest key only, and its other keys
     are tested on the joined row, so a tag value that a third of all resources
-    carry does not multiply into pairs unless it is asked for alone.
+    carry does not multiply into pairs unless it is asked for alone. Tables of
+    few bytes on disk hold many resources, whose tags as maps no driver can
+    broadcast, so the join is a sorted one.
     """
     wanted = classes.groupBy("expression").agg(F.first("wanted").alias("wanted"))
     frequency = tags.groupBy("key", "value").agg(F.count(F.lit(1)).alias("_f"))
@@ -173,7 +175,7 @@ def match_expressions(classes: DataFrame, tags: DataFrame) -> DataFrame:
         "expression", "key", F.explode("values").alias("value")
     )
     cost = (
-        options.join(frequency, ["key", "value"], "left")
+        options.join(frequency.hint("merge"), ["key", "value"], "left")
         .groupBy("expression", "key")
         .agg(F.coalesce(F.sum("_f"), F.lit(0)).alias("_cost"))
     )
@@ -184,7 +186,7 @@ def match_expressions(classes: DataFrame, tags: DataFrame) -> DataFrame:
     located = _carried(tags).select("resource", "carried", F.explode("carried").alias("key", "_values")).select(
         "resource", "carried", "key", F.explode("_values").alias("value")
     )
-    return anchored.join(located, ["key", "value"]).where(_satisfied()).select("expression", "resource").distinct()
+    return anchored.join(located.hint("merge"), ["key", "value"]).where(_satisfied()).select("expression", "resource").distinct()
 
 
 def match_tags(expressions: DataFrame, tags: DataFrame) -> DataFrame:
@@ -199,9 +201,13 @@ def match_tags(expressions: DataFrame, tags: DataFrame) -> DataFrame:
 
 
 def match_asked(asked: DataFrame, expressions: DataFrame, tags: DataFrame) -> DataFrame:
-    """The asked ``grant_id, resource`` pairs that fit: one look-up on each side, no other pairs."""
-    classes = expression_classes(expressions).select("grant_id", "wanted")
-    return asked.join(classes, "grant_id").join(_carried(tags), "resource").where(_satisfied()).select("grant_id", "resource")
+    """The asked ``grant_id, resource`` pairs that fit: one look-up on each side, no other pairs.
+
+    Grants and resources grow with the input, so neither is broadcast.
+    """
+    classes = expression_classes(expressions).select("grant_id", "wanted").hint("merge")
+    carried = _carried(tags).hint("merge")
+    return asked.join(classes, "grant_id").join(carried, "resource").where(_satisfied()).select("grant_id", "resource")
 
 
 def expand_all(grants: DataFrame) -> DataFrame:

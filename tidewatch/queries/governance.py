@@ -132,8 +132,9 @@ def effective(spark, sf):
         F.col("s_suppkey").alias("principal"), (F.col("s_nationkey") + 25).alias("p_size"), role.alias("role")
     )
     sized = table(spark, sf, "part").select(F.col("p_partkey").alias("resource"), "p_size")
-    held = asked.join(roles.where("role IS NOT NULL"), "principal").join(sized, ["resource", "p_size"])
-    by_role = held.join(G.inherited_privileges(spark), "role").select(
+    # Suppliers and parts grow with the input; the privileges of the roles are a fixed handful.
+    held = asked.join(roles.where("role IS NOT NULL").hint("merge"), "principal").join(sized.hint("merge"), ["resource", "p_size"])
+    by_role = held.join(F.broadcast(G.inherited_privileges(spark)), "role").select(
         "principal", "resource", F.col("privilege").alias("permission"), F.lit("role").alias("mechanism")
     )
     return G.effective_permissions(by_tag, named, by_role)
