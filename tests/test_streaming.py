@@ -332,3 +332,14 @@ def test_landed_points_come_in_few_files(spark, tmp_path):
     land_points(points, "s", str(tmp_path / "points"))
     assert 1 < len(glob(str(tmp_path / "points/part=0/*.parquet"))) <= POINT_FILES
     assert len(glob(str(tmp_path / "points/part=1/*.parquet"))) == 1
+
+
+def test_a_compacted_key_takes_one_write_and_no_timer_of_its_own():
+    state = OneState(0)
+    batch = pd.DataFrame({"offset": [3, 5, 4], "value": ["x", None, "y"], "seconds": [10, 20, 30]})
+    found = list(topics._compaction_function(100)(("t", "a"), iter([batch]), state))
+    assert [tuple(f.iloc[0]) for f in found] == [("t", "a", None, 5)]
+    assert (state.writes, state.get, state.timeout) == (1, (5, None, 120), 119_999)
+    # An older record changes nothing.
+    older = pd.DataFrame({"offset": [2], "value": ["z"], "seconds": [5]})
+    assert list(topics._compaction_function(100)(("t", "a"), iter([older]), state)) == [] and state.writes == 1

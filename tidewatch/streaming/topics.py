@@ -5,7 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor
+from pyspark.sql.streaming.state import GroupState
 
 from tidewatch.sources.topics import decode, topic_parts
 
@@ -44,41 +44,32 @@ def without_deleted(latest: DataFrame, value: str = "value") -> DataFrame:
     return latest.where(F.col(value).isNotNull())
 
 
-def _compaction_processor(seconds: int) -> StatefulProcessor:
-    class Compaction(StatefulProcessor):
+def _compaction_function(seconds: int):
+    def newest(key, rows, state: GroupState):
         """The newest offset and value of a key; a deleted key is forgotten after its life span."""
-
-        def init(self, handle):
-            self.handle = handle
-            self.newest = handle.getValueState("newest", "offset long, value string, deadline long")
-
-        def handleInputRows(self, key, rows, timerValues):
-            held = self.newest.get() if self.newest.exists() else None
-            best = held
-            for batch in rows:
-                at = batch["offset"].idxmax()
-                offset, value = int(batch["offset"][at]), batch["value"][at]
-                if best is None or offset > best[0]:
-                    deadline = int(batch["seconds"][at]) + seconds if pd.isna(value) else None
-                    best = (offset, None if pd.isna(value) else value, deadline)
-            out = []
+        held = best = state.get if state.exists else None
+        for batch in rows:
+            if batch.empty:  # a time-out brings no rows
+                continue
+            offsets = batch["offset"].to_numpy()
+            at = int(offsets.argmax())
+            offset, value = int(offsets[at]), batch["value"].iloc[at]
+            if best is None or offset > best[0]:
+                deadline = int(batch["seconds"].iloc[at]) + seconds if pd.isna(value) else None
+                best = (offset, None if pd.isna(value) else value, deadline)
+        now = state.getCurrentWatermarkMs()
+        if best[2] is not None and best[2] * 1000 <= now:
+            state.remove()
+        else:
             if best is not held:
-                if held is not None and held[2] is not None:
-                    self.handle.deleteTimer(held[2] * 1000)
-                if best[2] is not None:
-                    self.handle.registerTimer(best[2] * 1000)
-                self.newest.update(best)
-                out.append((*key, best[1], best[0]))
-            yield pd.DataFrame(out, columns=["topic", "key", "value", "offset"])
-
-        def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-            self.newest.clear()
-            yield pd.DataFrame([], columns=["topic", "key", "value", "offset"])
-
-        def close(self):
-            pass
+                state.update(best)
+            if best[2] is not None:
+                # A time-out comes when the watermark has passed it.
+                state.setTimeoutTimestamp(max(best[2] * 1000 - 1, now))
+        if best is not held:
+            yield pd.DataFrame([(*key, best[1], best[0])], columns=["topic", "key", "value", "offset"])
 
-    return Compaction()
+    return newest
 
 
 def compacted_stream(stream: DataFrame, delete_retention: int, late: int) -> DataFrame:
@@ -96,11 +87,12 @@ def compacted_stream(stream: DataFrame, delete_retention: int, late: int) -> Dat
     timed = stream.select(
         "topic", "key", "value", "offset", F.unix_seconds("timestamp").alias("seconds"), F.col("timestamp").alias("_event_time")
     ).withWatermark("_event_time", f"{late} seconds")
-    return timed.groupBy("topic", "key").transformWithStateInPandas(
-        statefulProcessor=_compaction_processor(delete_retention),
-        outputStructType="topic string, key string, value string, offset long",
-        outputMode="Update",
-        timeMode="EventTime",
+    return timed.groupBy("topic", "key").applyInPandasWithState(
+        _compaction_function(delete_retention),
+        "topic string, key string, value string, offset long",
+        "offset long, value string, deadline long",
+        "update",
+        "EventTimeTimeout",
     )
 
 
