@@ -8,6 +8,7 @@ from collections import defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from small import odd_documents, prose
 
 from tidewatch.llm import components, jaccard_join, substring_dedup, suffix_dedup
@@ -304,3 +305,35 @@ def test_repeat_edges(spark):
     got = suffix_dedup.remove_repeats(df)
     assert got.columns == [c for c in df.columns if c != "kept"] + ["n_bytes", "n_removed", "n_spans", "kept"]
     assert got.count() == 13 and suffix_dedup.remove_repeats(df.limit(0)).count() == 0
+
+
+def _parity_pairs(spark, percent, pairs):
+    rows = [(i, len(x), jaccard_join._odd(x, percent), len(y), jaccard_join._odd(y, percent)) for i, (x, y) in enumerate(pairs)]
+    both = spark.createDataFrame(rows, "i int, n int, odd array<bigint>, m int, other array<bigint>")
+    sides = both.select("i", F.struct("n", "odd").alias("x"), F.struct(F.col("m").alias("n"), F.col("other").alias("odd")).alias("y"))
+    return {r["i"] for r in sides.where(jaccard_join._near(percent, "x", "y")).collect()}
+
+
+@pytest.mark.parametrize("percent", [50, 80, 85])
+def test_parities_of_long_sets(spark, percent):
+    random = np.random.default_rng(5)
+    number = lambda n: np.unique(random.integers(1, 1 << 63, n).astype(np.uint64))
+    linked, unlike = [], []
+    for n in (1, 7, 60, 500, 1500, 1580, 5000, 20_000):
+        one = number(n)
+        linked += [(one, one), (one, one[: -(-percent * n // 100)]), (one[n - -(-percent * n // 100) :], one)]
+        if n >= 500:
+            unlike.append((one, np.union1d(one[: n // 10], number(n - n // 10))))
+    assert len(_parity_pairs(spark, percent, linked)) == len(linked)
+    assert not _parity_pairs(spark, percent, unlike)
+
+
+def test_postings_are_not_repeated(spark, monkeypatch):
+    texts = [f"{prose(300, 3)} {prose(12, 90 + i)}" for i in range(4)]
+    df = spark.createDataFrame([(i, texts[i % 4]) for i in range(64)], "doc_id long, text string").repartition(16)
+    seen, kept = [], jaccard_join.materialise
+    monkeypatch.setattr(jaccard_join, "materialise", lambda made: seen.append(kept(made)) or seen[-1])
+    found = jaccard_join.linked_components(df)
+    assert {r["component_id"] for r in found.collect()} == {0}
+    postings = next(made for made in seen if {"token", "at"} <= set(made.columns))
+    assert postings.count() == postings.distinct().count() > 0

@@ -43,7 +43,7 @@ LEVELS = 24
 COMPARE = 20.0  # cost of a comparison in postings read
 RARE = 0.3  # partners expected of a shingle whose frequency isn't kept
 SLOTS = 1 << 25  # bits of the filter of documents to compare: 4 MB at any size
-PARITIES = 4  # numbers of 64 bits
+PARITIES = 4  # numbers of 64 bits, at least; larger sets have more
 TURNS = 8  # most rounds; the last one compares all that is left
 _FLUSH = 4_000_000
 
@@ -103,8 +103,8 @@ def _prefixes(docs: DataFrame, text: str, k: int, percent: int, heavy) -> DataFr
     """The prefix of every class as ``(key, n, ell, rare, odd, tokens)``, at least once a class.
 
     ``rare`` counts the shingles that aren't known to be frequent: the least
-    edited of many copies has the fewest. ``odd`` tells for ``64 * PARITIES``
-    parts of all shingles whether the set has an odd number of them.
+    edited of many copies has the fewest. ``odd`` tells for parts of all
+    shingles whether the set has an odd number of them.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -134,7 +134,7 @@ def _prefixes(docs: DataFrame, text: str, k: int, percent: int, heavy) -> DataFr
                 sizes.append(n)
                 ells.append(ell)
                 rares.append(n - int(np.count_nonzero(weight)))
-                odds.append(_odd(s))
+                odds.append(_odd(s, percent))
                 prefixes.append(ordered[: base + ell])
             offsets = np.concatenate([[0], np.cumsum([len(p) for p in prefixes])]).astype(np.int32)
             tokens = np.concatenate([np.zeros(0, np.uint64), *prefixes]).view(np.int64)
@@ -150,9 +150,16 @@ def _prefixes(docs: DataFrame, text: str, k: int, percent: int, heavy) -> DataFr
     return docs.select(text).mapInArrow(run, "key bigint, n bigint, ell bigint, rare bigint, odd array<bigint>, tokens array<bigint>")
 
 
-def _odd(s: np.ndarray) -> list[int]:
-    """The parities of a set's shingles per part, as numbers of 64 bits."""
-    counts = np.bincount((mix(s) & _U(64 * PARITIES - 1)).astype(np.int64), minlength=64 * PARITIES)
+def _odd(s: np.ndarray, percent: int) -> list[int]:
+    """The parities of a set's shingles per part, as numbers of 64 bits.
+
+    There are at least three parts for every shingle that sets of this size may
+    differ by and still link: unrelated sets differ in about half of the parts.
+    """
+    n = len(s)
+    differ = 2 * (n + (-2 * percent * n) // (100 + percent))
+    parts = max(64 * PARITIES, 1 << (3 * differ - 1).bit_length() if differ else 1)
+    counts = np.bincount((mix(s) & _U(parts - 1)).astype(np.int64), minlength=parts)
     return np.packbits((counts & 1).astype(np.uint8)).view("<i8").tolist()
 
 
@@ -161,11 +168,21 @@ def _near(percent: int, x: str, y: str) -> Column:
 
     Every part whose parity differs holds a shingle that only one set has, and
     sets that link differ by ``n + m - 2 * overlap`` shingles at most; so no
-    link is lost.
+    link is lost. The larger set may have a power of two more parts: those that
+    are one part of the smaller are put together, which adds up their parities.
     """
     n, m = F.col(f"{x}.n"), F.col(f"{y}.n")
-    differ = [F.bit_count(F.col(f"{x}.odd")[i].bitwiseXOR(F.col(f"{y}.odd")[i])) for i in range(PARITIES)]
-    return sum(differ[1:], differ[0]) <= n + m - 2 * _overlap(percent, n, m)
+    one, two = F.col(f"{x}.odd"), F.col(f"{y}.odd")
+    size = F.least(F.size(one), F.size(two))
+
+    def folded(odd: Column, i: Column) -> Column:
+        others = F.sequence(i, F.size(odd) - 1, size)
+        return F.when(F.size(odd) == size, odd[i]).otherwise(F.aggregate(others, F.lit(0).cast("bigint"), lambda a, j: a.bitwiseXOR(odd[j])))
+
+    differ = F.aggregate(
+        F.sequence(F.lit(0), size - 1), F.lit(0), lambda total, i: total + F.bit_count(folded(one, i).bitwiseXOR(folded(two, i)))
+    )
+    return differ <= n + m - 2 * _overlap(percent, n, m)
 
 
 def _texts(docs: DataFrame, text: str, wanted) -> DataFrame:
@@ -301,7 +318,8 @@ def _linked(docs: DataFrame, key: str, text: str, k: int, percent: int) -> DataF
     # A class may have been written by several tasks; each is the same.
     prefixes = written.groupBy("key").agg(*[F.first(c).alias(c) for c in ("n", "ell", "tokens")])
     parities = written.groupBy("key").agg(F.first("odd").alias("odd"))
-    open_ = materialise(postings.join(shared, "token").select("token", "key", "n", "rare", "at"))
+    # As the columns hold the token, repeated rows lie in one task.
+    open_ = materialise(postings.join(shared, "token").select("token", "key", "n", "rare", "at").distinct())
 
     links: DataFrame | None = None
     found = rows
