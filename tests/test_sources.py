@@ -237,3 +237,15 @@ def test_runs_in_shared_files(spark, rows, tmp_path):
     assert rows(table.rows(), "id") == [(0,), (2,), (3,), (5,), (6,), (8,)]
     table.append(spark.range(50, 51), "r1")
     assert rows(table.rows("r1"), "id") == [(50,)]
+
+
+def test_partitions_are_written_without_a_sort(spark, tmp_path, monkeypatch):
+    # With this setting a task writes its keys side by side; 40 keys are more than it allows, the rest is sorted.
+    name, path, seen = "spark.sql.maxConcurrentOutputFileWriters", str(tmp_path / "keys"), []
+    rows = spark.range(4000).selectExpr("id", "id % 40 AS k")
+    save, before = type(rows.write).save, spark.conf.get(name)
+    monkeypatch.setattr(type(rows.write), "save", lambda self, *a: (seen.append(int(spark.conf.get(name))), save(self, *a)))
+    files.write_files(rows, path, "parquet", partition_by=["k"])
+    assert seen == [files.OPEN_FILES] and spark.conf.get(name) == before
+    found = spark.read.parquet(path)
+    assert found.count() == 4000 and found.where("id % 40 <> k").isEmpty() and found.select("k").distinct().count() == 40
