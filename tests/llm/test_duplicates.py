@@ -203,6 +203,40 @@ def test_exact_passages_whose_lines_earlier_documents_hold_alone(spark):
     assert {(r.doc_id, r.other_id, r.first_word, r.n_words, r.other_first_word) for r in found} == {(100 * n + 51, 100 * n + 50, 30, 52, 30) for n in range(30)}
 
 
+def test_edited_passages_whose_lines_earlier_documents_hold_alone(spark):
+    """As above with one word changed: the later holder of a line that has the passage is compared too."""
+    rows = []
+    for n in range(150):
+        lines = [prose(26, 170_000 + 10 * n + i) for i in range(2)]
+        for i in range(12):
+            rows.append((100 * n + i, prose(40, 190_000 + 100 * n + i) + " " + lines[i % 2] + " " + prose(40, 190_050 + 100 * n + i)))
+        edited = " ".join(lines).split()
+        edited[5 + n % 42] = f"edit{n}"
+        for i, words in enumerate((" ".join(lines), " ".join(edited))):
+            rows.append((100 * n + 50 + i, " ".join([prose(30, 180_000 + 100 * n + i), words, prose(30, 180_060 + 100 * n + i)])))
+    found = substring_dedup.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    got = {(r.doc_id, r.other_id) for r in found}
+    assert got <= {(100 * n + 51, 100 * n + 50) for n in range(150)} and len(got) >= 148
+
+
+def test_rarest_shingles_of_similar_runs_meet():
+    draw = np.random.default_rng(5)
+    for _ in range(300):
+        x = draw.integers(1, 1 << 62, 60)
+        x[draw.integers(0, 60, 2)] = x[draw.integers(0, 60, 2)]  # some have a shingle twice
+        y = x.copy()
+        y[draw.choice(60, draw.integers(0, 9), replace=False)] = draw.integers(1, 1 << 62)
+        counts = {g: int(draw.integers(1, 9)) for g in np.append(x, y).tolist()}
+        runs, places = substring_dedup.rarest(x, np.array([counts[g] for g in x.tolist()]), 46, 80)
+        for i in range(15):
+            picked = set(x[places[runs == i]].tolist())
+            assert len(picked) >= 10
+            for j in range(15):
+                one, two = set(x[i : i + 46].tolist()), set(y[j : j + 46].tolist())
+                if 100 * len(one & two) >= 80 * len(one | two):
+                    assert picked & two
+
+
 def brute_similar(one: list, two: list) -> float:
     a, b = ({tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (one, two))
     return len(a & b) / len(a | b)
