@@ -343,3 +343,14 @@ def test_a_compacted_key_takes_one_write_and_no_timer_of_its_own():
     # An older record changes nothing.
     older = pd.DataFrame({"offset": [2], "value": ["z"], "seconds": [5]})
     assert list(topics._compaction_function(100)(("t", "a"), iter([older]), state)) == [] and state.writes == 1
+
+
+def test_joined_streams_keep_one_store(spark, tmp_path):
+    """Both sides of a join share a store, and the session's settings are left as they were."""
+    spark.createDataFrame([(1, 100), (2, 200)], "id long, at long").selectExpr("id", "timestamp_seconds(at) AS ts").write.parquet(str(tmp_path / "in"))
+    sides = [runs.file_stream(spark, str(tmp_path / "in"), "id long, ts timestamp") for _ in range(2)]
+    before = [spark.conf.get(name, None) for name in runs.JOIN_STATE]
+    got = runs.append_available(round_trips(*sides, "id"), str(tmp_path / "out"), join=True)
+    assert {(r.id, r.status) for r in got.collect()} == {(1, "pass"), (2, "pass")}
+    assert [spark.conf.get(name, None) for name in runs.JOIN_STATE] == before
+    assert not list((tmp_path / "out-checkpoint" / "state").glob("0/0/left-*"))

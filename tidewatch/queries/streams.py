@@ -346,7 +346,7 @@ def canary(spark, sf):
         .where("event_type <> 'error'")
         .withColumn("ts", F.col("ts").cast("timestamp") + F.make_interval(secs=delay))
     )
-    decided = runs.append_available(round_trips(sent, received, "event_id"), scratch(spark, "canary"))
+    decided = runs.append_available(round_trips(sent, received, "event_id"), scratch(spark, "canary"), join=True)
     messages = table(spark, sf, "events").select("event_id")
     return messages.join(decided.select("event_id", "status"), "event_id", "left").select(
         "event_id", F.coalesce("status", F.lit("open")).alias("status")
