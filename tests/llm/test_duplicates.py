@@ -237,6 +237,36 @@ def test_rarest_shingles_of_similar_runs_meet():
                     assert picked & two
 
 
+def test_similar_runs_by_brute_force():
+    draw = np.random.default_rng(3)
+    many = lambda parts: (np.concatenate(parts), np.append(0, np.cumsum([len(p) for p in parts])))
+    for _ in range(30):
+        xs, ys, opened, want = [], [], [], set()
+        for i in range(5):
+            pool = draw.integers(1, 1 << 62, draw.integers(12, 90)).astype(np.uint64)
+            x = np.sort(draw.choice(pool, 20)) if i % 2 else draw.integers(1, 1 << 62, 20).astype(np.uint64)  # some have shingles twice
+            y = x.copy()
+            y[draw.choice(20, draw.integers(0, 6), replace=False)] = 0
+            y = np.insert(y, draw.integers(0, 20), draw.integers(1, 1 << 62, draw.integers(0, 4)).astype(np.uint64))
+            xs, ys, opened = [*xs, x], [*ys, y], [*opened, draw.integers(0, 4, 9) > 0]
+            others = [set(y[b:e].tolist()) for b in range(len(y)) for e in range(b + 1, len(y) + 1)]
+            for run in np.flatnonzero(opened[-1]).tolist():
+                one = set(x[run : run + 12].tolist())
+                if any(100 * len(one & two) >= 80 * len(one | two) for two in others):
+                    want.add((i, run))
+        rows, runs, _, similar = substring_dedup.similar_runs(many(xs), many(opened), many(ys), 12, 80)
+        assert set(zip(rows[similar].tolist(), runs[similar].tolist(), strict=True)) == want
+
+
+def test_common_lines_make_no_pairs_of_later_holders(spark, monkeypatch):
+    """Forty documents share a line shorter than a passage and nothing else: each meets few others on whole texts."""
+    met, compared = [], substring_dedup._compared
+    monkeypatch.setattr(substring_dedup, "_compared", lambda fed, pairs, *rest: met.append(pairs.count()) or compared(fed, pairs, *rest))
+    rows = [(i, " ".join([prose(40, 310_000 + i), prose(42, 300_000), prose(40, 310_050 + i)])) for i in range(40)]
+    assert not substring_dedup.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sum(met) <= 4 * 40
+
+
 def brute_similar(one: list, two: list) -> float:
     a, b = ({tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (one, two))
     return len(a & b) / len(a | b)
