@@ -237,6 +237,44 @@ def test_rarest_shingles_of_similar_runs_meet():
                     assert picked & two
 
 
+def test_runs_of_few_shingles_are_asked_by_few():
+    """A run whose shingles come again and again may lack a fifth of its set, not of its length."""
+    draw = np.random.default_rng(6)
+    for size in (5, 14, 30):
+        pool = draw.integers(1, 1 << 62, size)
+        x = np.append(pool, draw.choice(pool, 70))
+        runs, places = substring_dedup.rarest(x, x % 9, 46, 80)
+        for i in range(len(x) - 45):
+            one, picked = set(x[i : i + 46].tolist()), set(x[places[runs == i]].tolist())
+            lacking = len(one) - -(-80 * len(one) // 100)
+            assert lacking < len(picked) <= lacking + 2
+
+
+def test_open_runs_by_brute_force():
+    draw = np.random.default_rng(7)
+    for _ in range(50):
+        places, sizes = draw.integers(0, 60, 6), draw.integers(1, 20, 6)
+        of, begin = np.sort(draw.integers(0, 6, 9)), draw.integers(0, 60, 9)
+        end = begin + draw.integers(1, 40, 9)
+        got = substring_dedup.open_runs(places, sizes, of, begin, end, 12, 80)
+        want = [
+            all(100 * (min(e, p + i + 12) - max(b, p + i)) < 80 * 12 for o, b, e in zip(of, begin, end, strict=True) if o == row)
+            for row, (p, n) in enumerate(zip(places, sizes, strict=True))
+            for i in range(n)
+        ]
+        assert got.tolist() == want
+
+
+def test_repeated_lines_make_no_pairs_of_their_documents(spark, monkeypatch):
+    """Thirty documents share a line and repeat lines of their own: their runs have few shingles, most of them their own."""
+    tried, similar = [], substring_dedup._similar
+    monkeypatch.setattr(substring_dedup, "_similar", lambda both, *rest: tried.append(both.count()) or similar(both, *rest))
+    line = prose(13, 400_000)
+    rows = [(i, " ".join([prose(30, 400_100 + i), *[f"{line} {prose(12, 400_500 + i)}"] * 6])) for i in range(30)]
+    assert not substring_dedup.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sum(tried) <= 30
+
+
 def test_similar_runs_by_brute_force():
     draw = np.random.default_rng(3)
     many = lambda parts: (np.concatenate(parts), np.append(0, np.cumsum([len(p) for p in parts])))
