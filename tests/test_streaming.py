@@ -354,3 +354,40 @@ def test_joined_streams_keep_one_store(spark, tmp_path):
     assert {(r.id, r.status) for r in got.collect()} == {(1, "pass"), (2, "pass")}
     assert [spark.conf.get(name, None) for name in runs.JOIN_STATE] == before
     assert not list((tmp_path / "out-checkpoint" / "state").glob("0/0/left-*"))
+
+
+def test_keys_of_a_bucket_share_a_state_row():
+    state = OneState(0)
+    state.remove = lambda: state.__dict__.update(exists=False, get=None)
+    n = 1000
+    batch = pd.DataFrame({"topic": "t", "key": [f"k{i % n}" for i in range(2 * n)], "value": ["x"] * (2 * n - 1) + [None], "offset": range(2 * n), "seconds": 10})
+    newest = topics._bucket_function(100)
+    found = pd.concat(newest((1,), iter([batch[:900], batch[900:]]), state))
+    assert (len(found), found["offset"].min(), state.writes, state.timeout) == (n, n, 1, 109_999)
+    assert found["key"][found["value"].isna()].tolist() == [f"k{n - 1}"]
+    # Older records, and others with an offset that is held, change nothing.
+    assert list(newest((1,), iter([batch[:n].assign(value="z"), batch[n:].assign(value="z")]), state)) == [] and state.writes == 1
+    # The delete leaves the state with the watermark, and its key comes back by any record.
+    state.watermark = 110_000
+    assert list(newest((1,), iter([]), state)) == [] and state.writes == 2
+    late = pd.DataFrame({"topic": "t", "key": [f"k{n - 1}", "k0"], "value": ["y", "y"], "offset": [5, 5], "seconds": 111})
+    assert [f.values.tolist() for f in newest((1,), iter([late]), state)] == [[["t", f"k{n - 1}", "y", 5]]]
+    # A bucket of expired deletes is forgotten.
+    gone = OneState(500_000)
+    gone.remove = lambda: gone.__dict__.update(exists=False, get="removed")
+    assert len(pd.concat(newest((1,), iter([batch.tail(1)]), gone))) == 1 and gone.get == "removed"
+
+
+@pytest.mark.parametrize("buckets", [0, 3])
+def test_compacted_stream_by_bucket_and_by_key(spark, rows, tmp_path, buckets):
+    path, out = str(tmp_path / "in"), str(tmp_path / "out")
+    schema = "key string, value string, topic string, partition int, offset bigint, timestamp timestamp"
+    last = {}
+    for n in range(3):
+        data = [(None if i % 11 == 0 else f"k{i % 11}", None if i % 5 == n else str(n), f"t{i % 2}", 0, 100 * n + i, 10 * n) for i in range(40)]
+        last |= {(topic, key): (value, offset) for key, value, topic, _, offset, _ in data}
+        write(records(spark, data), path, str(n))
+        changed = topics.compacted_stream(stream(spark, path, schema), delete_retention=100, late=50, buckets=buckets)
+        got = runs.latest_update(runs.update_available(changed, out), ["topic", "key"])
+    want = [(t, k, *v) for (t, k), v in last.items()]
+    assert rows(got, "topic", "key", "value", "offset") == sorted(want, key=lambda r: tuple((v is None, str(v)) for v in r))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState
@@ -10,6 +11,9 @@ from pyspark.sql.streaming.state import GroupState
 from tidewatch.sources.topics import decode, topic_parts
 
 MAX_RETENTION_MS = 2_592_000_000
+BUCKETS = 512  # rows of state that the keys of a compacted stream share
+FOREVER = (1 << 53) // 1000  # the deadline of a live key, in seconds
+_HELD = pa.schema([("topic", pa.string()), ("key", pa.string()), ("value", pa.string()), ("offset", pa.int64()), ("deadline", pa.int64())])
 
 
 def parsed(records: DataFrame, schema: str) -> DataFrame:
@@ -72,7 +76,58 @@ def _compaction_function(seconds: int):
     return newest
 
 
-def compacted_stream(stream: DataFrame, delete_retention: int, late: int) -> DataFrame:
+def _bucket_function(seconds: int):
+    # Workers get these with the function, and need not have this package.
+    def first_per_key(rows: pd.DataFrame) -> pd.DataFrame:
+        """The newest row of every key; of equal offsets the first."""
+        return rows.sort_values("offset", ascending=False, kind="stable").drop_duplicates(["topic", "key"])
+
+    def packed(rows: pd.DataFrame) -> bytes:
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, _HELD, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+            out.write_table(pa.Table.from_pandas(rows, _HELD, preserve_index=False))
+        return sink.getvalue().to_pybytes()
+
+    def newest(bucket, rows, state: GroupState):
+        """As ``_compaction_function`` for all keys of a bucket at once, in one state row."""
+        held = pa.ipc.open_stream(bytes(state.get[0])).read_all().to_pandas() if state.exists else None
+        best = None
+        for batch in rows:
+            if batch.empty:
+                continue
+            # A part at a time, so that a hot key costs a row.
+            batch = first_per_key(batch)
+            best = batch if best is None else first_per_key(pd.concat([best, batch]))
+        changed = None
+        if best is not None:
+            deadline = pd.Series(FOREVER, best.index, "int64")
+            deleted = best["value"].isna()
+            deadline[deleted] = best["seconds"][deleted].astype("int64") + seconds
+            best = best[["topic", "key", "value", "offset"]].assign(deadline=deadline)
+            if held is not None:
+                both = first_per_key(pd.concat([held.assign(held=True), best.assign(held=False)]))
+                changed, best = both[~both["held"]], both.drop(columns="held")
+            else:
+                changed = best
+        now = state.getCurrentWatermarkMs()
+        every = held if best is None else best
+        kept = every[every["deadline"] * 1000 > now]
+        if kept.empty:
+            state.remove()
+        else:
+            if (changed is not None and len(changed)) or len(kept) < len(every):
+                state.update((packed(kept),))
+            first = int(kept["deadline"].min())
+            if first < FOREVER:
+                # A time-out comes when the watermark has passed it.
+                state.setTimeoutTimestamp(max(first * 1000 - 1, now))
+        if changed is not None and len(changed):
+            yield changed[["topic", "key", "value", "offset"]]
+
+    return newest
+
+
+def compacted_stream(stream: DataFrame, delete_retention: int, late: int, buckets: int = BUCKETS) -> DataFrame:
     """Compaction per topic and key with a life span for deletes: changed keys with their newest value and offset.
 
     A NULL value deletes its key: it is put out once, so that the older value
@@ -80,20 +135,23 @@ def compacted_stream(stream: DataFrame, delete_retention: int, late: int) -> Dat
     timestamp; then the key leaves the state. Records that come after a newer one
     of their key change nothing. A record older than the watermark, ``late``
     seconds behind the newest of all, is dropped, so a forgotten key comes back
-    by newer records only. State holds live keys and recent deletes.
+    by newer records only. State holds live keys and recent deletes, those of a
+    bucket of keys in one row, since a call for each key costs about a
+    millisecond; a micro-batch writes the buckets anew that it changes. Their
+    number stays with the checkpoint; 0 gives each key a row.
     """
     if delete_retention < late:
         raise ValueError("deletes are kept at least as long as records may be late")
     timed = stream.select(
         "topic", "key", "value", "offset", F.unix_seconds("timestamp").alias("seconds"), F.col("timestamp").alias("_event_time")
     ).withWatermark("_event_time", f"{late} seconds")
-    return timed.groupBy("topic", "key").applyInPandasWithState(
-        _compaction_function(delete_retention),
-        "topic string, key string, value string, offset long",
-        "offset long, value string, deadline long",
-        "update",
-        "EventTimeTimeout",
-    )
+    out = "topic string, key string, value string, offset long"
+    if not buckets:
+        grouped, newest, held = timed.groupBy("topic", "key"), _compaction_function(delete_retention), "offset long, value string, deadline long"
+    else:
+        dealt = timed.withColumn("bucket", F.pmod(F.xxhash64("topic", "key"), F.lit(buckets)))
+        grouped, newest, held = dealt.groupBy("bucket"), _bucket_function(delete_retention), "held binary"
+    return grouped.applyInPandasWithState(newest, out, held, "update", "EventTimeTimeout")
 
 
 def retained_by_age(records: DataFrame, retention_ms: int) -> DataFrame:
